@@ -107,3 +107,8 @@ def flesch_reading_ease(words: Column, sentences: Column, syllables: Column) ->
 def grade_level(words: Column, sentences: Column, syllables: Column) -> Column:
     grade = F.lit(0.39) * (words / sentences) + F.lit(11.8) * (syllables / words) - F.lit(15.59)
     return F.when(words == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.bround(grade, 1)))
+
+
+def let(value: Column, body) -> Column:
+    """Bind an expression once so that lambdas do not evaluate it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)

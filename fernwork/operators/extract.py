@@ -321,10 +321,10 @@ def overlap_chunks(title: Column, body: Column, size: int = 20000, overlap: int
     start = size - overlap
     n_more = F.ceil((F.length(text) - start) / (width - overlap)).cast("int")
     starts = F.transform(F.sequence(F.lit(0), F.greatest(n_more - 1, F.lit(0))), lambda i: start + i * (width - overlap))
-    raw = F.transform(starts, lambda s: text.substr(s + 1, width))
+    raw = tx.let(F.struct(text.alias("t"), width.alias("w")), lambda b: F.transform(starts, lambda s: b["t"].substr(s + 1, b["w"])))
     short = F.array_position(F.transform(raw, lambda c: F.length(tx.strip(c)) < 200), F.lit(True)).cast("int")
     kept = F.when(short == 0, raw).otherwise(F.slice(raw, F.lit(1), short - 1))
-    more = F.transform(kept, lambda c: tx.strip(F.concat(prefix, c)))
+    more = tx.let(prefix, lambda p: F.transform(kept, lambda c: tx.strip(F.concat(p, c))))
     return F.when(F.length(text) <= size, F.array(tx.strip(text))).otherwise(
         F.concat(F.array(tx.strip(F.left(text, F.lit(size)))), more)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_extract, catalog_ingest  # noqa: F401
+from . import catalog_extract, catalog_ingest, catalog_scoring  # noqa: F401
 from .oracle import ORACLES, QUERIES, runner
 
 
