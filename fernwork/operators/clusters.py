@@ -1,12 +1,25 @@
-"""Embedding centroids, topic clusters and their layout."""
+"""Embedding centroids, topic clusters, their quality and layout."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scale import durable
+from .vectors import dot, top_matches, unit
+
+SMALL_SITE = 15  # posts below which a site is one cluster
+SAMPLE = 100  # vectors looked at for the mean similarity
+MAX_CLUSTER = 25  # posts above which a cluster is split again
+MAX_DEPTH = 3
+
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     """Mean vector per key; the summarizer merges partial sums map-side."""
@@ -15,3 +28,256 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
         .agg(Summarizer.mean(array_to_vector(F.col(vec))).alias("_m"), F.count("*").alias("n"))
         .select(*keys, vector_to_array("_m").alias(vec), "n")
     )
+
+
+def centre_vectors(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Subtract the mean vector of the group and scale to unit length."""
+    means = mean_vectors(df, keys).select(*keys, F.col("vec").alias("_mean"))
+    moved = df.join(means, keys).withColumn("vec", F.zip_with("vec", "_mean", lambda a, b: a - b)).drop("_mean")
+    return moved.withColumn("vec", unit(F.col("vec")))
+
+
+def mean_similarity(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Mean of the cosine matrix (zero diagonal) of a fixed hash-ordered sample.
+
+    The sum over all pairs of unit vectors is |sum|² − n, so no pairs are formed.
+    """
+    picked = df.orderBy(F.md5(F.col("post_id").cast("string")), "post_id").limit(sample).withColumn("vec", unit(F.col("vec")))
+    m = mean_vectors(picked.withColumn("_k", F.lit(1)), ["_k"])
+    square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    return m.select("n", (square - 1.0 / F.col("n")).alias("mean_similarity"))
+
+
+def min_cluster_size(n: Column) -> Column:
+    """Smallest cluster kept, by number of posts of the site."""
+    return (
+        F.when(n < 20, F.greatest(F.lit(2), F.floor(n / 5)))
+        .when(n < 100, F.greatest(F.lit(3), F.floor(n / 10)))
+        .when(n < 500, F.greatest(F.lit(5), F.floor(n / 20)))
+        .when(n < 1000, F.lit(12))
+        .otherwise(F.lit(20))
+    ).cast("int")
+
+
+def nearest_centroids(points: DataFrame, centroids: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Closest centroid of each point by Euclidean distance (ties by lowest id).
+
+    |x − c|² is smallest where x·c − |c|²/2 is largest, a dot product of
+    vectors with one extra coordinate.
+    """
+    group = group or []
+    half = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / 2
+    left = points.select("post_id", *group, F.concat("vec", F.array(F.lit(-1.0))).alias("vec"))
+    # ids below zero keep centroids apart from points that share their number
+    right = centroids.select(
+        (-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), *group, F.concat("vec", F.array(half(F.col("vec")))).alias("vec")
+    )
+    best = top_matches(left, right, 1, group, metric="dot")
+    return best.select(*group, "post_id", (-1 - F.col("neighbour_id")).alias("cluster_id"))
+
+
+def silhouettes(df: DataFrame) -> DataFrame:
+    """Squared-distance silhouette per point: (post_id, cluster_id, vec) → + silhouette.
+
+    The mean squared distance from x to a cluster is |x|² + E|y|² − 2x·E[y],
+    so cluster means stand in for all pairs; the best other cluster of each
+    point comes from a blocked top-2 search.
+    """
+    stats = mean_vectors(df, ["cluster_id"]).join(
+        df.groupBy("cluster_id").agg(F.avg(dot(F.col("vec"), F.col("vec"))).alias("sq")), "cluster_id"
+    )
+    own = df.join(stats.select("cluster_id", F.col("vec").alias("_m"), "n", "sq"), "cluster_id")
+    x2 = dot(F.col("vec"), F.col("vec"))
+    mean_sq = F.greatest(F.lit(0.0), x2 + F.col("sq") - 2 * dot(F.col("vec"), F.col("_m")))
+    own = own.select(
+        "post_id", "cluster_id", x2.alias("x2"), "n",
+        F.when(F.col("n") > 1, mean_sq * F.col("n") / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("a"),
+    )
+    left = df.select("post_id", F.concat(F.transform("vec", lambda v: 2 * v), F.array(F.lit(-1.0))).alias("vec"))
+    right = stats.select((-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), F.concat("vec", F.array(F.col("sq"))).alias("vec"))
+    near = top_matches(left, right, 2, metric="dot").select(
+        "post_id", (-1 - F.col("neighbour_id")).alias("_other"), F.col("similarity").alias("_s")
+    )
+    b = near.join(own.select("post_id", "cluster_id"), "post_id").filter("_other <> cluster_id").groupBy("post_id").agg(F.max("_s").alias("_s"))
+    joined = own.join(b, "post_id", "left").withColumn("b", F.greatest(F.lit(0.0), F.col("x2") - F.col("_s")))
+    value = F.when((F.col("n") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    )
+    return joined.select("post_id", "cluster_id", value.alias("silhouette"))
+
+
+def cluster_silhouettes(df: DataFrame) -> DataFrame:
+    """Mean silhouette per cluster, and of all points under cluster_id null."""
+    s = silhouettes(df)
+    return s.rollup("cluster_id").agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
+
+
+def absorb(df: DataFrame, drop: DataFrame) -> DataFrame:
+    """Move members of the listed clusters to the nearest remaining centroid."""
+    bad = drop.select("cluster_id").distinct()
+    keep = df.join(bad, "cluster_id", "left_anti")
+    lost = df.join(bad, "cluster_id", "left_semi")
+    moved = nearest_centroids(lost, mean_vectors(keep, ["cluster_id"])).select("post_id", F.col("cluster_id").alias("_new"))
+    return df.join(moved, "post_id", "left").withColumn("cluster_id", F.coalesce(F.col("_new"), F.col("cluster_id").cast("bigint"))).drop("_new")
+
+
+def absorb_small(df: DataFrame, minimum: int) -> DataFrame:
+    """Dissolve clusters below the minimum size."""
+    return absorb(df, df.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") < minimum))
+
+
+def dissolve_negative(df: DataFrame) -> DataFrame:
+    """Dissolve clusters of negative silhouette when at least three clusters exist."""
+    per = durable(silhouettes(df).groupBy("cluster_id").agg(F.avg("silhouette").alias("s")))
+    total, bad = per.agg(F.count("*"), F.count_if(F.col("s") < 0)).first()
+    if total < 3 or bad == 0 or bad == total:
+        return df.withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
+    return absorb(df, per.filter("s < 0"))
+
+
+def topic_clusters(vectors: DataFrame, ks: list[int] | None = None, seed: int = 42) -> DataFrame:
+    """One cluster per post: k-means on centred vectors, k chosen by silhouette,
+    small clusters absorbed, negative ones dissolved. Sites below fifteen posts
+    stay whole."""
+    n = vectors.count()
+    base = vectors.select("post_id", "vec")
+    if n < SMALL_SITE:
+        return base.withColumn("cluster_id", F.lit(0).cast("bigint"))
+    centred = durable(centre_vectors(base.withColumn("_k", F.lit(1)), ["_k"]).select("post_id", "vec"))
+    data = centred.withColumn("features", array_to_vector("vec"))
+    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id")
+    top = max(2, int(math.sqrt(n / 2)))
+    best = None
+    for k in ks or sorted({max(2, top // 2), max(2, top), max(2, top * 3 // 2)}):
+        labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=20).fit(data).transform(data)
+        score = judge.evaluate(labelled) if labelled.select("cluster_id").distinct().count() > 1 else -1.0
+        if best is None or score > best[0]:
+            best = (score, labelled.select("post_id", "vec", F.col("cluster_id").cast("bigint").alias("cluster_id")))
+    smallest = base.limit(1).select(min_cluster_size(F.lit(n))).first()[0]
+    out = dissolve_negative(durable(absorb_small(durable(best[1]), smallest)))
+    return out.join(base.select("post_id", F.col("vec").alias("_raw")), "post_id").select("post_id", F.col("_raw").alias("vec"), "cluster_id")
+
+
+def split_large(df: DataFrame, limit: int = MAX_CLUSTER, depth: int = MAX_DEPTH, seed: int = 42) -> DataFrame:
+    """Split every cluster above ``limit`` posts, up to three levels deep.
+
+    (post_id, vec, cluster_id) → (post_id, cluster_id, path): path names the
+    child at each level. All oversized clusters of a level are split in one
+    pass: their vectors are centred per cluster, a cluster's two seeds are its
+    members farthest apart along its main direction, and members go to the
+    nearer seed. A split that leaves one side below the minimum size is
+    rejected.
+    """
+    state = durable(df.select("post_id", "vec", F.col("cluster_id").cast("string").alias("path")))
+    for level in range(depth):
+        sizes = state.groupBy("path").agg(F.count("*").alias("n"))
+        big = durable(state.join(sizes.filter(F.col("n") > limit), "path"))
+        if big.isEmpty():
+            break
+        centred = centre_vectors(big, ["path"])
+        # direction: from the mean to the member farthest from it, hash as tie-break
+        first = centred.groupBy("path").agg(F.min_by("vec", F.md5(F.col("post_id").cast("string"))).alias("_a"))
+        far = centred.join(first, "path").groupBy("path", "_a").agg(F.min_by("vec", dot(F.col("vec"), F.col("_a"))).alias("_b"))
+        sided = centred.join(far, "path").select(
+            "path", "post_id", "n", (dot(F.col("vec"), F.col("_b")) > dot(F.col("vec"), F.col("_a"))).cast("int").alias("_side")
+        )
+        for _ in range(3):  # a few two-means rounds settle the border
+            seeds = mean_vectors(centred.join(sided.select("post_id", "_side"), "post_id"), ["path", "_side"])
+            pair = seeds.groupBy("path").agg(
+                F.max(F.when(F.col("_side") == 0, F.struct("_side", "vec"))).alias("s0"), F.max(F.when(F.col("_side") == 1, F.struct("_side", "vec"))).alias("s1")
+            ).filter("s0 IS NOT NULL AND s1 IS NOT NULL").select("path", F.col("s0.vec").alias("_c0"), F.col("s1.vec").alias("_c1"))
+            d = lambda c: F.aggregate(F.zip_with("vec", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+            sided = durable(centred.join(pair, "path").select("path", "post_id", "n", (d("_c1") < d("_c0")).cast("int").alias("_side")))
+        counts = sided.groupBy("path").agg(F.count_if(F.col("_side") == 1).alias("ones"), F.count("*").alias("n"))
+        floor = F.greatest(F.lit(3), F.floor(F.col("n") / 10))
+        good = counts.filter((F.col("ones") >= floor) & (F.col("n") - F.col("ones") >= floor)).select("path")
+        step = sided.join(good, "path", "left_semi").select("post_id", F.concat_ws(".", "path", F.col("_side").cast("string")).alias("_next"))
+        state = durable(state.join(step, "post_id", "left").withColumn("path", F.coalesce("_next", "path")).drop("_next"))
+    return state.join(df.select("post_id", "cluster_id"), "post_id").select("post_id", "cluster_id", "path")
+
+
+def bisect(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """Hierarchical clusters of one site by bisecting k-means."""
+    data = vectors.withColumn("features", array_to_vector("vec"))
+    return BisectingKMeans(k=k, seed=seed, predictionCol="cluster_id").fit(data).transform(data).select("post_id", "cluster_id")
+
+
+def map_positions(df: DataFrame, pull: float = 0.15) -> DataFrame:
+    """2-D positions: principal components, each post drawn 15 % to its cluster's centre."""
+    data = df.withColumn("features", array_to_vector("vec"))
+    xy = PCA(k=2, inputCol="features", outputCol="_p").fit(data).transform(data).select(
+        "post_id", "cluster_id", vector_to_array("_p").alias("_p")
+    ).select("post_id", "cluster_id", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
+    centre = xy.groupBy("cluster_id").agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
+    return xy.join(centre, "cluster_id").select(
+        "post_id", "cluster_id",
+        (F.col("x") + pull * (F.col("_cx") - F.col("x"))).alias("x"), (F.col("y") + pull * (F.col("_cy") - F.col("y"))).alias("y"),
+    )
+
+
+def circle_layout(index: Column, n: Column) -> list[Column]:
+    """Places the posts of a tiny site on a circle of radius two."""
+    angle = 2 * math.pi * index / F.greatest(n, F.lit(1))
+    return [(F.cos(angle) * 2.0).alias("x"), (F.sin(angle) * 2.0).alias("y")]
+
+
+def small_site_labels(posts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Cluster per post, forced to 0 on sites below fifteen posts."""
+    sizes = posts.groupBy("site_id").agg(F.count("*").alias("_n"))
+    return posts.join(sizes, "site_id").join(clusters, "post_id", "left").select(
+        "post_id", "site_id", F.when(F.col("_n") < SMALL_SITE, F.lit(0)).otherwise(F.col("cluster_id")).alias("cluster_id")
+    )
+
+
+def leaf_clusters(clusters: DataFrame) -> DataFrame:
+    """Clusters that are nobody's parent."""
+    parents = clusters.filter(F.col("parent_cluster_id").isNotNull()).select(F.col("parent_cluster_id").alias("cluster_id")).distinct()
+    return clusters.join(parents, "cluster_id", "left_anti")
+
+
+def cluster_centres(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """Mean x, y of the members, zero without any: members(cluster_id, x, y)."""
+    c = members.groupBy("cluster_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return clusters.join(c, "cluster_id", "left").withColumns({"x": F.coalesce("x", F.lit(0.0)), "y": F.coalesce("y", F.lit(0.0))})
+
+
+def centroid_nearest(vectors: DataFrame) -> DataFrame:
+    """Per cluster the cosine distance from its centroid to the nearest post of the site."""
+    cents = mean_vectors(vectors, ["cluster_id"])
+    left = cents.select((-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
+    best = top_matches(left, vectors.select("post_id", "vec"), 1)
+    return best.select(
+        (-1 - F.col("post_id")).alias("cluster_id"), F.col("neighbour_id").alias("post_id"), (1 - F.col("similarity")).alias("distance")
+    )
+
+
+def membership_report(posts: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """Totals of assigned, multi-assigned and unassigned posts."""
+    m = members.join(posts.select("post_id").distinct(), "post_id", "left_semi").groupBy("post_id").agg(F.count("*").alias("c"))
+    totals = m.agg(
+        F.count("*").alias("distinct_assigned"), F.sum("c").alias("total_assignments"), F.count_if(F.col("c") > 1).alias("multi_assigned")
+    )
+    lone = posts.select("post_id").join(m, "post_id", "left_anti").agg(F.count("*").alias("unassigned"))
+    one = F.lit(1).alias("_k")
+    return totals.select("*", one).join(lone.select("*", one), "_k").drop("_k")
+
+
+def count_mismatches(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """Stored against actual member count of each cluster."""
+    actual = members.groupBy("cluster_id").agg(F.count("*").alias("actual"))
+    return clusters.join(actual, "cluster_id", "left").select(
+        "cluster_id", F.col("post_count").alias("stored"), F.coalesce("actual", F.lit(0)).alias("actual")
+    ).withColumn("ok", F.col("stored") == F.col("actual"))
+
+
+def flatten_parents(clusters: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Posts that sit only in a parent cluster move to the leaf of most similar centroid."""
+    leaves = leaf_clusters(clusters).select("cluster_id")
+    in_leaf = members.join(leaves, "cluster_id", "left_semi")
+    stuck = members.join(leaves, "cluster_id", "left_anti").select("post_id").distinct().join(
+        in_leaf.select("post_id"), "post_id", "left_anti"
+    )
+    cents = mean_vectors(in_leaf.join(vectors.select("post_id", "vec"), "post_id"), ["cluster_id"])
+    right = cents.select((-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
+    best = top_matches(stuck.join(vectors.select("post_id", "vec"), "post_id"), right, 1)
+    return best.select("post_id", (-1 - F.col("neighbour_id")).alias("cluster_id"), "similarity")

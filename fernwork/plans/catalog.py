@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_extract, catalog_graph, catalog_ingest, catalog_scoring  # noqa: F401
+from . import catalog_clusters, catalog_extract, catalog_graph, catalog_ingest, catalog_scoring  # noqa: F401
 from .oracle import ORACLES, QUERIES, runner
 
 
