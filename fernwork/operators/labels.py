@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scale import top_per_group
+from ..plans.scale import durable, top_per_group
 
 # fixed values: words that carry no topic
 STOP_WORDS = (
@@ -62,8 +62,7 @@ def _words(c: Column, noise: list[str] | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     if noise is None:
         return found
-    ban = F.array(*[F.lit(w) for w in sorted(set(noise))])
-    return F.filter(found, lambda w: ~F.array_contains(ban, w))
+    return F.filter(found, lambda w: ~w.isin(noise))  # planned as one hash-set lookup
 
 
 def title_words(c: Column) -> Column:
@@ -78,8 +77,9 @@ def strip_format(title: Column) -> Column:
     low = F.regexp_replace(low, r"^\d+\s+(?:best|top|key|most\s+important|awesome|incredible)\s+", "")
     low = F.regexp_replace(low, r"^(?:how\s+to|what\s+(?:is|are)|why\s+you\s+should)\s+", "")
     low = F.regexp_replace(low, r"(?s)\s*(?:in|for)\s+\d{4}\b[^\n]*$", "")
-    cut = F.regexp_replace(low, r"\s*[-–|:].{0,30}$", "")
-    return tx.strip(F.when(tx.word_count(cut) >= 3, cut).otherwise(low))
+    cut = lambda x: F.regexp_replace(x, r"\s*[-–|:].{0,30}$", "")
+    both = tx.let(low, lambda x: F.struct(x.alias("low"), cut(x).alias("cut")))
+    return tx.let(both, lambda s: tx.strip(F.when(tx.word_count(s["cut"]) >= 3, s["cut"]).otherwise(s["low"])))
 
 
 def bigrams(words: Column) -> Column:
@@ -95,8 +95,7 @@ def bigrams(words: Column) -> Column:
 
 def title_phrases(title: Column) -> Column:
     """Unigrams then bigrams of the topic part of a title."""
-    w = title_words(strip_format(title))
-    return F.concat(w, bigrams(w))
+    return tx.let(title_words(strip_format(title)), lambda w: F.concat(w, bigrams(w)))
 
 
 def body_phrases(posts: DataFrame, unigrams: int = 10, pairs: int = 5) -> DataFrame:
@@ -155,30 +154,34 @@ def smart_phrase(phrase: Column) -> Column:
 
 def redundant(a: Column, b: Column) -> Column:
     """A word of one phrase contains a word of the other."""
-    wa, wb = F.split(F.lower(a), " "), F.split(F.lower(b), " ")
-    return F.exists(
-        wa,
-        lambda x: F.exists(
-            wb, lambda y: (F.length(x) >= 3) & (F.length(y) >= 3) & (F.contains(x, y) | F.contains(y, x))
+    return tx.let(
+        F.split(F.lower(b), " "),
+        lambda wb: F.exists(
+            F.split(F.lower(a), " "),
+            lambda x: F.exists(wb, lambda y: (F.length(x) >= 3) & (F.length(y) >= 3) & (F.contains(x, y) | F.contains(y, x))),
         ),
     )
 
 
 def connect(a: Column, b: Column) -> Column:
     """Join two label parts: compound nouns plainly, others with '&'."""
-    one, two = F.lower(F.concat_ws(" ", a, b)), F.lower(F.concat_ws(" ", b, a))
-    return (
-        F.when(one.isin(COMPOUNDS), F.concat_ws(" ", a, b)).when(two.isin(COMPOUNDS), F.concat_ws(" ", b, a)).otherwise(F.concat_ws(" & ", a, b))
-    )
+    def joined(s: Column) -> Column:
+        x, y = s["a"], s["b"]
+        return (
+            F.when(F.lower(F.concat_ws(" ", x, y)).isin(COMPOUNDS), F.concat_ws(" ", x, y))
+            .when(F.lower(F.concat_ws(" ", y, x)).isin(COMPOUNDS), F.concat_ws(" ", y, x))
+            .otherwise(F.concat_ws(" & ", x, y))
+        )
+
+    return tx.let(F.struct(a.alias("a"), b.alias("b")), joined)
 
 
 def cluster_word_df(titles: DataFrame) -> DataFrame:
     """Titles per word and cluster: all words (freq) and topic words only (topic)."""
-    ban = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS + FORMAT_WORDS))])
     return (
         titles.select("cluster_id", F.explode(F.array_distinct(_words(F.lower("title")))).alias("word"))
         .groupBy("cluster_id", "word").agg(F.count("*").alias("freq"))
-        .withColumn("topic", F.when(F.array_contains(ban, F.col("word")), F.lit(0)).otherwise(F.col("freq")))
+        .withColumn("topic", F.when(F.col("word").isin(STOP_WORDS + FORMAT_WORDS), F.lit(0)).otherwise(F.col("freq")))
     )
 
 
@@ -197,7 +200,6 @@ def phrase_scores(posts: DataFrame) -> DataFrame:
     )
     weight = parts.groupBy("site_id", "cluster_id", "phrase").agg(F.sum("w").alias("weight"))
     stops = site_stops(titles).select("site_id", F.col("word"), F.lit(True).alias("stop"))
-    fmt = F.array(*[F.lit(w) for w in FORMAT_WORDS])
     pair = F.contains("phrase", F.lit(" "))
     first, second = F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)
     marked = (
@@ -205,8 +207,8 @@ def phrase_scores(posts: DataFrame) -> DataFrame:
         .join(stops.select("site_id", F.col("word").alias("_w1"), F.col("stop").alias("_s1")), ["site_id", "_w1"], "left")
         .join(stops.select("site_id", F.col("word").alias("_w2"), F.col("stop").alias("_s2")), ["site_id", "_w2"], "left")
     )
-    noise1 = F.coalesce("_s1", F.lit(False)) | F.array_contains(fmt, F.col("_w1"))
-    noise2 = F.coalesce("_s2", F.lit(False)) | F.array_contains(fmt, F.col("_w2"))
+    noise1 = F.coalesce("_s1", F.lit(False)) | F.col("_w1").isin(FORMAT_WORDS)
+    noise2 = F.coalesce("_s2", F.lit(False)) | F.col("_w2").isin(FORMAT_WORDS)
     marked = marked.withColumn("noise", noise1 & noise2)
     # totals: every bigram counts, of the words only those that are not noise
     totals = marked.filter("is_bigram OR NOT noise").groupBy("cluster_id", "is_bigram").agg(F.sum("weight").alias("total"))
@@ -246,7 +248,7 @@ def raw_labels(posts: DataFrame) -> DataFrame:
     Order of phrases: score, then the phrase itself. Per cluster only the best
     few phrases are gathered, so the arrays stay small however large it is.
     """
-    scored = phrase_scores(posts)
+    scored = durable(phrase_scores(posts))
     titles = posts.select("post_id", "cluster_id", "title")
     sizes = titles.groupBy("cluster_id").agg(F.count("*").alias("n"))
     wdf = cluster_word_df(titles)
@@ -283,23 +285,19 @@ def raw_labels(posts: DataFrame) -> DataFrame:
             }
         )
     )
-    top = F.col("top")
+    base = durable(base)
+    top, head = F.col("top"), F.try_element_at("top", F.lit(1))
     qualifier = F.try_element_at(
-        F.filter(top, lambda w: ~F.contains(F.lower("primary"), F.lower(w)) & ~redundant(w, F.col("primary"))), F.lit(1)
+        F.filter("top", lambda w: ~F.contains(F.lower("primary"), F.lower(w)) & ~redundant(w, F.col("primary"))), F.lit(1)
     )
-    head = F.try_element_at(top, F.lit(1))
     second = F.try_element_at(F.filter(F.slice(top, 2, 10), lambda w: ~redundant(w, F.try_element_at(F.col("top"), F.lit(1)))), F.lit(1))
-    label = (
-        F.when(F.col("primary").isNotNull(), F.when(qualifier.isNotNull(), connect(F.col("primary"), qualifier)).otherwise(F.col("primary")))
-        .when(head.isNotNull(), F.when(second.isNotNull(), connect(head, second)).otherwise(head))
-        .otherwise(F.coalesce("common", F.lit("General Content")))
-    )
-    base = base.withColumn("label", label)
     # candidates: runner-up pairs first, then neighbouring top words
-    steps = F.slice(
-        F.zip_with(F.slice(top, 1, 4), F.slice(top, 2, 4), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), connect(a, b))), 1, 4
+    steps = F.zip_with(F.slice(top, 1, 4), F.slice(top, 2, 4), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), connect(a, b)))
+    base = base.withColumn("_q", F.when(F.col("primary").isNotNull(), qualifier).otherwise(second)).withColumn("_h", F.coalesce("primary", head))
+    base = base.withColumn(
+        "label", F.when(F.col("_h").isNull(), F.coalesce("common", F.lit("General Content"))).when(F.col("_q").isNull(), F.col("_h")).otherwise(connect(F.col("_h"), F.col("_q")))
     )
-    base = base.withColumn("cands", F.array_distinct(F.concat("runners", F.filter(steps, lambda x: x.isNotNull()))))
+    base = durable(base.withColumn("cands", F.array_distinct(F.concat("runners", F.filter(steps, lambda x: x.isNotNull())))))
     alts = _valid_alternatives(base, titles, wdf, floor)
     desc = F.slice(
         F.transform(
@@ -314,9 +312,8 @@ def raw_labels(posts: DataFrame) -> DataFrame:
 def _valid_alternatives(base: DataFrame, titles: DataFrame, wdf: DataFrame, floor: Column) -> DataFrame:
     """Keep candidate labels that are grounded in the titles and are not proper names."""
     cand = base.select("cluster_id", "n", "label", F.posexplode("cands").alias("pos", "alt"))
-    ui = F.array(*[F.lit(w) for w in UI_WORDS])
     cand = cand.withColumn("_ws", F.array_distinct(_words(F.lower("alt")))).filter(
-        (F.size("_ws") >= 2) & ~F.arrays_overlap("_ws", ui) & (F.lower("alt") != F.lower("label"))
+        (F.size("_ws") >= 2) & ~F.exists("_ws", lambda w: w.isin(UI_WORDS)) & (F.lower("alt") != F.lower("label"))
     )
     rare = (
         cand.select("cluster_id", "alt", "n", F.explode("_ws").alias("word")).join(wdf, ["cluster_id", "word"], "left")
@@ -396,7 +393,7 @@ def repair_duplicates(labels: DataFrame, words: DataFrame) -> DataFrame:
     free = late.join(first.withColumnRenamed("_first", "_owner"), "_p", "left").filter(
         F.col("_owner").isNull() | (F.col("_owner") > F.col("cluster_id"))
     ).groupBy("cluster_id").agg(F.min_by("alt", "pos").alias("_alt"))
-    named = keyed.join(free, "cluster_id", "left").withColumn("label", F.coalesce("_alt", "label")).drop("_alt", "_p", "_first")
+    named = durable(keyed.join(free, "cluster_id", "left").withColumn("label", F.coalesce("_alt", "label")).drop("_alt", "_p", "_first"))
     same = named.groupBy("label").agg(F.count("*").alias("_same"))
     named = named.join(same, "label")
     extra = top_per_group(
@@ -410,19 +407,17 @@ def repair_duplicates(labels: DataFrame, words: DataFrame) -> DataFrame:
 
 def description(label: Column, words: Column) -> Column:
     """Sentence naming the topic words that are not part of the label."""
-    left = F.transform(F.filter(words, lambda w: ~F.contains(F.lower(label), F.lower(w))), lambda w: F.lower(w))
-    return (
-        F.when(F.size(left) == 0, F.lit(""))
-        .when(F.size(left) == 1, F.concat(F.lit("Posts covering "), F.try_element_at(left, F.lit(1)), F.lit(".")))
-        .when(F.size(left) == 2, F.concat(F.lit("Posts covering "), F.array_join(left, " and "), F.lit(".")))
-        .otherwise(
-            F.concat(
-                F.lit("Posts covering "), F.array_join(F.slice(left, F.lit(1), F.size(left) - 1), ", "), F.lit(", and "),
-                F.try_element_at(left, F.lit(-1)), F.lit("."),
-            )
-        )
+    left = tx.let(
+        F.lower(label), lambda low: F.transform(F.filter(words, lambda w: ~F.contains(low, F.lower(w))), lambda w: F.lower(w))
     )
 
+    def sentence(x: Column) -> Column:
+        listed = F.concat(F.array_join(F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), ", "), F.lit(", and "), F.try_element_at(x, F.lit(-1)))
+        text = F.when(F.size(x) <= 2, F.array_join(x, " and ")).otherwise(listed)
+        return F.when(F.size(x) == 0, F.lit("")).otherwise(F.concat(F.lit("Posts covering "), text, F.lit(".")))
+
+    return tx.let(left, sentence)
+
 
 def cluster_words(posts: DataFrame) -> DataFrame:
     """Topic words of a cluster's titles by frequency, without site stop words."""
