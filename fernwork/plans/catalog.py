@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog_clusters, catalog_extract, catalog_graph, catalog_ingest, catalog_scoring  # noqa: F401
-from .oracle import ORACLES, QUERIES, runner
+from . import catalog_clusters, catalog_extract, catalog_graph, catalog_health, catalog_ingest, catalog_scoring  # noqa: F401
+from .oracle import ORACLES, QUERIES, runner, with_tables
 
 
 def queries():
@@ -11,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    return {name: with_tables(sql, uses) for name, (sql, uses) in ORACLES.items()}

@@ -10,7 +10,7 @@ from .tables import Tables
 
 CTES: dict[str, tuple[str, str]] = {}
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, str]] = {}
 
 
 def cte(name: str, sql: str, uses: str = "") -> None:
@@ -48,7 +48,7 @@ def query(name: str, sql: str | None = None, uses: str = ""):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_tables(sql, uses)
+            ORACLES[name] = (sql, uses)
         return fn
 
     return deco
