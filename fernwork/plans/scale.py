@@ -13,6 +13,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split hot join partitions even when the split costs one more shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # let row_number() <= k drop rows ahead of the shuffle for every k in use
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
     "spark.sql.session.timeZone": "UTC",
 }
 
