@@ -130,15 +130,17 @@ _SCHEMA = "_g string, post_id bigint, neighbour_id bigint, similarity double"
 
 def top_matches(
     left: DataFrame, right: DataFrame, k: int, group: list[str] | None = None, metric: str = "cosine", floor: float | None = None,
-    block: int = BLOCK,
+    block: int = BLOCK, apart: str | None = None,
 ) -> DataFrame:
     """The k best right vectors of each left vector within a group (ids never match themselves).
 
+    ``apart`` names a column whose value must differ between the two sides.
     left/right: (post_id, vec, *group) → (*group key columns, post_id, neighbour_id, similarity, rank).
     """
     group = group or []
-    lt, many_l = _blocked(_with_group(left.select("post_id", "vec", *group), group), None, block)
-    rt, many_r = _blocked(_with_group(right.select("post_id", "vec", *group), group), None, block)
+    tag = (F.col(apart).cast("string") if apart else F.lit("")).alias("_tag")
+    lt, many_l = _blocked(_with_group(left.select("post_id", "vec", *group, tag), group), None, block)
+    rt, many_r = _blocked(_with_group(right.select("post_id", "vec", *group, tag), group), None, block)
     bounds = metric == "cosine" and floor is not None and (many_l or many_r)
     if bounds:
         lb, rb = _block_list(lt), _block_list(rt)
@@ -152,12 +154,12 @@ def top_matches(
     pairs = pairs.select("_g", "_ba", "_bb")
     def spread(v: DataFrame, mine: str, number: int) -> DataFrame:
         p = pairs.select("_g", F.col(mine).alias("_blk"), "_ba", "_bb")
-        return v.join(p, ["_g", "_blk"]).select("_g", "_ba", "_bb", F.lit(number).alias("side"), "post_id", "vec")
+        return v.join(p, ["_g", "_blk"]).select("_g", "_ba", "_bb", F.lit(number).alias("side"), "post_id", "vec", "_tag")
 
     if many_l or many_r:
         rows = spread(lt, "_ba", 0).unionByName(spread(rt, "_bb", 1))
     else:
-        one = lambda v, n: v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(n).alias("side"), "post_id", "vec")
+        one = lambda v, n: v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(n).alias("side"), "post_id", "vec", "_tag")
         rows = one(lt, 0).unionByName(one(rt, 1))
 
     def run(t: pa.Table) -> pa.Table:
@@ -167,6 +169,9 @@ def top_matches(
         ia, ib = a.column("post_id").to_numpy(), b.column("post_id").to_numpy()
         s = _score(a, b, metric)
         s[ia[:, None] == ib[None, :]] = -np.inf
+        if apart:
+            ta, tb = (np.array(x.column("_tag").to_pylist()) for x in (a, b))
+            s[ta[:, None] == tb[None, :]] = -np.inf
         return _out(t.column("_g")[0].as_py(), *_best(ia, ib, s, k, floor))
 
     found = rows.groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA)

@@ -146,3 +146,6 @@ SELECT user_id % 5 AS site_id, date, round(avg(least(value, 100.0)), 2) AS score
   count(*) AS total_posts, count(*) FILTER (event_type = 'error') AS problems
 FROM ev GROUP BY 1, 2
 """, "ev")
+cte("cstates", """
+SELECT c.*, health_score, ['swamp','desert','forest','seedbed','meadow'][c.cluster_id % 5 + 1] AS ecosystem_state FROM clusters c JOIN (SELECT cluster_id, round(avg(composite_score), 6) AS health_score FROM scores GROUP BY 1) h USING (cluster_id)
+""", "clusters scores")

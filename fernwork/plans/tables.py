@@ -105,6 +105,16 @@ class Tables:
             )
         )
 
+    @cached_property
+    def cluster_states(self) -> DataFrame:
+        """Clusters with stored state and mean health."""
+        health = self.scores.groupBy("cluster_id").agg(F.round(F.avg("composite_score"), 6).alias("health_score"))
+        # fixed values: cluster states
+        states = F.array(*map(F.lit, ["swamp", "desert", "forest", "seedbed", "meadow"]))
+        return self.clusters.join(health, "cluster_id").withColumn(
+            "ecosystem_state", F.element_at(states, F.col("cluster_id") % 5 + 1)
+        )
+
     @cached_property
     def events(self) -> DataFrame:
         return self.raw("events").select(
