@@ -207,7 +207,7 @@ def i19(t: Tables):
     return rc.top_gap(g, t.clusters).select("query", "impressions", "label")
 
 
-@query("i20_secondary_keywords", "SELECT query, sum(impressions)::BIGINT AS impressions FROM gsc WHERE query ILIKE '%q1%' GROUP BY 1 ORDER BY impressions DESC, query LIMIT 15", "gsc")
+@query("i20_secondary_keywords", "SELECT query, impressions FROM (SELECT query, sum(impressions)::BIGINT AS impressions FROM gsc WHERE query ILIKE '%q1%' GROUP BY 1 ORDER BY impressions DESC, query LIMIT 15) WHERE query <> 'q1'", "gsc")
 def i20(t: Tables):
     return rc.secondary_keywords(t.gsc, "Q1", AS_OF)
 
