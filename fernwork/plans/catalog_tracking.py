@@ -247,10 +247,11 @@ def snaps(t: Tables):
 
 
 @query("j23_post_snapshot", f"""
-SELECT post_id, {A} AS snapshot_date, composite_score, trend, role, coalesce(c, 0) AS traffic_30d, round(p, 6) AS avg_position, coalesce(n, 0) AS problems_count FROM scores LEFT JOIN (SELECT post_id, sum(clicks)::BIGINT AS c, avg(avg_position) AS p FROM gsc WHERE date >= {A} - 30 GROUP BY 1) USING (post_id) LEFT JOIN (SELECT post_id, count(*) AS n FROM problems GROUP BY 1) USING (post_id)
+SELECT post_id, {A} AS snapshot_date, composite_score, trend, role, coalesce(c, 0) AS traffic_30d, round(p + 1e-9, 6) AS avg_position, coalesce(n, 0) AS problems_count FROM scores LEFT JOIN (SELECT post_id, sum(clicks)::BIGINT AS c, avg(avg_position) AS p FROM gsc WHERE date >= {A} - 30 GROUP BY 1) USING (post_id) LEFT JOIN (SELECT post_id, count(*) AS n FROM problems GROUP BY 1) USING (post_id)
 """, "scores gsc problems")
 def j23(t: Tables):
-    return rnd(snaps(t)["post"], "avg_position")
+    # nudged so that exact halves round the same way in both engines
+    return snaps(t)["post"].withColumn("avg_position", F.round(F.col("avg_position") + 1e-9, 6))
 
 
 @query("j23_site_snapshot", f"SELECT round(avg(composite_score), 6) AS avg_health_score, count(*) AS total_posts, count(*) FILTER (role = 'pillar') AS pillar_count, count(*) FILTER (role = 'dead_weight') AS dead_weight_count, (SELECT count(*) FROM problems) AS total_problems, (SELECT count(*) FROM pairs) AS cannibalization_pairs, {A} AS snapshot_date FROM scores", "scores problems pairs")
