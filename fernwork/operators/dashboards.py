@@ -64,7 +64,7 @@ def post_health(posts: DataFrame, scores: DataFrame, members: DataFrame, cluster
 
 
 def display_score(c: Column, ratio: bool = False) -> Column:
-    return F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), c * 100 if ratio else c)), 1)
+    return F.when(c.isNotNull(), F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), c * 100 if ratio else c)), 1))
 
 
 def post_details(posts: DataFrame, scores: DataFrame, ga4: DataFrame, gsc: DataFrame, ga4_rows: int = 90, gsc_rows: int = 500) -> DataFrame:

@@ -49,7 +49,7 @@ def k4(t: Tables):
 
 
 @query("k5_post_details", """
-SELECT p.post_id, coalesce(least(a.n, 20), 0) AS ga4_rows, coalesce(least(b.n, 50), 0) AS gsc_rows, a.newest, round_even(least(100, greatest(0, freshness_score)), 1) AS freshness, round_even(least(100, greatest(0, pagerank * 100)), 1) AS links
+SELECT p.post_id, least(coalesce(a.n, 0), 20) AS ga4_rows, least(coalesce(b.n, 0), 50) AS gsc_rows, a.newest, CASE WHEN freshness_score IS NOT NULL THEN round_even(least(100, greatest(0, freshness_score)), 1) END AS freshness, CASE WHEN pagerank IS NOT NULL THEN round_even(least(100, greatest(0, pagerank * 100)), 1) END AS links
 FROM posts p LEFT JOIN scores s ON s.post_id = p.post_id LEFT JOIN (SELECT post_id, count(*) AS n, max(date) AS newest FROM ga4 GROUP BY 1) a ON a.post_id = p.post_id LEFT JOIN (SELECT post_id, count(*) AS n FROM gsc GROUP BY 1) b ON b.post_id = p.post_id
 """, "posts scores ga4 gsc")
 def k5(t: Tables):
