@@ -60,6 +60,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition an input that has fewer splits than the cluster has cores.
+
+    A table of many files keeps its own splits and is not shuffled; a single
+    small file would otherwise run its text work on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def top_per_group(df: DataFrame, keys: list, order: list, k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of each group.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .scale import tune
+from .scale import spread, tune
 
 AS_OF = "2024-01-31"  # the day after the last event
 
@@ -27,12 +27,12 @@ class Tables:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.raw("pages")
+        return spread(self.raw("pages"), "page_id")
 
     @cached_property
     def posts(self) -> DataFrame:
         """Documents as posts; short lines act as h2 headings, others as paragraphs."""
-        d = self.raw("documents")
+        d = spread(self.raw("documents"), "doc_id")
         day = F.col("doc_id") * 37 % 1200
         publish = F.date_sub(F.lit(AS_OF).cast("date"), day.cast("int"))
         title = F.regexp_extract("text", r"^[^.\n]*", 0)
