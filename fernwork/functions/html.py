@@ -49,7 +49,9 @@ def attr(tag: Column, name: str) -> Column:
 
 def meta(html: Column, key: str, value: str) -> Column:
     """content= of the first <meta key="value">."""
-    tag = F.regexp_extract(html, rf"(?is)<meta[^>]*\s{key}\s*=\s*[\"']{value}[\"'][^>]*>", 0)
+    # quoted values may hold a ">" of their own
+    rest = r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>"
+    tag = F.regexp_extract(html, rf"(?is)<meta[^>]*\s{key}\s*=\s*[\"']{value}[\"']{rest}", 0)
     return attr(tag, "content")
 
 
