@@ -43,11 +43,6 @@ def any_of(c: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(n)) for n in needles])
 
 
-def hits(c: Column, needles: list[str]) -> Column:
-    """How many of the needles occur."""
-    return reduce(lambda a, b: a + b, [F.contains(c, F.lit(n)).cast("int") for n in needles])
-
-
 def ladder(value: Column, steps: list[tuple[float, object]], default: object) -> Column:
     """First result whose threshold the value reaches (steps sorted high to low)."""
     (t0, r0), *rest = steps

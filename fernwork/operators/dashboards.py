@@ -213,8 +213,13 @@ def _markers(df: DataFrame, rules: list[tuple[Column, str, Column]]) -> DataFram
 
 def behaviour_markers(members: DataFrame, gsc: DataFrame, ga4: DataFrame, scores: DataFrame, low_ctr=0.02, seen=500, bounce=0.7, seconds=180, high_ctr=0.05, popular=1000) -> DataFrame:
     """Signs of low CTR, bounce, engagement, visibility and decline per cluster."""
-    g = members.join(gsc, "post_id").groupBy("cluster_id").agg(F.avg("ctr").alias("ctr"), F.avg("impressions").alias("imp"))
-    v = members.join(ga4, "post_id").groupBy("cluster_id").agg(F.avg("bounce_rate").alias("b"), F.avg("avg_time").alias("s"))
+    def means(facts: DataFrame, columns: dict[str, str]) -> DataFrame:
+        # sums per post first, so that only one row per post meets the clusters
+        per = facts.groupBy("post_id").agg(*[F.sum(c).alias(c) for c in columns], *[F.count(c).alias(f"_{c}") for c in columns])
+        return members.join(per, "post_id").groupBy("cluster_id").agg(*[(F.sum(c) / F.sum(f"_{c}")).alias(a) for c, a in columns.items()])
+
+    g = means(gsc, {"ctr": "ctr", "impressions": "imp"})
+    v = means(ga4, {"bounce_rate": "b", "avg_time": "s"})
     f = members.select("post_id", "cluster_id").join(scores.filter("trend = 'declining'").select("post_id"), "post_id").groupBy("cluster_id").agg(F.count("*").alias("falling"))
     df = members.select("cluster_id").distinct().join(g, "cluster_id", "left").join(v, "cluster_id", "left").join(f, "cluster_id", "left")
     c = F.col

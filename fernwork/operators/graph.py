@@ -43,7 +43,8 @@ def pagerank(
     layout = durable(
         edges.join(state.select("site_id", F.col("id").alias("src"), "pieces"), ["site_id", "src"])
         .select("site_id", "src", F.pmod(F.xxhash64("dst"), F.col("pieces")).cast("int").alias("piece"), "dst")
-        .repartition(parts, "site_id", "src", "piece")
+        .repartition(parts, "site_id", "src", "piece"),
+        layout=True,
     )
     n_sites = state.select("site_id").distinct().count()
     for _ in range(max_iter):

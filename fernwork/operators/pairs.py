@@ -167,12 +167,10 @@ def query_partners(queries: DataFrame, clusters: DataFrame, least: int = MIN_SHA
     """
     q = queries.join(clusters, "post_id")
     df = q.groupBy("cluster_id", "query").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("post_id").orderBy("df", "query")
-    m = q.groupBy("post_id").agg(F.count("*").alias("m"))
-    prefix = (
-        q.join(df, ["cluster_id", "query"]).join(m, "post_id").withColumn("r", F.row_number().over(w))
-        .filter(F.col("r") <= F.col("m") - (least - 1)).select("cluster_id", "post_id", "query")
-    )
+    ranked = q.join(df, ["cluster_id", "query"])
+    # the commonest least − 1 queries of a post; a post with fewer has no prefix
+    common = top_per_group(ranked, ["post_id"], [F.desc("df"), F.desc("query")], least - 1).select("post_id", "query")
+    prefix = ranked.select("cluster_id", "post_id", "query").join(common, ["post_id", "query"], "left_anti")
     a = prefix.select("cluster_id", "query", F.col("post_id").alias("post_a_id"))
     b = prefix.select("cluster_id", "query", F.col("post_id").alias("post_b_id"))
     met = a.join(b, ["cluster_id", "query"]).filter("post_a_id < post_b_id").select("cluster_id", "post_a_id", "post_b_id").distinct()

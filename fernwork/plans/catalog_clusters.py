@@ -259,9 +259,12 @@ cte("nd", "SELECT count(*) AS n FROM topical", "topical")
 cte("stops", "SELECT word, count(*) AS df FROM (SELECT DISTINCT post_id, unnest(w) AS word FROM tw) GROUP BY 1 HAVING count(*) >= (SELECT n * CASE WHEN n < 100 THEN 0.15 WHEN n < 300 THEN 0.2 ELSE 0.3 END FROM nd)", "tw nd")
 
 
-@query("e21_site_stops", "SELECT word, df FROM stops", "stops")
+@query("e21_site_stops", """
+SELECT cluster_id::VARCHAR AS site_id, word, count(*) AS df FROM (SELECT DISTINCT post_id, cluster_id, unnest(w) AS word FROM tw) GROUP BY 1, 2
+HAVING count(*) >= (SELECT count(*) * CASE WHEN count(*) < 100 THEN 0.15 WHEN count(*) < 300 THEN 0.2 ELSE 0.3 END FROM topical t WHERE t.cluster_id::VARCHAR = site_id)
+""", "tw topical")
 def e21(t: Tables):
-    return lb.site_stops(topical(t)).select("word", "df")
+    return lb.site_stops(topical(t).withColumn("site_id", F.col("cluster_id").cast("string")))
 
 
 cte("cdf", "SELECT phrase, count(*) AS df FROM (SELECT DISTINCT post_id, unnest(ph) AS phrase FROM tp) GROUP BY 1", "tp")

@@ -134,7 +134,7 @@ def h10(t: Tables):
 
 
 cte("vel", f"""
-WITH b AS (SELECT site_id, count(*) AS dated_posts, count(*) FILTER (publish_date >= {A} - 60) AS recent, count(*) FILTER (publish_date >= {A} - 120 AND publish_date < {A} - 60) AS previous, date_diff('day', min(publish_date), max(publish_date))::INTEGER AS range_days FROM posts GROUP BY 1),
+WITH b AS (SELECT site_id, count(*) AS dated_posts, count(*) FILTER (publish_date >= {A} - 15) AS recent, count(*) FILTER (publish_date >= {A} - 30 AND publish_date < {A} - 15) AS previous, date_diff('day', min(publish_date), max(publish_date))::INTEGER AS range_days FROM posts GROUP BY 1),
 y AS (SELECT site_id, year(publish_date)::INTEGER AS y, count(*) AS n, min(publish_date) AS f FROM posts GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY count(*) DESC, min(publish_date)) = 1)
 SELECT site_id, dated_posts, recent, previous, range_days, round_even(recent / 13, 2) AS recent_weekly, round_even(previous / 13, 2) AS previous_weekly, round_even(dated_posts / greatest(1, range_days / 7), 2) AS overall_weekly,
   y AS peak_year, n AS peak_posts, CASE WHEN previous > 0 AND recent < previous * 0.5 THEN 'declining' WHEN recent > previous * 1.5 THEN 'accelerating' ELSE 'stable' END AS trend FROM b JOIN y USING (site_id) WHERE dated_posts >= 5
@@ -143,7 +143,7 @@ SELECT site_id, dated_posts, recent, previous, range_days, round_even(recent / 1
 
 @query("h11_publishing_velocity", "SELECT * FROM vel", "vel")
 def h11(t: Tables):
-    return pb.publishing_velocity(t.posts, AS_OF, 60)
+    return pb.publishing_velocity(t.posts, AS_OF, 15)
 
 
 cte("h12", "SELECT post_id, 'velocity_decline' AS problem_type, 'medium' AS severity, recent_weekly AS value FROM posts JOIN vel USING (site_id) WHERE trend = 'declining' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY publish_date DESC NULLS LAST, post_id) = 1", "posts vel")
@@ -151,7 +151,7 @@ cte("h12", "SELECT post_id, 'velocity_decline' AS problem_type, 'medium' AS seve
 
 @query("h12_velocity_decline", "SELECT * FROM h12", "h12")
 def h12(t: Tables):
-    return pb.velocity_decline(t.posts, AS_OF, 60)
+    return pb.velocity_decline(t.posts, AS_OF, 15)
 
 
 cte("hall", """
@@ -172,7 +172,7 @@ def parts(t: Tables):
         "decline": decline, "stale": pb.stale_ranking(t.posts, t.gsc, AS_OF), "drop": pb.position_drop(t.gsc, AS_OF, 10),
         "proxy": pb.proxy_decay(p, decline, AS_OF), "thin": pb.thin_content(p, t.links), "cluster": pb.thin_in_cluster(p, t.post_clusters),
         "seo": pb.seo_issues(p, t.links), "orphan": pb.orphans(p, t.links),
-        "reading": pb.hard_to_read(sc.readability(t.posts), industries(t)), "velocity": pb.velocity_decline(t.posts, AS_OF, 60),
+        "reading": pb.hard_to_read(sc.readability(t.posts), industries(t)), "velocity": pb.velocity_decline(t.posts, AS_OF, 15),
     }
 
 

@@ -46,18 +46,28 @@ def session(app: str = "fernwork", cpus: int | str = "*", shuffle_partitions: in
     return tune(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, layout: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that survives executor loss.
 
     The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) is a temporary folder used.
+    (tests, local runs) is a temporary folder used. With ``layout`` the result
+    keeps the hash partitioning it was written with, so that later joins on
+    those keys do not shuffle it again; that needs a fixed (non-adaptive) plan.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    if not layout:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # a new frame is planned under the setting of the moment
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
