@@ -260,8 +260,9 @@ cte("stops", "SELECT word, count(*) AS df FROM (SELECT DISTINCT post_id, unnest(
 
 
 @query("e21_site_stops", """
-SELECT cluster_id::VARCHAR AS site_id, word, count(*) AS df FROM (SELECT DISTINCT post_id, cluster_id, unnest(w) AS word FROM tw) GROUP BY 1, 2
-HAVING count(*) >= (SELECT count(*) * CASE WHEN count(*) < 100 THEN 0.15 WHEN count(*) < 300 THEN 0.2 ELSE 0.3 END FROM topical t WHERE t.cluster_id::VARCHAR = site_id)
+WITH n AS (SELECT cluster_id, count(*) * CASE WHEN count(*) < 100 THEN 0.15 WHEN count(*) < 300 THEN 0.2 ELSE 0.3 END AS lim FROM topical GROUP BY 1),
+d AS (SELECT cluster_id, word, count(*) AS df FROM (SELECT DISTINCT post_id, cluster_id, unnest(w) AS word FROM tw) GROUP BY 1, 2)
+SELECT cluster_id::VARCHAR AS site_id, word, df FROM d JOIN n USING (cluster_id) WHERE df >= lim
 """, "tw topical")
 def e21(t: Tables):
     return lb.site_stops(topical(t).withColumn("site_id", F.col("cluster_id").cast("string")))
