@@ -89,7 +89,7 @@ FROM ev GROUP BY k, date
 cte("gsc", """
 SELECT *, clicks / impressions AS ctr FROM (
 SELECT user_id AS post_id, date, 'q' || k AS query, count(*) AS impressions, count(*) FILTER (event_type = 'click') AS clicks,
-  round(least(100.0, 1 + avg(value)), 6) AS avg_position
+  round(least(100.0, 1 + avg(value)), 6) + 1e-9::DOUBLE AS avg_position
 FROM ev GROUP BY user_id, date, k)
 """, "ev")
 cte("links", """

@@ -141,7 +141,8 @@ class Tables:
             .agg(
                 F.count("*").alias("impressions"),
                 F.count_if(F.col("event_type") == "click").alias("clicks"),
-                F.round(F.least(F.lit(100.0), 1 + F.avg("value")), 6).alias("avg_position"),
+                # the tiny offset keeps means of positions off exact rounding halves
+                (F.round(F.least(F.lit(100.0), 1 + F.avg("value")), 6) + F.lit(1e-9)).alias("avg_position"),
             )
             .withColumn("ctr", F.col("clicks") / F.col("impressions"))
         )
