@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import extract as ex
 from ..operators import ingest as ig
 from . import sqltext as q
 from .oracle import cte, query
+from .scale import shared_folder
 from .tables import AS_OF, Tables
 
 ROOT = "https://site.example.com"
@@ -300,8 +299,7 @@ def a17(t: Tables):
 
 def scratch(t: Tables, name: str) -> str:
     """Folder for written tables: the cluster's shared one, a local one in tests."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
-    return f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{t.spark.sparkContext.applicationId}"
+    return f"{shared_folder(t.spark).rstrip('/')}/{name}-{t.spark.sparkContext.applicationId}"
 
 
 @query("a18_site_table_sink", "SELECT post_id, site_id, CASE WHEN site_id = 'src0' THEN word_count + 1 ELSE word_count END AS word_count FROM posts", "posts")

@@ -46,19 +46,32 @@ def session(app: str = "fernwork", cpus: int | str = "*", shuffle_partitions: in
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a temporary folder serves a local master; on a cluster
+    other machines could not see that folder, so the call fails there.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def durable(df: DataFrame, layout: bool = False) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that survives executor loss.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) is a temporary folder used. With ``layout`` the result
+    The folder is that of ``shared_folder``. With ``layout`` the result
     keeps the hash partitioning it was written with, so that later joins on
     those keys do not shuffle it again; that needs a fixed (non-adaptive) plan.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    shared_folder(spark)
     if not layout:
         return df.checkpoint(eager=True)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
