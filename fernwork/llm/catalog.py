@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fernwork.plans.scale import tune
 
-from . import decontaminate, simhash
+from . import decontaminate, linededup, mixing, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": linededup.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_source_mixing": mixing.op5,
+    "op7_url_filter": urlfilter.op7,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op5_source_mixing": mixing.ORACLE,
+    "op7_url_filter": urlfilter.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
