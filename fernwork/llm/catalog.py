@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fernwork.plans.scale import tune
 
-from . import decontaminate, linededup, mixing, simhash, urlfilter
+from . import decontaminate, langid, linededup, mixing, pii, simhash, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1,
     "op2_benchmark_decontamination": decontaminate.op2,
+    "op3_exact_top_k": topk.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_source_mixing": mixing.op5,
+    "op6_language_id": langid.op6,
     "op7_url_filter": urlfilter.op7,
+    "op8_toxicity_severity": toxicity.op8,
+    "op9_pii_surrogates": pii.op9,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
+    "op3_exact_top_k": topk.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
 }

@@ -1,0 +1,231 @@
+"""PII surrogates: personal data is replaced by keyed values of the same kind, in DataFrame operations only.
+
+Detected are e-mail addresses, phone numbers, IPv4 addresses, payment card
+numbers, IBANs, secret tokens and names (a title or a known given name with the
+capitalised word after it; Latin, Cyrillic and Greek script).
+
+An entity is its kind and its canonical form (addresses in lower case, numbers
+without separators, names as one name whether written with a title or not), so
+that mentions of one entity get one surrogate everywhere (coreference).
+Surrogates come from SHA-256 of a secret key, the entity and an attempt number:
+digits for digits and letters for letters of the same case, in the mention's
+own format; given names of the same gender and script and family names of the
+same script; mail addresses under reserved example domains; IP addresses in
+198.18.0.0/15; cards with a valid check digit.
+
+Collision check: surrogates are compared over all entities of a kind. An entity
+whose surrogate is a real entity, or is also that of an entity before it, makes
+its next attempt, until all are distinct.
+
+Null texts stay null; texts without personal data are unchanged; empty input
+gives empty output. Repeated rows are replaced alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import fresh, saved, table
+
+KEY = "change-me"
+
+# Given names by script and gender; family names are built from syllables of the script.
+MALE = {
+    "latin": ["James", "John", "Robert", "Michael", "David", "Thomas", "Daniel", "Peter", "Paul", "Mark", "Jean", "Pierre", "Hans", "Klaus", "Carlos", "Miguel", "Antonio", "Luis"],
+    "cyrillic": ["Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Андрей", "Михаил"],
+    "greek": ["Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης", "Παύλος"],
+}
+FEMALE = {
+    "latin": ["Mary", "Anna", "Linda", "Susan", "Karen", "Laura", "Emma", "Julia", "Sarah", "Alice", "Marie", "Claire", "Petra", "Heike", "Carmen", "Lucia", "Elena", "Sofia"],
+    "cyrillic": ["Мария", "Анна", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"],
+    "greek": ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ειρήνη"],
+}
+MALE_TITLES = ["Mr", "Sir", "Monsieur", "Herr", "Señor", "господин", "κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madame", "Frau", "Señora", "госпожа", "κυρία"]
+SYLLABLES = {
+    "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "ken", "lor", "mar", "ten", "vin"],
+    "cyrillic": ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "кен", "лор", "мар", "тен", "вин"],
+    "greek": ["βα", "δε", "φι", "γο", "λου", "μα", "νε", "ρι", "σο", "του", "βι", "κεν", "λορ", "μαρ", "τεν", "πιν"],
+}
+
+_GIVEN = "|".join(n for names in (MALE, FEMALE) for some in names.values() for n in some)
+_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
+#: One pattern for all kinds, tried in this order at each place; each kind is told apart again by its own form.
+EMAIL = r"[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
+TOKEN = r"(?:[0-9a-f]{40,64}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"
+IP = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})"
+PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})"
+NAME = rf"(?:(?:{_TITLES})\.? (?:(?:{_GIVEN}) )?\p{{Lu}}\p{{Ll}}+|(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}+)"
+_EDGE = r"(?<![\p{L}\p{N}_])"
+_END = r"(?![\p{L}\p{N}_])"
+ANY = (
+    rf"(?<![\p{{L}}\p{{N}}_@.%+-])(?:{EMAIL}){_END}|{_EDGE}(?:{TOKEN}){_END}|{_EDGE}(?:{IBAN}){_END}|(?<![\p{{L}}\p{{N}}_.])(?:{IP})(?![\p{{L}}\p{{N}}_]|\.[0-9])"
+    rf"|(?<![\p{{L}}\p{{N}}_+.-])(?:{CARD})(?![\p{{L}}\p{{N}}_]|-[0-9])|(?<![\p{{L}}\p{{N}}_.-])(?:{PHONE})(?![\p{{L}}\p{{N}}_]|-[0-9])|{_EDGE}(?:{NAME}){_END}"
+)
+#: Without any of these there is no mention.
+SIGN = rf"@|[0-9]{{2}}|[0-9a-f]{{32}}|(?<!\p{{L}})(?:{_TITLES}|{_GIVEN})[. ]"
+
+
+def _hash_digit(seed: Column, i: Column, base: int) -> Column:
+    """The i-th of many keyed numbers below ``base``: eight hex digits of a hash that is renewed every eight places."""
+    return F.pmod(F.conv(F.substring(F.sha2(F.concat(seed, F.floor(i / 8).cast("string")), 256), F.pmod(i, F.lit(8)).cast("int") * 8 + 1, F.lit(8)), 16, 10).cast("bigint"), F.lit(base))
+
+
+def _filled(shape: Column, seed: Column) -> Column:
+    """Digits for digits, letters for letters of the same case, all else kept."""
+    char = lambda c, i: (
+        F.when(c.rlike("[0-9]"), _hash_digit(seed, i, 10).cast("string"))
+        .when(c.rlike("[a-z]"), F.char(F.lit(97) + _hash_digit(seed, i, 26)))
+        .when(c.rlike("[A-Z]"), F.char(F.lit(65) + _hash_digit(seed, i, 26)))
+        .when(c.rlike(r"\p{L}"), F.char(F.lit(97) + _hash_digit(seed, i, 26)))
+        .otherwise(c)
+    )
+    return F.array_join(F.transform(F.split(shape, ""), char), "")
+
+
+def _hexed(shape: Column, seed: Column) -> Column:
+    char = lambda c, i: F.substring(F.lit("0123456789abcdef"), _hash_digit(seed, i, 16).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(F.split(shape, ""), char), "")
+
+
+def _luhn(body: Column) -> Column:
+    """The check digit of a row of digits."""
+    digits = F.transform(F.reverse(F.split(body, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int") * 2).otherwise(c.cast("int")))
+    total = F.aggregate(digits, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d))
+    return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
+
+
+def _pick(values: list[str], seed: Column, i: int) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), _hash_digit(seed, F.lit(i), len(values)).cast("int") + 1)
+
+
+def _family(script: str, seed: Column) -> Column:
+    """Four syllables and an ending from the hash: 16^4 * 10 family names a script, and more letters with each attempt's hash."""
+    return F.initcap(F.concat(*[_pick(SYLLABLES[script], seed, i) for i in range(1, 5)], _pick(SYLLABLES[script][:10], seed, 5)))
+
+
+def kind_of(mention: Column) -> Column:
+    whole = lambda p: mention.rlike(f"^(?:{p})$")
+    return (
+        F.when(mention.contains("@"), "email").when(whole(TOKEN), "token").when(whole(IP), "ip").when(whole(CARD), "card").when(mention.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
+        .when(mention.rlike("^[+(0-9]"), "phone").otherwise("name")
+    )
+
+
+def canonical(mention: Column, kind: Column) -> Column:
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    bare = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
+    return (
+        F.when(kind == "email", F.lower(mention)).when(kind == "card", digits).when(kind == "phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits))
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "name", bare).otherwise(mention)
+    )
+
+
+def script_of(text: Column) -> Column:
+    return F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").when(text.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def gender_of(mention: Column) -> Column:
+    """From the title, else from the given name; '' if neither tells."""
+    male = "|".join(MALE_TITLES + [n for names in MALE.values() for n in names])
+    female = "|".join(FEMALE_TITLES + [n for names in FEMALE.values() for n in names])
+    return F.when(mention.rlike(rf"^(?:{female})\.? "), "f").when(mention.rlike(rf"^(?:{male})\.? "), "m").otherwise("")
+
+
+def surrogate(kind: Column, form: Column, gender: Column, key: str, attempt: Column) -> Column:
+    """The canonical surrogate of an entity."""
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, form, attempt.cast("string")), 256)
+    n = lambda i, base: _hash_digit(seed, F.lit(i), base).cast("string")
+    local = F.substring_index(form, "@", 1)
+    card = F.substring(_filled(form, seed), F.lit(1), F.length(form) - 1)
+    script = script_of(form)
+    given = F.when(~form.contains(" "), F.lit(""))
+    family = None
+    for s in SYLLABLES:
+        given = given.when((script == s) & (gender == "f"), _pick(FEMALE[s], seed, 0)).when(script == s, _pick(MALE[s], seed, 0))
+        family = (F.when if family is None else family.when)(script == s, _family(s, seed))
+    return (
+        F.when(kind == "email", F.concat(_filled(local, seed), F.lit("@mail"), n(70, 10000), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _hash_digit(seed, F.lit(71), 3).cast("int") + 1)))
+        .when(kind == "ip", F.concat(F.lit("198."), (F.lit(18) + _hash_digit(seed, F.lit(0), 2)).cast("string"), F.lit("."), n(1, 256), F.lit("."), n(2, 256)))
+        .when(kind == "card", F.concat(card, _luhn(card)))
+        .when(kind == "token", F.when(form.rlike("^[0-9a-f]+$"), _hexed(form, seed)).otherwise(_filled(form, seed)))
+        .when(kind == "name", F.trim(F.concat_ws(" ", given, family)))
+        .when(kind == "iban", F.concat(F.substring(form, 1, 2), _filled(F.substring(form, F.lit(3), F.length(form)), seed)))
+        # numbers of 11 digits and more begin with a country code, which stays
+        .otherwise(F.when(F.length(form) > 10, F.concat(F.substring(form, 1, 2), _filled(F.substring(form, F.lit(3), F.length(form)), seed))).otherwise(_filled(form, seed)))
+    )
+
+
+def rendered(mention: Column, kind: Column, found: Column) -> Column:
+    """The canonical surrogate in the mention's own format."""
+    chars = F.split(mention, "")
+    solid = F.transform(chars, lambda c: c.rlike("[A-Za-z0-9]").cast("int"))
+    place = lambda i: F.aggregate(F.slice(solid, 1, i + 1), F.lit(0), lambda a, x: a + x)
+    before = F.aggregate(solid, F.lit(0), lambda a, x: a + x) - F.length(found)  # a country code that the canonical form leaves out
+    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]") & (place(i) > before), F.substring(found, place(i) - before, F.lit(1))).otherwise(c)), "")
+    title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
+    return F.when(kind.isin("card", "phone", "iban"), spaced).when(kind == "name", F.concat(title, found)).otherwise(found)
+
+
+def entities(mentions: DataFrame, key: str) -> DataFrame:
+    """(kind, form, gender) -> found, all distinct within a kind and none a real form."""
+    real = saved(mentions.groupBy("kind", "form").agg(F.max("gender").alias("gender")))
+    todo = real.withColumn("attempt", F.lit(0))
+    done = None
+    while True:
+        tried = saved(todo.withColumn("found", surrogate(F.col("kind"), F.col("form"), F.col("gender"), key, F.col("attempt"))))
+        taken = real.select("kind", F.col("form").alias("found"))
+        if done is not None:
+            taken = taken.unionByName(done.select("kind", "found"))
+        # who comes first among those with one surrogate keeps it; a grouped minimum, so a crowded value stays light
+        first = tried.groupBy("kind", "found").agg(F.min("form").alias("first"))
+        good = tried.join(first, ["kind", "found"]).filter("form = first").drop("first").join(taken, ["kind", "found"], "left_anti")
+        good = saved(good.select("kind", "form", "gender", "attempt", "found"))
+        done = good if done is None else done.unionByName(good)
+        left = saved(tried.join(good.select("kind", "form"), ["kind", "form"], "left_anti").select("kind", "form", "gender", (F.col("attempt") + 1).alias("attempt")))
+        if not left.limit(1).count():
+            return done.select("kind", "form", "found")
+        todo = left
+
+
+def mentions_of(text: Column) -> Column:
+    """All mentions in order; the whole pattern is tried only where a sign of personal data stands."""
+    return F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in the text; other columns pass. ``count_col`` names a column for the number of mentions.
+
+    Texts with one list of mentions share one list of surrogates, so copies are
+    looked up once; texts without mentions are spread by their id and meet no
+    other row.
+    """
+    text = F.col(f"`{text_col}`")
+    listed_col, hash_col, found_col = fresh(docs, "_mentions"), fresh(docs, "_list"), fresh(docs, "_found")
+    listed = docs.withColumn(listed_col, mentions_of(text))
+    list_key = F.md5(F.concat_ws("\x00", listed_col))
+    lists = saved(listed.filter(F.size(listed_col) > 0).select(list_key.alias("list"), F.col(listed_col).alias("mentions")).groupBy("list").agg(F.first("mentions").alias("mentions")))
+    placed = lists.select("list", F.posexplode("mentions").alias("pos", "mention"))
+    distinct = placed.select("mention").distinct()
+    kind = kind_of(F.col("mention"))
+    distinct = saved(distinct.select("mention", kind.alias("kind"), canonical(F.col("mention"), kind).alias("form"), gender_of(F.col("mention")).alias("gender")))
+    known = distinct.drop("gender").join(entities(distinct, key), ["kind", "form"])
+    known = saved(known.select("mention", rendered(F.col("mention"), F.col("kind"), F.col("found")).alias("found")))
+    found = placed.join(known, "mention").groupBy("list").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("f"))
+    found = saved(found.select(F.col("list").alias(hash_col), F.transform("f", lambda x: x["found"]).alias(found_col)))
+    spread = F.concat(F.lit("-"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.crc32(text.cast("binary")).cast("string"), F.lit("")))
+    side = listed.withColumn("_key_" + hash_col, F.when(F.size(listed_col) > 0, list_key).otherwise(spread))
+    joined = side.join(found, F.col("_key_" + hash_col) == F.col(hash_col), "left")
+    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.col(found_col), F.array(F.lit(""))), lambda p, f: F.concat(p, f))
+    new = F.when(F.col(found_col).isNull(), text).otherwise(F.array_join(pieces, ""))
+    out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    if count_col:
+        out.append(F.when(F.col(found_col).isNull(), F.lit(0)).otherwise(F.size(found_col)).alias(count_col))
+    return joined.select(*out)
+
+
+def op9(spark, sf_dir: str) -> DataFrame:
+    return replace(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_mentions")

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-ROWS, ROUNDS, SIZE = 1500, 120, 1 << 20
-PENALTY, ODDS, REJECT = 3e-4, 8.0, 0.5
+ROWS, ROUNDS, SIZE = 3000, 200, 1 << 20
+PENALTY, SCREEN, ODDS, REJECT = 2e-4, 2.5, 8.0, 0.35
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 400_000
 
@@ -87,14 +87,16 @@ def fit(rows: list[tuple[str, bool]], rounds: int = ROUNDS, penalty: float = PEN
     index = np.concatenate([np.array(f, np.int64) for f in found]) if any(found) else np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
     ids, col, often = np.unique(index, return_inverse=True, return_counts=True)
-    keep = often[col] >= 3  # a feature of one or two rows tells nothing of others
+    # screening: a feature of one or two rows, or as common in toxic rows as elsewhere, tells nothing of other texts
+    bad = np.array(toxic)
+    seen = np.bincount(col, bad[row], len(ids))
+    spread = (seen / bad.sum() - (often - seen) / (~bad).sum()) / np.sqrt(often / len(bad) * (1 - often / len(bad) + 1e-9) * (1 / bad.sum() + 1 / (~bad).sum()))
+    keep = ((often >= 3) & (np.abs(spread) >= SCREEN))[col]
     ids, col = np.unique(index[keep], return_inverse=True)
     row = row[keep]
     w, theta = np.zeros(len(ids)), np.linspace(1.0, 2.0, levels)
-    gw, gt = np.full(len(ids), 1e-8), np.full(levels, 1e-8)
+    gw, gt = np.full(len(ids), 1e-6), np.full(levels, 1e-6)
     n = len(rows)
-    share = 1.0 / np.maximum(1, np.bincount(grade > 0, minlength=2))
-    weight = (share[(grade > 0).astype(int)]) * n / 2  # toxic and other rows weigh alike in all
     for r in range(rounds):
         s = np.bincount(row, w[col], n)
         # P(grade <= j) at the bounds of each row's grade
@@ -103,17 +105,19 @@ def fit(rows: list[tuple[str, bool]], rounds: int = ROUNDS, penalty: float = PEN
         lo = 1.0 / (1.0 + np.exp(-np.clip(cut[grade] - s, -50, 50)))
         p = np.maximum(hi - lo, 1e-9)
         d_hi, d_lo = hi * (1 - hi), lo * (1 - lo)
-        slip = weight * (d_hi - d_lo) / p / n  # of -log p by s
+        slip = (d_hi - d_lo) / p / n  # of -log p by s
         g = np.bincount(col, slip[row], len(ids))
         gth = np.zeros(levels)
         for j in range(levels):
-            gth[j] = np.sum((weight * d_lo / p)[grade == j + 1]) / n - np.sum((weight * d_hi / p)[grade == j]) / n
-        gw += g * g
-        gt += gth * gth
-        rate = 0.5 / np.sqrt(gw)
+            gth[j] = np.sum((d_lo / p)[grade == j + 1]) / n - np.sum((d_hi / p)[grade == j]) / n
+        gw += 0.05 * (g * g - gw)
+        gt += 0.05 * (gth * gth - gt)
+        speed = 0.15 / (1 + r / 40)
+        rate = speed / np.sqrt(gw)
         w = w - rate * g
         w = np.sign(w) * np.maximum(0.0, np.abs(w) - rate * penalty)
-        theta = np.maximum.accumulate(theta - 0.5 / np.sqrt(gt) * gth + np.arange(levels) * 1e-6)
+        gap = 0.1 * np.arange(levels)  # ordered thresholds keep a distance
+        theta = np.maximum.accumulate(theta - speed / np.sqrt(gt) * gth - gap) + gap
     return Model({int(i): float(x) for i, x in zip(ids, w) if x}, theta)
 
 
