@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -58,6 +58,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             yield batch.slice(start)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` has it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and \\t \\n \\v \\f \\r; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
