@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fernwork.plans.scale import tune
 
-from . import decontaminate, langid, linededup, mixing, pii, simhash, topk, toxicity, urlfilter
+from . import decontaminate, langid, linededup, maintext, mixing, pii, simhash, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": urlfilter.op7,
     "op8_toxicity_severity": toxicity.op8,
     "op9_pii_surrogates": pii.op9,
+    "op10_main_text": maintext.op10,
 }
 
 ORACLES: dict[str, str] = {
