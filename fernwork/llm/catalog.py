@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fernwork.plans.scale import tune
 
 from . import decontaminate, langid, linededup, maintext, mixing, pii, simhash, topk, toxicity, urlfilter
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_severity": toxicity.op8,
     "op9_pii_surrogates": pii.op9,
     "op10_main_text": maintext.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -65,6 +65,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     return joined.select(*out)
 
 
+def with_length(docs: DataFrame, text_col: str, n_col: str) -> DataFrame:
+    """``n_col`` set anew to the number of characters of the text, in its own type and place."""
+    n = F.length(F.col(f"`{text_col}`")).cast(docs.schema[n_col].dataType)
+    return docs.select(*[n.alias(c) if c == n_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs, removed_col="n_removed")

@@ -26,7 +26,7 @@ from .crf import Chain
 from .dom import Block, blocks
 from .pages import PHRASES, Maker
 
-ROWS, TRAINING, ROUNDS, SEED = 100, 1500, 80, 11
+ROWS, TRAINING, ROUNDS, SEED = 100, 2000, 80, 11
 SIZE, SLOTS = 1 << 14, 48
 WORD = re.compile(r"[^\W_]+")
 LIMITS = (2, 4, 8, 16, 40, 100)

@@ -40,7 +40,7 @@ def plain(opening: str, r: random.Random) -> str:
     """Now and then the element without its marks, or with others, so that text and place have a say too."""
     tag = opening[1:].split()[0].rstrip(">")
     x = r.random()
-    return f"<{tag}>" if x < 0.15 else f"<{tag} class='x{r.randrange(99)}'>" if x < 0.2 else opening
+    return f"<{tag}>" if x < 0.08 else f"<{tag} class='x{r.randrange(99)}'>" if x < 0.11 else opening
 
 
 class Maker:
