@@ -109,6 +109,9 @@ class Maker:
                 self.put("<div>", self.prose(2, 4), 1)
             elif x < 0.90:
                 self.put("<p>", r.choice(["This work is licensed under the GNU General Public License.", "Licensed under the MIT License.", "All rights to this story are with its author."]), 1)
+            elif x < 0.92:
+                words = r.choice(self.sentences).split(" ")
+                self.put("<p>", r.choice([" | ".join(words), " ".join([words[0]] * r.randint(3, 40))]), 1)
             elif x < 0.94:
                 words = r.choice(self.sentences).split(" ")
                 self.put("<p>", " ".join(words[: r.randint(1, 8)]) + r.choice([".", ".", "", ":", " |"]), 1)
