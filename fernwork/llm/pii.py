@@ -199,7 +199,8 @@ def mentions_of(text: Column) -> Column:
 def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text; other columns pass. ``count_col`` names a column for the number of mentions.
 
-    Texts with one list of mentions share one list of surrogates, so copies are
+    The lists of surrogates grow with the input, so they are joined by a shuffle
+    at every size. Texts with one list of mentions share one list of surrogates, so copies are
     looked up once; texts without mentions are spread by their id and meet no
     other row.
     """
@@ -218,7 +219,7 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     found = saved(found.select(F.col("list").alias(hash_col), F.transform("f", lambda x: x["found"]).alias(found_col)))
     spread = F.concat(F.lit("-"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.crc32(text.cast("binary")).cast("string"), F.lit("")))
     side = listed.withColumn("_key_" + hash_col, F.when(F.size(listed_col) > 0, list_key).otherwise(spread))
-    joined = side.join(found, F.col("_key_" + hash_col) == F.col(hash_col), "left")
+    joined = side.join(found.hint("merge"), F.col("_key_" + hash_col) == F.col(hash_col), "left")
     pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.col(found_col), F.array(F.lit(""))), lambda p, f: F.concat(p, f))
     new = F.when(F.col(found_col).isNull(), text).otherwise(F.array_join(pieces, ""))
     out = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
