@@ -54,7 +54,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     doc, same = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
     hits = covered(docs.select(doc.alias("id"), same.alias("same"), F.col(f"`{text_col}`").alias("text")), window)
     hits = hits.select(F.col("id").alias(key), F.col("same").alias(twin), F.col("starts").alias(starts))
-    joined = docs.join(hits, doc.eqNullSafe(F.col(key)) & (same == F.col(twin)), "left")
+    joined = docs.join(hits.hint("merge"), doc.eqNullSafe(F.col(key)) & (same == F.col(twin)), "left")
     gone = F.array_distinct(F.flatten(F.transform(F.col(starts), lambda p: F.sequence(p, p + window - 1))))
     kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
     shorter = F.array_join(bound(F.split(F.col(f"`{text_col}`"), "\n", -1), kept), "\n")

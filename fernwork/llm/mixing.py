@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weight_of=None, id_col: str = "doc_id", copy_col: str =
     key, src, n = fresh(docs, "_key"), fresh(docs, "_src"), fresh(docs, "_n")
     plan = plan.select(F.col("id").alias(key), F.col("source").alias(src), F.col("copies").alias(n))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(src))
-    return docs.join(plan, same).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, src, n)
+    return docs.join(plan.hint("merge"), same).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, src, n)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -262,7 +262,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = groups(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, **(WIDE | options))
     name, alone, same = fresh(docs, "_gone"), fresh(docs, "_alone"), fresh(docs, "_same")
     gone = gone.groupBy("id").agg(F.min(F.col("id") == F.col("component_id")).alias("stays")).filter("NOT stays").select(F.col("id").alias(name))
-    kept = docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")
     # a row given twice is one document; rows without id are told apart by their place
     kept = kept.withColumn(alone, F.when(F.col(f"`{id_col}`").isNull(), F.monotonically_increasing_id())).withColumn(same, F.xxhash64(text_col, F.length(text_col)))
     return kept.dropDuplicates([id_col, alone, same]).drop(alone, same)
