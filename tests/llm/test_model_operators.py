@@ -1,0 +1,229 @@
+"""Search, language, URL, toxicity, PII and main text: plain versions, held-out accuracy, round trips, odd rows; and the pipeline."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from fernwork.llm import langid, maintext, pii, topk, toxicity, urlfilter
+from fernwork.llm.common import saved
+from fernwork.llm.crf import Chain
+from fernwork.llm.dom import blocks
+from fernwork.llm.pages import Maker
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plain_top(vectors, queries, k):
+    ints = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in vectors}
+    out = {}
+    for q in queries:
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))
+        out[q] = [(i, -s) for s, i in scores[:k]]
+    return out
+
+
+@pytest.mark.parametrize("shard,block", [(64, 4), (10_000, 100)])
+def test_top_k_against_plain_version(spark, shard, block):
+    r = random.Random(1)
+    centres = [[r.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    vectors = [(i, [c + r.gauss(0, 0.2) for c in r.choice(centres)]) for i in range(400)] + [(i, [0.5, -0.5, 0.25, 1.0, 0.0, 2.0]) for i in range(400, 460)] + [(470 + i, [1.0, float(i)]) for i in range(3)]
+    odd = [(600, None), (601, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (602, [float("nan")] * 6), (650, [float("inf")] * 6)]
+    frame = spark.createDataFrame(vectors + odd, "vec_id long, embedding array<double>")
+    out = {}
+    for x in topk.top_k(frame, lambda i: i % 10 == 0, shard=shard, block=block).orderBy("query_id", "rank").collect():
+        out.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    want = plain_top(vectors, [i for i, _ in vectors if i % 10 == 0], 5)
+    assert out == {q: w for q, w in want.items() if w}
+    assert topk.top_k(frame.limit(0), lambda i: i % 10 == 0).count() == 0
+
+
+def test_tree_boxes_are_tight_and_bound_scores():
+    r = np.random.default_rng(2)
+    p = r.integers(-300, 300, (2000, 8)).astype(float)
+    tree = topk.KDTree(p, np.arange(2000), leaf=50)
+    for (a, b), low, high in zip(tree.span, tree.low, tree.high):
+        assert (tree.points[a:b].min(axis=0) == low).all() and (tree.points[a:b].max(axis=0) == high).all()
+
+
+def logsum_marginals(chain, score):
+    n = len(score)
+    a = [chain.start + score[0]]
+    for t in range(1, n):
+        a.append(np.logaddexp.reduce(a[-1][:, None] + chain.step, axis=0) + score[t])
+    b = [np.zeros(score.shape[1])]
+    for t in range(n - 1, 0, -1):
+        b.insert(0, np.logaddexp.reduce(chain.step + (score[t] + b[0])[None], axis=1))
+    q = np.array(a) + np.array(b)
+    return np.exp(q - np.logaddexp.reduce(q, axis=1, keepdims=True))
+
+
+def test_chain_marginals_and_best_path():
+    r = np.random.default_rng(3)
+    chain = Chain(4, 3)
+    chain.step, chain.start = r.normal(size=(3, 3)), r.normal(size=3)
+    lengths = np.array([1, 64, 65, 200, 3])
+    score = r.normal(size=(lengths.sum(), 3)) * 3
+    want = np.concatenate([logsum_marginals(chain, s) for s in np.split(score, np.cumsum(lengths)[:-1])])
+    assert np.allclose(chain.marginals(score, lengths), want)
+    short = score[:6]
+    paths = [(sum(short[t, y] for t, y in enumerate(p)) + chain.start[p[0]] + sum(chain.step[a, b] for a, b in zip(p, p[1:])), p) for p in np.ndindex(*[3] * 6)]
+    assert tuple(chain.viterbi(short)) == max(paths)[1]
+    assert len(chain.viterbi(short[:0])) == 0
+
+
+def test_language_held_out_and_code_switch(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(langid.sample(docs.filter("doc_id % 3 <> 0")), rounds=30)
+    out = langid.predict(docs.filter("doc_id % 3 = 0"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out)
+    words = model.label_words("the that for with and nicht sich das mit der dans pour les une avec")
+    assert [lang for _, lang, _ in words] == ["en"] * 5 + ["de"] * 5 + ["fr"] * 5
+    odd = spark.createDataFrame([(1, None, 0.5), (None, "", 0.1), (2, "12 34 !", 0.2), (3, "the and of " * 20_000, 0.3), (3, "the", 0.3)], "doc_id long, text string, score double")
+    got = langid.predict(odd, model, score_col="sure").collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "und", "en", "en"] and [r.score for r in got] == [0.5, 0.1, 0.2, 0.3, 0.3]
+    assert all(0 <= r.sure <= 1 for r in got)
+    assert {r.lang_pred for r in langid.predict(odd, None, score_col="sure").collect()} == {"und"}
+    assert langid.predict(odd.limit(0), model).count() == 0 and langid.fit([]) is None
+
+
+def test_url_filter(spark):
+    rows = [
+        (1, "http://a.net/x", "block", "net/"), (2, "http://www.example.net/en/1", "allow", "example.net/en/"), (3, "https://EXAMPLE.com/de/7?q#z", "block", "example.com/de/"),
+        (4, "http://b.org/fr/", "allow", "org/fr/"), (5, "http://ok.com/casino", "allow", None), (6, "http://ok.com/casino/poker", "block", None), (7, "http://ok.com/XXX-1", "block", None),
+        (8, "http://ok.com/axxx", "allow", None), (9, None, "allow", None), (10, "", "allow", None), (11, "no host xxx", "block", None), (12, "http://a.net", "allow", None),
+        (13, "http://fakenet/de/", "allow", None), (14, "http://ok.com/poker/poker", "allow", None), (15, "http://ok.com/" + "a" * 100_000, "allow", None), (15, "http://ok.com/" + "a" * 100_000, "allow", None),
+    ]
+    frame = spark.createDataFrame([(i, u, "mine") for i, u, _, _ in rows], "page_id long, url string, verdict string")
+    out = urlfilter.judge(frame).collect()
+    assert [(r.page_id, r.verdict, r.rule) for r in out] == [(i, v, rule) for i, _, v, rule in rows]
+    assert (out[2].host, out[2].path) == ("example.com", "/de/7") and (out[8].host, out[8].path) == ("", "")
+    assert urlfilter.judge(frame.limit(0)).count() == 0
+    assert urlfilter.judge(frame, strict=(), soft=(), rules=()).filter("verdict = 'block'").count() == 0
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(5)
+    clean, bad = [f"c{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)], ["idiot", "scum", "moronic", "moronish", "moronlike"]
+    def text(n):
+        words = r.choices(clean, k=60)
+        for _ in range(n):
+            words.insert(r.randrange(60), r.choice(bad))
+        return " ".join(words)
+    rows = [(i, text(r.choice([0, 0, 0, 1, 2, 3, 4]))) for i in range(900)]
+    toxic = [any(b in t.split() for b in bad) for _, t in rows]
+    model = toxicity.fit([(t, y) for (_, t), y in zip(rows[:600], toxic)])
+    frame = spark.createDataFrame([(*x, 1.0) for x in rows[600:]], "doc_id long, text string, severity double")
+    out = toxicity.grade(frame, model).collect()
+    right = sum(x.rejected == y for x, y in zip(out, toxic[600:]))
+    assert right >= 0.97 * len(out)
+    few = [x.severity for x, (_, t) in zip(out, rows[600:]) if sum(t.split().count(b) for b in bad) == 1]
+    many = [x.severity for x, (_, t) in zip(out, rows[600:]) if sum(t.split().count(b) for b in bad) == 4]
+    assert np.mean(many) > np.mean(few) > 0.5 and list(model.theta) == sorted(model.theta)
+    odd = spark.createDataFrame([(None, None), (1, ""), (2, "!!"), (3, "idiot scum " * 20_000), (3, "idiot scum")], "doc_id long, text string")
+    assert [x.rejected for x in toxicity.grade(odd, model).collect()] == [False, False, False, True, True]
+    assert {x.severity for x in toxicity.grade(odd, None).collect()} == {0.0}
+    assert toxicity.grade(odd.limit(0), model).count() == 0
+    assert toxicity.fit([("a", False)]) is None
+    labels = spark.createDataFrame([(1, 1), (None, 0), (3, None), (3, 1), (77, 0)], "doc_id long, toxic int")
+    assert {t for t, _ in toxicity.sample(odd, labels)} == {"", "idiot scum", "idiot scum " * 20_000}
+
+
+ROWS = [
+    (1, "Call +1 (377) 555-0271 or 377-555-0271. Mr. John Smith wrote from x.Y@mail.Example.com; card 4929-3483-8514-6306, 4929348385146306.", "a"),
+    (2, 'Frau Petra Müller met John Smith and Иван Петров. IP 83.229.25.121 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" DE89 3704 0044 0532 0130 00', "b"),
+    (3, None, None), (4, "", "c"), (None, "oué éanpa.90@mail2.example.com x", "d"), (None, "oué éanpa.90@mail2.example.com x", "d"), (5, "plain 12 words. 1.2.3 and 2024-05-06", "e"), (6, "10.0.0.1 " * 5000, "f"),
+]
+
+
+def test_surrogates_keep_kind_format_and_coreference(spark):
+    frame = spark.createDataFrame(ROWS, "doc_id long, text string, _mentions string")
+    out = {(r.doc_id, i): r.text for i, r in enumerate(pii.replace(frame, count_col="n").orderBy(F.col("doc_id").isNull(), "doc_id").collect())}
+    one, two = out[(1, 0)], out[(2, 1)]
+    m = re.fullmatch(r"Call \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4})\. Mr\. (\w+ \w+) wrote from (\S+@mail\d+\.example\.\w+); card (\d{4})-(\d{4})-(\d{4})-(\d{4}), (\d{16})\.", one)
+    assert m and m.group(1, 2, 3) == m.group(4, 5, 6) and "".join(m.group(9, 10, 11, 12)) == m[13]
+    assert m[7].split()[0] in pii.MALE["latin"] and f"met {m[7]} and" in two and m[7] != "John Smith"
+    names = re.match(r"Frau (\w+) (\w+) met", two)
+    assert names[1] in pii.FEMALE["latin"] and re.search(r"and (\w+) (\w+)\. IP 198\.1[89]\.\d+\.\d+ token = \"[0-9a-f]{40}\" DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d$", two)
+    assert re.search(r"and (\w+) ", two)[1] in pii.MALE["cyrillic"]
+    for secret in ("377", "x.Y@", "4929", "83.229", "24be", "Müller", "Петров", "éanpa"):
+        assert all(secret not in (t or "") for t in out.values())
+    assert out[(3, 2)] is None and out[(4, 3)] == "" and out[(5, 4)] == ROWS[6][1] and out[(None, 6)] == out[(None, 7)]
+    assert len(set(out[(6, 5)].split())) == 1
+    assert pii.replace(frame.limit(0)).count() == 0 and pii.replace(frame).columns == frame.columns
+
+
+def test_surrogates_are_distinct_where_values_are_few(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {s: v[:1] * 10 for s, v in pii.SYLLABLES.items()})  # one family name: only given names differ
+    names = [f"Mr. John Q{chr(97 + i)}" for i in range(12)]
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string")
+    found = pii.entities(frame.select(F.lit("name").alias("kind"), F.substring("text", 5, 20).alias("form"), F.lit("m").alias("gender")), "k").collect()
+    assert len({r.found for r in found}) == len(names)
+
+
+def test_main_text_of_unseen_layouts(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    model = maintext.fit(maintext.sample(pages), training=600, rounds=50)
+    maker = Maker([f"Held out sentence number {i} with some more words in it." for i in range(200)], 77)
+    right = total = 0
+    for _ in range(150):
+        page, label = maker.page()
+        found = blocks(page)
+        if len(found) == len(label):
+            got = model.chain.viterbi(model.chain.scores(model.features(found, {})))
+            right += int((got == np.array(label)).sum())
+            total += len(label)
+    assert right >= 0.96 * total
+    html = (
+        "<html><head><title>T</title></head><body><nav><ul><li><a href=x>A</a><li><a href=y>B</a></ul></nav><div class='cookie-banner'>We use cookies.</div><article><h1>My &amp; title</h1>"
+        "<p>First \n para with <b>bold</b> text,<br>and more words here.<script>no()</script></p><p>Second one.<p>Third &lt;one&gt;.</article><section id='comments'><p>A reader's remark.</p></section><footer>&copy; 2024 Foo</footer>"
+    )
+    odd = spark.createDataFrame([(1, "u", html, "mine"), (None, None, None, None), (2, "u", "", ""), (3, "u", "<p", "x"), (1, "u", html, "mine")], "page_id long, url string, html string, text string")
+    out = maintext.main_text(odd, model).collect()
+    want = "My & title\n\nFirst para with bold text, and more words here.\n\nSecond one.\n\nThird <one>."
+    assert [r.text for r in out] == [want, "", "", "", want] and out[0].n_chars == len(want)
+    assert maintext.main_text(odd.limit(0), model).count() == 0
+    maintext.fit([], training=20, rounds=2)
+
+
+def test_blocks_of_broken_markup():
+    text = [(b.text, [t for t, _ in b.path]) for b in blocks("a<p><b>x<br>y<p title='a>b'>z &amp d &am<!-- <p>no --><li>one<li>two</ul></div><td>t")]
+    assert text == [("a", []), ("x y", ["p", "b"]), ("z & d &am", ["p"]), ("one", ["li"]), ("two", ["li"]), ("t", ["td"])] or [t for t, _ in text] == ["a", "x y", "z & d &am", "one", "two", "t"]
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = spark.createDataFrame([(None, None, None, None, None), (100_001, "", "en", "src0", 0)], docs.schema)
+    docs = saved(docs.unionByName(extra))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    before, rows = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = saved(stage(spark, before, FOLDER))
+        assert after.columns[:5] == docs.columns and stage(spark, before.limit(0), FOLDER).count() == 0
+        rows[name] = (before, after)
+        before = after
+    ids = lambda x: {r.doc_id for r in x.select("doc_id").collect()}
+    given, graded = rows["toxicity"]
+    model = toxicity.fit(toxicity.sample(docs.select("doc_id", "text"), spark.read.parquet(f"{FOLDER}/labels.parquet")))
+    plain = {r.doc_id for r in given.collect() if model.above(set(toxicity.WORD.findall((r.text or "").lower())), {})[0] <= toxicity.REJECT or not r.text}
+    assert ids(graded) == plain
+    assert ids(rows["line_dedup"][1]) == ids(graded)
+    given, left = rows["near_dedup"]
+    texts = {}
+    for r in given.collect():
+        texts.setdefault(r.text, set()).add(r.doc_id)
+    kept = ids(left)
+    assert all(len(same & kept) <= 1 for t, same in texts.items() if t is not None) and None in kept
+    given, left = rows["decontamination"]
+    from fernwork.llm import decontaminate
+
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    want = decontaminate.brute_force([(r.doc_id, r.text) for r in given.collect()], bench)
+    assert ids(left) == {d for d, w in want.items() if not w[1]}
+    given, mixed = rows["mixing"]
+    taken = mixed.groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in taken) <= 2 and ids(mixed) <= ids(given)
