@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-ROWS, ROUNDS, SIZE = 3000, 200, 1 << 20
+ROWS, ROUNDS, SIZE = 2000, 200, 1 << 20
 PENALTY, SCREEN, ODDS, REJECT = 2e-4, 2.5, 8.0, 0.35
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 400_000
@@ -63,37 +62,48 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.theta - s, -50, 50)))
 
 
-def grades(texts: list[set[str]], toxic: list[bool]) -> np.ndarray:
-    n = max(1, sum(toxic))
-    bad, good = Counter(), Counter()
-    for words, t in zip(texts, toxic):
-        (bad if t else good).update(words)
-    rest = max(1, len(texts) - sum(toxic))
-    markers = {w for w, c in bad.items() if c >= 3 and (c + 0.5) / n >= ODDS * (good[w] + 0.5) / rest}
-    held = np.array([len(w & markers) if t else -1 for w, t in zip(texts, toxic)])
+def grades(texts: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """0, 1 or 2 for each text, given as its distinct words' numbers below ``size``."""
+    count = lambda some: np.bincount(np.concatenate([np.zeros(0, np.int32), *(t for t, y in zip(texts, some) if y)]), minlength=size)
+    bad, good = count(toxic), count(~toxic)
+    markers = (bad >= 3) & ((bad + 0.5) / max(1, toxic.sum()) >= ODDS * (good + 0.5) / max(1, (~toxic).sum()))
+    held = np.array([markers[t].sum() if y else -1 for t, y in zip(texts, toxic)])
     middle = np.median(held[held >= 0]) if (held >= 0).any() else 0
     return np.where(held < 0, 0, np.where(held > middle, 2, 1))
 
 
 def fit(rows: list[tuple[str, bool]], rounds: int = ROUNDS, penalty: float = PENALTY) -> Model | None:
     """From (text, toxic) rows; None unless both kinds are there."""
-    texts = [set(WORD.findall((t or "").lower())) for t, _ in rows]
-    toxic = [bool(b) for _, b in rows]
-    if not any(toxic) or all(toxic):
+    toxic = np.array([bool(b) for _, b in rows], bool)
+    if not toxic.any() or toxic.all():
         return None
-    grade = grades(texts, toxic)
+    words: dict[str, int] = {}
+    texts = []  # as numbers of distinct words: the driver holds few strings
+    for text, _ in rows:
+        texts.append(np.array(sorted({words.setdefault(w, len(words)) for w in WORD.findall((text or "").lower())}), np.int32))
+    grade = grades(texts, toxic, len(words))
     levels = int(grade.max())
-    found = [sorted({f for w in words for f in word_features(w)}) for words in texts]
-    index = np.concatenate([np.array(f, np.int64) for f in found]) if any(found) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-    ids, col, often = np.unique(index, return_inverse=True, return_counts=True)
+    of_word = np.full((max(1, len(words)), 5), -1, np.int32)
+    for i, w in enumerate(words):
+        f = word_features(w)
+        of_word[i, : len(f)] = f
+    del words
+    found = [np.unique(of_word[t]) for t in texts]
+    found = [f[f >= 0] for f in found]
+    index = np.concatenate(found)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in found])
+    del found
+    often, seen = np.bincount(index, minlength=SIZE), np.bincount(index[toxic[row]], minlength=SIZE)
     # screening: a feature of one or two rows, or as common in toxic rows as elsewhere, tells nothing of other texts
-    bad = np.array(toxic)
-    seen = np.bincount(col, bad[row], len(ids))
-    spread = (seen / bad.sum() - (often - seen) / (~bad).sum()) / np.sqrt(often / len(bad) * (1 - often / len(bad) + 1e-9) * (1 / bad.sum() + 1 / (~bad).sum()))
-    keep = ((often >= 3) & (np.abs(spread) >= SCREEN))[col]
-    ids, col = np.unique(index[keep], return_inverse=True)
-    row = row[keep]
+    share = often / len(rows)
+    error = np.sqrt(share * (1 - share + 1e-9) * (1 / toxic.sum() + 1 / (~toxic).sum()))
+    spread = (seen / toxic.sum() - (often - seen) / (~toxic).sum()) / np.maximum(error, 1e-12)
+    ids = np.flatnonzero((often >= 3) & (np.abs(spread) >= SCREEN))
+    place = np.full(SIZE, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    keep = place[index] >= 0
+    col, row = place[index[keep]], row[keep]
+    del index
     w, theta = np.zeros(len(ids)), np.linspace(1.0, 2.0, levels)
     gw, gt = np.full(len(ids), 1e-6), np.full(levels, 1e-6)
     n = len(rows)
