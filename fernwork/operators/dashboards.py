@@ -10,22 +10,28 @@ from .clusters import cluster_centres, leaf_clusters
 from .pairs import cannibal_posts
 from .problems import severity_score
 from .recommend import priority_rank
-from .tracking import day, side_by_side
+from .tracking import day, side_by_side, zero
+
+
+def in_one_row(*frames: DataFrame) -> DataFrame:
+    """Joins frames of exactly one row each."""
+    return side_by_side(*[f.withColumn("_k", F.lit(1)) for f in frames], keys=["_k"]).drop("_k")
 
 
 def site_health(posts: DataFrame, scores: DataFrame, pairs: DataFrame, ga4: DataFrame, gsc: DataFrame, as_of: str) -> DataFrame:
-    """One row: post counts by role, efficiency, traffic windows and data completeness."""
-    p = posts.agg(F.count("*").alias("total_posts"), F.avg(F.col("modified_date").isNotNull().cast("double")).alias("modified_coverage"))
-    s = scores.agg(
+    """A row per site: post counts by role, efficiency, traffic windows and data completeness."""
+    p = posts.groupBy("site_id").agg(F.count("*").alias("total_posts"), F.avg(F.col("modified_date").isNotNull().cast("double")).alias("modified_coverage"))
+    s = scores.groupBy("site_id").agg(
         F.coalesce(F.avg("composite_score"), F.lit(0.0)).alias("health"), F.count_if(F.col("role").isin("pillar", "supporter")).alias("active_posts"),
         F.count_if(F.col("role") == "dead_weight").alias("dead_posts"),
     )
-    g = ga4.agg(
+    g = ga4.groupBy("site_id").agg(
         *[F.coalesce(F.sum(F.when(F.col("date") >= day(as_of, n), F.col("pageviews"))), F.lit(0)).alias(f"traffic_{n}d") for n in (30, 60, 90)],
-        (F.count("*") > 0).alias("_ga4"),
+        F.lit(True).alias("_ga4"),
     )
-    q = gsc.agg((F.count("*") > 0).alias("_gsc"))
+    q = gsc.select("site_id").distinct().withColumn("_gsc", F.lit(True))
     one = side_by_side(p, s, g, q, cannibal_posts(pairs).withColumnRenamed("n", "cannibalistic_posts"))
+    one = zero(one, "total_posts", "health", "active_posts", "dead_posts", "cannibalistic_posts", "traffic_30d", "traffic_60d", "traffic_90d").na.fill(False, ["_ga4", "_gsc"])
     return one.withColumns(
         {
             "passive_posts": F.greatest(F.lit(0), F.col("total_posts") - F.col("active_posts") - F.col("dead_posts")),
@@ -48,9 +54,10 @@ def cluster_detail(members: DataFrame, posts: DataFrame, scores: DataFrame, clus
     )
 
 
-def post_listing(posts: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Page of posts, newest first."""
-    return posts.orderBy(F.desc_nulls_last("publish_date"), "post_id").offset(offset).limit(min(limit, 500))
+def post_listing(posts: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Page of posts, newest first; all without a limit."""
+    out = posts.orderBy(F.desc_nulls_last("publish_date"), "post_id").offset(offset)
+    return out.limit(limit) if limit else out
 
 
 def post_health(posts: DataFrame, scores: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -82,39 +89,44 @@ def post_details(posts: DataFrame, scores: DataFrame, ga4: DataFrame, gsc: DataF
 
 
 def overview(posts: DataFrame, ga4: DataFrame, gsc: DataFrame) -> DataFrame:
-    """Totals and date range of all facts."""
-    return side_by_side(
-        posts.agg(F.count("*").alias("total_posts")),
-        ga4.agg(F.coalesce(F.sum("pageviews"), F.lit(0)).alias("pageviews"), F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"), F.min("date").alias("date_start"), F.max("date").alias("date_end")),
-        gsc.agg(F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"), F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"), F.avg("avg_position").alias("avg_position")),
+    """Totals and date range of all facts of each site."""
+    total = lambda c: F.sum(c).alias(c)
+    one = side_by_side(
+        posts.groupBy("site_id").agg(F.count("*").alias("total_posts")),
+        ga4.groupBy("site_id").agg(total("pageviews"), total("sessions"), F.min("date").alias("date_start"), F.max("date").alias("date_end")),
+        gsc.groupBy("site_id").agg(total("clicks"), total("impressions"), F.avg("avg_position").alias("avg_position")),
     )
+    return zero(one, "total_posts", "pageviews", "sessions", "clicks", "impressions")
 
 
 def audit_counters(posts: DataFrame, scores: DataFrame, clusters: DataFrame, problems: DataFrame, recs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All headline numbers of an audit in one row."""
+    """All headline numbers of each site's audit in one row."""
     filled = F.coalesce("meta_description", F.lit("")) != ""
-    return side_by_side(
-        posts.agg(
+    of = lambda df: df.groupBy("site_id")
+    one = side_by_side(
+        of(posts).agg(
             F.count("*").alias("total_posts"), F.round(F.try_divide(F.count_if(filled) * 100.0, F.count("*")), 1).alias("meta_pct"), F.count_if(~filled).alias("meta_missing")
         ),
-        scores.agg(F.coalesce(F.avg("composite_score"), F.lit(0.0)).alias("overall_health")),
-        leaf_clusters(clusters).agg(F.count("*").alias("cluster_count")),
-        problems.agg(
+        of(scores).agg(F.coalesce(F.avg("composite_score"), F.lit(0.0)).alias("overall_health")),
+        of(leaf_clusters(clusters)).agg(F.count("*").alias("cluster_count")),
+        of(problems).agg(
             F.count("*").alias("problem_count"), F.count_if(F.col("problem_type").startswith("orphan")).alias("orphan_count"),
             F.count_if(F.col("problem_type") == "thin_content").alias("thin_count"),
         ),
-        recs.agg(F.count("*").alias("rec_count")),
-        pairs.agg(F.count("*").alias("pair_count"), F.count_if(F.col("cosine") >= 0.99).alias("exact_pairs")),
+        of(recs).agg(F.count("*").alias("rec_count")),
+        of(pairs).agg(F.count("*").alias("pair_count"), F.count_if(F.col("cosine") >= 0.99).alias("exact_pairs")),
         cannibal_posts(pairs).withColumnRenamed("n", "pair_posts"),
     )
+    return zero(one, "total_posts", "meta_missing", "overall_health", "cluster_count", "problem_count", "orphan_count", "thin_count", "rec_count", "pair_count", "exact_pairs", "pair_posts")
 
 
 def top_lists(clusters: DataFrame, pairs: DataFrame, recs: DataFrame, k: int = 8) -> DataFrame:
-    """Largest leaf clusters, closest pairs and most urgent advice."""
-    line = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("double").alias("value"))
-    c = leaf_clusters(clusters).filter("post_count > 0").orderBy(F.desc("post_count"), "cluster_id").limit(k)
-    p = pairs.orderBy(F.desc("cosine"), "post_a_id", "post_b_id").limit(k)
-    r = recs.orderBy(priority_rank(F.col("priority")), "rec_id").limit(k)
+    """Each site's largest leaf clusters, closest pairs and most urgent advice."""
+    line = lambda df, kind, name, value: df.select("site_id", F.lit(kind).alias("kind"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    site = ["site_id"]
+    c = top_per_group(leaf_clusters(clusters).filter("post_count > 0"), site, [F.desc("post_count"), F.asc("cluster_id")], k)
+    p = top_per_group(pairs, site, [F.desc("cosine"), F.asc("post_a_id"), F.asc("post_b_id")], k)
+    r = top_per_group(recs, site, [priority_rank(F.col("priority")), F.asc("rec_id")], k)
     return (
         line(c, "cluster", F.col("label"), F.col("post_count")).unionByName(line(p, "pair", F.concat_ws("-", "post_a_id", "post_b_id"), F.col("cosine")))
         .unionByName(line(r, "recommendation", F.col("title"), F.col("rec_id")))
@@ -122,31 +134,32 @@ def top_lists(clusters: DataFrame, pairs: DataFrame, recs: DataFrame, k: int = 8
 
 
 def worst_posts(posts: DataFrame, scores: DataFrame, problems: DataFrame, limit: int = 5) -> DataFrame:
-    """Posts with issues first, by summed issue weight, then by low score."""
+    """Each site's posts with issues first, by summed issue weight, then by low score."""
     w = problems.groupBy("post_id").agg(
         F.array_join(F.array_sort(F.collect_set("problem_type")), ", ").alias("issues"), F.sum(severity_score(F.col("problem_type"))).alias("weight")
     )
-    df = posts.filter("word_count >= 200").select("post_id", "word_count").join(scores.select("post_id", "composite_score", "role"), "post_id").join(w, "post_id", "left")
+    df = posts.filter("word_count >= 200").select("site_id", "post_id", "word_count").join(scores.select("post_id", "composite_score", "role"), "post_id").join(w, "post_id", "left")
     order = [F.col("issues").isNull(), F.desc(F.coalesce("weight", F.lit(0))), F.asc("composite_score"), F.asc("post_id")]
-    return df.orderBy(*order).limit(limit).withColumn("issues", F.coalesce("issues", F.lit("low health score")))
+    return top_per_group(df, ["site_id"], order, limit).withColumn("issues", F.coalesce("issues", F.lit("low health score")))
 
 
 def best_pillars(scores: DataFrame, limit: int = 5) -> DataFrame:
-    return scores.filter("role = 'pillar'").orderBy(F.desc("composite_score"), "post_id").limit(limit)
+    """Each site's pillars with the highest scores."""
+    return top_per_group(scores.filter("role = 'pillar'"), ["site_id"], [F.desc("composite_score"), F.asc("post_id")], limit)
 
 
 def content_profile(posts: DataFrame, as_of: str) -> DataFrame:
-    """Mean length and how many posts were updated in the last 6, 12 and 24 months."""
+    """Mean length of each site's posts and how many were updated in the last 6, 12 and 24 months."""
     since = lambda m: F.add_months(F.lit(as_of).cast("date"), -m)
     d = F.col("modified_date")
-    return posts.filter("word_count > 50").agg(
+    return posts.filter("word_count > 50").groupBy("site_id").agg(
         F.round(F.avg("word_count"), 0).alias("avg_words"), F.round(F.avg("reading_ease"), 1).alias("avg_reading_ease"),
         *[F.count_if(d > since(m)).alias(f"updated_{m}m") for m in (6, 12, 24)], F.count_if((d <= since(24)) | d.isNull()).alias("stale"),
     )
 
 
 def key_findings(audit: DataFrame) -> DataFrame:
-    """Findings and headline of an audit row (with ai_cite, ai_ready_pct, ai_schema_pct)."""
+    """Findings and headline of each audit row (with ai_cite, ai_ready_pct, ai_schema_pct)."""
     c = F.col
     health = F.bround("overall_health").cast("int")
     rules = [
@@ -165,12 +178,12 @@ def key_findings(audit: DataFrame) -> DataFrame:
         .when(c("rec_count") >= 100, F.format_string("%d recommendations across %d posts", "rec_count", "total_posts"))
         .otherwise(F.format_string("%d posts across %d topics", "total_posts", "cluster_count"))
     )
-    return audit.select(F.array_join(found, "; ").alias("findings"), headline.alias("headline"))
+    return audit.select("site_id", F.array_join(found, "; ").alias("findings"), headline.alias("headline"))
 
 
 def platform_totals(sites: DataFrame, posts: DataFrame, pairs: DataFrame) -> DataFrame:
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    return side_by_side(n(sites, "sites"), n(posts, "posts"), n(pairs, "pairs"))
+    return in_one_row(n(sites, "sites"), n(posts, "posts"), n(pairs, "pairs"))
 
 
 # fixed values: stages of the prospect funnel
@@ -258,7 +271,7 @@ def benchmark_competitor(own: DataFrame, other: DataFrame) -> DataFrame:
         ready = F.coalesce(F.round(F.try_divide(F.count_if(cite >= 60), F.count(cite)) * 100, 1), F.lit(0.0))
         return df.filter(cite.isNotNull()).agg(*aggs, ready.alias(f"ready_{tag}"))
 
-    one = side_by_side(side(own, "own"), side(other, "other"))
+    one = in_one_row(side(own, "own"), side(other, "other"))
     gaps = {n: F.bround(F.col(f"{n}_other") - F.col(f"{n}_own"), 1) for n in names}
     one = one.withColumns({f"{n}_gap": g for n, g in gaps.items()})
     c = F.col
@@ -272,9 +285,9 @@ def benchmark_competitor(own: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def topic_comparison(clusters: DataFrame, gaps: DataFrame, k: int = 10) -> DataFrame:
-    """Strong (≥ 60), weak (< 40) and missing topics, a few of each."""
-    line = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), name.alias("topic"), value.cast("double").alias("value"))
-    top = lambda df, order: df.orderBy(*order).limit(k)
+    """Each site's strong (≥ 60), weak (< 40) and missing topics, a few of each."""
+    line = lambda df, kind, name, value: df.select("site_id", F.lit(kind).alias("kind"), name.alias("topic"), value.cast("double").alias("value"))
+    top = lambda df, order: top_per_group(df, ["site_id"], order, k)
     strong = top(clusters.filter("health_score >= 60"), [F.desc("health_score"), F.asc("cluster_id")])
     weak = top(clusters.filter("health_score < 40"), [F.asc("health_score"), F.asc("cluster_id")])
     missing = top(gaps, [F.desc("impressions"), F.asc("query")])
@@ -313,7 +326,7 @@ def redirect_listing(redirects: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def urgency(audit: DataFrame) -> DataFrame:
-    """The first of seven findings that applies."""
+    """The first of seven findings that applies to each site."""
     c = F.col
     tot = F.greatest(c("total_posts"), F.lit(1))
     text = (
@@ -326,7 +339,7 @@ def urgency(audit: DataFrame) -> DataFrame:
         .when(c("pair_count") > 0, F.format_string("%d posts dilute each other", "pair_posts"))
         .otherwise("untapped potential")
     )
-    return audit.select(text.alias("finding"))
+    return audit.select("site_id", text.alias("finding"))
 
 
 def word_count_profile(posts: DataFrame, keys: list[str]) -> DataFrame:
@@ -335,27 +348,29 @@ def word_count_profile(posts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def distribution_counts(frames: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Counts per value of several columns: (dimension, value, n)."""
-    parts = [df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(d).alias("dimension"), "value", "n") for d, (df, c) in frames.items()]
+    """Counts per site and value of several columns: (site_id, dimension, value, n)."""
+    parts = [df.groupBy("site_id", F.col(c).alias("value")).agg(F.count("*").alias("n")).select("site_id", F.lit(d).alias("dimension"), "value", "n") for d, (df, c) in frames.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy("dimension", F.desc("n"), "value")
+    return out
 
 
 def score_histogram(scores: DataFrame) -> DataFrame:
+    """Scored posts of each site by band."""
     s = F.col("composite_score")
     b = (
         F.when(s >= 80, "80-100 (excellent)").when(s >= 65, "65-79 (good)").when(s >= 40, "40-64 (moderate)").when(s >= 20, "20-39 (poor)").otherwise("0-19 (critical)")
     )
-    return scores.groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    return scores.groupBy("site_id", b.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def early_findings(posts: DataFrame, members: DataFrame, pairs: DataFrame, problems: DataFrame, least: int = 50) -> DataFrame:
-    """First numbers of a running analysis, once fifty posts are in."""
+    """First numbers of each site's running analysis, once fifty of its posts are in."""
+    of = lambda df: df.groupBy("site_id")
     one = side_by_side(
-        posts.agg(F.count("*").alias("posts_sampled")), members.agg(F.count_distinct("cluster_id").alias("clusters_found")),
-        pairs.agg(F.count("*").alias("pairs_found")), problems.agg(F.count_if(F.col("problem_type") == "thin_content").alias("thin_content")),
+        of(posts).agg(F.count("*").alias("posts_sampled")), of(members).agg(F.count_distinct("cluster_id").alias("clusters_found")),
+        of(pairs).agg(F.count("*").alias("pairs_found")), of(problems).agg(F.count_if(F.col("problem_type") == "thin_content").alias("thin_content")),
     )
+    one = zero(one, "posts_sampled", "clusters_found", "pairs_found", "thin_content")
     return one.filter(F.col("posts_sampled") >= least).withColumn("preview_ready", F.col("clusters_found") > 0)
-

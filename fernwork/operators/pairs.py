@@ -504,8 +504,8 @@ def severity_rank(c: Column) -> Column:
     return F.when(c == "critical", 1).when(c == "high", 2).when(c == "medium", 3).otherwise(4)
 
 
-def list_pairs(pairs: DataFrame, posts: DataFrame, scores: DataFrame, limit: int = 200, offset: int = 0) -> DataFrame:
-    """Page of pairs with both posts' title, score and role, worst first."""
+def list_pairs(pairs: DataFrame, posts: DataFrame, scores: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Page of pairs (all without a limit) with both posts' title, score and role, worst first."""
     out = pairs
     for s in ("a", "b"):
         out = out.join(posts.select(F.col("post_id").alias(f"post_{s}_id"), F.col("title").alias(f"title_{s}")), f"post_{s}_id").join(
@@ -513,12 +513,13 @@ def list_pairs(pairs: DataFrame, posts: DataFrame, scores: DataFrame, limit: int
             f"post_{s}_id", "left",
         )
     order = [severity_rank(F.col("severity")), F.desc("cosine"), F.asc("post_a_id"), F.asc("post_b_id")]
-    return out.orderBy(*order).offset(offset).limit(min(limit, 200))
+    out = out.orderBy(*order).offset(offset)
+    return out.limit(limit) if limit else out
 
 
 def cannibal_posts(pairs: DataFrame) -> DataFrame:
-    """How many different posts are part of any pair."""
-    return pairs.select(F.explode(F.array("post_a_id", "post_b_id")).alias("p")).agg(F.count_distinct("p").alias("n"))
+    """How many different posts of each site are part of any pair."""
+    return pairs.select("site_id", F.explode(F.array("post_a_id", "post_b_id")).alias("p")).groupBy("site_id").agg(F.count_distinct("p").alias("n"))
 
 
 def url_fluctuation(ranked: DataFrame, as_of: str, days: int = 30, least: int = 3) -> DataFrame:

@@ -9,33 +9,40 @@ from pyspark.sql import functions as F
 
 from ..plans.scale import latest, top_per_group
 from .recommend import priority_rank
-from .vectors import top_neighbours
+from .vectors import top_matches
 
 
 def day(as_of: str, back: int = 0) -> Column:
     return F.date_sub(F.lit(as_of).cast("date"), back)
 
 
-def side_by_side(*frames: DataFrame) -> DataFrame:
-    """Joins frames of exactly one row each."""
-    keyed = [f.withColumn("_k", F.lit(1)) for f in frames]
-    return reduce(lambda a, b: a.join(b, "_k"), keyed).drop("_k")
+def side_by_side(*frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Brings aggregates of the same keys (one row per site by default) together; a key that a frame lacks gets nulls from it."""
+    keys = keys or ["site_id"]
+    return reduce(lambda a, b: a.join(b, keys, "full_outer"), frames)
+
+
+def zero(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts of sites without rows are zero."""
+    return df.na.fill(0, list(columns))
+
 
 
 # ---- alerts --------------------------------------------------------------
 
 
-def position_changes(gsc: DataFrame, as_of: str, threshold: float = 3.0, limit: int = 50) -> DataFrame:
-    """Mean position of the last three days against days 14 to 8 before, largest shifts first."""
+def position_changes(gsc: DataFrame, as_of: str, threshold: float = 3.0, limit: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Mean position of the last three days against days 14 to 8 before; with a limit, each site's largest shifts."""
+    keys = keys or ["site_id"]
     d, p = F.col("date"), F.col("avg_position")
-    both = gsc.filter(d >= day(as_of, 14)).groupBy("post_id", "query").agg(
+    both = gsc.filter(d >= day(as_of, 14)).groupBy(*keys, "post_id", "query").agg(
         F.avg(F.when(d >= day(as_of, 3), p)).alias("new_position"), F.avg(F.when(d.between(day(as_of, 14), day(as_of, 8)), p)).alias("old_position"),
         F.sum(F.when(d >= day(as_of, 3), F.col("clicks"))).alias("clicks"),
     )
     change = F.col("new_position") - F.col("old_position")
     hits = both.withColumn("change", change).filter(F.abs("change") >= threshold)
     out = hits.withColumn("alert_type", F.when(F.col("change") > 0, "position_drop").otherwise("position_gain"))
-    return out.orderBy(F.desc(F.round(F.abs("change"), 9)), "post_id", "query").limit(limit)
+    return top_per_group(out, keys, [F.desc(F.round(F.abs("change"), 9)), F.asc("post_id"), F.asc("query")], limit) if limit else out
 
 
 def suppress_repeats(alerts: DataFrame, history: DataFrame, days: int = 7) -> DataFrame:
@@ -52,18 +59,21 @@ def suppress_repeats(alerts: DataFrame, history: DataFrame, days: int = 7) -> Da
     return a.join(seen.alias("h"), cond, "left_anti")
 
 
-def alerts_feed(alerts: DataFrame, posts: DataFrame, status: str | None = None, since: str | None = None, limit: int = 50) -> DataFrame:
+def alerts_feed(alerts: DataFrame, posts: DataFrame, status: str | None = None, since: str | None = None, limit: int | None = None) -> DataFrame:
+    """Alerts with titles; with a limit, each site's newest."""
     df = alerts
     if status:
         df = df.filter(F.col("status") == status)
     if since:
         df = df.filter(F.col("detected_at") > F.lit(since).cast("date"))
-    return df.join(posts.select("post_id", "title"), "post_id", "left").orderBy(F.desc("detected_at"), "post_id", "keyword").limit(limit)
+    if limit:  # before the join, so that titles are looked up for the rows that stay
+        df = top_per_group(df, ["site_id"], [F.desc("detected_at"), F.asc("post_id"), F.asc("keyword")], limit)
+    return df.join(posts.select("post_id", "title"), "post_id", "left")
 
 
 def check_new_posts(vectors: DataFrame, fresh: DataFrame, clusters: DataFrame, links: DataFrame, distance: float = 0.3, k: int = 5) -> DataFrame:
     """Near neighbours, cluster and link counts of newly published posts."""
-    near = top_neighbours(vectors.select("post_id", "vec"), k, floor=1 - distance).join(fresh.select("post_id").distinct(), "post_id", "left_semi")
+    near = top_matches(vectors.join(fresh.select("post_id").distinct(), "post_id", "left_semi"), vectors, k, ["site_id"], floor=1 - distance)
     n = near.filter(1 - F.col("similarity") < distance).groupBy("post_id").agg(F.count("*").alias("similar"), F.max("similarity").alias("closest"))
     out = links.groupBy(F.col("source_post_id").alias("post_id")).agg(F.count("*").alias("outbound"))
     inn = links.filter("target_post_id IS NOT NULL").groupBy(F.col("target_post_id").alias("post_id")).agg(F.count("*").alias("inbound"))
@@ -130,10 +140,10 @@ def recommendation_impact(impacts: DataFrame, scores: DataFrame, gsc: DataFrame,
 
 
 def impact_report(impacts: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Averages and success rate of recently completed recommendations."""
+    """Averages and success rate of each site's recently completed recommendations."""
     good = F.count_if(F.col("health_change") > 0)
     r1 = lambda c: F.bround(F.coalesce(F.avg(c), F.lit(0.0)), 1)
-    return impacts.filter(F.col("completed_at") >= day(as_of, days)).agg(
+    return impacts.filter(F.col("completed_at") >= day(as_of, days)).groupBy("site_id").agg(
         F.count("*").alias("total_completed"), r1("health_change").alias("avg_health_improvement"), r1("traffic_change_pct").alias("avg_traffic_change_pct"),
         r1("position_change").alias("avg_position_improvement"), good.alias("improved"),
         F.bround(good / F.greatest(F.count("*"), F.lit(1)) * 100, 1).alias("success_rate"),
@@ -144,7 +154,7 @@ def impact_report(impacts: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 
 
 def newest_first(history: DataFrame, keys: list[str], limit: int = 90, date: str = "date") -> DataFrame:
-    return top_per_group(history, keys, [F.desc(date)], min(limit, 365), rank="rank")
+    return top_per_group(history, keys, [F.desc(date)], limit, rank="rank")
 
 
 def last_two(history: DataFrame, columns: list[str]) -> DataFrame:
@@ -186,15 +196,16 @@ def outlook(sites: DataFrame, as_of: str) -> DataFrame:
 
 
 def weekly_metrics(posts: DataFrame, scores: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Health, efficiency and post counts of the moment."""
+    """Health, efficiency and post counts of each site at the moment."""
     from .pairs import cannibal_posts
 
-    total = posts.agg(F.count("*").alias("total_posts"))
-    s = scores.agg(
+    total = posts.groupBy("site_id").agg(F.count("*").alias("total_posts"))
+    s = scores.groupBy("site_id").agg(
         F.bround(F.coalesce(F.avg("composite_score"), F.lit(0.0)), 1).alias("health_score"),
         F.count_if(F.col("role").isin("pillar", "supporter")).alias("active_posts"), F.count_if(F.col("role") == "dead_weight").alias("dead_posts"),
     )
     one = side_by_side(total, s, cannibal_posts(pairs).withColumnRenamed("n", "cannibalistic_posts"))
+    one = zero(one, "total_posts", "health_score", "active_posts", "dead_posts", "cannibalistic_posts")
     return one.withColumn(
         "efficiency_ratio", F.bround(F.when(F.col("total_posts") > 0, F.col("active_posts") / F.col("total_posts") * 100).otherwise(0.0), 1)
     )
@@ -206,51 +217,63 @@ def weekly_delta(snapshots: DataFrame, columns: list[str]) -> DataFrame:
     return two.select("site_id", *[F.col(f"_new.{c}").alias(c) for c in columns], *[(F.col(f"_new.{c}") - F.col(f"_old.{c}")).alias(f"{c}_delta") for c in columns])
 
 
-def weekly_report(clusters: DataFrame, pairs: DataFrame, recs: DataFrame, as_of: str, top: int = 5) -> DataFrame:
-    """Report lines: strongest clusters, new pairs, largest swamp and most urgent advice."""
-    line = lambda df, kind, name, value: df.select(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
-    best = clusters.orderBy(F.desc_nulls_last("health_score"), "cluster_id").limit(top)
-    swamp = clusters.filter("ecosystem_state = 'swamp'").orderBy(F.desc("post_count"), "cluster_id").limit(1)
-    new = pairs.filter(F.col("created_at") > day(as_of, 7)).agg(F.count("*").alias("n"))
-    rec = recs.filter("status = 'pending'").orderBy(priority_rank(F.col("priority")), F.desc("created_at"), "rec_id").limit(1)
-    done = recs.filter((F.col("status") == "completed") & (F.col("completed_at") > day(as_of, 7))).agg(F.count("*").alias("n"))
-    return (
-        line(best, "cluster", F.col("label"), F.col("health_score")).unionByName(line(new, "new_pairs", F.lit(""), F.col("n")))
-        .unionByName(line(swamp, "quick_win", F.col("label"), F.col("post_count"))).unionByName(line(rec, "top_recommendation", F.col("title"), F.col("rec_id")))
-        .unionByName(line(done, "completed", F.lit(""), F.col("n")))
-    )
+def weekly_report(clusters: DataFrame, pairs: DataFrame, recs: DataFrame, tracking: DataFrame, as_of: str, top: int = 5) -> DataFrame:
+    """Report lines of each site: strongest clusters, new pairs, largest swamp, most urgent advice, work done and traffic gained.
+
+    tracking(site_id, baseline_traffic, latest_traffic).
+    """
+    line = lambda df, kind, name, value: df.select("site_id", F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    site = ["site_id"]
+    best = top_per_group(clusters, site, [F.desc_nulls_last("health_score"), F.asc("cluster_id")], top)
+    swamp = top_per_group(clusters.filter("ecosystem_state = 'swamp'"), site, [F.desc("post_count"), F.asc("cluster_id")], 1)
+    new = pairs.groupBy("site_id").agg(F.count_if(F.col("created_at") > day(as_of, 7)).alias("n"))
+    rec = top_per_group(recs.filter("status = 'pending'"), site, [priority_rank(F.col("priority")), F.desc("created_at"), F.asc("rec_id")], 1)
+    done = recs.groupBy("site_id").agg(F.count_if((F.col("status") == "completed") & (F.col("completed_at") > day(as_of, 7))).alias("n"))
+    gained = tracking.groupBy("site_id").agg(recovered_traffic().alias("n"))
+    return reduce(DataFrame.unionByName, [
+        line(best, "cluster", F.col("label"), F.col("health_score")), line(new, "new_pairs", F.lit(""), F.col("n")), line(swamp, "quick_win", F.col("label"), F.col("post_count")),
+        line(rec, "top_recommendation", F.col("title"), F.col("rec_id")), line(done, "completed", F.lit(""), F.col("n")), line(gained, "recovered_traffic", F.lit(""), F.col("n")),
+    ])
+
+
+def recovered_traffic() -> Column:
+    """Traffic above the baseline, summed over tracked posts; losses don't count against it."""
+    return F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce("latest_traffic", F.lit(0)) - F.coalesce("baseline_traffic", F.lit(0)))), F.lit(0))
 
 
 def monthly_delta(history: DataFrame, recs: DataFrame, problems: DataFrame, as_of: str) -> DataFrame:
     """Rounded score, its change, completed, new and pending work."""
     two = last_two(history, ["score"]).select(
         "site_id", F.bround("_new.score").alias("score"), (F.bround("_new.score") - F.bround("_old.score")).alias("score_delta")
-    ).withColumn("_k", F.lit(1))
-    r = recs.agg(
+    )
+    r = recs.groupBy("site_id").agg(
         F.count_if((F.col("status") == "completed") & (F.col("completed_at") > day(as_of, 30))).alias("completed"), F.count_if(F.col("status") == "pending").alias("pending")
     )
-    p = problems.agg(F.count_if(F.col("resolved_at").isNull() & (F.col("detected_at") > day(as_of, 30))).alias("new_issues"))
-    return two.join(side_by_side(r, p).withColumn("_k", F.lit(1)), "_k").drop("_k")
-
-
-def since_visit(problems: DataFrame, alerts: DataFrame, recs: DataFrame, visit: str) -> DataFrame:
-    """What happened after the last visit."""
-    v = F.lit(visit).cast("date")
-    return side_by_side(
-        problems.agg(F.count_if((F.col("detected_at") > v) & F.col("resolved_at").isNull()).alias("new_problems")),
-        alerts.agg(F.count_if(F.col("detected_at") > v).alias("new_alerts")),
-        recs.agg(F.count_if((F.col("status") == "completed") & (F.col("completed_at") > v)).alias("completed")),
+    p = problems.groupBy("site_id").agg(F.count_if(F.col("resolved_at").isNull() & (F.col("detected_at") > day(as_of, 30))).alias("new_issues"))
+    return zero(two.join(r, "site_id", "left").join(p, "site_id", "left"), "completed", "pending", "new_issues")
+
+
+def since_visit(problems: DataFrame, alerts: DataFrame, recs: DataFrame, visits: DataFrame) -> DataFrame:
+    """What happened at each site after its last visit: visits(site_id, visited_at)."""
+    since = lambda df: df.join(visits, "site_id")
+    v = F.col("visited_at")
+    counts = side_by_side(
+        visits.select("site_id").distinct(),
+        since(problems).groupBy("site_id").agg(F.count_if((F.col("detected_at") > v) & F.col("resolved_at").isNull()).alias("new_problems")),
+        since(alerts).groupBy("site_id").agg(F.count_if(F.col("detected_at") > v).alias("new_alerts")),
+        since(recs).groupBy("site_id").agg(F.count_if((F.col("status") == "completed") & (F.col("completed_at") > v)).alias("completed")),
     )
+    return zero(counts, "new_problems", "new_alerts", "completed")
 
 
 def roi_summary(tracking: DataFrame, recs: DataFrame, history: DataFrame, as_of: str) -> DataFrame:
-    """Recovered traffic, active days and first against last health."""
-    t = tracking.agg(
-        F.coalesce(F.sum(F.greatest(F.lit(0), F.coalesce("latest_traffic", F.lit(0)) - F.coalesce("baseline_traffic", F.lit(0)))), F.lit(0)).alias("recovered")
+    """Recovered traffic, active days and first against last health of each site."""
+    t = tracking.groupBy("site_id").agg(recovered_traffic().alias("recovered"))
+    r = recs.filter("status = 'completed'").groupBy("site_id").agg(
+        F.count("*").alias("completed"), F.date_diff(F.lit(as_of).cast("date"), F.min("completed_at")).alias("days_active")
     )
-    r = recs.filter("status = 'completed'").agg(F.count("*").alias("completed"), F.date_diff(F.lit(as_of).cast("date"), F.min("completed_at")).alias("days_active"))
-    h = history.agg(F.min_by("score", "date").alias("initial_health"), F.max_by("score", "date").alias("current_health"))
-    return side_by_side(t, r, h).withColumn("health_change", F.bround(F.col("current_health") - F.col("initial_health"), 1))
+    h = history.groupBy("site_id").agg(F.min_by("score", "date").alias("initial_health"), F.max_by("score", "date").alias("current_health"))
+    return zero(side_by_side(t, r, h), "recovered", "completed").withColumn("health_change", F.bround(F.col("current_health") - F.col("initial_health"), 1))
 
 
 # fixed values: points per completed recommendation type, others count one
@@ -258,13 +281,14 @@ IMPACT_WEIGHTS = {"merge": 3.0, "expand": 2.0, "optimize": 1.5, "refresh": 1.5,
 
 
 def impact_estimate(recs: DataFrame, posts: DataFrame, since: str | None = None) -> DataFrame:
-    """Estimated health points of completed work, fifteen at most."""
+    """Estimated health points of each site's completed work, fifteen at most."""
     done = recs.filter("status = 'completed'")
     if since:
         done = done.filter(F.col("completed_at") > F.lit(since).cast("date"))
     w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in IMPACT_WEIGHTS.items() for x in kv]), F.col("rec_type")), F.lit(1.0))
-    one = side_by_side(done.agg(F.count("*").alias("completed"), F.coalesce(F.sum(w), F.lit(0.0)).alias("_raw")), posts.agg(F.count("*").alias("_n")))
-    return one.select("completed", F.bround(F.least(F.lit(15.0), F.col("_raw") / F.greatest(F.col("_n") / 50, F.lit(1.0))), 1).alias("estimated_points"))
+    one = side_by_side(posts.groupBy("site_id").agg(F.count("*").alias("_n")), done.groupBy("site_id").agg(F.count("*").alias("completed"), F.sum(w).alias("_raw")))
+    one = zero(one, "completed", "_raw", "_n")
+    return one.select("site_id", "completed", F.bround(F.least(F.lit(15.0), F.col("_raw") / F.greatest(F.col("_n") / 50, F.lit(1.0))), 1).alias("estimated_points"))
 
 
 def steward_profile(sites: DataFrame, clusters: DataFrame, members: DataFrame, posts: DataFrame, redirects: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -304,25 +328,30 @@ def period_bounds(period: str) -> tuple[str, str]:
 
 
 def period_recap(posts: DataFrame, history: DataFrame, scores: DataFrame, clusters: DataFrame, pairs: DataFrame, period: str) -> DataFrame:
-    """One row of what a month or year brought."""
+    """What a month or year brought to each site."""
     a, b = (F.lit(x).cast("date") for x in period_bounds(period))
-    p = posts.agg(
+    p = posts.groupBy("site_id").agg(
         F.count("*").alias("total_posts"), F.count_if(F.col("publish_date").between(a, b)).alias("posts_created"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("total_words")
     )
     d = F.col("date")
-    h = history.agg(F.min_by(F.when(d >= a, F.col("score")), F.when(d >= a, d)).alias("health_start"), F.max_by(F.when(d <= b, F.col("score")), F.when(d <= b, d)).alias("health_end"))
+    h = history.groupBy("site_id").agg(
+        F.min_by(F.when(d >= a, F.col("score")), F.when(d >= a, d)).alias("health_start"), F.max_by(F.when(d <= b, F.col("score")), F.when(d <= b, d)).alias("health_end")
+    )
     best = F.struct("composite_score", -F.col("post_id"))
-    s = scores.agg(F.max_by("post_id", best).alias("best_post"), F.min_by("post_id", F.struct("composite_score", "post_id")).alias("worst_post"))
-    c = clusters.agg(
+    s = scores.groupBy("site_id").agg(F.max_by("post_id", best).alias("best_post"), F.min_by("post_id", F.struct("composite_score", "post_id")).alias("worst_post"))
+    states = ["swamp", "desert", "forest", "seedbed", "meadow"]
+    c = clusters.groupBy("site_id").agg(
         F.count("*").alias("cluster_count"), F.max_by("label", F.struct("health_score", -F.col("cluster_id"))).alias("top_cluster"),
-        F.count_if(F.col("ecosystem_state") == "swamp").alias("swamps"), F.count_if(F.col("ecosystem_state") == "desert").alias("deserts"),
+        *[F.count_if(F.col("ecosystem_state") == x).alias(f"{x}s") for x in states],
     )
-    return side_by_side(p, h, s, c, pairs.agg(F.count("*").alias("pairs"))).withColumn("improvement", F.bround(F.col("health_end") - F.col("health_start"), 1))
+    every = side_by_side(p, h, s, c, pairs.groupBy("site_id").agg(F.count("*").alias("pairs")))
+    every = zero(every, "total_posts", "posts_created", "total_words", "cluster_count", "pairs", *[f"{x}s" for x in states])
+    return every.withColumn("improvement", F.bround(F.col("health_end") - F.col("health_start"), 1))
 
 
 def streaks(check_ins: DataFrame, as_of: str) -> DataFrame:
-    """Current and longest run of days per user, totals and milestone."""
-    d = check_ins.select("user_id", "date").distinct()
+    """Current and longest run of days per user up to ``as_of``, totals and milestone."""
+    d = check_ins.filter(F.col("date") <= F.lit(as_of).cast("date")).select("user_id", "date").distinct()
     # at most one row per user and day
     w = Window.partitionBy("user_id").orderBy("date")
     runs = d.withColumn("_g", F.date_sub("date", F.row_number().over(w))).groupBy("user_id", "_g").agg(F.count("*").alias("n"), F.max("date").alias("end"))
@@ -330,9 +359,7 @@ def streaks(check_ins: DataFrame, as_of: str) -> DataFrame:
         F.max_by("n", "end").alias("current_streak"), F.max("n").alias("longest_streak"), F.max("end").alias("last_check_in"), F.sum("n").alias("total_check_ins")
     )
     c = F.col("current_streak")
-    return out.filter(F.col("last_check_in") <= F.lit(as_of).cast("date")).withColumn(
-        "milestone", F.when(c >= 100, "gold").when(c >= 30, "silver").when(c >= 7, "bronze")
-    )
+    return out.withColumn("milestone", F.when(c >= 100, "gold").when(c >= 30, "silver").when(c >= 7, "bronze"))
 
 
 def daily_snapshots(scores: DataFrame, problems: DataFrame, gsc: DataFrame, pairs: DataFrame, clusters: DataFrame, as_of: str) -> dict[str, DataFrame]:
@@ -345,12 +372,13 @@ def daily_snapshots(scores: DataFrame, problems: DataFrame, gsc: DataFrame, pair
         F.coalesce("problems_count", F.lit(0)).alias("problems_count"),
     )
     site = side_by_side(
-        scores.agg(
+        scores.groupBy("site_id").agg(
             F.avg("composite_score").alias("avg_health_score"), F.count("*").alias("total_posts"), F.count_if(F.col("role") == "pillar").alias("pillar_count"),
             F.count_if(F.col("role") == "dead_weight").alias("dead_weight_count"),
         ),
-        problems.agg(F.count("*").alias("total_problems")), pairs.agg(F.count("*").alias("cannibalization_pairs")),
-    ).select("*", today)
+        problems.groupBy("site_id").agg(F.count("*").alias("total_problems")), pairs.groupBy("site_id").agg(F.count("*").alias("cannibalization_pairs")),
+    )
+    site = zero(site, "total_posts", "pillar_count", "dead_weight_count", "total_problems", "cannibalization_pairs").select("*", today)
     cluster = clusters.select("cluster_id", today, "post_count", F.col("health_score").alias("avg_health_score"), "ecosystem_state")
     return {"post": post, "site": site, "cluster": cluster}
 

@@ -10,20 +10,28 @@ from ..operators import scoring as sc
 from .catalog_recommend import gaps
 from .catalog_tracking import redirects
 from .oracle import cte, query
-from .tables import AS_OF, Tables
+from .tables import AS_OF, Tables, at_site
 
 A = "DATE '2024-01-31'"
-PM = "SELECT post_a_id AS p FROM pairs UNION SELECT post_b_id FROM pairs"
+PM = "SELECT site_id, post_a_id AS p FROM spairs UNION SELECT site_id, post_b_id FROM spairs"
+PN = f"(SELECT site_id, count(*) AS n FROM ({PM}) GROUP BY 1)"
 LEAF = "cluster_id NOT IN (SELECT parent_cluster_id FROM clusters WHERE parent_cluster_id IS NOT NULL)"
 
 
+def spairs(t: Tables):
+    return at_site(t.pairs, "post_a_id")
+
+
 @query("k1_site_health", f"""
-SELECT (SELECT count(*) FROM posts) AS total_posts, (SELECT round_even(avg((modified_date IS NOT NULL)::INT), 3) FROM posts) AS modified_coverage, round(avg(composite_score), 6) AS health, count(*) FILTER (role IN ('pillar','supporter')) AS active_posts, count(*) FILTER (role = 'dead_weight') AS dead_posts,
-  (SELECT sum(pageviews)::BIGINT FROM ga4 WHERE date >= {A} - 30) AS traffic_30d, (SELECT sum(pageviews)::BIGINT FROM ga4 WHERE date >= {A} - 60) AS traffic_60d, (SELECT sum(pageviews)::BIGINT FROM ga4 WHERE date >= {A} - 90) AS traffic_90d, (SELECT count(*) FROM ({PM})) AS cannibalistic_posts,
-  greatest(0, (SELECT count(*) FROM posts) - count(*) FILTER (role IN ('pillar','supporter')) - count(*) FILTER (role = 'dead_weight')) AS passive_posts, round_even(count(*) FILTER (role IN ('pillar','supporter')) / (SELECT count(*) FROM posts) * 100, 1) AS efficiency, 1.0::DOUBLE AS completeness FROM scores
-""", "posts scores ga4 pairs")
+WITH p AS (SELECT site_id, count(*) AS total_posts, round_even(avg((modified_date IS NOT NULL)::INT), 3) AS modified_coverage FROM sposts GROUP BY 1),
+s AS (SELECT site_id, round(avg(composite_score), 6) AS health, count(*) FILTER (role IN ('pillar','supporter')) AS active_posts, count(*) FILTER (role = 'dead_weight') AS dead_posts FROM sscores GROUP BY 1),
+g AS (SELECT site_id, coalesce(sum(pageviews) FILTER (date >= {A} - 30), 0)::BIGINT AS traffic_30d, coalesce(sum(pageviews) FILTER (date >= {A} - 60), 0)::BIGINT AS traffic_60d, coalesce(sum(pageviews) FILTER (date >= {A} - 90), 0)::BIGINT AS traffic_90d FROM sga4 GROUP BY 1)
+SELECT site_id, total_posts, modified_coverage, coalesce(health, 0) AS health, coalesce(active_posts, 0) AS active_posts, coalesce(dead_posts, 0) AS dead_posts, coalesce(traffic_30d, 0) AS traffic_30d, coalesce(traffic_60d, 0) AS traffic_60d, coalesce(traffic_90d, 0) AS traffic_90d, coalesce(n, 0) AS cannibalistic_posts,
+  greatest(0, total_posts - coalesce(active_posts, 0) - coalesce(dead_posts, 0)) AS passive_posts, round_even(coalesce(active_posts, 0) / total_posts * 100, 1) AS efficiency, 0.4::DOUBLE + CASE WHEN g.site_id IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN site_id IN (SELECT site_id FROM sgsc) THEN 0.3 ELSE 0 END AS completeness
+FROM p LEFT JOIN s USING (site_id) LEFT JOIN g USING (site_id) LEFT JOIN {PN} x USING (site_id)
+""", "sposts sscores sga4 sgsc spairs")
 def k1(t: Tables):
-    return db.site_health(t.posts, t.scores, t.pairs, t.ga4, t.gsc, AS_OF)
+    return db.site_health(at_site(t.posts), at_site(t.scores), spairs(t), at_site(t.ga4), at_site(t.gsc), AS_OF)
 
 
 @query("k2_cluster_list", f"SELECT cluster_id, post_count, round(avg(vec[1]), 6) AS x, round(avg(vec[2]), 6) AS y FROM clusters JOIN emb USING (cluster_id) WHERE {LEAF} GROUP BY 1, 2", "clusters emb")
@@ -59,31 +67,34 @@ def k5(t: Tables):
 
 
 @query("k6_overview", """
-SELECT (SELECT count(*) FROM posts) AS total_posts, sum(pageviews)::BIGINT AS pageviews, sum(sessions)::BIGINT AS sessions, min(date) AS date_start, max(date) AS date_end, (SELECT sum(clicks)::BIGINT FROM gsc) AS clicks, (SELECT sum(impressions)::BIGINT FROM gsc) AS impressions, (SELECT round(avg(avg_position), 6) FROM gsc) AS avg_position FROM ga4
-""", "posts ga4 gsc")
+WITH p AS (SELECT site_id, count(*) AS total_posts FROM sposts GROUP BY 1), g AS (SELECT site_id, sum(pageviews)::BIGINT AS pageviews, sum(sessions)::BIGINT AS sessions, min(date) AS date_start, max(date) AS date_end FROM sga4 GROUP BY 1),
+q AS (SELECT site_id, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, round(avg(avg_position), 6) AS avg_position FROM sgsc GROUP BY 1)
+SELECT * FROM p JOIN g USING (site_id) JOIN q USING (site_id)
+""", "sposts sga4 sgsc")
 def k6(t: Tables):
-    return db.overview(t.posts, t.ga4, t.gsc).withColumn("avg_position", F.round("avg_position", 6))
+    return db.overview(at_site(t.posts), at_site(t.ga4), at_site(t.gsc)).withColumn("avg_position", F.round("avg_position", 6))
 
 
 cte("audit", f"""
-SELECT (SELECT count(*) FROM posts) AS total_posts, (SELECT round(count(*) FILTER (coalesce(meta_description, '') <> '') * 100.0::DOUBLE / count(*), 1) FROM posts) AS meta_pct, (SELECT count(*) FILTER (coalesce(meta_description, '') = '') FROM posts) AS meta_missing, (SELECT avg(composite_score) FROM scores) AS overall_health,
-  (SELECT count(*) FROM clusters WHERE {LEAF}) AS cluster_count, (SELECT count(*) FROM problems) AS problem_count, (SELECT count(*) FROM problems WHERE problem_type LIKE 'orphan%') AS orphan_count, (SELECT count(*) FROM problems WHERE problem_type = 'thin_content') AS thin_count, (SELECT count(*) FROM recs) AS rec_count,
-  (SELECT count(*) FROM pairs) AS pair_count, (SELECT count(*) FROM pairs WHERE cosine >= 0.99) AS exact_pairs, (SELECT count(*) FROM ({PM})) AS pair_posts
-""", "posts scores clusters problems recs pairs")
-cte("aud", "SELECT a.*, (SELECT avg(ai_citability_score) FROM scores) AS ai_cite, (SELECT round(count(*) FILTER (ai_citability_score >= 60) / count(ai_citability_score) * 100, 1) FROM scores) AS ai_ready_pct, (SELECT round(count(*) FILTER (schema_score > 80) / count(*) * 100, 1) FROM scores) AS ai_schema_pct, (SELECT avg(eeat_score) FROM scores) AS ai_eeat FROM audit a", "audit scores")
+SELECT site_id, count(*) AS total_posts, round(count(*) FILTER (coalesce(meta_description, '') <> '') * 100.0::DOUBLE / count(*), 1) AS meta_pct, count(*) FILTER (coalesce(meta_description, '') = '') AS meta_missing, (SELECT avg(composite_score) FROM sscores x WHERE x.site_id = p.site_id) AS overall_health,
+  (SELECT count(*) FROM sclusters x WHERE x.site_id = p.site_id AND {LEAF}) AS cluster_count, (SELECT count(*) FROM sproblems x WHERE x.site_id = p.site_id) AS problem_count, (SELECT count(*) FROM sproblems x WHERE x.site_id = p.site_id AND problem_type LIKE 'orphan%') AS orphan_count, (SELECT count(*) FROM sproblems x WHERE x.site_id = p.site_id AND problem_type = 'thin_content') AS thin_count,
+  (SELECT count(*) FROM srecs x WHERE x.site_id = p.site_id) AS rec_count, (SELECT count(*) FROM spairs x WHERE x.site_id = p.site_id) AS pair_count, (SELECT count(*) FROM spairs x WHERE x.site_id = p.site_id AND cosine >= 0.99) AS exact_pairs, (SELECT count(*) FROM ({PM}) x WHERE x.site_id = p.site_id) AS pair_posts
+FROM sposts p GROUP BY site_id
+""", "sposts sscores sclusters clusters sproblems srecs spairs")
+cte("aud", "SELECT a.*, ai_cite, ai_ready_pct, ai_schema_pct, ai_eeat FROM audit a JOIN (SELECT site_id, avg(ai_citability_score) AS ai_cite, round(count(*) FILTER (ai_citability_score >= 60) / count(ai_citability_score) * 100, 1) AS ai_ready_pct, round(count(*) FILTER (schema_score > 80) / count(*) * 100, 1) AS ai_schema_pct, avg(eeat_score) AS ai_eeat FROM sscores GROUP BY 1) USING (site_id)", "audit sscores")
 
 
 def audit(t: Tables):
-    return db.audit_counters(t.posts, t.scores, t.clusters, t.problems, t.recs, t.pairs)
+    return db.audit_counters(at_site(t.posts), at_site(t.scores), at_site(t.clusters, "cluster_id"), at_site(t.problems), at_site(t.recs), spairs(t))
 
 
 def audit_ai(t: Tables):
     c = F.col("ai_citability_score")
-    ai = t.scores.agg(
+    ai = at_site(t.scores).groupBy("site_id").agg(
         F.avg(c).alias("ai_cite"), F.round(F.count_if(c >= 60) / F.count(c) * 100, 1).alias("ai_ready_pct"),
         F.round(F.count_if(F.col("schema_score") > 80) / F.count("*") * 100, 1).alias("ai_schema_pct"), F.avg("eeat_score").alias("ai_eeat"),
     )
-    return db.side_by_side(audit(t), ai)
+    return audit(t).join(ai, "site_id")
 
 
 @query("k7_audit_counters", "SELECT * REPLACE (round(overall_health, 6) AS overall_health) FROM audit", "audit")
@@ -92,37 +103,37 @@ def k7(t: Tables):
 
 
 @query("k8_top_lists", f"""
-SELECT * FROM (SELECT 'cluster' AS kind, label AS name, post_count::DOUBLE AS value FROM clusters WHERE {LEAF} ORDER BY post_count DESC, cluster_id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'pair', post_a_id || '-' || post_b_id, cosine FROM pairs ORDER BY cosine DESC, post_a_id, post_b_id LIMIT 8)
-UNION ALL SELECT * FROM (SELECT 'recommendation', title, rec_id::DOUBLE FROM recs ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, rec_id LIMIT 8)
-""", "clusters pairs recs")
+SELECT site_id, 'cluster' AS kind, label AS name, post_count::DOUBLE AS value FROM sclusters WHERE {LEAF} QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY post_count DESC, cluster_id) <= 8
+UNION ALL SELECT site_id, 'pair', post_a_id || '-' || post_b_id, cosine FROM spairs QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY cosine DESC, post_a_id, post_b_id) <= 8
+UNION ALL SELECT site_id, 'recommendation', title, rec_id::DOUBLE FROM srecs QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, rec_id) <= 8
+""", "sclusters clusters spairs srecs")
 def k8(t: Tables):
-    return db.top_lists(t.clusters, t.pairs, t.recs)
+    return db.top_lists(at_site(t.clusters, "cluster_id"), spairs(t), at_site(t.recs))
 
 
 @query("k9_worst_posts", f"""
-SELECT post_id, word_count, composite_score, role, coalesce(issues, 'low health score') AS issues, weight FROM (SELECT post_id, word_count, composite_score, role, issues, weight FROM posts JOIN scores USING (post_id) LEFT JOIN (SELECT post_id, string_agg(DISTINCT problem_type, ', ' ORDER BY problem_type) AS issues,
-  sum(CASE problem_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in pb.WEIGHTS.items())} ELSE 50 END)::BIGINT AS weight FROM problems GROUP BY 1) USING (post_id) WHERE word_count >= 200) ORDER BY issues IS NULL, coalesce(weight, 0) DESC, composite_score, post_id LIMIT 40
+SELECT post_id % 5 AS site_id, post_id, word_count, composite_score, role, coalesce(issues, 'low health score') AS issues, weight FROM (SELECT post_id, word_count, composite_score, role, issues, weight FROM posts JOIN scores USING (post_id) LEFT JOIN (SELECT post_id, string_agg(DISTINCT problem_type, ', ' ORDER BY problem_type) AS issues,
+  sum(CASE problem_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in pb.WEIGHTS.items())} ELSE 50 END)::BIGINT AS weight FROM problems GROUP BY 1) USING (post_id) WHERE word_count >= 200) QUALIFY row_number() OVER (PARTITION BY post_id % 5 ORDER BY issues IS NULL, coalesce(weight, 0) DESC, composite_score, post_id) <= 12
 """, "posts scores problems")
 def k9(t: Tables):
-    return db.worst_posts(t.posts, t.scores, t.problems, 40)
+    return db.worst_posts(at_site(t.posts), t.scores, t.problems, 12)
 
 
-@query("k10_best_pillars", "SELECT post_id, composite_score FROM scores WHERE role = 'pillar' ORDER BY composite_score DESC, post_id LIMIT 5", "scores")
+@query("k10_best_pillars", "SELECT site_id, post_id, composite_score FROM sscores WHERE role = 'pillar' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY composite_score DESC, post_id) <= 5", "sscores")
 def k10(t: Tables):
-    return db.best_pillars(t.scores).select("post_id", "composite_score")
+    return db.best_pillars(at_site(t.scores)).select("site_id", "post_id", "composite_score")
 
 
 @query("k11_content_profile", f"""
-SELECT round(avg(word_count), 0) AS avg_words, round(avg(fre), 1) AS avg_reading_ease, count(*) FILTER (modified_date > {A} - INTERVAL 6 MONTH) AS updated_6m, count(*) FILTER (modified_date > {A} - INTERVAL 12 MONTH) AS updated_12m, count(*) FILTER (modified_date > {A} - INTERVAL 24 MONTH) AS updated_24m,
-  count(*) FILTER (modified_date IS NULL OR modified_date <= {A} - INTERVAL 24 MONTH) AS stale FROM posts JOIN (SELECT post_id, fre FROM readable) USING (post_id) WHERE word_count > 50
+SELECT site_id, round(avg(word_count), 0) AS avg_words, round(avg(fre), 1) AS avg_reading_ease, count(*) FILTER (modified_date > {A} - INTERVAL 6 MONTH) AS updated_6m, count(*) FILTER (modified_date > {A} - INTERVAL 12 MONTH) AS updated_12m, count(*) FILTER (modified_date > {A} - INTERVAL 24 MONTH) AS updated_24m,
+  count(*) FILTER (modified_date IS NULL OR modified_date <= {A} - INTERVAL 24 MONTH) AS stale FROM posts JOIN (SELECT post_id, fre FROM readable) USING (post_id) WHERE word_count > 50 GROUP BY 1
 """, "posts readable")
 def k11(t: Tables):
     return db.content_profile(sc.readability(t.posts), AS_OF)
 
 
 @query("k12_key_findings", """
-SELECT array_to_string(list_filter([CASE WHEN pair_count > 0 THEN pair_posts || ' of ' || total_posts || ' posts overlap in ' || pair_count || ' pairs' END, CASE WHEN exact_pairs > 0 THEN exact_pairs || ' near-exact duplicate pairs' END, CASE WHEN orphan_count > 0 THEN orphan_count || ' orphan posts' END,
+SELECT site_id, array_to_string(list_filter([CASE WHEN pair_count > 0 THEN pair_posts || ' of ' || total_posts || ' posts overlap in ' || pair_count || ' pairs' END, CASE WHEN exact_pairs > 0 THEN exact_pairs || ' near-exact duplicate pairs' END, CASE WHEN orphan_count > 0 THEN orphan_count || ' orphan posts' END,
   CASE WHEN thin_count > 0 THEN thin_count || ' thin posts' END, CASE WHEN overall_health < 40 THEN 'health ' || round_even(overall_health, 0)::INT || '/100 needs work' END, CASE WHEN overall_health >= 65 THEN 'health ' || round_even(overall_health, 0)::INT || '/100 is above average' END,
   CASE WHEN ai_cite < 40 THEN 'only ' || format('{:.1f}', ai_ready_pct) || '% of posts are citable' END, CASE WHEN ai_schema_pct < 30 THEN format('{:.0f}', 100 - ai_schema_pct) || '% of posts lack structured data' END], lambda x: x IS NOT NULL), '; ') AS findings,
   CASE WHEN pair_count >= 50 THEN pair_posts || ' of ' || total_posts || ' posts overlap' WHEN rec_count >= 100 THEN rec_count || ' recommendations across ' || total_posts || ' posts' ELSE total_posts || ' posts across ' || cluster_count || ' topics' END AS headline FROM aud
@@ -194,11 +205,12 @@ def k19(t: Tables):
 
 
 @query("k20_topic_comparison", """
-SELECT * FROM (SELECT 'strong' AS kind, label AS topic, health_score AS value FROM cstates WHERE health_score >= 60 ORDER BY health_score DESC, cluster_id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'weak', label, health_score FROM cstates WHERE health_score < 40 ORDER BY health_score, cluster_id LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'gap', query, impressions::DOUBLE FROM gaps ORDER BY impressions DESC, query LIMIT 10)
-""", "cstates gaps")
+SELECT site_id, 'strong' AS kind, label AS topic, health_score AS value FROM scstates WHERE health_score >= 50 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY health_score DESC, cluster_id) <= 10
+UNION ALL SELECT site_id, 'weak', label, health_score FROM scstates WHERE health_score < 40 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY health_score, cluster_id) <= 10
+UNION ALL SELECT site_id, 'gap', query, impressions::DOUBLE FROM gaps QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY impressions DESC, query) <= 10
+""".replace(">= 50", ">= 60"), "scstates gaps")
 def k20(t: Tables):
-    return db.topic_comparison(t.cluster_states, gaps(t))
+    return db.topic_comparison(at_site(t.cluster_states, "cluster_id"), gaps(t))
 
 
 @query("k21_cluster_facts", f"""
@@ -220,7 +232,7 @@ def k22b(t: Tables):
 
 
 @query("k23_urgency", """
-SELECT CASE WHEN ai_schema_pct = 0 THEN 'no structured data on any post' WHEN pair_posts > 0 AND pair_posts / total_posts * 100 > 40 THEN format('{:.0f}', pair_posts / total_posts * 100) || '% of posts compete with each other' WHEN meta_pct = 0 THEN 'no meta description on ' || total_posts || ' posts'
+SELECT site_id, CASE WHEN ai_schema_pct = 0 THEN 'no structured data on any post' WHEN pair_posts > 0 AND pair_posts / total_posts * 100 > 40 THEN format('{:.0f}', pair_posts / total_posts * 100) || '% of posts compete with each other' WHEN meta_pct = 0 THEN 'no meta description on ' || total_posts || ' posts'
   WHEN ai_eeat < 10 THEN 'no visible author information' WHEN orphan_count / total_posts > 0.3 THEN orphan_count || ' pages without internal links' WHEN orphan_count >= 3 THEN orphan_count || ' pages invisible to search engines' WHEN pair_count > 0 THEN pair_posts || ' posts dilute each other' ELSE 'untapped potential' END AS finding FROM aud
 """, "aud")
 def k23(t: Tables):
@@ -233,19 +245,21 @@ def k24(t: Tables):
 
 
 @query("k25_distribution_counts", """
-SELECT 'intent' AS dimension, content_intent AS value, count(*) AS n FROM posts GROUP BY 2 UNION ALL SELECT 'problem', problem_type, count(*) FROM problems GROUP BY 2 UNION ALL SELECT 'recommendation', rec_type, count(*) FROM recs GROUP BY 2 UNION ALL SELECT 'role', role, count(*) FROM scores GROUP BY 2
-""", "posts problems recs scores")
+SELECT site_id, 'intent' AS dimension, content_intent AS value, count(*) AS n FROM sposts GROUP BY 1, 3 UNION ALL SELECT site_id, 'problem', problem_type, count(*) FROM sproblems GROUP BY 1, 3 UNION ALL SELECT site_id, 'recommendation', rec_type, count(*) FROM srecs GROUP BY 1, 3 UNION ALL SELECT site_id, 'role', role, count(*) FROM sscores GROUP BY 1, 3
+""", "sposts sproblems srecs sscores")
 def k25(t: Tables):
     return db.distribution_counts(
-        {"intent": (t.posts, "content_intent"), "problem": (t.problems, "problem_type"), "recommendation": (t.recs, "rec_type"), "role": (t.scores, "role")}
+        {"intent": (at_site(t.posts), "content_intent"), "problem": (at_site(t.problems), "problem_type"), "recommendation": (at_site(t.recs), "rec_type"), "role": (at_site(t.scores), "role")}
     )
 
 
-@query("k26_score_histogram", "SELECT CASE WHEN composite_score >= 80 THEN '80-100 (excellent)' WHEN composite_score >= 65 THEN '65-79 (good)' WHEN composite_score >= 40 THEN '40-64 (moderate)' WHEN composite_score >= 20 THEN '20-39 (poor)' ELSE '0-19 (critical)' END AS bucket, count(*) AS n FROM scores GROUP BY 1", "scores")
+@query("k26_score_histogram", "SELECT site_id, CASE WHEN composite_score >= 80 THEN '80-100 (excellent)' WHEN composite_score >= 65 THEN '65-79 (good)' WHEN composite_score >= 40 THEN '40-64 (moderate)' WHEN composite_score >= 20 THEN '20-39 (poor)' ELSE '0-19 (critical)' END AS bucket, count(*) AS n FROM sscores GROUP BY 1, 2", "sscores")
 def k26(t: Tables):
-    return db.score_histogram(t.scores)
+    return db.score_histogram(at_site(t.scores))
 
 
-@query("k27_early_findings", "SELECT (SELECT count(*) FROM posts) AS posts_sampled, (SELECT count(DISTINCT cluster_id) FROM post_clusters) AS clusters_found, (SELECT count(*) FROM pairs) AS pairs_found, (SELECT count(*) FROM problems WHERE problem_type = 'thin_content') AS thin_content, true AS preview_ready", "posts post_clusters pairs problems")
+@query("k27_early_findings", """
+SELECT site_id, count(*) AS posts_sampled, (SELECT count(DISTINCT cluster_id) FROM post_clusters m WHERE m.post_id % 5 = p.site_id) AS clusters_found, (SELECT count(*) FROM spairs x WHERE x.site_id = p.site_id) AS pairs_found, (SELECT count(*) FROM sproblems x WHERE x.site_id = p.site_id AND problem_type = 'thin_content') AS thin_content, true AS preview_ready FROM sposts p GROUP BY 1
+""", "sposts post_clusters spairs sproblems")
 def k27(t: Tables):
-    return db.early_findings(t.posts, t.post_clusters, t.pairs, t.problems)
+    return db.early_findings(at_site(t.posts), at_site(t.post_clusters), spairs(t), at_site(t.problems), 20)

@@ -8,7 +8,7 @@ from ..operators import pairs as pr
 from . import sqltext as q
 from .catalog_clusters import topical
 from .oracle import cte, query
-from .tables import AS_OF, Tables
+from .tables import AS_OF, Tables, at_site
 
 A = "DATE '2024-01-31'"
 
@@ -323,9 +323,9 @@ def f25(t: Tables):
     return pr.list_pairs(t.pairs, t.posts, t.scores, 100, 50).select("post_a_id", "post_b_id", "severity", "score_a", "role_b", "title_a")
 
 
-@query("f26_cannibal_posts", "SELECT count(DISTINCT p) AS n FROM (SELECT post_a_id AS p FROM pairs UNION ALL SELECT post_b_id FROM pairs)", "pairs")
+@query("f26_cannibal_posts", "SELECT site_id, count(DISTINCT p) AS n FROM (SELECT site_id, post_a_id AS p FROM spairs UNION ALL SELECT site_id, post_b_id FROM spairs) GROUP BY 1", "spairs")
 def f26(t: Tables):
-    return pr.cannibal_posts(t.pairs)
+    return pr.cannibal_posts(at_site(t.pairs, "post_a_id"))
 
 
 @query("f27_url_fluctuation", """

@@ -6,27 +6,33 @@ from pyspark.sql import functions as F
 
 from ..operators import tracking as tr
 from .oracle import cte, query
-from .tables import AS_OF, Tables
+from .tables import AS_OF, Tables, at_site
 
 A = "DATE '2024-01-31'"
 rnd = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 
-cte("gsc5", "SELECT post_id % 5 AS post_id, date, query, impressions, clicks, avg_position, ctr FROM gsc", "gsc")
+cte("gsc5", "SELECT post_id % 10 AS post_id, post_id % 5 AS site_id, date, query, impressions, clicks, avg_position, ctr FROM gsc", "gsc")
 cte("changes", f"""
-SELECT * FROM (SELECT post_id, query, avg(avg_position) FILTER (date >= {A} - 3) AS new_position, avg(avg_position) FILTER (date BETWEEN {A} - 14 AND {A} - 8) AS old_position, (sum(clicks) FILTER (date >= {A} - 3))::BIGINT AS clicks FROM gsc5 WHERE date >= {A} - 14 GROUP BY 1, 2)
-WHERE abs(new_position - old_position) >= 3 ORDER BY round(abs(new_position - old_position), 9) DESC, post_id, query LIMIT 50
+SELECT * FROM (SELECT site_id, post_id, query, avg(avg_position) FILTER (date >= {A} - 3) AS new_position, avg(avg_position) FILTER (date BETWEEN {A} - 14 AND {A} - 8) AS old_position, (sum(clicks) FILTER (date >= {A} - 3))::BIGINT AS clicks FROM gsc5 WHERE date >= {A} - 14 GROUP BY 1, 2, 3)
+WHERE abs(new_position - old_position) >= 3
 """, "gsc5")
+TOP_CHANGES = "QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY round(abs(new_position - old_position), 9) DESC, post_id, query) <= 20"
 
 
-def changes(t: Tables):
-    return tr.position_changes(t.gsc.withColumn("post_id", F.col("post_id") % 5), AS_OF)
+def changes(t: Tables, limit: int | None = None):
+    return tr.position_changes(at_site(t.gsc).withColumn("post_id", F.col("post_id") % 10), AS_OF, limit=limit)
 
 
-@query("j1_position_changes", "SELECT post_id, query, round(new_position, 6) AS new_position, round(old_position, 6) AS old_position, clicks, CASE WHEN new_position > old_position THEN 'position_drop' ELSE 'position_gain' END AS alert_type FROM changes", "changes")
+@query("j1_position_changes", "SELECT site_id, post_id, query, round(new_position, 6) AS new_position, round(old_position, 6) AS old_position, clicks, CASE WHEN new_position > old_position THEN 'position_drop' ELSE 'position_gain' END AS alert_type FROM changes", "changes")
 def j1(t: Tables):
     return rnd(changes(t).drop("change"), "new_position", "old_position")
 
 
+@query("j1_top_position_changes", f"SELECT site_id, post_id, query, round(new_position - old_position, 6) AS change FROM changes {TOP_CHANGES}", "changes")
+def j1b(t: Tables):
+    return rnd(changes(t, 20).select("site_id", "post_id", "query", "change"), "change")
+
+
 cte("alerts", "SELECT user_id AS post_id, 'q' || k AS keyword, event_type AS alert_type, min(date) AS detected_at, CASE WHEN k % 2 = 0 THEN 'new' ELSE 'seen' END AS status FROM ev WHERE event_type IN ('error', 'signup') GROUP BY 1, 2, 3, k, date", "ev")
 
 
@@ -45,19 +51,19 @@ def j2(t: Tables):
     return tr.suppress_repeats(a.filter(F.col("detected_at") >= cut), a.filter(F.col("detected_at") < cut)).select("post_id", "keyword", "alert_type", "detected_at")
 
 
-@query("j3_alerts_feed", "SELECT post_id, keyword, title, detected_at FROM alerts LEFT JOIN posts USING (post_id) WHERE status = 'new' AND detected_at > DATE '2024-01-20' AND alert_type = 'error' ORDER BY detected_at DESC, post_id, keyword LIMIT 50", "alerts posts")
+@query("j3_alerts_feed", "SELECT post_id, keyword, title, detected_at FROM alerts LEFT JOIN posts USING (post_id) WHERE status = 'new' AND detected_at > DATE '2024-01-20' AND alert_type = 'error' QUALIFY row_number() OVER (PARTITION BY post_id % 5 ORDER BY detected_at DESC, post_id, keyword) <= 15", "alerts posts")
 def j3(t: Tables):
-    return tr.alerts_feed(alerts(t).filter("alert_type = 'error'"), t.posts, "new", "2024-01-20").select("post_id", "keyword", "title", "detected_at")
+    return tr.alerts_feed(at_site(alerts(t)).filter("alert_type = 'error'"), t.posts, "new", "2024-01-20", 15).select("post_id", "keyword", "title", "detected_at")
 
 
 @query("j4_new_post_check", """
-WITH s AS (SELECT a, sim FROM sims WHERE 1 - sim < 0.75 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5), n AS (SELECT a, count(*) AS c, max(sim) AS m FROM s GROUP BY 1)
+WITH s AS (SELECT a, sim FROM sims WHERE 1 - sim < 0.75 AND a % 5 = b % 5 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 5), n AS (SELECT a, count(*) AS c, max(sim) AS m FROM s GROUP BY 1)
 SELECT p.post_id, c.cluster_id, coalesce(n.c, 0) AS similar, round(n.m, 6) AS closest, (SELECT count(*) FROM links WHERE source_post_id = p.post_id) AS outbound, (SELECT count(*) FROM links WHERE target_post_id = p.post_id) AS inbound, coalesce(n.c, 0) > 0 AS at_risk
 FROM posts p LEFT JOIN post_clusters c ON c.post_id = p.post_id LEFT JOIN n ON n.a = p.post_id WHERE publish_date > DATE '2024-01-31' - 90
 """, "sims posts post_clusters links")
 def j4(t: Tables):
     fresh = t.posts.filter(F.col("publish_date") > tr.day(AS_OF, 90))
-    return tr.check_new_posts(t.embeddings, fresh, t.post_clusters, t.links, 0.75).withColumn("closest", F.round("closest", 6))
+    return tr.check_new_posts(at_site(t.embeddings), fresh, t.post_clusters, t.links, 0.75).withColumn("closest", F.round("closest", 6))
 
 
 @query("j5_ranking_trends", f"""
@@ -110,9 +116,9 @@ def j8(t: Tables):
     return rnd(impacts(t), "health_change", "traffic_change_pct", "position_change")
 
 
-@query("j9_impact_report", f"SELECT count(*) AS total_completed, round_even(avg(health_change), 1) AS avg_health_improvement, round_even(avg(traffic_change_pct), 1) AS avg_traffic_change_pct, round_even(avg(position_change), 1) AS avg_position_improvement, count(*) FILTER (health_change > 0) AS improved, round_even(count(*) FILTER (health_change > 0) / greatest(count(*), 1) * 100, 1) AS success_rate FROM impacts WHERE completed_at >= {A} - 30", "impacts")
+@query("j9_impact_report", f"SELECT post_id % 5 AS site_id, count(*) AS total_completed, round_even(avg(health_change), 1) AS avg_health_improvement, round_even(avg(traffic_change_pct), 1) AS avg_traffic_change_pct, round_even(avg(position_change), 1) AS avg_position_improvement, count(*) FILTER (health_change > 0) AS improved, round_even(count(*) FILTER (health_change > 0) / greatest(count(*), 1) * 100, 1) AS success_rate FROM impacts WHERE completed_at >= {A} - 30 GROUP BY 1", "impacts")
 def j9(t: Tables):
-    return tr.impact_report(impacts(t), AS_OF)
+    return tr.impact_report(at_site(impacts(t)), AS_OF)
 
 
 @query("j10_health_history", "SELECT site_id, date, score, row_number() OVER (PARTITION BY site_id ORDER BY date DESC)::INTEGER AS rank FROM history QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY date DESC) <= 10", "history")
@@ -149,11 +155,14 @@ def j13(t: Tables):
 
 
 @query("j14_weekly_metrics", """
-SELECT (SELECT count(*) FROM posts) AS total_posts, round_even(avg(composite_score), 1) AS health_score, count(*) FILTER (role IN ('pillar','supporter')) AS active_posts, count(*) FILTER (role = 'dead_weight') AS dead_posts,
-  (SELECT count(DISTINCT p) FROM (SELECT post_a_id AS p FROM pairs UNION SELECT post_b_id FROM pairs)) AS cannibalistic_posts, round_even(count(*) FILTER (role IN ('pillar','supporter')) / (SELECT count(*) FROM posts) * 100, 1) AS efficiency_ratio FROM scores
-""", "posts scores pairs")
+WITH p AS (SELECT site_id, count(*) AS total_posts FROM sposts GROUP BY 1),
+c AS (SELECT site_id, round_even(avg(composite_score), 1) AS health_score, count(*) FILTER (role IN ('pillar','supporter')) AS active_posts, count(*) FILTER (role = 'dead_weight') AS dead_posts FROM sscores GROUP BY 1),
+x AS (SELECT site_id, count(DISTINCT p) AS n FROM (SELECT site_id, post_a_id AS p FROM spairs UNION SELECT site_id, post_b_id FROM spairs) GROUP BY 1)
+SELECT site_id, total_posts, coalesce(health_score, 0) AS health_score, coalesce(active_posts, 0) AS active_posts, coalesce(dead_posts, 0) AS dead_posts, coalesce(n, 0) AS cannibalistic_posts, round_even(coalesce(active_posts, 0) / total_posts * 100, 1) AS efficiency_ratio
+FROM p LEFT JOIN c USING (site_id) LEFT JOIN x USING (site_id)
+""", "sposts sscores spairs")
 def j14(t: Tables):
-    return tr.weekly_metrics(t.posts, t.scores, t.pairs)
+    return tr.weekly_metrics(at_site(t.posts), at_site(t.scores), at_site(t.pairs, "post_a_id"))
 
 
 @query("j14_weekly_delta", "SELECT site_id, score_n AS score, total_posts_n AS total_posts, round(score_n - score_o, 6) AS score_delta, total_posts_n - total_posts_o AS total_posts_delta FROM two", "two")
@@ -162,41 +171,57 @@ def j14b(t: Tables):
 
 
 @query("j15_weekly_report", f"""
-SELECT * FROM (SELECT 'cluster' AS kind, label AS name, health_score AS value FROM cstates ORDER BY health_score DESC NULLS LAST, cluster_id LIMIT 5)
-UNION ALL SELECT 'new_pairs', '', count(*)::DOUBLE FROM pairs WHERE created_at > {A} - 7
-UNION ALL SELECT * FROM (SELECT 'quick_win', label, post_count::DOUBLE FROM cstates WHERE ecosystem_state = 'swamp' ORDER BY post_count DESC, cluster_id LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'top_recommendation', title, rec_id::DOUBLE FROM recs WHERE status = 'pending' ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, created_at DESC, rec_id LIMIT 1)
-UNION ALL SELECT 'completed', '', count(*)::DOUBLE FROM recs WHERE status = 'completed' AND completed_at > {A} - 7
-""", "cstates pairs recs")
+WITH g AS (SELECT post_id % 5 AS site_id, sum(greatest(0, coalesce(traffic, 0) - baseline_traffic))::DOUBLE AS n FROM track LEFT JOIN base USING (post_id) GROUP BY 1)
+SELECT site_id, 'cluster' AS kind, label AS name, health_score AS value FROM scstates QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY health_score DESC NULLS LAST, cluster_id) <= 5
+UNION ALL SELECT site_id, 'new_pairs', '', count(*) FILTER (created_at > {A} - 7)::DOUBLE FROM spairs GROUP BY 1
+UNION ALL SELECT site_id, 'quick_win', label, post_count::DOUBLE FROM scstates WHERE ecosystem_state = 'swamp' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY post_count DESC, cluster_id) = 1
+UNION ALL SELECT site_id, 'top_recommendation', title, rec_id::DOUBLE FROM srecs WHERE status = 'pending' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, created_at DESC, rec_id) = 1
+UNION ALL SELECT site_id, 'completed', '', count(*) FILTER (status = 'completed' AND completed_at > {A} - 7)::DOUBLE FROM srecs GROUP BY 1
+UNION ALL SELECT site_id, 'recovered_traffic', '', n FROM g
+""", "scstates spairs srecs track base")
 def j15(t: Tables):
-    return tr.weekly_report(t.cluster_states, t.pairs, t.recs, AS_OF)
+    return tr.weekly_report(at_site(t.cluster_states, "cluster_id"), at_site(t.pairs, "post_a_id"), at_site(t.recs), tracked(t), AS_OF)
+
+
+def tracked(t: Tables):
+    return at_site(track(t).join(tr.impact_baseline(t.ga4, t.gsc, AS_OF), "post_id", "left").withColumnRenamed("traffic", "latest_traffic"))
 
 
 @query("j16_monthly_delta", f"""
-SELECT site_id, round_even(score_n, 0) AS score, round_even(score_n, 0) - round_even(score_o, 0) AS score_delta, (SELECT count(*) FROM recs WHERE status = 'completed' AND completed_at > {A} - 30) AS completed, (SELECT count(*) FROM recs WHERE status = 'pending') AS pending,
-  (SELECT count(*) FROM problems WHERE resolved_at IS NULL AND detected_at > {A} - 30) AS new_issues FROM two
-""", "two recs problems")
+SELECT site_id, round_even(score_n, 0) AS score, round_even(score_n, 0) - round_even(score_o, 0) AS score_delta, (SELECT count(*) FROM srecs r WHERE r.site_id = two.site_id AND status = 'completed' AND completed_at > {A} - 30) AS completed,
+  (SELECT count(*) FROM srecs r WHERE r.site_id = two.site_id AND status = 'pending') AS pending, (SELECT count(*) FROM sproblems p WHERE p.site_id = two.site_id AND resolved_at IS NULL AND detected_at > {A} - 30) AS new_issues FROM two
+""", "two srecs sproblems")
 def j16(t: Tables):
-    return tr.monthly_delta(t.history, t.recs, t.problems, AS_OF)
+    return tr.monthly_delta(t.history, at_site(t.recs), at_site(t.problems), AS_OF)
 
 
-@query("j17_since_visit", "SELECT (SELECT count(*) FROM problems WHERE detected_at > DATE '2024-01-15' AND resolved_at IS NULL) AS new_problems, (SELECT count(*) FROM alerts WHERE detected_at > DATE '2024-01-15') AS new_alerts, (SELECT count(*) FROM recs WHERE status = 'completed' AND completed_at > DATE '2024-01-15') AS completed", "problems alerts recs")
+@query("j17_since_visit", """
+WITH v AS (SELECT site_id, DATE '2024-01-10' + CAST(site_id AS INTEGER) AS at FROM sites)
+SELECT site_id, (SELECT count(*) FROM sproblems p WHERE p.site_id = v.site_id AND detected_at > at AND resolved_at IS NULL) AS new_problems, (SELECT count(*) FROM alerts a WHERE a.post_id % 5 = v.site_id AND detected_at > at) AS new_alerts,
+  (SELECT count(*) FROM srecs r WHERE r.site_id = v.site_id AND status = 'completed' AND completed_at > at) AS completed FROM v
+""".replace(" AS at ", " AS seen ").replace("> at", "> seen"), "sites sproblems alerts srecs")
 def j17(t: Tables):
-    return tr.since_visit(t.problems, alerts(t), t.recs, "2024-01-15")
+    visits = at_site(t.events, "user_id").select("site_id").distinct().withColumn("visited_at", F.date_add(F.lit("2024-01-10").cast("date"), F.col("site_id").cast("int")))
+    return tr.since_visit(at_site(t.problems), at_site(alerts(t)), at_site(t.recs), visits)
 
 
 @query("j18_roi_summary", f"""
-SELECT (SELECT sum(greatest(0, coalesce(traffic, 0) - baseline_traffic))::BIGINT FROM track LEFT JOIN base USING (post_id)) AS recovered, count(*) AS completed, date_diff('day', min(completed_at), {A})::INTEGER AS days_active,
-  (SELECT min_by(score, date) FROM history WHERE site_id = 0) AS initial_health, (SELECT max_by(score, date) FROM history WHERE site_id = 0) AS current_health, (SELECT round_even(max_by(score, date) - min_by(score, date), 1) FROM history WHERE site_id = 0) AS health_change FROM recs WHERE status = 'completed'
-""", "track base history recs")
+WITH k AS (SELECT post_id % 5 AS site_id, sum(greatest(0, coalesce(traffic, 0) - baseline_traffic))::BIGINT AS recovered FROM track LEFT JOIN base USING (post_id) GROUP BY 1),
+r AS (SELECT site_id, count(*) AS completed, date_diff('day', min(completed_at), {A})::INTEGER AS days_active FROM srecs WHERE status = 'completed' GROUP BY 1),
+h AS (SELECT site_id, min_by(score, date) AS initial_health, max_by(score, date) AS current_health FROM history GROUP BY 1)
+SELECT site_id, coalesce(recovered, 0) AS recovered, coalesce(completed, 0) AS completed, days_active, initial_health, current_health, round_even(current_health - initial_health, 1) AS health_change FROM k FULL JOIN r USING (site_id) FULL JOIN h USING (site_id)
+""", "track base history srecs")
 def j18(t: Tables):
-    tk = track(t).join(tr.impact_baseline(t.ga4, t.gsc, AS_OF), "post_id", "left").withColumnRenamed("traffic", "latest_traffic")
-    return tr.roi_summary(tk, t.recs, t.history.filter("site_id = 0"), AS_OF)
+    return tr.roi_summary(tracked(t), at_site(t.recs), t.history, AS_OF)
 
 
-@query("j19_impact_estimate", "SELECT count(*) AS completed, round_even(least(15, sum(CASE rec_type WHEN 'merge' THEN 3.0 WHEN 'expand' THEN 2.0 WHEN 'optimize' THEN 1.5 WHEN 'refresh' THEN 1.5 WHEN 'delete' THEN 0.5 ELSE 1.0 END) / greatest((SELECT count(*) FROM posts) / 50, 1))::DOUBLE, 1) AS estimated_points FROM recs WHERE status = 'completed'", "posts recs")
+@query("j19_impact_estimate", """
+WITH p AS (SELECT site_id, count(*) AS n FROM sposts GROUP BY 1),
+r AS (SELECT site_id, count(*) AS completed, sum(CASE rec_type WHEN 'merge' THEN 3.0 WHEN 'expand' THEN 2.0 WHEN 'optimize' THEN 1.5 WHEN 'refresh' THEN 1.5 WHEN 'delete' THEN 0.5 ELSE 1.0 END) AS w FROM srecs WHERE status = 'completed' GROUP BY 1)
+SELECT site_id, coalesce(completed, 0) AS completed, round_even(least(15, coalesce(w, 0) / greatest(n / 50, 1))::DOUBLE, 1) AS estimated_points FROM p LEFT JOIN r USING (site_id)
+""", "sposts srecs")
 def j19(t: Tables):
-    return tr.impact_estimate(t.recs, t.posts)
+    return tr.impact_estimate(at_site(t.recs), at_site(t.posts))
 
 
 cte("redirects", "SELECT doc_id % 5 AS site_id, url AS old_url, 'https://new.example.com/' || doc_id AS new_url, CASE doc_id % 4 WHEN 0 THEN 'pushed' WHEN 1 THEN 'verified' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, publish_date AS created_at FROM documents JOIN posts ON post_id = doc_id WHERE doc_id % 3 <> 1", "posts")
@@ -225,25 +250,28 @@ def j20(t: Tables):
 
 
 @query("j21_period_recap", """
-SELECT (SELECT count(*) FROM posts) AS total_posts, (SELECT count(*) FROM posts WHERE publish_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') AS posts_created, (SELECT sum(word_count)::BIGINT FROM posts) AS total_words,
-  (SELECT min_by(score, date) FROM history WHERE site_id = 1) AS health_start, (SELECT max_by(score, date) FROM history WHERE site_id = 1) AS health_end, (SELECT post_id FROM scores ORDER BY composite_score DESC, post_id LIMIT 1) AS best_post, (SELECT post_id FROM scores ORDER BY composite_score, post_id LIMIT 1) AS worst_post,
-  (SELECT count(*) FROM cstates) AS cluster_count, (SELECT label FROM cstates ORDER BY health_score DESC, cluster_id LIMIT 1) AS top_cluster, (SELECT count(*) FROM cstates WHERE ecosystem_state = 'swamp') AS swamps, (SELECT count(*) FROM cstates WHERE ecosystem_state = 'desert') AS deserts, (SELECT count(*) FROM pairs) AS pairs,
-  (SELECT round_even(max_by(score, date) - min_by(score, date), 1) FROM history WHERE site_id = 1) AS improvement
-""", "posts history scores cstates pairs")
+WITH p AS (SELECT site_id, count(*) AS total_posts, count(*) FILTER (publish_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') AS posts_created, sum(word_count)::BIGINT AS total_words FROM sposts GROUP BY 1),
+h AS (SELECT site_id, min_by(score, date) AS health_start, max_by(score, date) AS health_end FROM history GROUP BY 1),
+b AS (SELECT site_id, first(post_id ORDER BY composite_score DESC, post_id) AS best_post, first(post_id ORDER BY composite_score, post_id) AS worst_post FROM sscores GROUP BY 1),
+c AS (SELECT site_id, count(*) AS cluster_count, first(label ORDER BY health_score DESC, cluster_id) AS top_cluster, count(*) FILTER (ecosystem_state = 'swamp') AS swamps, count(*) FILTER (ecosystem_state = 'desert') AS deserts, count(*) FILTER (ecosystem_state = 'forest') AS forests, count(*) FILTER (ecosystem_state = 'seedbed') AS seedbeds, count(*) FILTER (ecosystem_state = 'meadow') AS meadows FROM scstates GROUP BY 1),
+x AS (SELECT site_id, count(*) AS pairs FROM spairs GROUP BY 1)
+SELECT site_id, total_posts, posts_created, total_words, health_start, health_end, best_post, worst_post, coalesce(cluster_count, 0) AS cluster_count, top_cluster, coalesce(swamps, 0) AS swamps, coalesce(deserts, 0) AS deserts, coalesce(forests, 0) AS forests, coalesce(seedbeds, 0) AS seedbeds, coalesce(meadows, 0) AS meadows,
+  coalesce(pairs, 0) AS pairs, round_even(health_end - health_start, 1) AS improvement FROM p LEFT JOIN h USING (site_id) LEFT JOIN b USING (site_id) LEFT JOIN c USING (site_id) LEFT JOIN x USING (site_id)
+""", "sposts history sscores scstates spairs")
 def j21(t: Tables):
-    return tr.period_recap(t.posts, t.history.filter("site_id = 1"), t.scores, t.cluster_states, t.pairs, "2024-01")
+    return tr.period_recap(at_site(t.posts), t.history, at_site(t.scores), at_site(t.cluster_states, "cluster_id"), at_site(t.pairs, "post_a_id"), "2024-01")
 
 
 @query("j22_streaks", f"""
-WITH d AS (SELECT DISTINCT user_id, date FROM ev WHERE event_type IN ('click', 'view')), g AS (SELECT user_id, date - CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INTEGER) AS g, date FROM d), r AS (SELECT user_id, g, count(*) AS n, max(date) AS e FROM g GROUP BY 1, 2)
+WITH d AS (SELECT DISTINCT user_id, date FROM ev WHERE event_type IN ('click', 'view') AND date <= DATE '2024-01-20'), g AS (SELECT user_id, date - CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INTEGER) AS g, date FROM d), r AS (SELECT user_id, g, count(*) AS n, max(date) AS e FROM g GROUP BY 1, 2)
 SELECT user_id, max_by(n, e) AS current_streak, max(n) AS longest_streak, max(e) AS last_check_in, sum(n)::BIGINT AS total_check_ins, CASE WHEN max_by(n, e) >= 100 THEN 'gold' WHEN max_by(n, e) >= 30 THEN 'silver' WHEN max_by(n, e) >= 7 THEN 'bronze' END AS milestone FROM r GROUP BY 1
 """, "ev")
 def j22(t: Tables):
-    return tr.streaks(t.events.filter(F.col("event_type").isin("click", "view")), AS_OF)
+    return tr.streaks(t.events.filter(F.col("event_type").isin("click", "view")), "2024-01-20")
 
 
 def snaps(t: Tables):
-    return tr.daily_snapshots(t.scores, t.problems, t.gsc, t.pairs, t.cluster_states, AS_OF)
+    return tr.daily_snapshots(at_site(t.scores), at_site(t.problems), t.gsc, at_site(t.pairs, "post_a_id"), t.cluster_states, AS_OF)
 
 
 @query("j23_post_snapshot", f"""
@@ -254,7 +282,10 @@ def j23(t: Tables):
     return snaps(t)["post"].withColumn("avg_position", F.round(F.col("avg_position") + 1e-9, 6))
 
 
-@query("j23_site_snapshot", f"SELECT round(avg(composite_score), 6) AS avg_health_score, count(*) AS total_posts, count(*) FILTER (role = 'pillar') AS pillar_count, count(*) FILTER (role = 'dead_weight') AS dead_weight_count, (SELECT count(*) FROM problems) AS total_problems, (SELECT count(*) FROM pairs) AS cannibalization_pairs, {A} AS snapshot_date FROM scores", "scores problems pairs")
+@query("j23_site_snapshot", f"""
+WITH s AS (SELECT site_id, round(avg(composite_score), 6) AS avg_health_score, count(*) AS total_posts, count(*) FILTER (role = 'pillar') AS pillar_count, count(*) FILTER (role = 'dead_weight') AS dead_weight_count FROM sscores GROUP BY 1)
+SELECT s.*, (SELECT count(*) FROM sproblems p WHERE p.site_id = s.site_id) AS total_problems, (SELECT count(*) FROM spairs p WHERE p.site_id = s.site_id) AS cannibalization_pairs, {A} AS snapshot_date FROM s
+""", "sscores sproblems spairs")
 def j23b(t: Tables):
     return rnd(snaps(t)["site"], "avg_health_score")
 

@@ -149,3 +149,12 @@ FROM ev GROUP BY 1, 2
 cte("cstates", """
 SELECT c.*, health_score, ['swamp','desert','forest','seedbed','meadow'][c.cluster_id % 5 + 1] AS ecosystem_state FROM clusters c JOIN (SELECT cluster_id, round(avg(composite_score), 6) AS health_score FROM scores GROUP BY 1) h USING (cluster_id)
 """, "clusters scores")
+
+# five sites: the same tables with a site key, by id
+cte("sposts", "SELECT * REPLACE (post_id % 5 AS site_id) FROM posts", "posts")
+for _name in ("scores", "problems", "recs", "gsc", "ga4"):
+    cte(f"s{_name}", f"SELECT *, post_id % 5 AS site_id FROM {_name}", _name)
+cte("spairs", "SELECT *, post_a_id % 5 AS site_id FROM pairs", "pairs")
+cte("sclusters", "SELECT *, (cluster_id % 5)::BIGINT AS site_id FROM clusters", "clusters")
+cte("scstates", "SELECT *, (cluster_id % 5)::BIGINT AS site_id FROM cstates", "cstates")
+cte("sites", "SELECT unnest(range(5)) AS site_id")

@@ -17,6 +17,11 @@ from .scale import spread, tune
 AS_OF = "2024-01-31"  # the day after the last event
 
 
+def at_site(df: DataFrame, by: str = "post_id") -> DataFrame:
+    """The rows dealt to five sites by an id."""
+    return df.withColumn("site_id", (F.col(by) % 5).cast("bigint"))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
