@@ -16,7 +16,6 @@ from ..plans.scale import durable
 from .vectors import dot, top_matches, unit
 
 SMALL_SITE = 15  # posts below which a site is one cluster
-SAMPLE = 100  # vectors looked at for the mean similarity
 MAX_CLUSTER = 25  # posts above which a cluster is split again
 MAX_DEPTH = 3
 
@@ -37,15 +36,14 @@ def centre_vectors(df: DataFrame, keys: list[str]) -> DataFrame:
     return moved.withColumn("vec", unit(F.col("vec")))
 
 
-def mean_similarity(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Mean of the cosine matrix (zero diagonal) of a fixed hash-ordered sample.
+def mean_similarity(df: DataFrame) -> DataFrame:
+    """Mean of the cosine matrix (zero diagonal) of each site's vectors.
 
     The sum over all pairs of unit vectors is |sum|² − n, so no pairs are formed.
     """
-    picked = df.orderBy(F.md5(F.col("post_id").cast("string")), "post_id").limit(sample).withColumn("vec", unit(F.col("vec")))
-    m = mean_vectors(picked.withColumn("_k", F.lit(1)), ["_k"])
+    m = mean_vectors(df.withColumn("vec", unit(F.col("vec"))), ["site_id"])
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    return m.select("n", (square - 1.0 / F.col("n")).alias("mean_similarity"))
+    return m.select("site_id", "n", (square - 1.0 / F.col("n")).alias("mean_similarity"))
 
 
 def min_cluster_size(n: Column) -> Column:
@@ -196,12 +194,6 @@ def split_large(df: DataFrame, limit: int = MAX_CLUSTER, depth: int = MAX_DEPTH,
     return state.join(df.select("post_id", "cluster_id"), "post_id").select("post_id", "cluster_id", "path")
 
 
-def bisect(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Hierarchical clusters of one site by bisecting k-means."""
-    data = vectors.withColumn("features", array_to_vector("vec"))
-    return BisectingKMeans(k=k, seed=seed, predictionCol="cluster_id").fit(data).transform(data).select("post_id", "cluster_id")
-
-
 def map_positions(df: DataFrame, pull: float = 0.15) -> DataFrame:
     """2-D positions: principal components, each post drawn 15 % to its cluster's centre."""
     data = df.withColumn("features", array_to_vector("vec"))

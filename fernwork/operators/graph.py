@@ -130,16 +130,13 @@ def link_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def inbound_stats(links: DataFrame, posts: DataFrame) -> DataFrame:
-    """Mean and largest inbound count and the most linked title."""
-    per = links.filter(F.col("target_post_id").isNotNull()).groupBy(F.col("target_post_id").alias("post_id")).agg(F.count("*").alias("n"))
-    titles = per.join(posts.select("post_id", "title"), "post_id").groupBy("title").agg(F.sum("n").alias("n"))
+    """Mean and largest inbound count and the most linked title of each site."""
+    per = links.filter(F.col("target_post_id").isNotNull()).groupBy("site_id", F.col("target_post_id").alias("post_id")).agg(F.count("*").alias("n"))
+    titles = per.join(posts.select("post_id", "title"), "post_id").groupBy("site_id", "title").agg(F.sum("n").alias("n"))
     # most links first, ties by title
-    top = titles.agg(F.min_by(F.struct("title", "n"), F.struct(-F.col("n"), F.col("title"))).alias("_t"))
-    stats = per.agg(F.round(F.avg("n"), 1).alias("avg_in"), F.max("n").alias("max_in"))
-    one = F.lit(1).alias("_k")
-    return stats.select("*", one).join(top.select("*", one), "_k").select(
-        "avg_in", "max_in", F.col("_t.title").alias("most_linked"), F.col("_t.n").alias("most_linked_count")
-    )
+    top = titles.groupBy("site_id").agg(F.min_by(F.struct("title", "n"), F.struct(-F.col("n"), F.col("title"))).alias("_t"))
+    stats = per.groupBy("site_id").agg(F.round(F.avg("n"), 1).alias("avg_in"), F.max("n").alias("max_in"))
+    return stats.join(top, "site_id", "left").select("site_id", "avg_in", "max_in", F.col("_t.title").alias("most_linked"), F.col("_t.n").alias("most_linked_count"))
 
 
 def cluster_flows(links: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -173,34 +170,36 @@ def flow_quality(flows: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def orphan_suggestions(vectors: DataFrame, links: DataFrame, k: int = 5, floor: float = 0.20) -> DataFrame:
-    """For each post without inbound links, similar posts that already link out.
+    """For each post without inbound links, similar posts of its site that already link out.
 
-    When fewer than a fifth of the orphans find a partner, the site gets one
-    general row instead (neighbour_id null, rank 0).
+    When fewer than a fifth of a site's orphans find a partner, the site gets one
+    general row instead (neighbour_id null, rank 0). vectors(site_id, post_id, vec).
     """
     targets = links.filter(F.col("target_post_id").isNotNull()).select(F.col("target_post_id").alias("post_id")).distinct()
     sources = links.select(F.col("source_post_id").alias("post_id")).distinct()
     orphans = vectors.join(targets, "post_id", "left_anti")
-    found = top_matches(orphans, vectors.join(sources, "post_id", "left_semi"), k, floor=floor)
-    counts = found.agg(F.count_distinct("post_id").alias("_good")).withColumn("_k", F.lit(1)).join(
-        orphans.agg(F.count("*").alias("_all"), F.min("post_id").alias("_first")).withColumn("_k", F.lit(1)), "_k"
-    ).withColumn("_sparse", F.col("_good") < F.col("_all") * 0.2)
-    rows = found.withColumn("_k", F.lit(1)).join(counts, "_k").filter("NOT _sparse").select("post_id", "neighbour_id", "similarity", "rank")
+    found = top_matches(orphans, vectors.join(sources, "post_id", "left_semi"), k, ["site_id"], floor=floor)
+    found = found.withColumn("site_id", F.col("site_id").cast(vectors.schema["site_id"].dataType))
+    all_ = orphans.groupBy("site_id").agg(F.count("*").alias("_all"), F.min("post_id").alias("_first"))
+    counts = all_.join(found.groupBy("site_id").agg(F.count_distinct("post_id").alias("_good")), "site_id", "left").withColumn(
+        "_sparse", F.coalesce("_good", F.lit(0)) < F.col("_all") * 0.2
+    )
+    rows = found.join(counts, "site_id").filter("NOT _sparse").select("site_id", "post_id", "neighbour_id", "similarity", "rank")
     site = counts.filter("_sparse").select(
-        F.col("_first").alias("post_id"), F.lit(None).cast("bigint").alias("neighbour_id"),
+        "site_id", F.col("_first").alias("post_id"), F.lit(None).cast("bigint").alias("neighbour_id"),
         F.lit(None).cast("double").alias("similarity"), F.lit(0).alias("rank"),
     )
     return rows.unionByName(site)
 
 
 def link_breakdown(links: DataFrame, nodes: DataFrame, blog: str = "/blog/") -> DataFrame:
-    """Resolved and unresolved links, inside and outside the blog, and orphan count."""
+    """Resolved and unresolved links of each site, inside and outside the blog, and its orphan count: nodes(site_id, post_id)."""
     open_ = F.col("target_post_id").isNull()
     in_blog = F.contains("target_url", F.lit(blog))
-    stats = links.agg(
+    stats = links.groupBy("site_id").agg(
         F.count("*").alias("total"), F.count_if(~open_).alias("resolved"),
         F.count_if(open_ & ~in_blog).alias("non_blog"), F.count_if(open_ & in_blog).alias("unresolved_blog"),
     )
     targets = links.filter(~open_).select(F.col("target_post_id").alias("post_id")).distinct()
-    orphans = nodes.select("post_id").join(targets, "post_id", "left_anti").agg(F.count("*").alias("orphans"))
-    return stats.withColumn("_k", F.lit(1)).join(orphans.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    orphans = nodes.join(targets, "post_id", "left_anti").groupBy("site_id").agg(F.count("*").alias("orphans"))
+    return stats.join(orphans, "site_id", "full_outer").na.fill(0, ["total", "resolved", "non_blog", "unresolved_blog", "orphans"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import distributed_rank, top_per_group
+from ..plans.scale import distributed_rank, durable, top_per_group
 from .pairs import severity_rank
 from .vectors import nearest_to, top_matches
 
@@ -134,10 +134,17 @@ def pair_recommendations(pairs: DataFrame, posts: DataFrame) -> DataFrame:
     )
 
 
-def high_similarity_merges(pairs: DataFrame, posts: DataFrame, recs: DataFrame, floor: float = 0.90, limit: int = 20) -> DataFrame:
-    """Merges for the closest pairs whose posts have no merge advice yet; the shorter page goes."""
+def high_similarity_merges(pairs: DataFrame, posts: DataFrame, recs: DataFrame, floor: float = 0.90, limit: int | None = None) -> DataFrame:
+    """Merges for close pairs, the closest first; the shorter page goes. A page that already has merge advice,
+    from before or from a closer pair, takes no part in another merge. ``limit`` pairs a site are looked at.
+
+    Whether a pair stands depends on closer pairs of its pages only, so each
+    round settles every pair that no open closer pair can still rule out.
+    """
     wc = posts.select("post_id", F.coalesce("word_count", F.lit(0)).alias("w"))
-    top = pairs.filter(F.col("cosine") >= floor).orderBy(F.desc("cosine"), "post_a_id", "post_b_id").limit(limit)
+    top = pairs.filter(F.col("cosine") >= floor)
+    if limit:
+        top = top_per_group(top, ["site_id"], [F.desc("cosine"), F.asc("post_a_id"), F.asc("post_b_id")], limit)
     busy = recs.filter("rec_type = 'merge'").select("post_id").distinct()
     free = top.join(busy.withColumnRenamed("post_id", "post_a_id"), "post_a_id", "left_anti").join(
         busy.withColumnRenamed("post_id", "post_b_id"), "post_b_id", "left_anti"
@@ -146,10 +153,24 @@ def high_similarity_merges(pairs: DataFrame, posts: DataFrame, recs: DataFrame,
         wc.select(F.col("post_id").alias("post_b_id"), F.col("w").alias("_wb")), "post_b_id"
     )
     a = F.col("_wa") >= F.col("_wb")
-    return df.select(
-        F.when(a, F.col("post_b_id")).otherwise(F.col("post_a_id")).alias("post_id"), F.when(a, F.col("post_a_id")).otherwise(F.col("post_b_id")).alias("primary_id"),
-        "cosine", F.when(F.col("cosine") >= 0.99, "redirect").otherwise("merge").alias("action"),
-    )
+    open_ = durable(df.select(
+        "site_id", "post_a_id", "post_b_id", F.when(a, F.col("post_b_id")).otherwise(F.col("post_a_id")).alias("post_id"),
+        F.when(a, F.col("post_a_id")).otherwise(F.col("post_b_id")).alias("primary_id"), "cosine", F.struct(-F.col("cosine"), "post_a_id", "post_b_id").alias("_r"),
+    ))
+    done = open_.limit(0)
+    while open_.limit(1).count():
+        first = open_.groupBy("post_id").agg(F.min("_r").alias("_m"))
+        side = lambda s: first.select(F.col("post_id").alias(f"post_{s}_id"), F.col("_m").alias(f"_m{s}"))
+        sure = open_.join(side("a"), "post_a_id", "left").join(side("b"), "post_b_id", "left").filter(
+            F.coalesce(F.col("_ma") >= F.col("_r"), F.lit(True)) & F.coalesce(F.col("_mb") >= F.col("_r"), F.lit(True))
+        )
+        new = durable(sure.select(*open_.columns))
+        gone = new.select(F.col("post_id").alias("_x"), F.col("_r").alias("_n"))
+        rest = open_
+        for s in ("a", "b"):
+            rest = rest.join(gone, (F.col(f"post_{s}_id") == F.col("_x")) & (F.col("_r") >= F.col("_n")), "left_anti")
+        open_, done = durable(rest), done.unionByName(new)
+    return done.select("site_id", "post_id", "primary_id", "cosine", F.when(F.col("cosine") >= 0.99, "redirect").otherwise("merge").alias("action"))
 
 
 def dedup_merges(recs: DataFrame) -> DataFrame:
@@ -160,13 +181,13 @@ def dedup_merges(recs: DataFrame) -> DataFrame:
 
 
 def rescore_priorities(recs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Pending advice for the top 10 % of pages by PageRank is critical, the next 20 % high."""
+    """Pending advice for the top 10 % of a site's pages by PageRank is critical, for the next 20 % high."""
     pending = recs.filter("status = 'pending'").join(scores.select("post_id", "pagerank"), "post_id", "left").withColumn(
         "pagerank", F.coalesce("pagerank", F.lit(0.0))
-    ).withColumn("_k", F.lit(0))
-    r = distributed_rank(pending, ["_k"], [F.desc("pagerank"), F.asc("rec_id")], "_r", "_n")
+    )
+    r = distributed_rank(pending, ["site_id"], [F.desc("pagerank"), F.asc("rec_id")], "_r", "_n")
     pct = (F.col("_r") - 1) / F.col("_n")
-    return r.withColumn("priority", F.when(pct < 0.10, "critical").when(pct < 0.30, "high").otherwise(F.col("priority"))).drop("_k", "_r", "_n")
+    return r.withColumn("priority", F.when(pct < 0.10, "critical").when(pct < 0.30, "high").otherwise(F.col("priority"))).drop("_r", "_n")
 
 
 def recalibrate(recs: DataFrame, pairs: DataFrame, posts: DataFrame, problems: DataFrame) -> DataFrame:
@@ -190,14 +211,14 @@ def recalibrate(recs: DataFrame, pairs: DataFrame, posts: DataFrame, problems: D
 
 
 def growth_links(vectors: DataFrame, recs: DataFrame, k: int = 3) -> DataFrame:
-    """For posts without advice, the most similar posts of other clusters."""
+    """For posts without advice, the most similar posts of the site's other clusters."""
     free = vectors.join(recs.select("post_id").distinct(), "post_id", "left_anti")
-    return top_matches(free, vectors, k, apart="cluster_id")
+    return top_matches(free, vectors, k, ["site_id"], apart="cluster_id")
 
 
 def growth_pillars(scores: DataFrame, recs: DataFrame, limit: int = 5) -> DataFrame:
-    """Best pillars without pending growth advice among the top of the site."""
-    top = scores.filter("role = 'pillar'").orderBy(F.desc("composite_score"), "post_id").limit(limit)
+    """Best pillars without pending growth advice among the top of each site."""
+    top = top_per_group(scores.filter("role = 'pillar'"), ["site_id"], [F.desc("composite_score"), F.asc("post_id")], limit)
     busy = recs.filter("rec_type = 'growth' AND status = 'pending'").select("post_id").distinct()
     return top.join(busy, "post_id", "left_anti")
 
@@ -215,12 +236,12 @@ def priority_rank(c: Column) -> Column:
 
 
 def shortlist(recs: DataFrame, limit: int, per_type: int = 3) -> DataFrame:
-    """Most urgent advice, at most three of a type, filled up from what is left."""
+    """Each site's most urgent advice, at most three of a type, filled up from what is left."""
     order = [priority_rank(F.col("priority")), F.desc("created_at"), F.asc("rec_id")]
-    cand = recs.filter("status = 'pending'").orderBy(*order).limit(limit * 3)
-    # at most 3 · limit rows from here on
-    picked = top_per_group(cand, ["rec_type"], order, limit * 3, rank="_t")
-    return picked.withColumn("_late", (F.col("_t") > per_type).cast("int")).orderBy("_late", *order).limit(limit).drop("_t", "_late")
+    cand = top_per_group(recs.filter("status = 'pending'"), ["site_id"], order, limit * 3)
+    # at most 3 · limit rows a site from here on
+    picked = top_per_group(cand, ["site_id", "rec_type"], order, limit * 3, rank="_t").withColumn("_late", (F.col("_t") > per_type).cast("int"))
+    return top_per_group(picked, ["site_id"], [F.asc("_late"), *order], limit).drop("_t", "_late")
 
 
 def consolidation_plans(clusters: DataFrame, members: DataFrame, posts: DataFrame, scores: DataFrame, pairs: DataFrame, ga4: DataFrame, as_of: str) -> DataFrame:
@@ -300,13 +321,26 @@ def calendar_summary(advice: DataFrame) -> DataFrame:
     return advice.groupBy("advice").agg(F.count("*").alias("clusters"), F.min(order).alias("position")).orderBy("position")
 
 
-def content_gaps(gsc: DataFrame, as_of: str, least: int = 50, ctr: float = 0.02, low: float = 5, high: float = 30, limit: int = 50, days: int = 90) -> DataFrame:
-    """Queries seen often but hardly clicked at middling positions."""
-    q = gsc.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).groupBy("query").agg(
+def content_gaps(gsc: DataFrame, as_of: str, least: int = 50, ctr: float = 0.02, low: float = 5, high: float = 30, limit: int | None = None, days: int = 90) -> DataFrame:
+    """Queries of each site seen often but hardly clicked at middling positions; with a limit, those seen most."""
+    q = gsc.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).groupBy("site_id", "query").agg(
         F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.avg("avg_position").alias("avg_position")
     )
-    ok = (F.col("impressions") >= least) & (F.try_divide("clicks", "impressions") < ctr) & F.col("avg_position").between(low, high)
-    return q.filter(ok).orderBy(F.desc("impressions"), "query").limit(limit)
+    found = q.filter((F.col("impressions") >= least) & (F.try_divide("clicks", "impressions") < ctr) & F.col("avg_position").between(low, high))
+    return top_per_group(found, ["site_id"], [F.desc("impressions"), F.asc("query")], limit) if limit else found
+
+
+def closest_cluster(gaps: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds the site's cluster whose centre lies nearest to any of its posts, and that similarity: vectors(site_id, post_id, cluster_id, vec)."""
+    from .clusters import mean_vectors
+
+    # ids below zero keep centres apart from posts
+    centres = mean_vectors(vectors, ["site_id", "cluster_id"]).select("site_id", (-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
+    near = top_matches(vectors, centres, 1, ["site_id"])
+    best = near.groupBy("site_id").agg(F.max_by(F.struct("neighbour_id", "similarity"), F.struct("similarity", "neighbour_id")).alias("_c"))
+    site = vectors.schema["site_id"].dataType
+    best = best.select(F.col("site_id").cast(site).alias("site_id"), (-1 - F.col("_c.neighbour_id")).alias("cluster_id"), F.col("_c.similarity").alias("similarity"))
+    return gaps.join(best, "site_id", "left")
 
 
 def gap_type(gaps: DataFrame) -> DataFrame:
@@ -315,22 +349,26 @@ def gap_type(gaps: DataFrame) -> DataFrame:
 
 
 def top_gap(gaps: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Open gap of most impressions with its cluster's label."""
-    return gaps.filter("status = 'open'").orderBy(F.desc("impressions"), "query").limit(1).join(clusters.select("cluster_id", "label"), "cluster_id", "left")
+    """Each site's open gap of most impressions with its cluster's label."""
+    top = top_per_group(gaps.filter("status = 'open'"), ["site_id"], [F.desc("impressions"), F.asc("query")], 1)
+    return top.join(clusters.select("cluster_id", "label"), "cluster_id", "left")
 
 
-def secondary_keywords(gsc: DataFrame, term: str, as_of: str, limit: int = 15) -> DataFrame:
-    """Other queries that contain a term, by impressions."""
-    recent = gsc.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), 90))
-    q = recent.filter(F.contains(F.lower("query"), F.lit(term.lower()))).groupBy("query").agg(F.sum("impressions").alias("impressions"))
-    return q.orderBy(F.desc("impressions"), "query").limit(limit).filter(F.lower("query") != term.lower())
+def secondary_keywords(gsc: DataFrame, term: str, as_of: str, limit: int | None = 15) -> DataFrame:
+    """Each site's other queries that contain a term, by impressions."""
+    q = F.lower("query")
+    recent = gsc.filter((F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), 90)) & F.contains(q, F.lit(term.lower())) & (q != term.lower()))
+    found = recent.groupBy("site_id", "query").agg(F.sum("impressions").alias("impressions"))
+    return top_per_group(found, ["site_id"], [F.desc("impressions"), F.asc("query")], limit) if limit else found
 
 
 def keyword_rankings(gsc: DataFrame, posts: DataFrame, term: str, as_of: str, limit: int = 5) -> DataFrame:
-    """Posts that rank for queries with a term, by clicks."""
+    """Each site's posts that rank for queries with a term, by clicks."""
     recent = gsc.filter((F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), 90)) & F.contains(F.lower("query"), F.lit(term.lower())))
-    q = recent.groupBy("post_id", "query").agg(F.avg("avg_position").alias("avg_position"), F.sum("clicks").alias("clicks"))
-    return q.join(posts.select("post_id", "title"), "post_id").orderBy(F.desc("clicks"), "post_id", "query").limit(limit)
+    q = recent.groupBy("site_id", "post_id", "query").agg(F.avg("avg_position").alias("avg_position"), F.sum("clicks").alias("clicks"))
+    q = q.join(posts.select("post_id").distinct(), "post_id", "left_semi")
+    top = top_per_group(q, ["site_id"], [F.desc("clicks"), F.asc("post_id"), F.asc("query")], limit)
+    return top.join(posts.select("post_id", "title"), "post_id")
 
 
 def draft_lookup(vectors: DataFrame, draft: list[float], gsc: DataFrame, term: str, k: int = 20) -> DataFrame:

@@ -157,7 +157,7 @@ def ambiguous_intent(title: Column, url: Column) -> Column:
 
 
 def intent_counts(posts: DataFrame) -> DataFrame:
-    return posts.groupBy(content_intent(F.col("title"), F.col("url")).alias("intent")).agg(F.count("*").alias("n"))
+    return posts.groupBy("site_id", content_intent(F.col("title"), F.col("url")).alias("intent")).agg(F.count("*").alias("n"))
 
 
 # ---- AI readiness --------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from .oracle import cte, query
-from .tables import Tables
+from .tables import Tables, at_site
 
 cte("nodes", "SELECT DISTINCT source_post_id AS id FROM links UNION SELECT target_post_id FROM links WHERE target_post_id IS NOT NULL UNION SELECT post_id FROM post_clusters", "links post_clusters")
 
@@ -89,12 +89,13 @@ def d6(t: Tables):
 
 
 @query("d7_inbound_stats", """
-WITH p AS (SELECT target_post_id AS post_id, count(*) AS n FROM links WHERE target_post_id IS NOT NULL GROUP BY 1),
-m AS (SELECT title, sum(n)::BIGINT AS n FROM p JOIN posts USING (post_id) GROUP BY title ORDER BY n DESC, title LIMIT 1)
-SELECT (SELECT round(avg(n), 1) FROM p) AS avg_in, (SELECT max(n) FROM p) AS max_in, title AS most_linked, n AS most_linked_count FROM m
+WITH p AS (SELECT source_post_id % 5 AS site_id, target_post_id AS post_id, count(*) AS n FROM links WHERE target_post_id IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT site_id, title, sum(n)::BIGINT AS n FROM p JOIN (SELECT post_id, title FROM posts) USING (post_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY sum(n) DESC, title) = 1),
+a AS (SELECT site_id, round(avg(n), 1) AS avg_in, max(n) AS max_in FROM p GROUP BY 1)
+SELECT site_id, avg_in, max_in, title AS most_linked, n AS most_linked_count FROM a LEFT JOIN m USING (site_id)
 """, "links posts")
 def d7(t: Tables):
-    return g.inbound_stats(t.links, t.posts)
+    return g.inbound_stats(at_site(t.links, "source_post_id"), t.posts)
 
 
 FLOWS = """
@@ -124,18 +125,21 @@ def d9(t: Tables):
 @query("d10_orphan_suggestions", """
 WITH o AS (SELECT * FROM emb WHERE post_id NOT IN (SELECT target_post_id FROM links WHERE target_post_id IS NOT NULL)),
 s AS (SELECT * FROM emb WHERE post_id IN (SELECT source_post_id FROM links)),
-p AS (SELECT o.post_id, s.post_id AS neighbour_id, list_cosine_similarity(o.vec, s.vec) AS similarity FROM o, s WHERE o.post_id <> s.post_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY similarity DESC, neighbour_id) AS rank FROM p WHERE similarity >= 0.2)
-SELECT post_id, neighbour_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 5
+p AS (SELECT o.post_id, s.post_id AS neighbour_id, list_cosine_similarity(o.vec, s.vec) AS similarity FROM o, s WHERE o.post_id <> s.post_id AND o.post_id % 5 = s.post_id % 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY similarity DESC, neighbour_id) AS rank FROM p WHERE similarity >= 0.35),
+few AS (SELECT o.post_id % 5 AS s FROM o LEFT JOIN (SELECT DISTINCT post_id FROM r) f ON f.post_id = o.post_id GROUP BY 1 HAVING count(f.post_id) < count(*) * 0.2)
+SELECT post_id % 5 AS site_id, post_id, neighbour_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 5 AND post_id % 5 NOT IN (FROM few)
+UNION ALL SELECT post_id % 5, min(post_id), NULL, NULL, 0 FROM o WHERE post_id % 5 IN (FROM few) GROUP BY 1
 """, "emb links")
 def d10(t: Tables):
-    return g.orphan_suggestions(t.embeddings.select("post_id", "vec"), t.links).withColumn("similarity", F.round("similarity", 6))
+    return g.orphan_suggestions(at_site(t.embeddings).select("site_id", "post_id", "vec"), t.links, floor=0.35).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("d11_link_breakdown", """
-SELECT count(*) AS total, count(target_post_id) AS resolved, count(*) FILTER (target_post_id IS NULL AND NOT contains(target_url, '/gone/')) AS non_blog,
-  count(*) FILTER (target_post_id IS NULL AND contains(target_url, '/gone/')) AS unresolved_blog,
-  (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT target_post_id FROM links WHERE target_post_id IS NOT NULL)) AS orphans FROM links
+WITH l AS (SELECT source_post_id % 5 AS site_id, count(*) AS total, count(target_post_id) AS resolved, count(*) FILTER (target_post_id IS NULL AND NOT contains(target_url, '/gone/')) AS non_blog,
+  count(*) FILTER (target_post_id IS NULL AND contains(target_url, '/gone/')) AS unresolved_blog FROM links GROUP BY 1),
+o AS (SELECT id % 5 AS site_id, count(*) AS orphans FROM nodes WHERE id NOT IN (SELECT target_post_id FROM links WHERE target_post_id IS NOT NULL) GROUP BY 1)
+SELECT site_id, total, resolved, non_blog, unresolved_blog, coalesce(orphans, 0) AS orphans FROM l LEFT JOIN o USING (site_id)
 """, "links nodes")
 def d11(t: Tables):
-    return g.link_breakdown(t.links, nodes(t), "/gone/")
+    return g.link_breakdown(at_site(t.links, "source_post_id"), at_site(nodes(t)), "/gone/")

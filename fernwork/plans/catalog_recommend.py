@@ -9,7 +9,7 @@ from .catalog_clusters import query_vector
 from .catalog_problems import hposts, known, parts
 from ..operators import problems as pb
 from .oracle import cte, query
-from .tables import AS_OF, Tables
+from .tables import AS_OF, Tables, at_site
 
 A = "DATE '2024-01-31'"
 
@@ -78,12 +78,15 @@ def i5(t: Tables):
 
 
 @query("i6_high_similarity_merges", """
-WITH t AS (SELECT * FROM pairs WHERE cosine >= 0.9 ORDER BY cosine DESC, post_a_id, post_b_id LIMIT 20), m AS (SELECT post_id FROM recs WHERE rec_type = 'merge')
-SELECT CASE WHEN a.word_count >= b.word_count THEN post_b_id ELSE post_a_id END AS post_id, CASE WHEN a.word_count >= b.word_count THEN post_a_id ELSE post_b_id END AS primary_id, cosine, CASE WHEN cosine >= 0.99 THEN 'redirect' ELSE 'merge' END AS action
-FROM t JOIN posts a ON a.post_id = post_a_id JOIN posts b ON b.post_id = post_b_id WHERE post_a_id NOT IN (FROM m) AND post_b_id NOT IN (FROM m)
-""", "pairs posts recs")
+WITH RECURSIVE t AS (SELECT * FROM spairs WHERE cosine >= 0.85 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY cosine DESC, post_a_id, post_b_id) <= 20),
+m AS (SELECT post_id FROM recs WHERE rec_type = 'merge'),
+o AS (SELECT t.site_id, post_a_id, post_b_id, CASE WHEN a.word_count >= b.word_count THEN post_b_id ELSE post_a_id END AS post_id, CASE WHEN a.word_count >= b.word_count THEN post_a_id ELSE post_b_id END AS primary_id, cosine, row_number() OVER (ORDER BY cosine DESC, post_a_id, post_b_id) AS i
+  FROM t JOIN posts a ON a.post_id = post_a_id JOIN posts b ON b.post_id = post_b_id WHERE post_a_id NOT IN (FROM m) AND post_b_id NOT IN (FROM m)),
+s AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS marks, false AS ok UNION ALL SELECT i, CASE WHEN hit THEN marks ELSE list_append(marks, post_id) END, NOT hit FROM (SELECT o.i, o.post_id, s.marks, list_contains(s.marks, post_a_id) OR list_contains(s.marks, post_b_id) AS hit FROM s JOIN o ON o.i = s.i + 1))
+SELECT site_id, post_id, primary_id, cosine, CASE WHEN cosine >= 0.99 THEN 'redirect' ELSE 'merge' END AS action FROM o JOIN s USING (i) WHERE ok
+""", "spairs posts recs")
 def i6(t: Tables):
-    return rc.high_similarity_merges(t.pairs, t.posts, t.recs)
+    return rc.high_similarity_merges(at_site(t.pairs, "post_a_id"), t.posts, t.recs, 0.85, 20)
 
 
 @query("i7_merge_dedup", "SELECT rec_id, post_id FROM recs WHERE NOT (rec_type = 'merge' AND status = 'pending') UNION ALL SELECT min(rec_id), post_id FROM recs WHERE rec_type = 'merge' AND status = 'pending' GROUP BY post_id", "recs")
@@ -92,10 +95,10 @@ def i7(t: Tables):
 
 
 @query("i8_priority_rescoring", """
-SELECT rec_id, CASE WHEN (rn - 1) / n < 0.1 THEN 'critical' WHEN (rn - 1) / n < 0.3 THEN 'high' ELSE priority END AS priority FROM (SELECT rec_id, priority, row_number() OVER (ORDER BY coalesce(pagerank, 0) DESC, rec_id) AS rn, count(*) OVER () AS n FROM recs LEFT JOIN scores USING (post_id) WHERE status = 'pending')
-""", "recs scores")
+SELECT rec_id, CASE WHEN (rn - 1) / n < 0.1 THEN 'critical' WHEN (rn - 1) / n < 0.3 THEN 'high' ELSE priority END AS priority FROM (SELECT rec_id, priority, row_number() OVER (PARTITION BY r.site_id ORDER BY coalesce(pagerank, 0) DESC, rec_id) AS rn, count(*) OVER (PARTITION BY r.site_id) AS n FROM srecs r LEFT JOIN scores USING (post_id) WHERE status = 'pending')
+""", "srecs scores")
 def i8(t: Tables):
-    return rc.rescore_priorities(t.recs, t.scores).select("rec_id", "priority")
+    return rc.rescore_priorities(at_site(t.recs), t.scores).select("rec_id", "priority")
 
 
 @query("i9_recalibration", """
@@ -113,15 +116,15 @@ def i9(t: Tables):
 
 
 @query("i10_growth_links", """
-SELECT a AS post_id, b AS neighbour_id, round(sim, 6) AS similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM sims WHERE ca <> cb AND a NOT IN (SELECT post_id FROM recs WHERE status = 'completed')) WHERE rank <= 3
+SELECT a AS post_id, b AS neighbour_id, round(sim, 6) AS similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM sims WHERE a % 5 = b % 5 AND ca <> cb AND a NOT IN (SELECT post_id FROM recs WHERE status = 'completed')) WHERE rank <= 3
 """, "sims recs")
 def i10(t: Tables):
-    return rc.growth_links(t.embeddings, t.recs.filter("status = 'completed'")).withColumn("similarity", F.round("similarity", 6))
+    return rc.growth_links(at_site(t.embeddings), t.recs.filter("status = 'completed'")).drop("site_id").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("i11_growth_pillars", "SELECT post_id, composite_score FROM (SELECT * FROM scores WHERE role = 'pillar' ORDER BY composite_score DESC, post_id LIMIT 30) WHERE post_id NOT IN (SELECT post_id FROM recs WHERE rec_type = 'growth' AND status = 'pending')", "scores recs")
+@query("i11_growth_pillars", "SELECT site_id, post_id, composite_score FROM (SELECT * FROM sscores WHERE role = 'pillar' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY composite_score DESC, post_id) <= 8) WHERE post_id NOT IN (SELECT post_id FROM recs WHERE rec_type = 'growth' AND status = 'pending')", "sscores recs")
 def i11(t: Tables):
-    return rc.growth_pillars(t.scores, t.recs, 30).select("post_id", "composite_score")
+    return rc.growth_pillars(at_site(t.scores), t.recs, 8).select("site_id", "post_id", "composite_score")
 
 
 @query("i12_query_summary", f"SELECT post_id, query, sum(clicks)::BIGINT AS clicks, round(avg(avg_position), 6) AS position FROM gsc WHERE date >= {A} - 90 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY sum(clicks) DESC, query) <= 10", "gsc")
@@ -133,11 +136,11 @@ PRANK = "CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' T
 
 
 @query("i13_shortlist", f"""
-WITH c AS (SELECT *, {PRANK} AS p FROM recs WHERE status = 'pending' ORDER BY p, created_at DESC, rec_id LIMIT 60), k AS (SELECT *, row_number() OVER (PARTITION BY rec_type ORDER BY p, created_at DESC, rec_id) > 3 AS late FROM c)
-SELECT rec_id, rec_type, priority FROM k ORDER BY late, p, created_at DESC, rec_id LIMIT 20
-""", "recs")
+WITH c AS (SELECT *, {PRANK} AS p FROM srecs WHERE status = 'pending' QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY {PRANK}, created_at DESC, rec_id) <= 30), k AS (SELECT *, row_number() OVER (PARTITION BY site_id, rec_type ORDER BY p, created_at DESC, rec_id) > 3 AS late FROM c)
+SELECT site_id, rec_id, rec_type, priority FROM k QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY late, p, created_at DESC, rec_id) <= 10
+""", "srecs")
 def i13(t: Tables):
-    return rc.shortlist(t.recs, 20).select("rec_id", "rec_type", "priority")
+    return rc.shortlist(at_site(t.recs), 10).select("site_id", "rec_id", "rec_type", "priority")
 
 
 cte("plans", f"""
@@ -188,33 +191,39 @@ def i17(t: Tables):
     return rc.calendar_summary(advice(t))
 
 
-cte("gaps", f"SELECT query, sum(impressions)::BIGINT AS impressions, sum(clicks)::BIGINT AS clicks, avg(avg_position) AS avg_position FROM gsc WHERE date >= {A} - 90 GROUP BY 1 HAVING sum(impressions) >= 50 AND sum(clicks) / sum(impressions) < 0.2 AND avg(avg_position) BETWEEN 5 AND 60 ORDER BY impressions DESC, query LIMIT 50", "gsc")
+cte("gaps", f"SELECT site_id, query, sum(impressions)::BIGINT AS impressions, sum(clicks)::BIGINT AS clicks, avg(avg_position) AS avg_position FROM sgsc WHERE date >= {A} - 90 GROUP BY 1, 2 HAVING sum(impressions) >= 10 AND sum(clicks) / sum(impressions) < 0.2 AND avg(avg_position) BETWEEN 5 AND 60", "sgsc")
+cte("near_centre", """
+WITH c AS (SELECT site_id, cluster_id, list(m ORDER BY i) AS v FROM (SELECT post_id % 5 AS site_id, cluster_id, i, avg(x) AS m FROM (SELECT post_id, cluster_id, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM emb) GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT c.site_id, c.cluster_id, max(list_cosine_similarity(e.vec, c.v)) AS similarity FROM c JOIN emb e ON e.post_id % 5 = c.site_id GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY c.site_id ORDER BY similarity DESC, c.cluster_id) = 1
+""", "emb")
 
 
 def gaps(t: Tables):
-    return rc.content_gaps(t.gsc, AS_OF, ctr=0.2, high=60)
+    return rc.content_gaps(at_site(t.gsc), AS_OF, least=10, ctr=0.2, high=60)
 
 
-@query("i18_content_gaps", "SELECT query, impressions, clicks, round(avg_position, 6) AS avg_position, CASE WHEN clicks % 2 = 0 THEN 'missing' ELSE 'weak' END AS gap_type FROM gaps", "gaps")
+@query("i18_content_gaps", """
+SELECT site_id, query, impressions, clicks, round(avg_position, 6) AS avg_position, cluster_id::BIGINT AS cluster_id, round(similarity, 6) AS similarity, CASE WHEN coalesce(similarity, 0) < 0.3 THEN 'missing' ELSE 'weak' END AS gap_type FROM gaps LEFT JOIN near_centre USING (site_id)
+""", "gaps near_centre")
 def i18(t: Tables):
-    g = rc.gap_type(gaps(t).withColumn("similarity", F.when(F.col("clicks") % 2 == 1, 0.7)))
-    return g.drop("similarity").withColumn("avg_position", F.round("avg_position", 6))
+    g = rc.gap_type(rc.closest_cluster(gaps(t), at_site(t.embeddings)))
+    return g.withColumns({"avg_position": F.round("avg_position", 6), "similarity": F.round("similarity", 6)})
 
 
-@query("i19_top_gap", "SELECT query, impressions, label FROM (SELECT *, clicks % 10 AS cluster_id FROM gaps ORDER BY impressions DESC, query LIMIT 1) LEFT JOIN clusters USING (cluster_id)", "gaps clusters")
+@query("i19_top_gap", "SELECT site_id, query, impressions, label FROM (SELECT * FROM gaps QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY impressions DESC, query) = 1) LEFT JOIN near_centre USING (site_id) LEFT JOIN clusters USING (cluster_id)", "gaps near_centre clusters")
 def i19(t: Tables):
-    g = gaps(t).withColumns({"status": F.lit("open"), "cluster_id": (F.col("clicks") % 10).cast("int")})
-    return rc.top_gap(g, t.clusters).select("query", "impressions", "label")
+    g = rc.closest_cluster(gaps(t), at_site(t.embeddings)).withColumn("status", F.lit("open"))
+    return rc.top_gap(g, t.clusters).select("site_id", "query", "impressions", "label")
 
 
-@query("i20_secondary_keywords", "SELECT query, impressions FROM (SELECT query, sum(impressions)::BIGINT AS impressions FROM gsc WHERE query ILIKE '%q1%' GROUP BY 1 ORDER BY impressions DESC, query LIMIT 15) WHERE query <> 'q1'", "gsc")
+@query("i20_secondary_keywords", "SELECT site_id, query, sum(impressions)::BIGINT AS impressions FROM sgsc WHERE query ILIKE '%q1%' AND query <> 'q1' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY sum(impressions) DESC, query) <= 6", "sgsc")
 def i20(t: Tables):
-    return rc.secondary_keywords(t.gsc, "Q1", AS_OF)
+    return rc.secondary_keywords(at_site(t.gsc), "Q1", AS_OF, 6)
 
 
-@query("i21_keyword_rankings", "SELECT g.post_id, query, title, round(avg(avg_position), 6) AS avg_position, sum(clicks)::BIGINT AS clicks FROM gsc g JOIN posts p ON p.post_id = g.post_id WHERE query ILIKE '%q2%' GROUP BY 1, 2, 3 ORDER BY clicks DESC, 1, 2 LIMIT 5", "gsc posts")
+@query("i21_keyword_rankings", "SELECT g.site_id, g.post_id, query, title, round(avg(avg_position), 6) AS avg_position, sum(clicks)::BIGINT AS clicks FROM sgsc g JOIN posts p ON p.post_id = g.post_id WHERE query ILIKE '%q2%' GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY g.site_id ORDER BY sum(clicks) DESC, g.post_id, query) <= 5", "sgsc posts")
 def i21(t: Tables):
-    return rc.keyword_rankings(t.gsc, t.posts, "q2", AS_OF).withColumn("avg_position", F.round("avg_position", 6))
+    return rc.keyword_rankings(at_site(t.gsc), t.posts, "q2", AS_OF).withColumn("avg_position", F.round("avg_position", 6))
 
 
 cte("near0", "SELECT post_id, list_cosine_similarity(vec, (SELECT vec FROM emb WHERE post_id = 0)) AS similarity FROM emb", "emb")

@@ -161,7 +161,7 @@ def c10(t: Tables):
     return titled(t).filter(sc.ambiguous_intent(F.col("title"), F.col("url"))).select("post_id")
 
 
-@query("c11_intent_counts", "SELECT intent, count(*) AS n FROM intents GROUP BY intent", "intents")
+@query("c11_intent_counts", "SELECT site_id, intent, count(*) AS n FROM intents JOIN posts USING (post_id) GROUP BY 1, 2", "intents posts")
 def c11(t: Tables):
     return sc.intent_counts(titled(t))
 

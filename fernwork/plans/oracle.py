@@ -139,10 +139,10 @@ SELECT post_id * 100 + length(problem_type) AS rec_id, post_id, cluster_id,
 FROM (SELECT *, post_id * 5 + length(problem_type) AS h FROM problems)
 """, "problems")
 cte("history", """
-SELECT user_id % 5 AS site_id, date, round(avg(least(value, 100.0)), 2) AS score,
-  round(avg(least(value, 100.0)) FILTER (event_type = 'view'), 2) AS traffic,
-  round(avg(least(value, 100.0)) FILTER (event_type = 'click'), 2) AS ranking,
-  round(avg(least(value, 100.0)) FILTER (event_type = 'purchase'), 2) AS engagement,
+SELECT user_id % 5 AS site_id, date, round(avg(least(value, 100.0)) + 1e-7, 2) AS score,
+  round(avg(least(value, 100.0)) FILTER (event_type = 'view') + 1e-7, 2) AS traffic,
+  round(avg(least(value, 100.0)) FILTER (event_type = 'click') + 1e-7, 2) AS ranking,
+  round(avg(least(value, 100.0)) FILTER (event_type = 'purchase') + 1e-7, 2) AS engagement,
   count(*) AS total_posts, count(*) FILTER (event_type = 'error') AS problems
 FROM ev GROUP BY 1, 2
 """, "ev")

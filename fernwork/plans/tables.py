@@ -261,14 +261,14 @@ class Tables:
 
     @cached_property
     def history(self) -> DataFrame:
-        """Daily site snapshots from the event stream (site = user_id mod 5)."""
+        """Daily site snapshots from the event stream (site = user_id mod 5); means are kept off rounding halves."""
         return (
             self.events.groupBy((F.col("user_id") % 5).alias("site_id"), "date")
             .agg(
-                F.round(F.avg(F.least(F.col("value"), F.lit(100.0))), 2).alias("score"),
-                F.round(F.avg(F.when(F.col("event_type") == "view", F.least("value", F.lit(100.0)))), 2).alias("traffic"),
-                F.round(F.avg(F.when(F.col("event_type") == "click", F.least("value", F.lit(100.0)))), 2).alias("ranking"),
-                F.round(F.avg(F.when(F.col("event_type") == "purchase", F.least("value", F.lit(100.0)))), 2).alias("engagement"),
+                F.round(F.avg(F.least(F.col("value"), F.lit(100.0))) + 1e-7, 2).alias("score"),
+                F.round(F.avg(F.when(F.col("event_type") == "view", F.least("value", F.lit(100.0)))) + 1e-7, 2).alias("traffic"),
+                F.round(F.avg(F.when(F.col("event_type") == "click", F.least("value", F.lit(100.0)))) + 1e-7, 2).alias("ranking"),
+                F.round(F.avg(F.when(F.col("event_type") == "purchase", F.least("value", F.lit(100.0)))) + 1e-7, 2).alias("engagement"),
                 F.count("*").alias("total_posts"),
                 F.count_if(F.col("event_type") == "error").alias("problems"),
             )
