@@ -1,40 +1,76 @@
-"""Checks of the streaming jobs (group P)."""
+"""Checks of the streaming jobs (group P): five files, the latest days first, one file a batch."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..streaming import jobs
 from .catalog_ingest import scratch
-from .oracle import query
+from .oracle import cte, query
 from .tables import Tables
 
+FILES = 5
+
 
 def folder(t: Tables, name: str) -> str:
     return f"{scratch(t, name)}-{uuid.uuid4().hex[:8]}"
 
 
+def in_files(df: DataFrame, number: Column, path: str) -> str:
+    """Writes the rows file after file in order of ``number``; streams take files in order of their time."""
+    for n in range(FILES):
+        df.filter(number == n).coalesce(1).write.parquet(f"{path}/f{n}")
+    return f"{path}/*"
+
+
+def event_files(t: Tables, name: str) -> str:
+    e = t.raw("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    number = FILES - 1 - F.least(F.floor((F.dayofmonth("ts") - 1) / 7), F.lit(FILES - 1))
+    return in_files(e, number, folder(t, name))
+
+
 @query("p1_daily_metric_stream", "SELECT k AS post_id, date, count(*) FILTER (event_type = 'view') AS pageviews, count(*) FILTER (event_type = 'click') AS clicks, count(*) AS events, round(sum(value), 4) AS value FROM ev GROUP BY 1, 2", "ev")
 def p1(t: Tables):
     target = folder(t, "daily")
-    jobs.run_daily_metrics(t.spark, f"{t.folder}/events*.parquet", target, target + "-ckpt")
-    return t.spark.read.parquet(target).select("post_id", "date", "pageviews", "clicks", "events", F.round("value", 4).alias("value"))
+    jobs.run_daily_metrics(t.spark, event_files(t, "events"), target, target + "-ckpt", 1)
+    return jobs.daily_totals(t.spark, target).withColumn("value", F.round("value", 4))
+
+
+# the days of each alert in order of arrival: file after file, within a file by day
+cte("arrivals", """
+SELECT *, row_number() OVER (PARTITION BY post_id, keyword, alert_type ORDER BY file, day) AS i FROM (
+  SELECT DISTINCT user_id % 7 AS post_id, (k % 3)::VARCHAR AS keyword, event_type AS alert_type, date AS day, 4 - least((day(date) - 1) // 7, 4) AS file FROM ev WHERE event_type IN ('error', 'signup'))
+""", "ev")
 
 
-@query("p2_alert_suppression_stream", "SELECT DISTINCT user_id AS post_id, k::VARCHAR AS keyword, event_type AS alert_type FROM ev WHERE event_type IN ('error', 'signup')", "ev")
+@query("p2_alert_suppression_stream", """
+WITH RECURSIVE s AS (
+  SELECT post_id, keyword, alert_type, i, day, [day] AS seen, true AS ok FROM arrivals WHERE i = 1
+  UNION ALL SELECT post_id, keyword, alert_type, i, day, CASE WHEN near THEN seen ELSE list_append(seen, day) END, NOT near FROM (
+    SELECT a.post_id, a.keyword, a.alert_type, a.i, a.day, s.seen, len(list_filter(s.seen, lambda d: abs(date_diff('day', d, a.day)) < 7)) > 0 AS near
+    FROM s JOIN arrivals a ON a.post_id = s.post_id AND a.keyword = s.keyword AND a.alert_type = s.alert_type AND a.i = s.i + 1))
+SELECT post_id, keyword, alert_type, day AS detected_at FROM s WHERE ok
+""", "arrivals")
 def p2(t: Tables):
+    """Few different alerts, so that they repeat within a week and after it."""
+    e = t.raw("events").select("event_id", "ts", (F.col("user_id") % 7).alias("user_id"), "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("long") % 3
+    e = e.withColumn("props", F.to_json(F.struct(k.cast("string").alias("k"))))
+    number = FILES - 1 - F.least(F.floor((F.dayofmonth("ts") - 1) / 7), F.lit(FILES - 1))
     target = folder(t, "alerts")
-    jobs.run_suppressed_alerts(t.spark, f"{t.folder}/events*.parquet", target, target + "-ckpt")
-    return t.spark.read.parquet(target).select("post_id", "keyword", "alert_type").distinct()
+    jobs.run_suppressed_alerts(t.spark, in_files(e, number, folder(t, "events")), target, target + "-ckpt", 1)
+    return t.spark.read.parquet(target).select("post_id", "keyword", "alert_type", "detected_at")
 
 
 @query("p3_changed_page_stream", "SELECT page_id, url FROM pages WHERE page_id % 2 = 1")
 def p3(t: Tables):
     state, target = folder(t, "state"), folder(t, "changed")
     known = F.when(F.col("page_id") % 2 == 0, tx.content_hash(F.col("html"))).otherwise("before")
-    t.pages.groupBy("url").agg(F.max(known).alias("content_hash")).write.parquet(state)
-    jobs.run_changed_pages(t.spark, f"{t.folder}/pages*.parquet", state, target, target + "-ckpt")
+    t.pages.groupBy("url").agg(F.max(known).alias("content_hash")).write.parquet(f"{state}/batch=-1")
+    source = in_files(t.raw("pages").select("page_id", "url", "html"), F.lit(FILES - 1) - F.col("page_id") % FILES, folder(t, "pages"))
+    jobs.run_changed_pages(t.spark, source, state, target, target + "-ckpt", 1)
     return t.spark.read.parquet(target).select("page_id", "url")

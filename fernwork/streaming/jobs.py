@@ -1,7 +1,16 @@
-"""Incremental jobs on Structured Streaming: daily metrics, alert suppression, changed pages."""
+"""Incremental jobs on Structured Streaming: daily metrics, alert suppression, changed pages.
+
+Every micro-batch writes a folder of its own (``batch=N``) and reads only what
+earlier batches wrote, so a batch replayed after a failure overwrites what the
+failed attempt left. Nothing is dropped for being late: a backfill may deliver
+its files in any order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,97 +20,123 @@ from ..plans.scale import durable
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 PAGE_SCHEMA = "page_id bigint, url string, html string"
+TOTALS = ["pageviews", "clicks", "events", "value"]
+DAILY_SCHEMA = "post_id bigint, date date, pageviews bigint, clicks bigint, events bigint, value double, batch bigint"
+ALERT_SCHEMA = "post_id bigint, keyword string, alert_type string, detected_at date, batch bigint"
+STATE_SCHEMA = "url string, content_hash string, batch bigint"
 
 
 def read_files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of batch folders, empty before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hands everything that has arrived to ``step``, batch by batch, then stops."""
+    q = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+# ---- daily metrics -------------------------------------------------------
 
 
-def daily_metrics(events: DataFrame, lag: str = "3 days") -> DataFrame:
-    """Daily counts per post; rows may come late by the lag of the source."""
+def daily_metrics(events: DataFrame) -> DataFrame:
+    """Daily counts per post."""
     e = events.withColumn("post_id", F.get_json_object("props", "$.k").cast("long"))
-    day = F.window("ts", "1 day")
-    return (
-        e.withWatermark("ts", lag).groupBy("post_id", day.alias("w"))
-        .agg(
-            F.count_if(F.col("event_type") == "view").alias("pageviews"), F.count_if(F.col("event_type") == "click").alias("clicks"),
-            F.count("*").alias("events"), F.sum("value").alias("value"),
-        )
-        .select("post_id", F.to_date("w.start").alias("date"), "pageviews", "clicks", "events", "value")
+    return e.groupBy("post_id", F.to_date("ts").alias("date")).agg(
+        F.count_if(F.col("event_type") == "view").alias("pageviews"), F.count_if(F.col("event_type") == "click").alias("clicks"),
+        F.count("*").alias("events"), F.sum("value").alias("value"),
     )
 
 
-def upsert_days(batch: DataFrame, target: str) -> None:
-    """Merge a batch of (post_id, date) totals; only the touched days are rewritten.
+def daily_totals(spark: SparkSession, target: str) -> DataFrame:
+    """The loaded days: the parts that the batches wrote, added up."""
+    return stored(spark, target, DAILY_SCHEMA).groupBy("post_id", "date").agg(*[F.sum(c).alias(c) for c in TOTALS])
+
+
+def run_daily_metrics(spark: SparkSession, source: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
+    """Load everything that has arrived; a row counts on its day whenever it comes."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        daily_metrics(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return run_batches(read_files(spark, source, EVENT_SCHEMA, per_trigger), step, checkpoint)
+
+
+# ---- alerts --------------------------------------------------------------
+
 
-    A batch that is replayed after a failure writes the same rows again.
+def raised(batch: DataFrame, history: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
+    """The alerts of a batch that are let through, in order of their day.
+
+    An alert is held back if the same alert was raised less than ``days`` days
+    away, be it in ``history`` or just now. Both arrays hold days of one alert.
     """
-    spark = batch.sparkSession
-    fresh = batch.groupBy("post_id", "date").agg(F.max_by(F.struct("pageviews", "clicks", "events", "value"), "events").alias("_r")).select("post_id", "date", "_r.*")
-    merged = fresh
-    if _exists(spark, target):
-        old = spark.read.parquet(target).join(fresh.select("date").distinct(), "date", "left_semi")
-        merged = fresh.unionByName(old.join(fresh.select("post_id", "date"), ["post_id", "date"], "left_anti").select(*fresh.columns))
-    # cut from the files about to be replaced
-    durable(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
-
-
-def run_daily_metrics(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Load everything that has arrived, then stop."""
-    q = (
-        daily_metrics(read_files(spark, source, EVENT_SCHEMA)).writeStream.outputMode("update")
-        .foreachBatch(lambda df, _: upsert_days(df, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = batch.select(*keys, "detected_at").groupBy(*keys).agg(F.array_sort(F.collect_set("detected_at")).alias("_new"))
+    old = history.join(new.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_set("detected_at").alias("_old"))
+    none = F.array().cast("array<date>")
+    both = new.join(old, keys, "left").withColumn("_old", F.coalesce("_old", none))
+    near = lambda seen, d: F.exists(seen, lambda s: F.abs(F.date_diff(s, d)) < days)
+    let = F.aggregate("_new", none, lambda acc, d: F.when(near(F.concat(F.col("_old"), acc), d), acc).otherwise(F.concat(acc, F.array(d))))
+    return both.select(*keys, F.explode(let).alias("detected_at"))
+
+
+def run_suppressed_alerts(spark: SparkSession, source: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
+    keys = ["post_id", "keyword", "alert_type"]
+    alerts = read_files(spark, source, EVENT_SCHEMA, per_trigger).filter(F.col("event_type").isin("error", "signup")).select(
+        F.to_date("ts").alias("detected_at"), F.col("user_id").alias("post_id"), F.get_json_object("props", "$.k").alias("keyword"), F.col("event_type").alias("alert_type")
     )
-    q.awaitTermination()
-    return q
 
+    def step(batch: DataFrame, number: int) -> None:
+        history = stored(batch.sparkSession, target, ALERT_SCHEMA).filter(F.col("batch") < number).drop("batch")
+        raised(batch, history, keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-def suppressed_alerts(alerts: DataFrame, keys: list[str], ts: str = "ts", window: str = "7 days") -> DataFrame:
-    """Lets the same alert through once per week (approximate under late data)."""
-    return alerts.withWatermark(ts, window).dropDuplicatesWithinWatermark(keys)
+    return run_batches(alerts, step, checkpoint)
 
 
-def run_suppressed_alerts(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    alerts = read_files(spark, source, EVENT_SCHEMA).filter(F.col("event_type").isin("error", "signup")).select(
-        "ts", F.col("user_id").alias("post_id"), F.get_json_object("props", "$.k").alias("keyword"), F.col("event_type").alias("alert_type")
-    )
-    q = (
-        suppressed_alerts(alerts, ["post_id", "keyword", "alert_type"]).writeStream.outputMode("append").format("parquet")
-        .option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return q
+# ---- changed pages -------------------------------------------------------
 
 
 def changed_pages(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Pages of a batch that are new or whose content hash differs from the state."""
-    hashed = batch.withColumn("content_hash", tx.content_hash(F.col("html")))
+    """Pages of a batch that are new or whose content hash differs from the state; of one URL the last page counts."""
+    last = batch.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_p")).select("url", "_p.*")
+    hashed = last.withColumn("content_hash", tx.content_hash(F.col("html")))
     old = state.select("url", F.col("content_hash").alias("_old"))
     return hashed.join(old, "url", "left").filter(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).drop("_old")
 
 
-def run_changed_pages(spark: SparkSession, source: str, state: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Write changed pages per batch and roll the state table forward.
+def latest_state(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("url").agg(F.max_by("content_hash", "batch").alias("content_hash"))
 
-    Every batch has its own output and state folder, so a replay overwrites
-    just what the failed attempt left behind.
+
+def compact_state(spark: SparkSession, state: str, target: str) -> None:
+    """One row per URL of a state, as the state of a later run."""
+    latest_state(stored(spark, state, STATE_SCHEMA)).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
+def run_changed_pages(spark: SparkSession, source: str, state: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
+    """Write the changed pages of each batch and append them to the state.
+
+    The state holds (url, content_hash) in folders ``batch=N``; what was known
+    before the first batch lies in ``batch=-1``. A batch looks up its own URLs.
     """
+
     def step(batch: DataFrame, number: int) -> None:
-        before = state if number == 0 else f"{state}-{number}"
-        known = spark.read.parquet(before)
+        spark = batch.sparkSession
+        known = stored(spark, state, STATE_SCHEMA).filter(F.col("batch") < number)
+        known = latest_state(known.join(batch.select("url").distinct(), "url", "left_semi"))
         hit = durable(changed_pages(batch, known))
         hit.drop("html").write.mode("overwrite").parquet(f"{target}/batch={number}")
-        kept = known.select("url", "content_hash").join(hit.select("url"), "url", "left_anti")
-        kept.unionByName(hit.select("url", "content_hash")).write.mode("overwrite").parquet(f"{state}-{number + 1}")
+        hit.select("url", "content_hash").write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-    q = (
-        read_files(spark, source, PAGE_SCHEMA).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return q
+    return run_batches(read_files(spark, source, PAGE_SCHEMA, per_trigger), step, checkpoint)

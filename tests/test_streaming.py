@@ -12,33 +12,37 @@ def events(spark, rows):
     )
 
 
-def test_daily_metrics_accept_late_rows(spark, tmp_path):
+def test_daily_metrics_keep_old_files(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
-    events(spark, [(1, "2024-01-01 10:00:00", 1, "view", 2.0, '{"k": 5}'), (2, "2024-01-02 10:00:00", 1, "click", 1.0, '{"k": 5}')]).write.mode("append").parquet(src)
-    jobs.run_daily_metrics(spark, src, out, ck)
-    events(spark, [(3, "2024-01-01 12:00:00", 2, "view", 3.0, '{"k": 5}'), (4, "2024-01-03 09:00:00", 2, "view", 1.0, '{"k": 6}')]).write.mode("append").parquet(src)
-    jobs.run_daily_metrics(spark, src, out, ck)
-    got = {(r.post_id, str(r.date)): (r.pageviews, r.clicks, r.value) for r in spark.read.parquet(out).collect()}
-    assert got == {(5, "2024-01-01"): (2, 0, 5.0), (5, "2024-01-02"): (0, 1, 1.0), (6, "2024-01-03"): (1, 0, 1.0)}
+    for n, day in enumerate([20, 19, 5, 4, 20]):  # a backfill in reverse order, one file a batch
+        events(spark, [(n, f"2024-01-{day:02d} 10:00:00", 1, "view", 2.0, '{"k": 5}')]).coalesce(1).write.mode("append").parquet(src)
+    jobs.run_daily_metrics(spark, src, out, ck, 1)
+    events(spark, [(9, "2024-01-04 12:00:00", 2, "click", 3.0, '{"k": 5}')]).write.mode("append").parquet(src)
+    jobs.run_daily_metrics(spark, src, out, ck, 1)
+    got = {str(r.date): (r.pageviews, r.clicks, r.value) for r in jobs.daily_totals(spark, out).collect()}
+    assert got == {"2024-01-20": (2, 0, 4.0), "2024-01-19": (1, 0, 2.0), "2024-01-05": (1, 0, 2.0), "2024-01-04": (1, 1, 5.0)}
 
 
-def test_changed_pages_roll_the_state(spark, tmp_path):
+def test_changed_pages_append_to_the_state(spark, tmp_path):
     src, state, out, ck = (str(tmp_path / x) for x in ("src", "state", "out", "ck"))
     page = lambda rows: spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    spark.createDataFrame([("u0", "old")], "url string, content_hash string").write.parquet(state)
-    page([(1, "u1", "a b"), (2, "u2", "x")]).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame([("u0", "old")], "url string, content_hash string").write.parquet(f"{state}/batch=-1")
+    page([(1, "u1", "a b"), (2, "u2", "x"), (3, "u2", "z")]).coalesce(1).write.mode("append").parquet(src)
     jobs.run_changed_pages(spark, src, state, out, ck)
-    page([(3, "u1", "a  b"), (4, "u2", "y")]).coalesce(1).write.mode("append").parquet(src)
+    page([(4, "u1", "a  b"), (5, "u2", "y")]).coalesce(1).write.mode("append").parquet(src)
     jobs.run_changed_pages(spark, src, state, out, ck)
-    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [1, 2, 4]
+    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [1, 3, 5]
+    jobs.compact_state(spark, state, state + "-small")
+    assert spark.read.parquet(state + "-small").count() == 3
 
 
 def test_alert_suppression_stream_and_batch(spark, tmp_path):
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
-    rows = [(1, "2024-01-01 00:00:00", 1, "error", 0.0, '{"k": 1}'), (2, "2024-01-02 00:00:00", 1, "error", 0.0, '{"k": 1}'), (3, "2024-01-02 00:00:00", 2, "error", 0.0, '{"k": 1}')]
-    events(spark, rows).coalesce(1).write.parquet(src)
-    jobs.run_suppressed_alerts(spark, src, out, ck)
-    assert spark.read.parquet(out).count() == 2
+    for n, (user, day) in enumerate([(1, 20), (1, 15), (1, 13), (1, 6), (2, 20), (1, 27), (1, 28)]):
+        events(spark, [(n, f"2024-01-{day:02d} 00:00:00", user, "error", 0.0, '{"k": 1}')]).coalesce(1).write.mode("append").parquet(src)
+    jobs.run_suppressed_alerts(spark, src, out, ck, 1)
+    got = sorted((r.post_id, r.detected_at.day) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 6), (1, 13), (1, 20), (1, 27), (2, 20)]
     schema = "post_id int, keyword string, alert_type string, d string"
     day = lambda rows: spark.createDataFrame(rows, schema).withColumn("detected_at", F.col("d").cast("date")).drop("d")
     new = day([(1, "k", "t", "2024-01-10"), (2, "k", "t", "2024-01-10")])
