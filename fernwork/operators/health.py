@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.text import clamp, ladder
-from ..plans.scale import distributed_rank, exact_percentiles
+from ..plans.scale import distributed_rank, durable, exact_percentiles
 from .scoring import ai_readiness
 
 # fixed values: factor weights with all data and with crawl data only
@@ -131,8 +131,8 @@ def quality_bonus(html: Column) -> Column:
     )
 
 
-def depth_score(words: Column, cluster_avg: Column, html: Column, short: Column) -> Column:
-    """Word count on an absolute and a cluster-relative curve plus the quality bonus."""
+def depth_score(words: Column, cluster_avg: Column, bonus: Column, short: Column) -> Column:
+    """Word count on an absolute and a cluster-relative curve plus the bonus of ``quality_bonus``."""
     w = words.cast("double")
     avg = F.when(cluster_avg <= 0, 500.0).otherwise(cluster_avg)
     brief = (
@@ -146,11 +146,20 @@ def depth_score(words: Column, cluster_avg: Column, html: Column, short: Column)
         .when(r < 2.0, 80 + (r - 1.5) * 30).otherwise(F.least(F.lit(100.0), 95 + (r - 2.0) * 5))
     )
     base = F.when(short, 0.35 * brief + 0.65 * relative).otherwise(0.5 * long + 0.5 * relative)
-    return F.least(F.lit(100.0), base + quality_bonus(html))
+    return F.least(F.lit(100.0), base + bonus)
 
 
 def technical_score(meta, title, headings, has_out, has_in, og, jsonld, canonical, html) -> Column:
     """Eight checks of 12.5 points each."""
+    return page_checks(meta, title, headings, og, jsonld, canonical, html) + link_checks(has_out, has_in)
+
+
+def link_checks(has_out: Column, has_in: Column) -> Column:
+    return sum((F.when(F.coalesce(c, F.lit(False)), 12.5).otherwise(0.0) for c in (has_out, has_in)), F.lit(0.0))
+
+
+def page_checks(meta, title, headings, og, jsonld, canonical, html) -> Column:
+    """The six technical checks that need the page alone."""
     n = F.length(tx.strip(title))
     low = F.lower(F.coalesce(html, F.lit("")))
     pt = lambda c: F.when(F.coalesce(c, F.lit(False)), 12.5).otherwise(0.0)
@@ -158,7 +167,6 @@ def technical_score(meta, title, headings, has_out, has_in, og, jsonld, canonica
         pt(F.length(tx.strip(meta)) > 10)
         + F.when(n.between(30, 60), 12.5).when(n.between(20, 70), 6.25).otherwise(0.0)
         + pt(F.exists(headings, lambda h: h["level"].isin("h2", "h3", "h4")))
-        + pt(has_out) + pt(has_in)
         + pt(og | tx.any_of(low, ["og:title", 'property="og:']))
         + pt(jsonld | F.contains(low, F.lit("application/ld+json")))
         + pt(canonical | tx.any_of(low, ['rel="canonical"', "rel='canonical'"]))
@@ -208,15 +216,16 @@ def assign_role(score: Column, share: Column, recent: Column, rival: Column, has
     return F.when(has_traffic, seen).otherwise(blind)
 
 
-def rerank_without_traffic(df: DataFrame, key: str = "cluster_id", score: str = "composite_score") -> DataFrame:
+def rerank_without_traffic(df: DataFrame, keys: list[str] | None = None, score: str = "composite_score") -> DataFrame:
     """Roles by percentile where no traffic is known: the top 15 % of a cluster of
     three or more are pillars. The cut-off is found through score counts."""
-    ranked = distributed_rank(df.select(key, "post_id", score), [key], [F.col(score), F.col("post_id")], "_rn", "_size")
-    cut = ranked.filter(F.col("_rn") == F.floor(F.col("_size") * 0.85) + 1).select(key, F.col(score).alias("_cut"), "_size")
+    keys = keys or ["cluster_id"]
+    ranked = distributed_rank(df.select(*keys, "post_id", score), keys, [F.col(score), F.col("post_id")], "_rn", "_size")
+    cut = ranked.filter(F.col("_rn") == F.floor(F.col("_size") * 0.85) + 1).select(*keys, F.col(score).alias("_cut"), "_size")
     s = F.col(score)
     pillar = F.when(F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL), "supporter").otherwise("pillar")
     role = F.when(s >= F.col("_cut"), pillar).when(s >= 30, "supporter").when(s >= 15, "at_risk").otherwise("dead_weight")
-    return df.join(cut, key, "left").withColumn(
+    return df.join(cut, keys, "left").withColumn(
         "role", F.when((F.col("_size") >= 3) & (F.col("role") != "competitor"), role).otherwise(F.col("role"))
     ).drop("_cut", "_size")
 
@@ -297,7 +306,17 @@ def health_job(
     posts also carry reading_ease and the head flags og, jsonld, canonical;
     clusters(post_id, cluster_id); ai(post_id, four scores).
     """
-    base = posts.filter("word_count IS NULL OR word_count >= 100").join(clusters, "post_id")
+    c = F.col
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    n_head = F.size("headings")
+    richness = (predicted_engagement(c("body_html"), c("reading_ease"), n_head) + structure_score(c("body_html"), zero("word_count"), n_head)) / 2
+    # markup and headings become five numbers here; nothing wide goes through the joins
+    narrow = posts.filter("word_count IS NULL OR word_count >= 100").select(
+        "post_id", "site_id", "word_count", "publish_date", "modified_date", "page_type", richness.alias("content_richness"),
+        quality_bonus(c("body_html")).alias("bonus"), time_sensitive(c("title"), c("url")).alias("sensitive"),
+        page_checks(c("meta_description"), c("title"), c("headings"), c("og"), c("jsonld"), c("canonical"), c("body_html")).alias("checks"),
+    )
+    base = narrow.join(clusters, "post_id")
     size = base.groupBy("cluster_id").agg(
         F.when(F.count("*") >= 3, F.avg(F.coalesce("word_count", F.lit(0)))).otherwise(F.lit(1000.0)).alias("cluster_avg")
     )
@@ -312,39 +331,34 @@ def health_job(
     df = base.join(avail, "site_id").join(short, "site_id", "left").join(size, "cluster_id")
     for part in (traffic_windows(ga4, as_of, unit), rank, visit, inbound, outbound, ai, rivals):
         df = df.join(part, "post_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    df = df.withColumns({c: zero(c) for c in ("recent", "prev", "two", "three", "inbound", "outbound")})
+    df = df.withColumns({x: zero(x) for x in ("recent", "prev", "two", "three", "inbound", "outbound")})
     sums = df.groupBy("cluster_id").agg(F.max("inbound").alias("max_in"), F.sum("three").alias("all_traffic"))
     df = df.join(sums, "cluster_id")
-    c = F.col
-    n_head = F.size("headings")
-    richness = (predicted_engagement(c("body_html"), c("reading_ease"), n_head) + structure_score(c("body_html"), zero("word_count"), n_head)) / 2
     scored = df.withColumns(
         {
             "_trend": traffic_trend(c("recent"), c("prev"), c("two")),
             "ranking": ranking_score(F.coalesce("avg_position", F.lit(100.0))),
             "engagement": engagement_score(c("bounce"), c("seconds")),
-            "freshness": freshness_score(F.coalesce("modified_date", "publish_date"), as_of, time_sensitive(c("title"), c("url"))),
-            "content_depth": depth_score(zero("word_count"), c("cluster_avg"), c("body_html"), F.coalesce("is_short_form", F.lit(False))),
+            "freshness": freshness_score(F.coalesce("modified_date", "publish_date"), as_of, c("sensitive")),
+            "content_depth": depth_score(zero("word_count"), c("cluster_avg"), c("bonus"), F.coalesce("is_short_form", F.lit(False))),
             "internal_links": F.least(F.lit(100.0), c("inbound") / F.greatest("max_in", F.lit(1)) * 100),
-            "technical_seo": technical_score(
-                c("meta_description"), c("title"), c("headings"), c("outbound") > 0, c("inbound") > 0, c("og"), c("jsonld"), c("canonical"), c("body_html")
-            ),
+            "technical_seo": c("checks") + link_checks(c("outbound") > 0, c("inbound") > 0),
             "ai_readiness": F.when(
                 c("ai_citability_score").isNotNull(),
                 ai_readiness(c("ai_citability_score"), c("eeat_score"), c("schema_score"), c("extraction_score")),
             ).otherwise(F.lit(40.0)),
-            "content_richness": richness,
             "traffic_share": c("three") / F.when(c("all_traffic") > 0, c("all_traffic")).otherwise(F.lit(1)),
         }
     ).withColumns({"trend": c("_trend.trend"), "traffic_trend": c("_trend.score")})
     raw = composite(factor_weights(c("has_ga4"), c("has_gsc")), {f: c(f) for f in FACTORS})
     scored = scored.withColumn("_raw", raw)
     role = assign_role(c("_raw"), c("traffic_share"), c("recent"), F.coalesce("rival", F.lit(False)), c("has_ga4") | c("has_gsc"), c("page_type"))
-    return scored.withColumns({"role": role, "composite_score": clamp(c("_raw"), 10.0, 95.0)}).select(
+    out = durable(scored.withColumns({"role": role, "composite_score": clamp(c("_raw"), 10.0, 95.0)}).select(
         "post_id", "site_id", "cluster_id", *FACTORS, "traffic_share", F.col("three").alias("traffic"), "trend", "role", "composite_score",
         "publish_date", "page_type", (c("has_ga4") | c("has_gsc")).alias("has_traffic"), F.col("freshness").alias("freshness_score"), "mode",
-    )
+    ))
+    blind = rerank_without_traffic(out.filter("NOT has_traffic"), ["site_id", "cluster_id"])
+    return out.filter("has_traffic").unionByName(blind)
 
 
 def score_distribution(scores: DataFrame, keys: list[str], value: str = "composite_score") -> DataFrame:

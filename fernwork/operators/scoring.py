@@ -259,10 +259,14 @@ def citability(df: DataFrame) -> DataFrame:
 
 
 def eeat(df: DataFrame, as_of: str) -> DataFrame:
-    """Adds visible trust signals and eeat_score (0–100).
+    """Adds visible trust signals and eeat_score (0–100)."""
+    return eeat_score(trust_signals(df), as_of)
 
-    Needs body_html, headings, word_count, site_median, publish_date,
-    modified_date and the crawl-time ``trust`` struct.
+
+def trust_signals(df: DataFrame) -> DataFrame:
+    """Adds the trust signals that the page shows.
+
+    Needs body_html, headings and the crawl-time ``trust`` struct.
     """
     html, trust = F.coalesce("body_html", F.lit("")), F.col("trust")
     tag = r"(?is)<[a-z][a-z0-9]*[^>]*\s(?:class|id)\s*=\s*[\"'][^\"']*(?:author|bio|writer|contributor)[^\"']*[\"'][^>]*>"
@@ -294,10 +298,15 @@ def eeat(df: DataFrame, as_of: str) -> DataFrame:
             | html.rlike(r"(?is)(updated|modified)[^<]{0,40}<time[^>]*\sdatetime\s*="),
             "external_links": F.size(F.filter(links, lambda a: a.rlike("^https?://") & ~a.rlike(SHARE_LINK))),
             "has_contact_link": F.coalesce(trust["has_contact_link"], F.lit(False)),
-            "word_ratio": F.when(F.col("site_median") > 0, F.col("word_count") / F.col("site_median")),
             "h2_total": F.size(F.filter("headings", lambda h: h["level"] == "h2")),
         }
     )
+    return out.drop("_text", "_bio")
+
+
+def eeat_score(df: DataFrame, as_of: str) -> DataFrame:
+    """Adds word_ratio and eeat_score to rows of ``trust_signals`` with word_count, site_median, publish_date, modified_date."""
+    out = df.withColumn("word_ratio", F.when(F.col("site_median") > 0, F.col("word_count") / F.col("site_median")))
     c = F.col
     age = F.date_diff(F.lit(as_of).cast("date"), F.to_date(F.coalesce("modified_date", "publish_date")))
     fresh = (
@@ -317,7 +326,7 @@ def eeat(df: DataFrame, as_of: str) -> DataFrame:
     )
     thin = (c("word_count") > 0) & (c("word_count") < 300)
     capped = F.when(thin, F.least(score, F.lit(50))).otherwise(score)
-    return out.withColumn("eeat_score", F.least(capped, F.lit(100)).cast("double")).drop("_text", "_bio")
+    return out.withColumn("eeat_score", F.least(capped, F.lit(100)).cast("double"))
 
 
 _LD_SCHEMA = "array<struct<`@type`:string,headline:string,datePublished:string,author:string,image:string,dateModified:string>>"
@@ -448,10 +457,16 @@ def extraction(df: DataFrame) -> DataFrame:
 
 
 def ai_scores(posts: DataFrame, as_of: str) -> DataFrame:
-    """All four AI-readiness scores per post, with the site's upper-middle word count."""
+    """All four AI-readiness scores per post, with the site's upper-middle word count.
+
+    Everything that needs the text is counted first; the site's median meets
+    rows without text or markup.
+    """
     med = upper_median(posts.select("site_id", F.coalesce("word_count", F.lit(0)).alias("w")), ["site_id"], "w", "site_median")
-    base = posts.filter(F.col("body_text").isNotNull()).join(med, "site_id")
-    return extraction(schema_markup(eeat(citability(base), as_of)))
+    base = posts.filter(F.col("body_text").isNotNull())
+    scored = extraction(schema_markup(trust_signals(citability(base))))
+    narrow = scored.drop("body_text", "body_html", "headings", "trust")
+    return eeat_score(narrow.join(med, "site_id"), as_of)
 
 
 def ai_summary(scores: DataFrame, keys: list[str]) -> DataFrame:

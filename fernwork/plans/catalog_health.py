@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import health as h
 from ..operators import scoring as sc
 from . import sqltext as q
-from .oracle import cte, query
+from .oracle import CTES, cte, query
 from .tables import AS_OF, Tables
 
 UNIT = 10  # days per period: the events span one month
@@ -148,7 +150,7 @@ def g11(t: Tables):
     a = articles(t)
     avg = t.posts.groupBy("site_id").agg(F.avg("word_count").alias("avg_wc"))
     df = a.join(avg, "site_id").join(h.short_form(t.posts, ["site_id"]).select("site_id", "is_short_form"), "site_id", "left")
-    s = h.depth_score(F.col("word_count"), F.col("avg_wc"), F.col("body_html"), F.coalesce("is_short_form", F.lit(False)))
+    s = h.depth_score(F.col("word_count"), F.col("avg_wc"), h.quality_bonus(F.col("body_html")), F.coalesce("is_short_form", F.lit(False)))
     return df.select("post_id", F.round(s, 6).alias("score"))
 
 
@@ -209,16 +211,25 @@ def g15(t: Tables):
 
 
 PM = "SELECT post_id FROM (SELECT post_a_id AS post_id, severity FROM pairs UNION ALL SELECT post_b_id, severity FROM pairs) WHERE severity IN ('medium','high','critical')"
+# of the sites, two have no facts at all and two no visits
+CRAWLED, PARTIAL = ["src1", "src2"], ["src3", "src4"]
+WITHOUT = lambda sites: ", ".join(f"'{x}'" for x in sites)
+cte("hga4", f"SELECT * FROM ga4 WHERE post_id NOT IN (SELECT post_id FROM posts WHERE site_id IN ({WITHOUT(CRAWLED + PARTIAL)}))", "ga4 posts")
+cte("hgsc", f"SELECT * FROM gsc WHERE post_id NOT IN (SELECT post_id FROM posts WHERE site_id IN ({WITHOUT(CRAWLED)}))", "gsc posts")
+for _name in ("avail", "win"):
+    _uses, _sql = CTES[_name]
+    _swap = lambda x: re.sub(r"\b(ga4|gsc)\b", r"h\1", x)
+    cte(f"h{_name}", _swap(_sql), _swap(_uses))
 cte("hbase", f"""
 SELECT a.post_id, a.site_id, c.cluster_id, a.title, a.url, a.body_html, a.headings, a.word_count, a.meta_description, a.page_type, a.publish_date, a.modified_date, fre, has_ga4, has_gsc, coalesce(is_short_form, false) AS short,
   coalesce(recent, 0) AS recent, coalesce(prev, 0) AS prev, coalesce(two, 0) AS two, coalesce(three, 0) AS three, pos, b, s, coalesce(li, 0) AS inbound, coalesce(lo, 0) AS outbound,
   ai_citability_score AS a1, eeat_score AS a2, schema_score AS a3, extraction_score AS a4, a.post_id IN ({PM}) AS rival
-FROM articles a JOIN post_clusters c ON c.post_id = a.post_id JOIN (SELECT post_id, fre FROM readable) r ON r.post_id = a.post_id JOIN avail v ON v.site_id = a.site_id LEFT JOIN shortf sf ON sf.site_id = a.site_id
-LEFT JOIN win w ON w.post_id = a.post_id LEFT JOIN (SELECT post_id, avg(avg_position) AS pos FROM gsc WHERE date >= {A} - {3 * UNIT} GROUP BY 1) g ON g.post_id = a.post_id
-LEFT JOIN (SELECT post_id, avg(bounce_rate) AS b, avg(avg_time) AS s FROM ga4 WHERE date >= {A} - {3 * UNIT} GROUP BY 1) e ON e.post_id = a.post_id
+FROM articles a JOIN post_clusters c ON c.post_id = a.post_id JOIN (SELECT post_id, fre FROM readable) r ON r.post_id = a.post_id JOIN havail v ON v.site_id = a.site_id LEFT JOIN shortf sf ON sf.site_id = a.site_id
+LEFT JOIN hwin w ON w.post_id = a.post_id LEFT JOIN (SELECT post_id, avg(avg_position) AS pos FROM hgsc WHERE date >= {A} - {3 * UNIT} GROUP BY 1) g ON g.post_id = a.post_id
+LEFT JOIN (SELECT post_id, avg(bounce_rate) AS b, avg(avg_time) AS s FROM hga4 WHERE date >= {A} - {3 * UNIT} GROUP BY 1) e ON e.post_id = a.post_id
 LEFT JOIN (SELECT target_post_id AS post_id, count(*) AS li FROM links WHERE target_post_id IS NOT NULL GROUP BY 1) i ON i.post_id = a.post_id
 LEFT JOIN (SELECT source_post_id AS post_id, count(*) AS lo FROM links GROUP BY 1) o ON o.post_id = a.post_id LEFT JOIN scores x ON x.post_id = a.post_id WHERE a.word_count >= 100
-""", "articles post_clusters readable avail shortf win gsc ga4 links scores pairs")
+""", "articles post_clusters readable havail shortf hwin hgsc hga4 links scores pairs")
 cte("hfac", f"""
 WITH m AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY cluster_id) >= 3 THEN avg(word_count) OVER (PARTITION BY cluster_id) ELSE 1000 END AS cavg, max(inbound) OVER (PARTITION BY cluster_id) AS mi,
    sum(three) OVER (PARTITION BY cluster_id) AS tot, word_count::DOUBLE AS w, coalesce(modified_date, publish_date) AS upd, {SENS} AS sens FROM hbase),
@@ -230,11 +241,16 @@ SELECT post_id, site_id, cluster_id, {K} AS trend, {S} AS traffic_trend, {RANK.f
   CASE WHEN a1 IS NOT NULL THEN list_avg(list_filter([a1, a2, a3, a4], lambda x: x IS NOT NULL)) ELSE 40 END::DOUBLE AS ai_readiness, ({PRED} + {STRU}) / 2 AS content_richness,
   three / CASE WHEN tot > 0 THEN tot ELSE 1 END AS traffic_share, three AS traffic, recent, rival, page_type, publish_date, has_ga4, has_gsc, has_ga4 OR has_gsc AS has_traffic FROM k
 """, "hbase")
-cte("health", f"""
+cte("health0", f"""
 SELECT *, greatest(10, least(95, raw)) AS composite_score, CASE WHEN has_traffic THEN CASE WHEN raw < 15 OR recent = 0 THEN 'dead_weight' WHEN rival THEN 'competitor' WHEN traffic_share > 0.25 AND raw >= 40 THEN CASE WHEN page_type IN ('landing','index') THEN 'supporter' ELSE 'pillar' END WHEN raw >= 30 THEN 'supporter' ELSE 'dead_weight' END
-  ELSE CASE WHEN rival THEN 'competitor' WHEN raw >= 45 THEN CASE WHEN page_type IN ('landing','index') THEN 'supporter' ELSE 'pillar' END WHEN raw >= 30 THEN 'supporter' WHEN raw >= 15 THEN 'at_risk' ELSE 'dead_weight' END END AS role
+  ELSE CASE WHEN rival THEN 'competitor' WHEN raw >= 45 THEN CASE WHEN page_type IN ('landing','index') THEN 'supporter' ELSE 'pillar' END WHEN raw >= 30 THEN 'supporter' WHEN raw >= 15 THEN 'at_risk' ELSE 'dead_weight' END END AS first_role
 FROM (SELECT *, {' + '.join(f'({_w(f)}) * {f}' for f in h.FACTORS)} AS raw FROM hfac)
 """, "hfac")
+cte("health", """
+SELECT o.*, CASE WHEN has_traffic OR n < 3 OR first_role = 'competitor' THEN first_role WHEN composite_score >= cut THEN CASE WHEN page_type IN ('landing','index') THEN 'supporter' ELSE 'pillar' END
+  WHEN composite_score >= 30 THEN 'supporter' WHEN composite_score >= 15 THEN 'at_risk' ELSE 'dead_weight' END AS role
+FROM health0 o LEFT JOIN (SELECT site_id, cluster_id, count(*) AS n, list_sort(list(composite_score))[floor(count(*) * 0.85)::BIGINT + 1] AS cut FROM health0 WHERE NOT has_traffic GROUP BY 1, 2) c ON c.site_id = o.site_id AND c.cluster_id = o.cluster_id
+""", "health0")
 
 
 def health(t: Tables):
@@ -244,7 +260,9 @@ def health(t: Tables):
         {"og": F.col("trust.has_og_tags"), "jsonld": F.col("trust.has_jsonld"), "canonical": F.col("trust.has_canonical")}
     ).drop("trust", "sentences", "words", "syllables", "grade")
     ai = t.scores.select("post_id", "ai_citability_score", "eeat_score", "schema_score", "extraction_score")
-    return h.health_job(p, t.post_clusters, t.ga4, t.gsc, t.links, t.pairs, ai, AS_OF, UNIT)
+    of = lambda sites: t.posts.filter(F.col("site_id").isin(sites)).select("post_id")
+    ga4, gsc = t.ga4.join(of(CRAWLED + PARTIAL), "post_id", "left_anti"), t.gsc.join(of(CRAWLED), "post_id", "left_anti")
+    return h.health_job(p, t.post_clusters, ga4, gsc, t.links, t.pairs, ai, AS_OF, UNIT)
 
 
 @query("g16_composite", "SELECT post_id, round(composite_score, 6) AS composite_score FROM health", "health")
