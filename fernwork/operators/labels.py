@@ -9,33 +9,39 @@ from ..functions import text as tx
 from ..plans.scale import durable, top_per_group
 
 # fixed values: words that carry no topic
-STOP_WORDS = (
-    "the a an and or but in on at to for of with by from is are was were be been being have has had do does did will would "
-    "could should may might shall can this that these those it its you your we our they their how what when where why which who "
-    "more most very just also than then about into through during before after above below between each every all both few some any "
-    "other new one two first last many much get got use make like need want know think come take see look find give tell "
-    "work way even well back only still here there not no so up out if my me him her them us she he as his "
-    "whom whose thee thou thy whereby thereof whether whereas hence thus therefore really actually literally basically simply always never "
-    "because since until unless although though while often sometimes usually already enough almost quite rather perhaps maybe sure "
-    "thing things stuff kind type lot lots said says went going done doing let lets put puts set run say true real right wrong big old"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "this", "that", "these",
+    "those", "it", "its", "you", "your", "we", "our", "they", "their", "how", "what", "when", "where", "why", "which", "who", "more", "most", "very",
+    "just", "also", "than", "then", "about", "into", "through", "during", "before", "after", "above", "below", "between", "each", "every", "all",
+    "both", "few", "some", "any", "other", "new", "one", "two", "first", "last", "many", "much", "get", "got", "use", "make", "like", "need", "want",
+    "know", "think", "come", "take", "see", "look", "find", "give", "tell", "work", "way", "even", "well", "back", "only", "still", "here", "there",
+    "not", "no", "so", "up", "out", "if", "my", "me", "him", "her", "them", "us", "she", "he", "as", "his", "whom", "whose", "thee", "thou", "thy",
+    "whereby", "thereof", "whether", "whereas", "hence", "thus", "therefore", "really", "actually", "literally", "basically", "simply", "always",
+    "never", "because", "since", "until", "unless", "although", "though", "while", "often", "sometimes", "usually", "already", "enough", "almost",
+    "quite", "rather", "perhaps", "maybe", "sure", "thing", "things", "stuff", "kind", "type", "lot", "lots", "said", "says", "went", "going",
+    "done", "doing", "let", "lets", "put", "puts", "set", "run", "say", "true", "real", "right", "wrong", "big", "old",
+]
 # fixed values: words that describe the kind of article
-FORMAT_WORDS = (
-    "definitive complete ultimate comprehensive step guide beginner beginners advanced simple easy quick proven essential actionable "
-    "powerful effective practical updated review checklist template templates roundup list resource resources tutorial overview introduction "
-    "explained basics fundamental fundamentals key important incredible awesome ways tips tricks hacks secrets examples report "
-    "study case results here what learned better tried worth good tested comparison top bottom worst biggest greatest number "
-    "reasons steps mistake mistakes common remix remixed remixes rewrite revisited"
-).split()
+FORMAT_WORDS = [
+    "definitive", "complete", "ultimate", "comprehensive", "step", "guide", "beginner", "beginners", "advanced", "simple", "easy", "quick", "proven",
+    "essential", "actionable", "powerful", "effective", "practical", "updated", "review", "checklist", "template", "templates", "roundup", "list",
+    "resource", "resources", "tutorial", "overview", "introduction", "explained", "basics", "fundamental", "fundamentals", "key", "important",
+    "incredible", "awesome", "ways", "tips", "tricks", "hacks", "secrets", "examples", "report", "study", "case", "results", "here", "what",
+    "learned", "better", "tried", "worth", "good", "tested", "comparison", "top", "bottom", "worst", "biggest", "greatest", "number", "reasons",
+    "steps", "mistake", "mistakes", "common", "remix", "remixed", "remixes", "rewrite", "revisited",
+]
 # fixed values: words of page chrome
-UI_WORDS = (
-    "tweet share pin facebook twitter linkedin pinterest instagram reddit email print copy link subscribe comment comments reply cancel "
-    "submit search menu close open toggle click next previous prev read reading min ago posted author written category categories tag tags "
-    "related popular recent sidebar footer header nav navigation cookie cookies privacy policy terms login signup register password account "
-    "profile settings loading advertisement sponsored affiliate disclosure class swp div span href src alt img width height style script "
-    "https http www com org net php jpg png gif wordpress theme plugin widget shortcode rdf xml json api schema xmlns meta viewport charset "
-    "utf doctype don didn doesn isn wasn aren won wouldn couldn shouldn hasn hadn haven mustn needn"
-).split()
+UI_WORDS = [
+    "tweet", "share", "pin", "facebook", "twitter", "linkedin", "pinterest", "instagram", "reddit", "email", "print", "copy", "link", "subscribe",
+    "comment", "comments", "reply", "cancel", "submit", "search", "menu", "close", "open", "toggle", "click", "next", "previous", "prev", "read",
+    "reading", "min", "ago", "posted", "author", "written", "category", "categories", "tag", "tags", "related", "popular", "recent", "sidebar",
+    "footer", "header", "nav", "navigation", "cookie", "cookies", "privacy", "policy", "terms", "login", "signup", "register", "password", "account",
+    "profile", "settings", "loading", "advertisement", "sponsored", "affiliate", "disclosure", "class", "swp", "div", "span", "href", "src", "alt",
+    "img", "width", "height", "style", "script", "https", "http", "www", "com", "org", "net", "php", "jpg", "png", "gif", "wordpress", "theme",
+    "plugin", "widget", "shortcode", "rdf", "xml", "json", "api", "schema", "xmlns", "meta", "viewport", "charset", "utf", "doctype", "don", "didn",
+    "doesn", "isn", "wasn", "aren", "won", "wouldn", "couldn", "shouldn", "hasn", "hadn", "haven", "mustn", "needn",
+]
 # fixed values: phrases that mark the article format
 FORMAT_PHRASES = [
     "the definitive guide", "a complete guide", "the complete guide", "the ultimate guide", "a comprehensive guide", "a beginner's guide",
@@ -43,9 +49,10 @@ FORMAT_PHRASES = [
     "an in-depth guide", "in depth guide", "the complete beginner's guide", "everything you need to know",
 ]
 # fixed values: words written in capitals
-ACRONYMS = (
-    "seo sem ppc cta roi b2b b2c saas api html css cro kpi url cpc cpm ctr serp eeat llm ux ui smm pr roas lp"
-).split()
+ACRONYMS = [
+    "seo", "sem", "ppc", "cta", "roi", "b2b", "b2c", "saas", "api", "html", "css", "cro", "kpi", "url", "cpc", "cpm", "ctr", "serp", "eeat", "llm",
+    "ux", "ui", "smm", "pr", "roas", "lp",
+]
 # fixed values: word pairs that need no connector
 COMPOUNDS = [
     "link building", "email marketing", "content marketing", "content strategy", "social media", "keyword research", "search engine",

@@ -15,43 +15,79 @@ FLAG, HIGH, CRITICAL = 0.45, 0.55, 0.65
 FLOORS = {"flag": 0.40, "high": 0.50, "critical": 0.60}
 MIN_SHARED = 3
 SMALL_CLUSTER = 20
-# fixed values: words that say nothing about a page's topic
-SLUG_STOPS = (
-    "the a an and or but in on at to for of with by is are how what why your you that this from it its can www com html php blog post page"
-).split()
-SLUG_FORMATS = (
-    "review guide tutorial tips strategies examples comparison alternative alternatives report study statistics stats tools best free hub"
-).split()
-TITLE_FORMATS = (
-    "the a an and or but in on at to for of with by is are how what why your you that this from it its can get best top new most more here our "
-    "guide complete definitive ultimate simple step"
-).split()
-TOPIC_NOISE = (
-    "most important here what learned need know really actually things much does cost work better good ways steps methods techniques used "
-    "simple easy quick fast using tried tested worth results case million billion analyzed data"
-).split()
-ENTITY_NOISE = (
-    "has have had was were will would could should been being does did got get let don know feel tell find make take give come keep think want "
-    "need look like love hate say says said told read try use put become became attract mean means meant start stop run set show help turn just "
-    "really actually about here there ever never still also too very once twice much more less enough whom thee thou right wrong true first last "
-    "next most some every each many few whole both fine dead three four five six seven eight nine ten step steps approach process method methods "
-    "way ways thing things reason reasons secret secrets lesson lessons rule rules trick tricks hack hacks works worked"
-).split()
-SHORT_TOPICS = (
-    "seo blog link page site web ads ppc copy lead sale rank data code api app tool plan test user team roi crm cms cta ux ai b2b saas ecommerce"
-).split()
-REVIEW_HEADINGS = "features pricing pros cons verdict alternatives overview review summary plans integrations".split()
+# fixed values: words that say nothing about a slug
+SLUG_STOPS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "how", "what", "why", "your", "you",
+    "that", "this", "from", "it", "its", "can", "www", "com", "html", "php", "blog", "post", "page",
+]
+# fixed values: format words of slugs
+SLUG_FORMATS = [
+    "review", "guide", "tutorial", "tips", "strategies", "examples", "comparison", "alternative", "alternatives", "report", "study", "statistics",
+    "stats", "tools", "best", "free", "hub",
+]
+# fixed values: format words of titles
+TITLE_FORMATS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "how", "what", "why", "your", "you",
+    "that", "this", "from", "it", "its", "can", "get", "best", "top", "new", "most", "more", "here", "our", "guide", "complete", "definitive",
+    "ultimate", "simple", "step",
+]
+# fixed values: words that name no topic
+TOPIC_NOISE = [
+    "most", "important", "here", "what", "learned", "need", "know", "really", "actually", "things", "much", "does", "cost", "work", "better", "good",
+    "ways", "steps", "methods", "techniques", "used", "simple", "easy", "quick", "fast", "using", "tried", "tested", "worth", "results", "case",
+    "million", "billion", "analyzed", "data",
+]
+# fixed values: words that name no entity
+ENTITY_NOISE = [
+    "has", "have", "had", "was", "were", "will", "would", "could", "should", "been", "being", "does", "did", "got", "get", "let", "don", "know",
+    "feel", "tell", "find", "make", "take", "give", "come", "keep", "think", "want", "need", "look", "like", "love", "hate", "say", "says", "said",
+    "told", "read", "try", "use", "put", "become", "became", "attract", "mean", "means", "meant", "start", "stop", "run", "set", "show", "help",
+    "turn", "just", "really", "actually", "about", "here", "there", "ever", "never", "still", "also", "too", "very", "once", "twice", "much", "more",
+    "less", "enough", "whom", "thee", "thou", "right", "wrong", "true", "first", "last", "next", "most", "some", "every", "each", "many", "few",
+    "whole", "both", "fine", "dead", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "step", "steps", "approach", "process",
+    "method", "methods", "way", "ways", "thing", "things", "reason", "reasons", "secret", "secrets", "lesson", "lessons", "rule", "rules", "trick",
+    "tricks", "hack", "hacks", "works", "worked",
+]
+# fixed values: short words that are topics
+SHORT_TOPICS = [
+    "seo", "blog", "link", "page", "site", "web", "ads", "ppc", "copy", "lead", "sale", "rank", "data", "code", "api", "app", "tool", "plan", "test",
+    "user", "team", "roi", "crm", "cms", "cta", "ux", "ai", "b2b", "saas", "ecommerce",
+]
+# fixed values: headings of reviews
+REVIEW_HEADINGS = [
+    "features", "pricing", "pros", "cons", "verdict", "alternatives", "overview", "review", "summary", "plans", "integrations",
+]
 # fixed values: vocabularies of search intent, in order of precedence
 INTENT_GROUPS = {
-    "learning": "guide how tutorial strategies tips techniques ways steps explained introduction basics beginners learn definitive complete "
-                "ultimate simple comprehensive checklist course lessons mistakes secrets principles rules formula",
-    "browsing": "examples templates inspiration ideas samples list collection roundup showcase gallery",
-    "evaluation": "review comparison versus alternative alternatives pricing pros cons worth",
-    "research": "statistics stats report study data survey analyzed analysis research findings benchmark trends state results insights",
-    "shopping": "tools software resources platforms services products apps programs deals picks recommendations",
-    "case_study": "case success story interview behind journey experience profile spotlight",
-    "opinion": "why think believe opinion wrong myth myths truth dead overrated underrated controversial unpopular debate rant problem",
-    "reference": "glossary dictionary definitions terminology cheat sheet reference index directory hub wiki database library catalog",
+    "learning": [
+        "guide", "how", "tutorial", "strategies", "tips", "techniques", "ways", "steps", "explained", "introduction", "basics", "beginners", "learn",
+        "definitive", "complete", "ultimate", "simple", "comprehensive", "checklist", "course", "lessons", "mistakes", "secrets", "principles",
+        "rules", "formula",
+    ],
+    "browsing": [
+        "examples", "templates", "inspiration", "ideas", "samples", "list", "collection", "roundup", "showcase", "gallery",
+    ],
+    "evaluation": [
+        "review", "comparison", "versus", "alternative", "alternatives", "pricing", "pros", "cons", "worth",
+    ],
+    "research": [
+        "statistics", "stats", "report", "study", "data", "survey", "analyzed", "analysis", "research", "findings", "benchmark", "trends", "state",
+        "results", "insights",
+    ],
+    "shopping": [
+        "tools", "software", "resources", "platforms", "services", "products", "apps", "programs", "deals", "picks", "recommendations",
+    ],
+    "case_study": [
+        "case", "success", "story", "interview", "behind", "journey", "experience", "profile", "spotlight",
+    ],
+    "opinion": [
+        "why", "think", "believe", "opinion", "wrong", "myth", "myths", "truth", "dead", "overrated", "underrated", "controversial", "unpopular",
+        "debate", "rant", "problem",
+    ],
+    "reference": [
+        "glossary", "dictionary", "definitions", "terminology", "cheat", "sheet", "reference", "index", "directory", "hub", "wiki", "database",
+        "library", "catalog",
+    ],
 }
 # fixed values: title forms that name the topic before or after a marker
 VERSUS = r"^(.+?)\s+(?:review|vs\.?|versus|comparison|alternative)"
@@ -260,8 +296,8 @@ def intent_group(title: Column, url: Column) -> Column:
     return tx.let(tx.let(words, pick), lambda b: F.when(b["n"] >= 1, b["g"]))
 
 
-def _overlap(w: Column, vocab: str) -> Column:
-    return F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in vocab.split()])))
+def _overlap(w: Column, vocab: list[str]) -> Column:
+    return F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in vocab])))
 
 
 def title_entity(title: Column) -> Column:

@@ -116,7 +116,7 @@ ENTITY = f"""CASE WHEN regexp_matches(t, '{pr.VERSUS}') THEN {BARE(f"regexp_extr
 GRP = "CASE " + " ".join(
     f"WHEN {o} >= 1 AND {o} = greatest({', '.join(f'g{i}' for i in range(len(pr.INTENT_GROUPS)))}) THEN '{g}'" for g, o in zip(pr.INTENT_GROUPS, [f"g{i}" for i in range(len(pr.INTENT_GROUPS))])
 ) + " END"
-GCOLS = ", ".join(f"len(list_intersect(gw, {ban(v.split())})) AS g{i}" for i, v in enumerate(pr.INTENT_GROUPS.values()))
+GCOLS = ", ".join(f"len(list_intersect(gw, {ban(v)})) AS g{i}" for i, v in enumerate(pr.INTENT_GROUPS.values()))
 cte("sig0", f"""
 SELECT post_id, content_hash, language, content_intent, page_type, cluster_id, slug, tw, topic, hw, rw, nullif({ENTITY}, '') AS entity, gw FROM (SELECT *, list_filter(regexp_extract_all({LOOSE}, '[a-z]{{3,}}'), lambda w: NOT list_contains({ban(pr.SLUG_STOPS + pr.ENTITY_NOISE)}, w)) AS fw FROM (
 SELECT *, {SLUG} AS slug, {TW} AS tw, {TOPIC} AS topic, coalesce({HW}, []) AS hw, len(list_intersect(coalesce(list_distinct(flatten(list_transform(headings, lambda h: regexp_extract_all(lower(h.text), '[a-z]+')))), []), {ban(pr.REVIEW_HEADINGS)})) >= 3 AS rw,
