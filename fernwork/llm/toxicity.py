@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernwork.plans.scale import top_per_group
+
 from .common import slices, table
 
 ROWS, ROUNDS, SIZE = 2000, 200, 1 << 20
@@ -134,8 +136,10 @@ def fit(rows: list[tuple[str, bool]], rounds: int = ROUNDS, penalty: float = PEN
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[tuple[str, bool]]:
     """At most ``rows`` toxic and twice as many other labelled texts. Ids are picked first; only the picked texts move."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")))
-    picked = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= F.when(F.col("toxic"), rows).otherwise(2 * rows))
+    # three groups of at most ``rows``, so that a task sends no more than that of each before the shuffle
+    key = F.md5(F.col("doc_id").cast("string"))
+    group = F.when(F.col("toxic"), "toxic").otherwise(F.substring(key, 32, 1).rlike("[0-7]").cast("string"))
+    picked = top_per_group(known.withColumns({"at": key, "group": group}), ["group"], [F.asc("at")], rows)
     picked = picked.select(F.col("doc_id").alias("picked"), "toxic")  # 3 * rows ids at most
     found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).filter("text IS NOT NULL").select("doc_id", "text", "toxic").distinct()
     return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
