@@ -407,14 +407,14 @@ def overlap_score(cosine: Column, n_shared: Column, n_union: Column) -> Column:
     return F.coalesce(0.7 * cosine + 0.3 * jac, cosine, jac, F.lit(0.0))
 
 
-def stronger(pairs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Adds stronger_post_id: 0.3 health + 0.7 traffic share of the cluster's best
-    post, health alone without traffic; the first post wins ties.
+def stronger(pairs: DataFrame, scores: DataFrame, by: str = "cluster_id") -> DataFrame:
+    """Adds stronger_post_id: 0.3 health + 0.7 traffic share of the best post of the
+    cluster (or of the site, ``by`` its key), health alone without traffic; the first post wins ties.
 
     pairs(cluster_id, post_a_id, post_b_id, …), scores(post_id, cluster_id, composite_score, traffic).
     """
-    top = scores.filter("traffic > 0").groupBy("cluster_id").agg(F.max("traffic").alias("_max"))
-    out = pairs.join(top, "cluster_id", "left")
+    top = scores.filter("traffic > 0").groupBy(by).agg(F.max("traffic").alias("_max"))
+    out = pairs.join(top, by, "left")
     for s in ("a", "b"):
         out = out.join(
             scores.select(F.col("post_id").alias(f"post_{s}_id"), F.col("composite_score").alias(f"_h{s}"), F.col("traffic").alias(f"_t{s}")),
@@ -437,10 +437,10 @@ def resolution(cosine: Column, sev: Column, intent_a: Column, intent_b: Column,
     )
 
 
-def finish_pairs(pairs: DataFrame, scores: DataFrame) -> DataFrame:
+def finish_pairs(pairs: DataFrame, scores: DataFrame, by: str = "cluster_id") -> DataFrame:
     """Severity score, stronger post and resolution of rated pairs."""
     c = F.col
-    out = stronger(pairs, scores).withColumns(
+    out = stronger(pairs, scores, by).withColumns(
         {
             "severity_score": F.least(F.lit(100.0), c("blended") * 100),
             "resolution": resolution(c("cosine"), c("severity"), c("intent_a"), c("intent_b"), c("slug_overlap"), c("h2_jaccard"), c("title_topic")),
@@ -466,14 +466,14 @@ def cluster_pairs(posts: DataFrame, vectors: DataFrame, queries: DataFrame, scor
 
 
 def cross_pairs(posts: DataFrame, vectors: DataFrame, existing: DataFrame, scores: DataFrame, high: float = HIGH) -> DataFrame:
-    """Overlap pairs across clusters among each post's five nearest neighbours."""
+    """Overlap pairs across clusters among each post's five nearest neighbours of its site; strength is measured against the site's best post."""
     site = posts.filter(~F.coalesce("page_type", F.lit("blog")).isin("landing", "index"))
-    v = vectors.join(site.select("post_id"), "post_id", "left_semi")
-    near = top_neighbours(v.select("post_id", "vec", "cluster_id"), 5, floor=high, cell="cluster_id")
+    v = vectors.drop("site_id").join(site.select("post_id", "site_id"), "post_id")
+    near = top_neighbours(v.select("post_id", "vec", "cluster_id", "site_id"), 5, ["site_id"], floor=high, cell="cluster_id")
     pairs = near.select(
         F.least("post_id", "neighbour_id").alias("post_a_id"), F.greatest("post_id", "neighbour_id").alias("post_b_id"), "similarity"
     ).groupBy("post_a_id", "post_b_id").agg(F.max("similarity").alias("cosine"))
-    ca = v.select(F.col("post_id").alias("post_a_id"), "cluster_id")
+    ca = v.select(F.col("post_id").alias("post_a_id"), "cluster_id", "site_id")
     cb = v.select(F.col("post_id").alias("post_b_id"), F.col("cluster_id").alias("_cb"))
     known = existing.select(F.least("post_a_id", "post_b_id").alias("post_a_id"), F.greatest("post_a_id", "post_b_id").alias("post_b_id")).distinct()
     pairs = pairs.join(ca, "post_a_id").join(cb, "post_b_id").filter("cluster_id <> _cb").drop("_cb").join(known, ["post_a_id", "post_b_id"], "left_anti")
@@ -482,7 +482,7 @@ def cross_pairs(posts: DataFrame, vectors: DataFrame, existing: DataFrame, score
         ~F.coalesce(c("hash_a") == c("hash_b"), F.lit(False)) & ~F.coalesce(c("lang_a") != c("lang_b"), F.lit(False))
     )
     rated = blend(sig).filter("tier <> 'low'").withColumns({"severity": c("tier"), "overlap_score": c("blended")})
-    return finish_pairs(rated, scores)
+    return finish_pairs(rated, scores, "site_id")
 
 
 # ---- after detection -----------------------------------------------------

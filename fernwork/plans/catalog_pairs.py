@@ -214,9 +214,9 @@ def f16(t: Tables):
     return t.pairs.select("post_a_id", "post_b_id", F.round(pr.overlap_score(cos, F.col("n_shared"), F.col("n_shared") + F.col("post_b_id") % 4), 6).alias("score"))
 
 
-def strong_sql(src: str) -> str:
+def strong_sql(src: str, best: str = "SELECT cluster_id, max(traffic) AS m FROM scores WHERE traffic > 0 GROUP BY 1", key: str = "x.cluster_id = p.cluster_id") -> str:
     return f"""SELECT p.*, CASE WHEN CASE WHEN a.traffic > 0 OR b.traffic > 0 THEN a.composite_score / 100 * 0.3::DOUBLE + a.traffic / m * 0.7::DOUBLE ELSE a.composite_score END >= CASE WHEN a.traffic > 0 OR b.traffic > 0 THEN b.composite_score / 100 * 0.3::DOUBLE + b.traffic / m * 0.7::DOUBLE ELSE b.composite_score END
-  THEN post_a_id ELSE post_b_id END AS strong FROM {src} p LEFT JOIN (SELECT cluster_id, max(traffic) AS m FROM scores WHERE traffic > 0 GROUP BY 1) x ON x.cluster_id = p.cluster_id JOIN scores a ON a.post_id = post_a_id JOIN scores b ON b.post_id = post_b_id"""
+  THEN post_a_id ELSE post_b_id END AS strong FROM {src} p LEFT JOIN ({best}) x ON {key} JOIN scores a ON a.post_id = post_a_id JOIN scores b ON b.post_id = post_b_id"""
 
 
 @query("f17_stronger_post", f"SELECT post_a_id, post_b_id, strong FROM ({strong_sql('pairs')})", "pairs scores")
@@ -236,7 +236,7 @@ def f18(t: Tables):
 
 OUT = "post_a_id, post_b_id, cluster_id, round(cosine, 6) AS cosine, round(ov, 6) AS overlap_score, sev AS severity, round(least(100, blended * 100), 6) AS severity_score, strong AS stronger_post_id, {r} AS resolution"
 cte("cross0", """
-SELECT DISTINCT least(a, b) AS post_a_id, greatest(a, b) AS post_b_id, sim AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rk FROM sims WHERE a IN (SELECT post_id FROM posts WHERE page_type <> 'landing') AND b IN (SELECT post_id FROM posts WHERE page_type <> 'landing')) WHERE rk <= 5 AND sim >= 0.2 AND ca <> cb
+SELECT DISTINCT least(a, b) AS post_a_id, greatest(a, b) AS post_b_id, sim AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rk FROM sims WHERE a IN (SELECT post_id FROM posts WHERE page_type <> 'landing') AND b IN (SELECT post_id FROM posts WHERE page_type <> 'landing') AND a % 5 = b % 5) WHERE rk <= 5 AND sim >= 0.2 AND ca <> cb
 """, "sims posts")
 cte("cross1", f"""
 SELECT y.* FROM ({blend_sql("(SELECT post_a_id, post_b_id, max(cosine) AS cosine FROM cross0 GROUP BY 1, 2)", "x.*, a.cluster_id")}) y JOIN sig a ON a.post_id = post_a_id JOIN sig b ON b.post_id = post_b_id
@@ -251,9 +251,9 @@ def round_out(df):
     )
 
 
-@query("f19_cross_cluster_pairs", f"SELECT {OUT.format(r=RES.format(s='sev'))} FROM ({strong_sql('(SELECT *, tier AS sev, blended AS ov FROM cross1)')})", "cross1 scores")
+@query("f19_cross_cluster_pairs", f"SELECT {OUT.format(r=RES.format(s='sev'))} FROM ({strong_sql('(SELECT *, tier AS sev, blended AS ov FROM cross1)', 'SELECT post_id % 5 AS site_id, max(traffic) AS m FROM scores WHERE traffic > 0 GROUP BY 1', 'x.site_id = p.post_a_id % 5')})", "cross1 scores")
 def f19(t: Tables):
-    return round_out(pr.cross_pairs(pair_posts(t), t.embeddings, t.pairs, t.scores, 0.2))
+    return round_out(pr.cross_pairs(at_site(pair_posts(t)), t.embeddings, t.pairs, at_site(t.scores), 0.2))
 
 
 cte("clus1", blend_sql("cand", "x.*") , "cand sig")
