@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -13,14 +15,16 @@ EDGES_PER_SPLIT = 1_000_000  # a hub's out-edges are spread over this many per p
 
 
 def pagerank(
-    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_iter: int = 100
+    nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, max_iter: int | None = None
 ) -> DataFrame:
     """Rank per (site, node): nodes(site_id, id), edges(site_id, src, dst).
 
     Edges are laid out once by (src, piece) and checkpointed; each round only
     moves the rank vector, and a hub's rank is copied to each of its pieces.
     Mass of nodes without out-links is shared evenly inside the site. Stops
-    when every site's L1 change is below n · tol.
+    when every site's L1 change is below n · tol; the change shrinks by the
+    damping factor each round, so that comes after about log(tol) / log(damping)
+    rounds. With ``max_iter`` rounds that don't suffice, it fails.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -47,7 +51,9 @@ def pagerank(
         layout=True,
     )
     n_sites = state.select("site_id").distinct().count()
-    for _ in range(max_iter):
+    for number in count(1):
+        if max_iter and number > max_iter:
+            raise RuntimeError(f"PageRank has not settled after {max_iter} rounds")
         share = state.filter("degree > 0").select(
             "site_id", F.col("id").alias("src"),
             F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"),

@@ -276,15 +276,16 @@ def refresh_due(sites: DataFrame, as_of: str, kind: str, embeds: DataFrame | Non
 def redirect_lines(redirects: DataFrame, fmt: str) -> DataFrame:
     """One export line per (old_url, new_url): htaccess, plugin or csv."""
     old, new = F.col("old_url"), F.col("new_url")
+    quoted = lambda c: F.replace(c, F.lit('"'), F.lit('""'))
     if fmt == "htaccess":
         rest = F.regexp_replace(old, r"^.*?//", "")
         p = F.when(F.contains(old, F.lit("//")), F.regexp_replace(rest, r"^[^/]*/", "")).otherwise(old)
         p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
         line = F.concat(F.lit("Redirect 301 "), p, F.lit(" "), new)
     elif fmt == "plugin":
-        line = F.format_string('"%s","%s",0,301', old, new)
+        line = F.format_string('"%s","%s",0,301', quoted(old), quoted(new))
     else:
-        line = F.format_string('"%s","%s"', old, new)
+        line = F.format_string('"%s","%s"', quoted(old), quoted(new))
     return redirects.select(F.lit(fmt).alias("fmt"), line.alias("line"))
 
 

@@ -171,15 +171,16 @@ def query_sets(gsc: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     return gsc.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)).select("post_id", F.lower("query").alias("query")).distinct()
 
 
-def shared_queries(pairs: DataFrame, queries: DataFrame, cap: int = 50) -> DataFrame:
-    """n_shared, the first ``cap`` shared queries and the union size of each listed pair."""
+def shared_queries(pairs: DataFrame, queries: DataFrame, cap: int | None = None) -> DataFrame:
+    """n_shared, the shared queries (with ``cap`` the first of them) and the union size of each listed pair."""
     key = ["post_a_id", "post_b_id"]
     both = (
         pairs.select(*key).join(queries.select(F.col("post_id").alias("post_a_id"), "query"), "post_a_id")
         .join(queries.select(F.col("post_id").alias("post_b_id"), "query"), ["post_b_id", "query"])
     )
     n = both.groupBy(*key).agg(F.count("*").alias("n_shared"))
-    first = top_per_group(both, key, [F.asc("query")], cap).groupBy(*key).agg(F.array_sort(F.collect_list("query")).alias("shared"))
+    listed = top_per_group(both, key, [F.asc("query")], cap) if cap else both
+    first = listed.groupBy(*key).agg(F.array_sort(F.collect_list("query")).alias("shared"))
     sizes = queries.groupBy("post_id").agg(F.count("*").alias("q"))
     return (
         pairs.join(n, key, "left").join(first, key, "left")

@@ -239,12 +239,13 @@ def family_counts(problems: DataFrame) -> DataFrame:
     return problems.groupBy(fam.alias("family")).agg(F.count("*").alias("n"))
 
 
-def list_problems(problems: DataFrame, problem_type: str | None = None, severity: str | None = None, by: str = "severity", limit: int = 200, offset: int = 0) -> DataFrame:
-    """Page of unresolved problems, worst first."""
+def list_problems(problems: DataFrame, problem_type: str | None = None, severity: str | None = None, by: str = "severity", limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Page of unresolved problems (all without a limit), worst first."""
     df = problems.filter(F.col("resolved_at").isNull())
     if problem_type:
         df = df.filter(F.col("problem_type") == problem_type)
     if severity:
         df = df.filter(F.col("severity") == severity)
     order = F.desc(severity_score(F.col("problem_type"))) if by == "weight" else severity_rank(F.col("severity"))
-    return df.orderBy(order, "post_id", "problem_type").offset(offset).limit(min(limit, 500))
+    out = df.orderBy(order, "post_id", "problem_type").offset(offset)
+    return out.limit(limit) if limit else out

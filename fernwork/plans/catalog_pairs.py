@@ -68,7 +68,7 @@ SELECT p.post_a_id, p.post_b_id, count(j.query) AS n_shared, coalesce(array_to_s
 FROM pairs p LEFT JOIN (SELECT i.post_id AS a, j.post_id AS b, query FROM qset i JOIN qset j USING (query)) j ON j.a = p.post_a_id AND j.b = p.post_b_id GROUP BY 1, 2
 """, "pairs qset")
 def f5(t: Tables):
-    s = pr.shared_queries(t.pairs.select("post_a_id", "post_b_id"), pr.query_sets(t.gsc, AS_OF), 1000)
+    s = pr.shared_queries(t.pairs.select("post_a_id", "post_b_id"), pr.query_sets(t.gsc, AS_OF))
     return s.select("post_a_id", "post_b_id", "n_shared", F.coalesce(F.array_join("shared", ","), F.lit("")).alias("shared"))
 
 
