@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -192,11 +192,17 @@ def duplicate_problems(posts: DataFrame) -> DataFrame:
 
 
 def group_related(problems: DataFrame) -> DataFrame:
-    """Orphans swallow the missing-links problem; thin posts mark the cluster variant."""
-    has = lambda kind, name: problems.filter(F.col("problem_type") == kind).select("post_id", F.lit(True).alias(name)).distinct()
-    df = problems.join(has("orphan", "_o"), "post_id", "left").join(has("thin_content", "_t"), "post_id", "left")
-    return df.filter(~(F.coalesce("_o", F.lit(False)) & (F.col("problem_type") == "seo_no_internal_links"))).withColumn(
-        "related_to", F.when(F.coalesce("_t", F.lit(False)) & (F.col("problem_type") == "thin_below_cluster_avg"), "thin_content")
+    """Orphans swallow the missing-links problem; thin posts mark the cluster variant.
+
+    A post has one row per type at most, so its rows meet in a window and the
+    detectors behind ``problems`` run once.
+    """
+    kind = F.col("problem_type")
+    of_post = Window.partitionBy("post_id")
+    has = lambda x: F.max(kind == x).over(of_post)
+    df = problems.withColumns({"_o": has("orphan"), "_t": has("thin_content")})
+    return df.filter(~(F.col("_o") & (kind == "seo_no_internal_links"))).withColumn(
+        "related_to", F.when(F.col("_t") & (kind == "thin_below_cluster_avg"), "thin_content")
     ).drop("_o", "_t")
 
 

@@ -172,6 +172,41 @@ def analysis_diff(history: DataFrame, factors: list[str]) -> DataFrame:
     return out.filter(F.abs("delta") >= 0.5).withColumn("degraded", F.col("delta") < F.when(F.col("factor") == "score", -3).otherwise(-5))
 
 
+def analysis_report(
+    history: DataFrame, factors: list[str], problems: DataFrame, scores: DataFrame, recs: DataFrame, posts: DataFrame, as_of: str, days: int = 30, fresh: int = 7
+) -> DataFrame:
+    """The last analysis of each site against the one before: score, factor changes by size, improvements, new issues, degradations.
+
+    ``factors`` includes "score"; the other tables carry site_id.
+    """
+    moved = analysis_diff(history, factors)
+    two = last_two(history, ["score"]).filter("_old IS NOT NULL")
+    base = two.select("site_id", F.bround("_old.score", 1).alias("score_before"), F.bround("_new.score", 1).alias("score_after"), F.bround(F.col("_new.score") - F.col("_old.score"), 1).alias("score_delta"))
+    change = F.struct((-F.abs("delta")).alias("o"), "factor", "before", "after", "delta")
+    other = F.col("factor") != "score"
+    changes = moved.groupBy("site_id").agg(
+        F.array_sort(F.collect_list(F.when(other, change))).alias("_c"),
+        F.array_sort(F.collect_list(F.when(F.col("degraded"), F.concat("factor", F.lit(" fell by "), F.format_string("%.1f", F.abs("delta")))))).alias("degradations"),
+    ).withColumn("factor_changes", F.transform("_c", lambda x: F.concat(x["factor"], F.lit(" "), F.format_string("%.1f", x["delta"])))).drop("_c")
+    count = lambda df, name: df.groupBy("site_id").agg(F.count("*").alias(name))
+    solved = count(problems.filter(F.col("resolved_at") > day(as_of, days)), "_solved")
+    marked = count(scores.filter("schema_score > 0"), "_marked")
+    done = count(recs.filter((F.col("status") == "completed") & (F.col("completed_at") > day(as_of, days))), "_done")
+    stale = count(posts.filter(F.col("modified_date") < F.add_months(F.lit(as_of).cast("date"), -12)), "_stale")
+    new = problems.filter(F.col("resolved_at").isNull() & (F.col("detected_at") > day(as_of, fresh))).groupBy("site_id", "problem_type").agg(F.count("*").alias("n"))
+    new = new.groupBy("site_id").agg(F.array_sort(F.collect_list(F.concat(F.col("n").cast("string"), F.lit(" new "), F.replace("problem_type", F.lit("_"), F.lit(" "))))).alias("_new"))
+    df = base
+    for part in (changes, solved, marked, done, stale, new):
+        df = df.join(part, "site_id", "left")
+    said = lambda *pairs: F.filter(F.array(*[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(t))) for c, t in pairs]), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    return df.select(
+        "site_id", "score_before", "score_after", "score_delta", F.coalesce("factor_changes", none).alias("factor_changes"),
+        said(("_solved", " issues resolved"), ("_marked", " posts with structured data"), ("_done", " recommendations completed")).alias("improvements"),
+        F.concat(F.coalesce("_new", none), said(("_stale", " posts not updated in a year"))).alias("new_issues"), F.coalesce("degradations", none).alias("degradations"),
+    )
+
+
 def trend_direction(history: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     """Mean of the newer half of a site's snapshots minus that of the older half."""
     h = history.filter((F.col("date") >= day(as_of, days)) & F.col("score").isNotNull())

@@ -136,6 +136,25 @@ def j11(t: Tables):
     return tr.analysis_diff(t.history, FS)
 
 
+DIFFS = " UNION ALL ".join(f"SELECT site_id, '{f}' AS factor, round_even({f}_n - {f}_o, 1) AS delta, {f}_n - {f}_o AS exact FROM two WHERE score_o IS NOT NULL" for f in FS)
+
+
+@query("j11_analysis_report", f"""
+WITH d AS (SELECT * FROM ({DIFFS}) WHERE abs(delta) >= 0.5),
+c AS (SELECT site_id, list(factor || ' ' || format('{{:.1f}}', delta) ORDER BY abs(delta) DESC, factor) FILTER (factor <> 'score') AS changes, list(factor || ' fell by ' || format('{{:.1f}}', abs(delta)) ORDER BY factor) FILTER (delta < CASE WHEN factor = 'score' THEN -3 ELSE -5 END) AS worse FROM d GROUP BY 1),
+n AS (SELECT site_id, list(n || ' new ' || replace(problem_type, '_', ' ') ORDER BY n || ' new ' || replace(problem_type, '_', ' ')) AS news FROM (SELECT site_id, problem_type, count(*) AS n FROM sproblems WHERE resolved_at IS NULL AND detected_at > {A} - 7 GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT site_id, (SELECT count(*) FROM sproblems p WHERE p.site_id = s.site_id AND resolved_at > {A} - 30) AS solved, (SELECT count(*) FROM sscores p WHERE p.site_id = s.site_id AND schema_score > 0) AS marked,
+  (SELECT count(*) FROM srecs p WHERE p.site_id = s.site_id AND status = 'completed' AND completed_at > {A} - 30) AS done, (SELECT count(*) FROM sposts p WHERE p.site_id = s.site_id AND modified_date < {A} - INTERVAL 12 MONTH) AS stale FROM sites s)
+SELECT site_id, round_even(score_o, 1) AS score_before, round_even(score_n, 1) AS score_after, round_even(score_n - score_o, 1) AS score_delta, coalesce(array_to_string(changes, '; '), '') AS factor_changes,
+  array_to_string(list_filter([CASE WHEN solved > 0 THEN solved || ' issues resolved' END, CASE WHEN marked > 0 THEN marked || ' posts with structured data' END, CASE WHEN done > 0 THEN done || ' recommendations completed' END], lambda x: x IS NOT NULL), '; ') AS improvements,
+  array_to_string(list_concat(coalesce(news, []), CASE WHEN stale > 0 THEN [stale || ' posts not updated in a year'] ELSE [] END), '; ') AS new_issues, coalesce(array_to_string(worse, '; '), '') AS degradations
+FROM two LEFT JOIN c USING (site_id) LEFT JOIN n USING (site_id) LEFT JOIN k USING (site_id) WHERE score_o IS NOT NULL
+""", "two sproblems sscores srecs sposts sites")
+def j11b(t: Tables):
+    r = tr.analysis_report(t.history, FS, at_site(t.problems), at_site(t.scores), at_site(t.recs), at_site(t.posts), AS_OF)
+    return r.withColumns({c: F.array_join(c, "; ") for c in ("factor_changes", "improvements", "new_issues", "degradations")})
+
+
 cte("trend", f"SELECT site_id, CASE WHEN max(n) >= 2 THEN avg(score) FILTER (r <= n // 2) - avg(score) FILTER (r > n // 2) ELSE 0 END AS trend FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY date DESC) AS r, count(*) OVER (PARTITION BY site_id) AS n FROM history WHERE date >= {A} - 14) GROUP BY 1", "history")
 
 
