@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, memory, scores = shared.value, {}, []
         for batch in slices(batches, text_col, 4 << 20):
-            texts = [WORD.findall(t.lower()) if t else [] for t in batch.column(text_col).to_pylist()]
+            texts = [WORD.findall(t.lower()) if t and any(map(str.isalpha, t)) else [] for t in batch.column(text_col).to_pylist()]
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             full = [i for i, t in enumerate(texts) if t] if made else []
             if full:

@@ -1,7 +1,7 @@
 """PII surrogates: personal data is replaced by keyed values of the same kind, in DataFrame operations only.
 
 Detected are e-mail addresses, phone numbers, IPv4 addresses, payment card
-numbers, IBANs, secret tokens and names (a title or a known given name with the
+numbers, social security numbers, IBANs, secret tokens and names (a title or a known given name with the
 capitalised word after it; Latin, Cyrillic and Greek script).
 
 An entity is its kind and its canonical form (addresses in lower case, numbers
@@ -53,8 +53,9 @@ _GIVEN = "|".join(n for names in (MALE, FEMALE) for some in names.values() for n
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
 #: One pattern for all kinds, tried in this order at each place; each kind is told apart again by its own form.
 EMAIL = r"[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
-TOKEN = r"(?:[0-9a-f]{40,64}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})"
+TOKEN = r"(?:[0-9a-f]{40,64}|[0-9A-F]{40,64}|[0-9a-f]{32}|[0-9A-F]{32}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})"
@@ -62,11 +63,11 @@ NAME = rf"(?:(?:{_TITLES})\.? (?:(?:{_GIVEN}) )?\p{{Lu}}\p{{Ll}}+|(?:{_GIVEN}) \
 _EDGE = r"(?<![\p{L}\p{N}_])"
 _END = r"(?![\p{L}\p{N}_])"
 ANY = (
-    rf"(?<![\p{{L}}\p{{N}}_@.%+-])(?:{EMAIL}){_END}|{_EDGE}(?:{TOKEN}){_END}|{_EDGE}(?:{IBAN}){_END}|(?<![\p{{L}}\p{{N}}_.])(?:{IP})(?![\p{{L}}\p{{N}}_]|\.[0-9])"
+    rf"(?<![\p{{L}}\p{{N}}_@.%+-])(?:{EMAIL}){_END}|{_EDGE}(?:{TOKEN}){_END}|{_EDGE}(?:{IBAN}){_END}|(?<![\p{{L}}\p{{N}}_-])(?:{SSN})(?![\p{{L}}\p{{N}}_]|-[0-9])|(?<![\p{{L}}\p{{N}}_.])(?:{IP})(?![\p{{L}}\p{{N}}_]|\.[0-9])"
     rf"|(?<![\p{{L}}\p{{N}}_+.-])(?:{CARD})(?![\p{{L}}\p{{N}}_]|-[0-9])|(?<![\p{{L}}\p{{N}}_.-])(?:{PHONE})(?![\p{{L}}\p{{N}}_]|-[0-9])|{_EDGE}(?:{NAME}){_END}"
 )
 #: Without any of these there is no mention.
-SIGN = rf"@|[0-9]{{2}}|[0-9a-f]{{32}}|(?<!\p{{L}})(?:{_TITLES}|{_GIVEN})[. ]"
+SIGN = rf"@|[0-9]{{2}}|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:{_TITLES}|{_GIVEN})[. ]"
 
 
 def _hash_digit(seed: Column, i: Column, base: int) -> Column:
@@ -110,7 +111,7 @@ def _family(script: str, seed: Column) -> Column:
 def kind_of(mention: Column) -> Column:
     whole = lambda p: mention.rlike(f"^(?:{p})$")
     return (
-        F.when(mention.contains("@"), "email").when(whole(TOKEN), "token").when(whole(IP), "ip").when(whole(CARD), "card").when(mention.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
+        F.when(mention.contains("@"), "email").when(whole(TOKEN), "token").when(whole(SSN), "ssn").when(whole(IP), "ip").when(whole(CARD), "card").when(mention.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
         .when(mention.rlike("^[+(0-9]"), "phone").otherwise("name")
     )
 
@@ -119,7 +120,7 @@ def canonical(mention: Column, kind: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
     bare = F.regexp_replace(mention, rf"^(?:{_TITLES})\.? ", "")
     return (
-        F.when(kind == "email", F.lower(mention)).when(kind == "card", digits).when(kind == "phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits))
+        F.when((kind == "email") | mention.rlike("^[0-9A-F]{32,}$") & (kind == "token"), F.lower(mention)).when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.when(digits.rlike("^1[0-9]{10}$"), F.substring(digits, 2, 10)).otherwise(digits))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "name", bare).otherwise(mention)
     )
 
@@ -167,7 +168,8 @@ def rendered(mention: Column, kind: Column, found: Column) -> Column:
     before = F.aggregate(solid, F.lit(0), lambda a, x: a + x) - F.length(found)  # a country code that the canonical form leaves out
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Za-z0-9]") & (place(i) > before), F.substring(found, place(i) - before, F.lit(1))).otherwise(c)), "")
     title = F.regexp_extract(mention, rf"^(?:{_TITLES})\.? ", 0)
-    return F.when(kind.isin("card", "phone", "iban"), spaced).when(kind == "name", F.concat(title, found)).otherwise(found)
+    loud = kind.isin("email", "token") & mention.rlike("[A-Z]") & (mention == F.upper(mention))
+    return F.when(kind.isin("card", "phone", "iban", "ssn"), spaced).when(loud, F.upper(found)).when(kind == "name", F.concat(title, found)).otherwise(found)
 
 
 def entities(mentions: DataFrame, key: str) -> DataFrame:

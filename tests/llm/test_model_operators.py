@@ -82,7 +82,7 @@ def test_language_held_out_and_code_switch(spark):
     assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out)
     words = model.label_words("the that for with and nicht sich das mit der dans pour les une avec")
     assert [lang for _, lang, _ in words] == ["en"] * 5 + ["de"] * 5 + ["fr"] * 5
-    odd = spark.createDataFrame([(1, None, 0.5), (None, "", 0.1), (2, "12 34 !", 0.2), (3, "the and of " * 20_000, 0.3), (3, "the", 0.3)], "doc_id long, text string, score double")
+    odd = spark.createDataFrame([(1, None, 0.5), (None, "", 0.1), (2, "12 34 ² !", 0.2), (3, "the and of " * 20_000, 0.3), (3, "the", 0.3)], "doc_id long, text string, score double")
     got = langid.predict(odd, model, score_col="sure").collect()
     assert [r.lang_pred for r in got] == ["und", "und", "und", "en", "en"] and [r.score for r in got] == [0.5, 0.1, 0.2, 0.3, 0.3]
     assert all(0 <= r.sure <= 1 for r in got)
@@ -135,7 +135,7 @@ def test_toxicity_held_out(spark):
 ROWS = [
     (1, "Call +1 (377) 555-0271 or 377-555-0271. Mr. John Smith wrote from x.Y@mail.Example.com; card 4929-3483-8514-6306, 4929348385146306.", "a"),
     (2, 'Frau Petra Müller met John Smith and Иван Петров. IP 83.229.25.121 token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" DE89 3704 0044 0532 0130 00', "b"),
-    (3, None, None), (4, "", "c"), (None, "oué éanpa.90@mail2.example.com x", "d"), (None, "oué éanpa.90@mail2.example.com x", "d"), (5, "plain 12 words. 1.2.3 and 2024-05-06", "e"), (6, "10.0.0.1 " * 5000, "f"),
+    (3, None, None), (4, "", "c"), (None, "oué éanpa.90@mail2.example.com x", "d"), (None, "oué éanpa.90@mail2.example.com x", "d"), (5, "plain 12 words. 1.2.3 and 2024-05-06", "e"), (7, "UND.34@MAIL7.EXAMPLE.COM und.34@mail7.example.com 9233A8ECF7C5B09FE5949719B6B82BC439E9329B 123-45-6789", "g"), (6, "10.0.0.1 " * 5000, "f"),
 ]
 
 
@@ -151,8 +151,10 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert re.search(r"and (\w+) ", two)[1] in pii.MALE["cyrillic"]
     for secret in ("377", "x.Y@", "4929", "83.229", "24be", "Müller", "Петров", "éanpa"):
         assert all(secret not in (t or "") for t in out.values())
-    assert out[(3, 2)] is None and out[(4, 3)] == "" and out[(5, 4)] == ROWS[6][1] and out[(None, 6)] == out[(None, 7)]
+    assert out[(3, 2)] is None and out[(4, 3)] == "" and out[(5, 4)] == ROWS[6][1] and out[(None, 7)] == out[(None, 8)]
     assert len(set(out[(6, 5)].split())) == 1
+    loud, soft, token, number = out[(7, 6)].split()
+    assert loud == soft.upper() != "UND.34@MAIL7.EXAMPLE.COM" and re.fullmatch("[0-9A-F]{40}", token) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", number) and number != "123-45-6789"
     assert pii.replace(frame.limit(0)).count() == 0 and pii.replace(frame).columns == frame.columns
 
 
