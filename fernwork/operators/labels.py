@@ -344,24 +344,30 @@ def _valid_alternatives(base: DataFrame, titles: DataFrame, wdf: DataFrame, floo
     )
 
 
+def cluster_sites(titles: DataFrame) -> DataFrame:
+    """The site of each cluster: titles(site_id, cluster_id, …)."""
+    return titles.groupBy("cluster_id").agg(F.min("site_id").alias("site_id"))
+
+
 def specific(labels: DataFrame, titles: DataFrame, label: str = "label") -> DataFrame:
-    """Whether a label sets its cluster apart: (cluster_id, label, specific).
+    """Whether a label sets its cluster apart in its site: (cluster_id, label, specific).
 
-    A label fails when all its words occur in more than half of the other
+    A label fails when all its words occur in more than half of the site's other
     clusters. A word found in at most half of them settles the question, so
     only labels made of very common words are compared cluster by cluster.
     """
-    wdf = cluster_word_df(titles).select("cluster_id", "word")
-    n_other = titles.agg(F.count_distinct("cluster_id").alias("_n")).select((F.col("_n") - 1).alias("_others"), F.lit(1).alias("_k"))
-    spread = wdf.groupBy("word").agg(F.count("*").alias("_c"))
-    words = labels.select("cluster_id", label, F.explode(F.array_distinct(title_words(F.lower(label)))).alias("word")).withColumn("_k", F.lit(1))
-    common = words.join(spread, "word", "left").join(n_other, "_k").groupBy("cluster_id", label).agg(
+    sites = cluster_sites(titles)
+    wdf = cluster_word_df(titles).select("cluster_id", "word").join(sites, "cluster_id")
+    n_other = sites.groupBy("site_id").agg((F.count("*") - 1).alias("_others"))
+    spread = wdf.groupBy("site_id", "word").agg(F.count("*").alias("_c"))
+    words = labels.select("cluster_id", label, F.explode(F.array_distinct(title_words(F.lower(label)))).alias("word")).join(sites, "cluster_id")
+    common = words.join(spread, ["site_id", "word"], "left").join(n_other, "site_id").groupBy("site_id", "cluster_id", label).agg(
         F.count("*").alias("_m"), F.min(F.coalesce("_c", F.lit(0))).alias("_min"), F.first("_others").alias("_others")
     ).filter(F.col("_min") > F.col("_others") / 2)
     check = common.join(words.select("cluster_id", label, "word"), ["cluster_id", label])
-    other = wdf.select("word", F.col("cluster_id").alias("_other"))
+    other = wdf.select("site_id", "word", F.col("cluster_id").alias("_other"))
     hits = (
-        check.join(other, "word").filter("_other <> cluster_id")
+        check.join(other, ["site_id", "word"]).filter("_other <> cluster_id")
         .groupBy("cluster_id", label, "_m", "_others", "_other").agg(F.count("*").alias("_got")).filter("_got = _m")
         .groupBy("cluster_id", label, "_others").agg(F.count("*").alias("_hits"))
         .filter((F.col("_others") > 0) & (F.col("_hits") / F.col("_others") > 0.5)).select("cluster_id", label, F.lit(False).alias("_bad"))
@@ -386,23 +392,24 @@ def primary_pair(label: Column) -> Column:
 
 
 def repair_duplicates(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """Make labels distinct: repeats of a leading pair take an unused alternative,
+    """Make a site's labels distinct: repeats of a leading pair take an unused alternative,
     exact repeats get the cluster's most common other word in brackets.
 
-    labels(cluster_id, label, alternatives), words(cluster_id, word, n).
+    labels(site_id, cluster_id, label, alternatives), words(cluster_id, word, n).
     """
+    pair = ["site_id", "_p"]
     keyed = labels.withColumn("_p", primary_pair(F.col("label")))
-    first = keyed.groupBy("_p").agg(F.min("cluster_id").alias("_first"))
-    keyed = keyed.join(first, "_p")
-    late = keyed.filter(F.col("cluster_id") != F.col("_first")).select("cluster_id", F.posexplode("alternatives").alias("pos", "alt")).withColumn(
+    first = keyed.groupBy(*pair).agg(F.min("cluster_id").alias("_first"))
+    keyed = keyed.join(first, pair)
+    late = keyed.filter(F.col("cluster_id") != F.col("_first")).select("site_id", "cluster_id", F.posexplode("alternatives").alias("pos", "alt")).withColumn(
         "_p", primary_pair(F.col("alt"))
     )
-    free = late.join(first.withColumnRenamed("_first", "_owner"), "_p", "left").filter(
+    free = late.join(first.withColumnRenamed("_first", "_owner"), pair, "left").filter(
         F.col("_owner").isNull() | (F.col("_owner") > F.col("cluster_id"))
     ).groupBy("cluster_id").agg(F.min_by("alt", "pos").alias("_alt"))
     named = durable(keyed.join(free, "cluster_id", "left").withColumn("label", F.coalesce("_alt", "label")).drop("_alt", "_p", "_first"))
-    same = named.groupBy("label").agg(F.count("*").alias("_same"))
-    named = named.join(same, "label")
+    same = named.groupBy("site_id", "label").agg(F.count("*").alias("_same"))
+    named = named.join(same, ["site_id", "label"])
     extra = top_per_group(
         named.filter("_same > 1").select("cluster_id", "label").join(words, "cluster_id").filter(~F.contains(F.lower("label"), F.col("word"))),
         ["cluster_id"], [F.desc("n"), F.asc("word")], 1,
@@ -436,6 +443,7 @@ def cluster_words(posts: DataFrame) -> DataFrame:
 
 def label_clusters(posts: DataFrame) -> DataFrame:
     """Final label, alternatives and description of every cluster."""
-    named = use_specific(raw_labels(posts), posts.select("post_id", "cluster_id", "title"))
-    done = repair_duplicates(named, cluster_words(posts))
+    titles = posts.select("site_id", "post_id", "cluster_id", "title")
+    named = use_specific(raw_labels(posts), titles)
+    done = repair_duplicates(named.drop("site_id").join(cluster_sites(titles), "cluster_id"), cluster_words(posts))
     return done.select("cluster_id", "label", "alternatives", description(F.col("label"), F.col("words")).alias("description"))

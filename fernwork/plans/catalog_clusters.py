@@ -340,27 +340,32 @@ def labs(t: Tables):
     )
 
 
+def of_two_sites(df):
+    """Even and odd clusters as two sites."""
+    return df.withColumn("site_id", (F.col("cluster_id") % 2).cast("string"))
+
+
 @query("e26_label_specificity", """
 WITH lw AS (SELECT cluster_id, label, unnest(regexp_extract_all(lower(label), '[a-z]{3,}')) AS word FROM labs),
 k AS (SELECT cluster_id, label, count(*) AS m FROM lw GROUP BY 1, 2),
-h AS (SELECT lw.cluster_id, lw.label, w.cluster_id AS o, count(*) AS c FROM lw JOIN wdf w USING (word) WHERE w.cluster_id <> lw.cluster_id GROUP BY 1, 2, 3),
+h AS (SELECT lw.cluster_id, lw.label, w.cluster_id AS o, count(*) AS c FROM lw JOIN wdf w USING (word) WHERE w.cluster_id <> lw.cluster_id AND w.cluster_id % 2 = lw.cluster_id % 2 GROUP BY 1, 2, 3),
 c AS (SELECT h.cluster_id, h.label, count(*) AS hits FROM h JOIN k USING (cluster_id, label) WHERE c = m GROUP BY 1, 2)
-SELECT k.cluster_id, k.label, NOT coalesce(hits / ((SELECT count(*) FROM clusters) - 1) > 0.5, false) AS specific FROM k LEFT JOIN c USING (cluster_id, label)
+SELECT k.cluster_id, k.label, NOT coalesce(hits / ((SELECT count(*) FROM clusters x WHERE x.cluster_id % 2 = k.cluster_id % 2) - 1) > 0.5, false) AS specific FROM k LEFT JOIN c USING (cluster_id, label)
 """, "labs wdf clusters")
 def e26(t: Tables):
-    return lb.specific(labs(t), topical(t))
+    return lb.specific(labs(t), of_two_sites(topical(t)))
 
 
 @query("e27_label_repair", """
-WITH k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cluster_id) AS rn FROM labs),
-n AS (SELECT cluster_id, CASE WHEN rn = 1 THEN label WHEN NOT EXISTS (SELECT 1 FROM labs l WHERE l.cluster_id < k.cluster_id AND l.label = 'Write Copy') THEN 'Write Copy' ELSE label END AS label FROM k),
-c AS (SELECT label, count(*) AS n FROM n GROUP BY 1),
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY label, cluster_id % 2 ORDER BY cluster_id) AS rn FROM labs),
+n AS (SELECT cluster_id, CASE WHEN rn = 1 THEN label WHEN NOT EXISTS (SELECT 1 FROM labs l WHERE l.cluster_id < k.cluster_id AND l.cluster_id % 2 = k.cluster_id % 2 AND l.label = 'Link Building') THEN 'Link Building & Seo' WHEN NOT EXISTS (SELECT 1 FROM labs l WHERE l.cluster_id < k.cluster_id AND l.cluster_id % 2 = k.cluster_id % 2 AND l.label = 'Write Copy') THEN 'Write Copy' ELSE label END AS label FROM k),
+c AS (SELECT label, cluster_id % 2 AS s, count(*) AS n FROM n GROUP BY 1, 2),
 w AS (SELECT cluster_id, word, count(*) AS n FROM (SELECT cluster_id, unnest(w) AS word FROM tw) WHERE word NOT IN (SELECT word FROM stops) GROUP BY 1, 2),
-x AS (SELECT n.cluster_id, w.word FROM n JOIN c USING (label) JOIN w ON w.cluster_id = n.cluster_id WHERE c.n > 1 AND NOT contains(lower(n.label), w.word) QUALIFY row_number() OVER (PARTITION BY n.cluster_id ORDER BY w.n DESC, w.word) = 1)
+x AS (SELECT n.cluster_id, w.word FROM n JOIN c ON c.label = n.label AND c.s = n.cluster_id % 2 JOIN w ON w.cluster_id = n.cluster_id WHERE c.n > 1 AND NOT contains(lower(n.label), w.word) QUALIFY row_number() OVER (PARTITION BY n.cluster_id ORDER BY w.n DESC, w.word) = 1)
 SELECT n.cluster_id, n.label || CASE WHEN x.word IS NOT NULL THEN ' (' || CASE WHEN x.word = 'seo' THEN 'SEO' ELSE upper(left(x.word, 1)) || substring(x.word, 2) END || ')' ELSE '' END AS label FROM n LEFT JOIN x USING (cluster_id)
 """, "labs tw stops")
 def e27(t: Tables):
-    return lb.repair_duplicates(labs(t), lb.cluster_words(topical(t))).select("cluster_id", "label")
+    return lb.repair_duplicates(of_two_sites(labs(t)), lb.cluster_words(topical(t))).select("cluster_id", "label")
 
 
 @query("e28_descriptions", """
