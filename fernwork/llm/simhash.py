@@ -43,6 +43,8 @@ from .components import components
 
 #: Rows of a bucket that one task compares; larger buckets are split into parts of this size.
 BUCKET = 2048
+#: Buckets of up to this size are searched for any link side by side.
+SMALL = 64
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -170,7 +172,15 @@ def linker(lanes: int, radius: int, segments: int, limit: int | None) -> Callabl
         hit = two[near(fp[two] ^ fp[two + 1], radius, segments)]
         a += ids[hit].tolist()
         b += ids[hit + 1].tolist()
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        # of the larger ones, only those that hold a link at all are looked at member by member
+        number = np.repeat(np.arange(len(starts)), sizes)
+        rest = sizes[number] > 2
+        held = np.zeros(len(starts), bool)
+        for d in range(1, min(SMALL, int(sizes.max(initial=0)))):
+            first = np.flatnonzero(rest[:-d] & (number[d:] == number[:-d]) & (sizes[number[:-d]] <= SMALL))
+            held[number[first[near(fp[first] ^ fp[first + d], radius, segments)]]] = True
+        full = np.flatnonzero((sizes > SMALL) | held)
+        for s, n in zip(starts[full].tolist(), sizes[full].tolist()):
             for i, j in forest(fp[s : s + n], radius, segments):
                 a.append(int(ids[s + i]))
                 b.append(int(ids[s + j]))
