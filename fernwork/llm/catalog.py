@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
+    "op2_benchmark_decontamination": decontaminate.ORACLE,
     "op3_exact_top_k": topk.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
