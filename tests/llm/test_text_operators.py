@@ -126,6 +126,39 @@ def test_wide_groups_find_pairs_of_similarity_four_fifths(spark):
     assert sum(2 * k + 1 in kept for k in range(pairs)) <= 0.2 * pairs
 
 
+def test_wide_groups_are_checked_exactly(spark):
+    r = random.Random(14)
+    pairs = []
+    for _ in range(600):
+        words = [f"w{r.randrange(10**6)}" for _ in range(304)]  # 300 shingles
+        other, share = list(words), r.uniform(0.70, 0.86)
+        places = r.sample(range(304), 60)
+        while True:
+            a, b = ({tuple(x[i : i + 5]) for i in range(300)} for x in (words, other))
+            similarity = len(a & b) / len(a | b)
+            if similarity <= share:
+                break
+            other[places.pop()] = f"v{r.randrange(10**6)}"
+        pairs.append((similarity, " ".join(words), " ".join(other)))
+    docs = [(2 * k + i, t) for k, x in enumerate(pairs) for i, t in enumerate(x[1:])]
+    kept = {x.doc_id for x in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = [(s, 2 * k + 1 not in kept) for k, (s, _, _) in enumerate(pairs)]
+    near, below = [g for s, g in gone if 0.8 <= s < 0.83], [g for s, g in gone if 0.7 <= s < 0.8]
+    print("found", sum(near), "of", len(near), "removed below", sum(below), "of", len(below))
+    assert all(2 * k in kept for k in range(len(pairs))) and len(near) > 50 and len(below) > 100
+    assert sum(near) >= 0.97 * len(near) and not any(below)
+
+
+def test_wide_groups_join_what_the_first_member_does_not(spark, monkeypatch):
+    words = [f"w{i}" for i in range(304)]
+    def step(n):  # each step changes 25 shingles; neighbours are near copies, the ends are not
+        return " ".join(f"v{i}" if i % 5 == 2 and i < 25 * n else w for i, w in enumerate(words))
+    docs = [(i, step(i)) for i in range(6)] + [(9, "something else that has nothing to do with it")]
+    for bucket in (2048, 2):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        assert {x.doc_id for x in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0, 9}
+
+
 def test_simhash_odd_rows(odd, none):
     out = {(r["id"], r.fp.hex(), r.component_id) for r in simhash.groups(odd).collect()}
     assert {c for i, f, c in out if i in (7, 8, 10)} == {7} and {f for i, f, c in out if i in (7, 8, 10)} == {"00" * 8}
