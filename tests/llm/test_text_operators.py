@@ -159,6 +159,12 @@ def test_wide_groups_join_what_the_first_member_does_not(spark, monkeypatch):
         assert {x.doc_id for x in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0, 9}
 
 
+def test_rows_that_share_an_id_are_decided_one_by_one(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    out = simhash.one_of_each_group(spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out)) == [(3, a), (5, b)]
+
+
 def test_simhash_odd_rows(odd, none):
     out = {(r["id"], r.fp.hex(), r.component_id) for r in simhash.groups(odd).collect()}
     assert {c for i, f, c in out if i in (7, 8, 10)} == {7} and {f for i, f, c in out if i in (7, 8, 10)} == {"00" * 8}
