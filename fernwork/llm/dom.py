@@ -18,9 +18,16 @@ BLOCK = frozenset([
 #: Elements that end an open one of the same family, up to an element that holds the family.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
+#: A start tag's attributes; the tag ends its element at once if the slash before ``>`` isn't part of a bare value.
+_ATTRIBUTES = r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?"
+#: Elements whose content is no markup, up to their end tag or the end of the page.
+RAW = rf"<(script|style|iframe|textarea)(?:/>|{_ATTRIBUTES}(?:(?<=[\s\"'])/>|>(?:.*?</\1\s*>|.*\Z)))"
+#: Elements that are left out where they have an end tag.
+ASIDE = re.compile(rf"<!--.*?(?:-->|\Z)|{RAW}|<(/?)(noscript|template|svg|select|object)(?:(/)>|{_ATTRIBUTES}(?:((?<=[\s\"'])/)>|>))", re.I | re.S)
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b(?:.*?</\1\s*>|.*\Z)"
+    rf"|{RAW}"
     r"|<(/?)([a-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-z][\w:-]*)([^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z",
@@ -41,6 +48,24 @@ def marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def asides(page: str) -> dict[int, int]:
+    """Start -> end of the elements left out. Each end tag goes with the last open one of its name; one without an end tag is a plain tag."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in ASIDE.finditer(page):
+        if not m[3]:
+            continue
+        of = opened.setdefault(m[3].lower(), [])
+        if m[2]:
+            if of:
+                out[of.pop()] = m.end()
+        elif m[4] or m[5]:
+            out[m.start()] = m.end()
+        else:
+            of.append(m.start())
+    return out
+
+
 class Block:
     __slots__ = ("text", "path", "links")
 
@@ -86,10 +111,15 @@ def blocks(page: str | None) -> list[Block]:
 
     page = page or ""
     at = 0
+    skip = asides(page)
     for m in TOKEN.finditer(page):
+        if m.start() < at:  # within an element left out
+            continue
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
+        at = skip.get(m.start(), m.end())
+        if m.start() in skip:
+            continue
         tag = m[3] or m[6]
         if not tag:
             continue

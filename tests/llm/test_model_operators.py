@@ -196,6 +196,17 @@ def test_blocks_of_broken_markup():
     assert text == [("a", []), ("x y", ["p", "b"]), ("z & d &am", ["p"]), ("one", ["li"]), ("two", ["li"]), ("t", ["td"])] or [t for t, _ in text] == ["a", "x y", "z & d &am", "one", "two", "t"]
 
 
+def test_blocks_beside_elements_left_out():
+    text = lambda page: [b.text for b in blocks(page)]
+    for odd in (
+        "<svg-icon name=x></svg-icon>", "<object-view>", "<select-box/>", "<script-note></script-note>", "<svg/>", "<svg viewBox='0 0 1 1' />", "<svg>", "<object data=x>", "<select>", "<template>", "<noscript>",
+        "<svg><path d='M0 0'>q</svg>", "<object>q<object>q</object>q</object>", "<script src='a.js'/>", "<script>'<svg>'</script>", "<!-- <svg> -->", "<script src=/a/>q</script>", "<iframe src=x></iframe>", "<SVG>q</Svg >",
+    ):
+        assert text(f"<p>a</p>{odd}<p>article</p>") == ["a", "article"], odd
+        assert text(f"<p>a</p>{odd}<p>article</p><svg>q</svg><p>z</p>") == ["a", "article", "z"], odd
+    assert text("<p>a</p><script>never closed <p>b</p>") == ["a"]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (100_001, "", "en", "src0", 0)], docs.schema)
