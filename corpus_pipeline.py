@@ -26,9 +26,9 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go from the texts; n_chars, where it is there, follows the text."""
+    """Repeated three-line windows go from the texts, and repeated texts of one or two lines; n_chars, where it is there, follows the text."""
     tune(spark)
-    kept = linededup.without_repeats(docs)
+    kept = linededup.without_repeats(docs, short=True)
     return linededup.with_length(kept, "text", "n_chars") if "n_chars" in docs.columns else kept
 
 

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fernwork.llm import decontaminate, linededup, mixing, simhash
 from fernwork.llm.components import components
 
@@ -63,6 +64,14 @@ def test_line_dedup_overlaps_and_odd_rows(spark, odd, none):
     assert linededup.without_repeats(none).count() == 0
 
 
+def test_line_dedup_of_short_texts(spark):
+    rows = [(1, "a\nb"), (2, "a\nb"), (3, "a"), (4, "a"), (5, "a\nb\nc"), (6, " "), (7, " "), (8, None), (9, "a\nb\nc")]
+    out = linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), removed_col="n", short=True).collect()
+    assert {r.doc_id: (r.text, r.n) for r in out} == {d: (t, 0) for d, t in rows} | {2: ("", 2), 4: ("", 1), 9: ("", 3)}
+    frame = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
+    assert {r.text for r in corpus_pipeline.lines(spark, frame, "").collect()} == {"a b", ""}
+
+
 def test_decontamination_against_plain_version(spark):
     docs = corpus(2, words=6)
     bench = [(f"i{k}", " ".join(t.replace("\n", " ").upper().split()[:n])) for k, ((_, t), n) in enumerate(zip(docs[:14], [1, 2, 3, 9, 10, 11, 25] * 2))]
