@@ -166,6 +166,18 @@ def test_surrogates_are_distinct_where_values_are_few(spark, monkeypatch):
     assert len({r.found for r in found}) == len(names)
 
 
+def test_surrogates_where_entities_outnumber_the_first_space(spark):
+    # more addresses than 198.18.0.0/15 holds; all telephone numbers of three digits
+    n = F.col("id") * 7919
+    addresses = spark.range(140_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", F.lit("11"), *[(F.floor(n / d) % 256).cast("string") for d in (65536, 256, 1)]).alias("form"), F.lit("").alias("gender"))
+    phones = spark.range(1000).select(F.lit("phone").alias("kind"), F.lpad(F.col("id").cast("string"), 3, "0").alias("form"), F.lit("").alias("gender"))
+    found = saved(pii.entities(addresses.distinct().unionByName(phones), "k"))
+    assert found.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("found").alias("d")).orderBy("kind").collect() == [("ip", 140_000, 140_000), ("phone", 1000, 1000)]
+    assert found.join(found.select("kind", F.col("form").alias("found")), ["kind", "found"]).count() == 0
+    text = spark.createDataFrame([("+1 23 45",)], "m string")
+    assert text.select(pii.rendered(F.col("m"), F.lit("phone"), F.lit("12345"), F.lit("678901"))).first()[0] == "+6 78 901"
+
+
 def test_main_text_of_unseen_layouts(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     model = maintext.fit(maintext.sample(pages), training=600, rounds=50)
