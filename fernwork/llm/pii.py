@@ -112,7 +112,7 @@ ANY = (
     rf"|(?<![\p{{L}}\p{{N}}_+.-])(?:{CARD})(?![\p{{L}}\p{{N}}_]|-[0-9])|(?<![\p{{L}}\p{{N}}_.-])(?:{PHONE})(?![\p{{L}}\p{{N}}_]|-[0-9])|{_EDGE}(?:{NAME}){_END}"
 )
 #: Without any of these there is no mention.
-SIGN = rf"@|[0-9]{{2}}|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:(?:{_TITLES})[. ]|{_GIVEN}[ -])"
+SIGN = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|AKIA|ghp_|[0-9a-fA-F]{{32}}|(?<!\p{{L}})(?:(?:{_TITLES})[. ]|{_GIVEN}[ -])"
 
 
 def _hash_digit(seed: Column, i: Column, base: int | Column) -> Column:
