@@ -186,6 +186,18 @@ def test_each_kind_alone_is_found(spark, n, text):
     assert [r[0] for r in frame.select(pii.mentions_of(F.col("t"))).collect()] == [[text], [text]]
 
 
+def test_names_of_many_forms_share_family_surrogates(spark):
+    names = ["William Turner", "Fatima Khan", "Mr. McDonald", "Mrs. O'Brien", "Ms Smith-Jones", "John Smith", "Mr. Smith", "James Smith", "Jean-Pierre de Souza", "Frau Katharina von Berg"]
+    frame = spark.createDataFrame([(i, f"it was {n}, again.") for i, n in enumerate(names)] + [(50, "Paris Match and New York on Monday")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace(frame).collect()}
+    for i, n in enumerate(names):
+        assert not any(w in out[i] for w in re.findall(r"\w+", n) if w[0].isupper() and w not in ("Mr", "Mrs", "Ms", "Frau", "O")), out[i]
+        assert out[i].startswith("it was ") and out[i].endswith(", again.")
+    family = lambda i: out[i].removesuffix(", again.").split()[-1]
+    assert family(5) == family(6) == family(7) and len({out[i] for i in range(len(names))}) == len(names)
+    assert out[50] == "Paris Match and New York on Monday"
+
+
 def test_main_text_of_unseen_layouts(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     model = maintext.fit(maintext.sample(pages), training=600, rounds=50)
