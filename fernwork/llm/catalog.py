@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from fernwork.plans.scale import tune
 
-from . import decontaminate, langid, linededup, maintext, mixing, pii, simhash, topk, toxicity, urlfilter
+from . import decontaminate, langid, linededup, linefreq, maintext, mixing, pii, simhash, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_severity": toxicity.op8,
     "op9_pii_surrogates": pii.op9,
     "op10_main_text": maintext.op10,
+    "op11_line_frequency": linefreq.op11,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -31,6 +32,7 @@ ORACLES: dict[str, str] = {
     "op3_exact_top_k": topk.ORACLE,
     "op5_source_mixing": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
+    "op11_line_frequency": linefreq.ORACLE,
 }
 
 
