@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from fernwork.plans.scale import tune
 
-from . import decontaminate, langid, lexical, linededup, linefreq, maintext, mixing, pii, simhash, topk, toxicity, urlfilter
+from . import decontaminate, langid, lexical, linededup, linefreq, maintext, mixing, pii, simhash, topk, toxicity, trie, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": linededup.op1,
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_surrogates": pii.op9,
     "op10_main_text": maintext.op10,
     "op11_line_frequency": linefreq.op11,
+    "op12_prefix_trie": trie.op12,
     "op13_ranked_search": lexical.op13,
     "pipeline": corpus_pipeline.run,
 }
@@ -34,6 +35,7 @@ ORACLES: dict[str, str] = {
     "op5_source_mixing": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
     "op11_line_frequency": linefreq.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
     "op13_ranked_search": lexical.ORACLE,
 }
 
