@@ -1,11 +1,16 @@
-"""Exact vector search: bounded blocks, matrix products inside tasks.
-
-Vectors are hashed into blocks of about ``BLOCK`` rows. A block pair is one
-group of at most two blocks, whatever the size of a site or cluster, and only
-the best k matches (or those above a floor) leave it. So a group that holds a
-third of all rows spreads over many tasks and no row pair is ever emitted just
-to be dropped later. Block pairs whose centres are too far apart to reach the
-floor are skipped by the triangle inequality on angles.
+"""Exact vector search: metric cells of bounded size, matrix products inside tasks.
+
+A group of more than ``BLOCK`` vectors is cut into cells: rounds of nearest
+pivots split every cell that is too large, so vectors of a cell lie together. A
+pair of cells is one task's group, whatever the size of a site or cluster, and
+only the best k matches (or those above a floor) leave it. So a group that
+holds a third of all rows spreads over many tasks and no row pair is emitted
+just to be dropped later.
+
+Cells have a centre and a widest angle from it. A search for the k best goes in
+two waves: each cell first meets itself and its closest cells, which bounds the
+k-th similarity of its members; then only those cells that the angles between
+centres leave in reach of that bound.
 """
 
 from __future__ import annotations
@@ -17,9 +22,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scale import top_per_group
+from ..plans.scale import durable, top_per_group
 
 BLOCK = 1024
+FAN = 16  # most pivots of a cell that is split
+LEVELS = 8  # rounds of splitting; what is then too large holds equal vectors and is dealt by id
+NEAREST = 3  # cells that a cell meets in the first wave
+CHUNK = 512  # centres that one task compares with as many others
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,20 +60,61 @@ def _with_group(df: DataFrame, group: list[str]) -> DataFrame:
     return df.withColumn("_g", F.concat_ws("\u0001", *cols) if cols else F.lit(""))
 
 
-def _blocked(df: DataFrame, cell: str | None, block: int) -> tuple[DataFrame, bool]:
-    """Adds _blk: cell plus a hash split sized so that a block stays near ``block`` rows.
+def _blocked(df: DataFrame, cell: str | None, block: int, metric: bool = True) -> tuple[DataFrame, bool]:
+    """Adds _blk: the cell, of near ``block`` rows at most.
 
     Also says whether any group needs more than one block; small groups skip
-    the block bookkeeping altogether.
+    the block bookkeeping altogether. Without ``metric`` rows are dealt by id.
     """
     df = df.withColumn("_cell", F.col(cell).cast("string") if cell else F.lit(""))
-    sizes = df.groupBy("_g", "_cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_splits"))
-    many = sizes.groupBy("_g").agg(F.sum("_splits").alias("b")).agg(F.max("b")).first()[0]
+    size = lambda x, key: x.groupBy("_g", key).agg(F.ceil(F.count("*") / block).cast("int").alias("_splits"))
+    many = size(df, "_cell").groupBy("_g").agg(F.sum("_splits").alias("b")).agg(F.max("b")).first()[0]
     if (many or 0) <= 1:
         return df.withColumn("_blk", F.lit("")), False
-    return df.join(sizes, ["_g", "_cell"]).withColumn(
-        "_blk", F.concat_ws("\u0001", "_cell", F.pmod(F.xxhash64("post_id"), F.col("_splits")).cast("string"))
-    ), True
+    if metric:
+        df = _cells(df.withColumn("_blk", F.col("_cell")), block).drop("_cell").withColumnRenamed("_blk", "_cell")
+    dealt = df.join(size(df, "_cell"), ["_g", "_cell"])
+    part = F.when(F.col("_splits") > 1, F.concat(F.lit("\u0001"), F.pmod(F.xxhash64("post_id"), F.col("_splits")).cast("string"))).otherwise(F.lit(""))
+    return dealt.withColumn("_blk", F.concat("_cell", part)), True
+
+
+def _far_apart(m: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of unit vectors, each the one farthest from those before it."""
+    at, best = [0], m @ m[0]
+    while len(at) < min(n, len(m)):
+        at.append(int(np.argmin(best)))
+        best = np.maximum(best, m @ m[at[-1]])
+    return m[at]
+
+
+def _cells(df: DataFrame, block: int) -> DataFrame:
+    """Splits each block over the limit among pivots, far apart of those drawn by a hash of the id, until none is over it."""
+    names = df.columns
+    fan = F.least(F.lit(FAN), F.ceil(2 * F.col("_n") / block)).cast("int")
+    for level in range(LEVELS):
+        sizes = df.groupBy("_g", "_blk").agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+        large = durable(sizes.select("_g", "_blk", fan.alias("_fan"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_parts")))
+        if large.isEmpty():
+            break
+        mine = df.join(large, ["_g", "_blk"])
+        pivots = top_per_group(mine, ["_g", "_blk"], [F.xxhash64("post_id", F.lit(level)), F.asc("post_id")], 4 * FAN, rank="_rank").filter("_rank <= 4 * _fan")
+        part, every = F.pmod(F.xxhash64("post_id"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+        rows = mine.withColumns({"_part": part, "side": F.lit(1)}).select("_part", "side", "_fan", *names)
+        rows = rows.unionByName(pivots.withColumns({"_part": every, "side": F.lit(0)}).select("_part", "side", "_fan", *names))
+
+        def split(t: pa.Table) -> pa.Table:
+            drawn, own = _sides(t)
+            if not own.num_rows:
+                return own.select(names)
+            seeds = _far_apart(_unit_rows(_matrix(drawn)), t.column("_fan")[0].as_py())
+            near = np.argmax(_unit_rows(_matrix(own)) @ seeds.T, axis=1)
+            at = names.index("_blk")
+            child = [f"{b}\u0001{c}" for b, c in zip(own.column("_blk").to_pylist(), near)]
+            return own.select(names).set_column(at, "_blk", pa.array(child, pa.string()))
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        df = durable(df.join(large, ["_g", "_blk"], "left_anti").select(*names).unionByName(rows.groupBy("_g", "_blk", "_part").applyInArrow(split, schema)))
+    return df
 
 
 def _block_list(df: DataFrame) -> DataFrame:
@@ -72,17 +122,70 @@ def _block_list(df: DataFrame) -> DataFrame:
     centre = df.groupBy("_g", "_blk").agg(Summarizer.mean(array_to_vector(unit(F.col("vec")))).alias("_m"))
     centre = centre.select("_g", "_blk", vector_to_array("_m").alias("_c"))
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("vec"), F.col("_c")))))
-    radius = df.join(centre, ["_g", "_blk"]).groupBy("_g", "_blk").agg(F.max(angle).alias("_r"))
+    # a zero vector has no angle: its cell stays in reach of all
+    radius = df.join(centre, ["_g", "_blk"]).groupBy("_g", "_blk").agg(F.max(F.coalesce(angle, F.lit(np.pi))).alias("_r"))
     return centre.join(radius, ["_g", "_blk"])
 
 
-def _reachable(pairs: DataFrame, floor: float | None) -> DataFrame:
-    """Drop block pairs that cannot hold a cosine of ``floor`` or more."""
-    if floor is None:
-        return pairs
-    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("_ca"), F.col("_cb"))))) - F.col("_ra") - F.col("_rb")
-    keep = F.coalesce(F.cos(F.greatest(F.lit(0.0), gap)) >= floor - 1e-9, F.lit(True))
-    return pairs.filter(keep)
+def _cell_pairs(left: DataFrame, right: DataFrame | None, nearest: int | None = None) -> DataFrame:
+    """(_g, _ba, _bb) of cells that can hold a pair at the floor of either side (_f), or of each left cell and its ``nearest`` cells.
+
+    ``right`` None: pairs within ``left``, once each. Centres meet in chunks as
+    matrix products; only the pairs kept leave a task.
+    """
+    own = right is None
+    right = left if own else right
+    chunks = lambda df: df.groupBy("_g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_chunks"))
+    counts = chunks(left).withColumnRenamed("_chunks", "_cl").join(chunks(right).withColumnRenamed("_chunks", "_cr"), "_g")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("_blk"), F.col(n)).cast("int")
+    cols = ["_g", "_x", "_y", "side", "_blk", "_c", "_r", "_f"]
+    floor = lambda df: df if "_f" in df.columns else df.withColumn("_f", F.lit(2.0))
+    rows = floor(left).join(counts, "_g").withColumns({"_x": mine("_cl"), "_y": other("_cr"), "side": F.lit(0)}).select(*cols)
+    rows = rows.unionByName(floor(right).join(counts, "_g").withColumns({"_y": mine("_cr"), "_x": other("_cl"), "side": F.lit(1)}).select(*cols))
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        a, b = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"_g": pa.array([], pa.string()), "_ba": pa.array([], pa.string()), "_bb": pa.array([], pa.string()), "_gap": pa.array([], pa.float64())})
+        matrix = lambda x: _unit_rows(x.column("_c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1))
+        angle = np.arccos(np.clip(matrix(a) @ matrix(b).T, -1, 1))
+        na, nb = (np.array(x.column("_blk").to_pylist()) for x in (a, b))
+        if nearest is None:
+            gap = np.maximum(0, angle - a.column("_r").to_numpy()[:, None] - b.column("_r").to_numpy()[None, :])
+            low = a.column("_f").to_numpy()[:, None] if not own else np.minimum(a.column("_f").to_numpy()[:, None], b.column("_f").to_numpy()[None, :])
+            keep = np.cos(gap) >= low - 1e-9
+            if own:
+                keep &= na[:, None] <= nb[None, :]
+        else:
+            if own:
+                angle = np.where(na[:, None] == nb[None, :], np.inf, angle)
+            k = min(nearest, angle.shape[1])
+            keep = (angle <= np.partition(angle, k - 1, axis=1)[:, k - 1 : k]) & np.isfinite(angle)
+        r, c = np.nonzero(keep)
+        return pa.table({"_g": pa.array([t.column("_g")[0].as_py()] * len(r), pa.string()), "_ba": pa.array(na[r], pa.string()), "_bb": pa.array(nb[c], pa.string()), "_gap": pa.array(angle[r, c])})
+
+    found = rows.groupBy("_g", "_x", "_y").applyInArrow(run, "_g string, _ba string, _bb string, _gap double")
+    if nearest is None:
+        return found.select("_g", "_ba", "_bb")
+    found = top_per_group(found, ["_g", "_ba"], [F.asc("_gap"), F.asc("_bb")], nearest).select("_g", "_ba", "_bb")
+    if own:
+        found = found.select("_g", F.least("_ba", "_bb").alias("_ba"), F.greatest("_ba", "_bb").alias("_bb")).unionByName(left.select("_g", F.col("_blk").alias("_ba"), F.col("_blk").alias("_bb"))).distinct()
+    return found
+
+
+def _two_waves(lb: DataFrame, rb: DataFrame | None, meet, members: DataFrame, k: int, floor: float | None) -> DataFrame:
+    """Matches of the pairs of cells that matter. ``meet`` searches listed pairs, ``members`` says which row is in which cell."""
+    first = durable(_cell_pairs(lb, rb, NEAREST))
+    found = durable(_finish(meet(first), k, None))
+    least = -1.0 if floor is None else floor
+    kth = found.filter(F.col("rank") == k).select("_g", "post_id", "similarity")
+    reach = members.join(kth, ["_g", "post_id"], "left").groupBy("_g", "_blk").agg(F.min(F.coalesce("similarity", F.lit(least))).alias("_f"))
+    reach = reach.withColumn("_f", F.greatest("_f", F.lit(least)))
+    right = None if rb is None else rb.withColumn("_f", F.lit(2.0))
+    rest = _cell_pairs(lb.join(reach, ["_g", "_blk"]), right).join(first, ["_g", "_ba", "_bb"], "left_anti")
+    return found.drop("rank").unionByName(meet(durable(rest)))
 
 
 def _matrix(t: pa.Table) -> np.ndarray:
@@ -138,29 +241,10 @@ def top_matches(
     left/right: (post_id, vec, *group) → (*group key columns, post_id, neighbour_id, similarity, rank).
     """
     group = group or []
+    angles = metric == "cosine"
     tag = (F.col(apart).cast("string") if apart else F.lit("")).alias("_tag")
-    lt, many_l = _blocked(_with_group(left.select("post_id", "vec", *group, tag), group), None, block)
-    rt, many_r = _blocked(_with_group(right.select("post_id", "vec", *group, tag), group), None, block)
-    bounds = metric == "cosine" and floor is not None and (many_l or many_r)
-    if bounds:
-        lb, rb = _block_list(lt), _block_list(rt)
-    else:
-        lb, rb = lt.select("_g", "_blk").distinct(), rt.select("_g", "_blk").distinct()
-    names = {"_blk": "_b", "_c": "_c", "_r": "_r"}
-    side = lambda df, s: df.select("_g", *[F.col(c).alias(names[c] + s) for c in df.columns if c != "_g"])
-    pairs = side(lb, "a").join(side(rb, "b"), "_g")
-    if bounds:
-        pairs = _reachable(pairs, floor)
-    pairs = pairs.select("_g", "_ba", "_bb")
-    def spread(v: DataFrame, mine: str, number: int) -> DataFrame:
-        p = pairs.select("_g", F.col(mine).alias("_blk"), "_ba", "_bb")
-        return v.join(p, ["_g", "_blk"]).select("_g", "_ba", "_bb", F.lit(number).alias("side"), "post_id", "vec", "_tag")
-
-    if many_l or many_r:
-        rows = spread(lt, "_ba", 0).unionByName(spread(rt, "_bb", 1))
-    else:
-        one = lambda v, n: v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(n).alias("side"), "post_id", "vec", "_tag")
-        rows = one(lt, 0).unionByName(one(rt, 1))
+    lt, many_l = _blocked(_with_group(left.select("post_id", "vec", *group, tag), group), None, block, angles)
+    rt, many_r = _blocked(_with_group(right.select("post_id", "vec", *group, tag), group), None, block, angles)
 
     def run(t: pa.Table) -> pa.Table:
         a, b = _sides(t)
@@ -174,21 +258,33 @@ def top_matches(
             s[ta[:, None] == tb[None, :]] = -np.inf
         return _out(t.column("_g")[0].as_py(), *_best(ia, ib, s, k, floor))
 
-    found = rows.groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA)
-    return _finish(found, k, group)
+    def meet(pairs: DataFrame) -> DataFrame:
+        def spread(v: DataFrame, mine: str, number: int) -> DataFrame:
+            p = pairs.select("_g", F.col(mine).alias("_blk"), "_ba", "_bb")
+            return v.join(p, ["_g", "_blk"]).select("_g", "_ba", "_bb", F.lit(number).alias("side"), "post_id", "vec", "_tag")
 
+        return spread(lt, "_ba", 0).unionByName(spread(rt, "_bb", 1)).groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA)
 
-def _finish(found: DataFrame, k: int, group: list[str]) -> DataFrame:
+    if not many_l and not many_r:
+        one = lambda v, n: v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(n).alias("side"), "post_id", "vec", "_tag")
+        return _finish(one(lt, 0).unionByName(one(rt, 1)).groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA), k, group)
+    if not angles:
+        lb, rb = lt.select("_g", F.col("_blk").alias("_ba")).distinct(), rt.select("_g", F.col("_blk").alias("_bb")).distinct()
+        return _finish(meet(lb.join(rb, "_g")), k, group)
+    lt, rt = durable(lt), durable(rt)
+    return _finish(_two_waves(durable(_block_list(lt)), durable(_block_list(rt)), meet, lt.select("_g", "_blk", "post_id"), k, floor), k, group)
+
+
+def _finish(found: DataFrame, k: int, group: list[str] | None) -> DataFrame:
     top = top_per_group(found, ["_g", "post_id"], [F.desc("similarity"), F.asc("neighbour_id")], k, rank="rank")
+    if group is None:
+        return top
     keys = [F.element_at(F.split("_g", "\u0001"), i + 1).alias(g) for i, g in enumerate(group)]
     return top.select(*keys, "post_id", "neighbour_id", "similarity", "rank")
 
 
-def _self_pairs(v: DataFrame, floor: float | None) -> DataFrame:
-    blocks = _block_list(v) if floor is not None else v.select("_g", "_blk").distinct()
-    a = blocks.select("_g", F.col("_blk").alias("_ba"), *([F.col("_c").alias("_ca"), F.col("_r").alias("_ra")] if floor is not None else []))
-    b = blocks.select("_g", F.col("_blk").alias("_bb"), *([F.col("_c").alias("_cb"), F.col("_r").alias("_rb")] if floor is not None else []))
-    return _reachable(a.join(b, "_g").filter("_ba <= _bb"), floor).select("_g", "_ba", "_bb")
+def _self_pairs(v: DataFrame, floor: float) -> DataFrame:
+    return _cell_pairs(_block_list(v).withColumn("_f", F.lit(floor)), None)
 
 
 def _pair_rows(v: DataFrame, pairs: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -212,10 +308,6 @@ def top_neighbours(vectors: DataFrame, k: int, group: list[str] | None = None, f
     group = group or []
     cols = list(dict.fromkeys(["post_id", "vec", *group, *([cell] if cell else [])]))
     v, many = _blocked(_with_group(vectors.select(*cols), group), cell, block)
-    rows = _pair_rows(v, _self_pairs(v, floor)) if many else v.select(
-        "_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(0).alias("side"), "post_id", "vec"
-    )
-
     def run(t: pa.Table) -> pa.Table:
         a, b = _sides(t)
         g = t.column("_g")[0].as_py()
@@ -229,7 +321,12 @@ def top_neighbours(vectors: DataFrame, k: int, group: list[str] | None = None, f
         x, y = _best(ia, ib, s, k, floor), _best(ib, ia, s.T, k, floor)
         return _out(g, *[np.concatenate(z) for z in zip(x, y)])
 
-    return _finish(rows.groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA), k, group)
+    meet = lambda rows: rows.groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA)
+    if not many:
+        return _finish(meet(v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(0).alias("side"), "post_id", "vec")), k, group)
+    v = durable(v)
+    blocks = durable(_block_list(v))
+    return _finish(_two_waves(blocks, None, lambda pairs: meet(_pair_rows(v, pairs)), v.select("_g", "_blk", "post_id"), k, floor), k, group)
 
 
 def similar_pairs(vectors: DataFrame, floor: float, group: list[str] | None = None, cell: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -237,6 +334,7 @@ def similar_pairs(vectors: DataFrame, floor: float, group: list[str] | None = No
     group = group or []
     cols = list(dict.fromkeys(["post_id", "vec", *group, *([cell] if cell else [])]))
     v, many = _blocked(_with_group(vectors.select(*cols), group), cell, block)
+    v = durable(v) if many else v
     rows = _pair_rows(v, _self_pairs(v, floor)) if many else v.select(
         "_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(0).alias("side"), "post_id", "vec"
     )

@@ -98,6 +98,32 @@ def test_blocked_search_equals_brute_force(spark, block):
         assert best.get(i) == (int(np.argmax(row)) if row.max() >= 0.2 else None)
 
 
+def test_search_skips_cells_out_of_reach(spark, monkeypatch):
+    """On separate blobs under a fifth of the pairs of cells is computed, and the result is that of all pairs."""
+    rng = np.random.default_rng(11)
+    m = (6 * rng.normal(size=(20, 16)))[np.arange(2000) % 20] + rng.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(len(m))], "post_id bigint, vec array<double>")
+    met, cells = [], []
+    rows, listed = vx._pair_rows, vx._block_list
+    monkeypatch.setattr(vx, "_pair_rows", lambda v, pairs, extra=None: met.append(pairs.count()) or rows(v, pairs, extra))
+    monkeypatch.setattr(vx, "_block_list", lambda v: cells.append(v.select("_blk").distinct().count()) or listed(v))
+    got = {}
+    for r in vx.top_neighbours(df, 3, block=50).collect():
+        got.setdefault(r.post_id, []).append((r["rank"], r.neighbour_id))
+    s = cosines(m)
+    assert all([x for _, x in sorted(got[i])] == np.argsort(-s[i], kind="stable")[:3].tolist() for i in range(len(m)))
+    assert cells[0] >= 40 and sum(met) < 0.2 * cells[0] * (cells[0] + 1) / 2
+
+
+def test_cells_hold_zero_and_equal_vectors(spark):
+    rng = np.random.default_rng(2)
+    m = np.concatenate((np.zeros((5, 6)), np.ones((60, 6)), rng.normal(size=(60, 6))))
+    df = spark.createDataFrame([(i, m[i].tolist()) for i in range(len(m))], "post_id bigint, vec array<double>")
+    s = np.where(np.eye(len(m)) > 0, -9, (u := m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) @ u.T)
+    best = {r.post_id: r.similarity for r in vx.top_neighbours(df, 4, block=16).filter("rank = 4").collect()}
+    assert best == {i: pytest.approx(np.sort(s[i])[-4]) for i in range(len(m))}
+
+
 def test_copies_stay_bounded(spark):
     """A third of the vectors are identical: each still yields exactly k neighbours."""
     rows = [(i, [1.0, 0.0] if i % 3 == 0 else [math.cos(i), math.sin(i)]) for i in range(90)]
