@@ -4,20 +4,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scale import durable
+from .density import forest, labelled
 from .vectors import dot, top_matches, unit
 
+# fixed values: sizes and limits of clustering
 SMALL_SITE = 15  # posts below which a site is one cluster
 MAX_CLUSTER = 25  # posts above which a cluster is split again
-MAX_DEPTH = 3
+FAIR_SILHOUETTE = 0.1  # below it the smallest cluster grows by one, twice
+MOST_NOISE = 0.6  # share of noise above which a split is rejected
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -57,6 +57,11 @@ def min_cluster_size(n: Column) -> Column:
     ).cast("int")
 
 
+def core_samples(n: Column) -> Column:
+    """Neighbours that a core distance reaches to, by number of posts of the site."""
+    return F.when(n < 20, 1).when(n < 100, 2).when(n < 1000, 3).otherwise(5)
+
+
 def nearest_centroids(points: DataFrame, centroids: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Closest centroid of each point by Euclidean distance (ties by lowest id).
 
@@ -70,141 +75,145 @@ def nearest_centroids(points: DataFrame, centroids: DataFrame, group: list[str]
     right = centroids.select(
         (-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), *group, F.concat("vec", F.array(half(F.col("vec")))).alias("vec")
     )
-    best = top_matches(left, right, 1, group, metric="dot")
+    best = _typed(top_matches(left, right, 1, group, metric="dot"), points, group)
     return best.select(*group, "post_id", (-1 - F.col("neighbour_id")).alias("cluster_id"))
 
 
-def silhouettes(df: DataFrame) -> DataFrame:
-    """Squared-distance silhouette per point: (post_id, cluster_id, vec) → + silhouette.
+def _typed(found: DataFrame, like: DataFrame, group: list[str]) -> DataFrame:
+    """Group columns of a vector search in their own types again."""
+    return found.withColumns({g: F.col(g).cast(like.schema[g].dataType) for g in group}) if group else found
+
+
+def silhouettes(df: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Squared-distance silhouette per point among the clusters of its group: (*group, post_id, cluster_id, vec) → + silhouette.
 
     The mean squared distance from x to a cluster is |x|² + E|y|² − 2x·E[y],
     so cluster means stand in for all pairs; the best other cluster of each
     point comes from a blocked top-2 search.
     """
-    stats = mean_vectors(df, ["cluster_id"]).join(
-        df.groupBy("cluster_id").agg(F.avg(dot(F.col("vec"), F.col("vec"))).alias("sq")), "cluster_id"
-    )
-    own = df.join(stats.select("cluster_id", F.col("vec").alias("_m"), "n", "sq"), "cluster_id")
+    group = group or []
+    key, point = [*group, "cluster_id"], [*group, "post_id"]
+    stats = mean_vectors(df, key).join(df.groupBy(*key).agg(F.avg(dot(F.col("vec"), F.col("vec"))).alias("sq")), key)
+    own = df.join(stats.select(*key, F.col("vec").alias("_m"), "n", "sq"), key)
     x2 = dot(F.col("vec"), F.col("vec"))
     mean_sq = F.greatest(F.lit(0.0), x2 + F.col("sq") - 2 * dot(F.col("vec"), F.col("_m")))
     own = own.select(
-        "post_id", "cluster_id", x2.alias("x2"), "n",
+        *point, "cluster_id", x2.alias("x2"), "n",
         F.when(F.col("n") > 1, mean_sq * F.col("n") / (F.col("n") - 1)).otherwise(F.lit(0.0)).alias("a"),
     )
-    left = df.select("post_id", F.concat(F.transform("vec", lambda v: 2 * v), F.array(F.lit(-1.0))).alias("vec"))
-    right = stats.select((-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), F.concat("vec", F.array(F.col("sq"))).alias("vec"))
-    near = top_matches(left, right, 2, metric="dot").select(
-        "post_id", (-1 - F.col("neighbour_id")).alias("_other"), F.col("similarity").alias("_s")
+    left = df.select(*point, F.concat(F.transform("vec", lambda v: 2 * v), F.array(F.lit(-1.0))).alias("vec"))
+    right = stats.select(*group, (-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), F.concat("vec", F.array(F.col("sq"))).alias("vec"))
+    near = _typed(top_matches(left, right, 2, group, metric="dot"), df, group).select(
+        *point, (-1 - F.col("neighbour_id")).alias("_other"), F.col("similarity").alias("_s")
     )
-    b = near.join(own.select("post_id", "cluster_id"), "post_id").filter("_other <> cluster_id").groupBy("post_id").agg(F.max("_s").alias("_s"))
-    joined = own.join(b, "post_id", "left").withColumn("b", F.greatest(F.lit(0.0), F.col("x2") - F.col("_s")))
+    b = near.join(own.select(*point, "cluster_id"), point).filter("_other <> cluster_id").groupBy(*point).agg(F.max("_s").alias("_s"))
+    joined = own.join(b, point, "left").withColumn("b", F.greatest(F.lit(0.0), F.col("x2") - F.col("_s")))
     value = F.when((F.col("n") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     )
-    return joined.select("post_id", "cluster_id", value.alias("silhouette"))
+    return joined.select(*point, "cluster_id", value.alias("silhouette"))
 
 
-def cluster_silhouettes(df: DataFrame) -> DataFrame:
-    """Mean silhouette per cluster, and of all points under cluster_id null."""
-    s = silhouettes(df)
-    return s.rollup("cluster_id").agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
+def cluster_silhouettes(df: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Mean silhouette per cluster of each group, and of all points of a group under cluster_id null."""
+    group = group or []
+    s = silhouettes(df, group)
+    mean = [F.avg("silhouette").alias("silhouette"), F.count("*").alias("n")]
+    whole = s.groupBy(*group).agg(*mean).withColumn("cluster_id", F.lit(None).cast(df.schema["cluster_id"].dataType))
+    return s.groupBy(*group, "cluster_id").agg(*mean).unionByName(whole)
 
 
-def absorb(df: DataFrame, drop: DataFrame) -> DataFrame:
-    """Move members of the listed clusters to the nearest remaining centroid."""
-    bad = drop.select("cluster_id").distinct()
-    keep = df.join(bad, "cluster_id", "left_anti")
-    lost = df.join(bad, "cluster_id", "left_semi")
-    moved = nearest_centroids(lost, mean_vectors(keep, ["cluster_id"])).select("post_id", F.col("cluster_id").alias("_new"))
-    return df.join(moved, "post_id", "left").withColumn("cluster_id", F.coalesce(F.col("_new"), F.col("cluster_id").cast("bigint"))).drop("_new")
+def absorb(df: DataFrame, drop: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Move members of the listed clusters to the nearest remaining centroid of their group; without one they stay."""
+    group = group or []
+    key, point = [*group, "cluster_id"], [*group, "post_id"]
+    bad = drop.select(*key).distinct()
+    keep = df.join(bad, key, "left_anti")
+    lost = df.join(bad, key, "left_semi")
+    moved = nearest_centroids(lost, mean_vectors(keep, key), group).select(*point, F.col("cluster_id").alias("_new"))
+    return df.join(moved, point, "left").withColumn("cluster_id", F.coalesce(F.col("_new"), F.col("cluster_id").cast("bigint"))).drop("_new")
 
 
-def absorb_small(df: DataFrame, minimum: int) -> DataFrame:
+def absorb_small(df: DataFrame, minimum: int, group: list[str] | None = None) -> DataFrame:
     """Dissolve clusters below the minimum size."""
-    return absorb(df, df.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") < minimum))
-
-
-def dissolve_negative(df: DataFrame) -> DataFrame:
-    """Dissolve clusters of negative silhouette when at least three clusters exist."""
-    per = durable(silhouettes(df).groupBy("cluster_id").agg(F.avg("silhouette").alias("s")))
-    total, bad = per.agg(F.count("*"), F.count_if(F.col("s") < 0)).first()
-    if total < 3 or bad == 0 or bad == total:
-        return df.withColumn("cluster_id", F.col("cluster_id").cast("bigint"))
-    return absorb(df, per.filter("s < 0"))
-
-
-def topic_clusters(vectors: DataFrame, ks: list[int] | None = None, seed: int = 42) -> DataFrame:
-    """One cluster per post: k-means on centred vectors, k chosen by silhouette,
-    small clusters absorbed, negative ones dissolved. Sites below fifteen posts
-    stay whole."""
-    n = vectors.count()
-    base = vectors.select("post_id", "vec")
-    if n < SMALL_SITE:
-        return base.withColumn("cluster_id", F.lit(0).cast("bigint"))
-    centred = durable(centre_vectors(base.withColumn("_k", F.lit(1)), ["_k"]).select("post_id", "vec"))
-    data = centred.withColumn("features", array_to_vector("vec"))
-    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_id")
-    top = max(2, int(math.sqrt(n / 2)))
-    best = None
-    for k in ks or sorted({max(2, top // 2), max(2, top), max(2, top * 3 // 2)}):
-        labelled = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=20).fit(data).transform(data)
-        score = judge.evaluate(labelled) if labelled.select("cluster_id").distinct().count() > 1 else -1.0
-        if best is None or score > best[0]:
-            best = (score, labelled.select("post_id", "vec", F.col("cluster_id").cast("bigint").alias("cluster_id")))
-    smallest = base.limit(1).select(min_cluster_size(F.lit(n))).first()[0]
-    out = dissolve_negative(durable(absorb_small(durable(best[1]), smallest)))
-    return out.join(base.select("post_id", F.col("vec").alias("_raw")), "post_id").select("post_id", F.col("_raw").alias("vec"), "cluster_id")
-
-
-def split_large(df: DataFrame, limit: int = MAX_CLUSTER, depth: int = MAX_DEPTH, seed: int = 42) -> DataFrame:
-    """Split every cluster above ``limit`` posts, up to three levels deep.
-
-    (post_id, vec, cluster_id) → (post_id, cluster_id, path): path names the
-    child at each level. All oversized clusters of a level are split in one
-    pass: their vectors are centred per cluster, a cluster's two seeds are its
-    members farthest apart along its main direction, and members go to the
-    nearer seed. A split that leaves one side below the minimum size is
-    rejected.
+    return absorb(df, df.groupBy(*(group or []), "cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") < minimum), group)
+
+
+def negative_clusters(per: DataFrame, group: list[str]) -> DataFrame:
+    """Clusters (*group, cluster_id, s) with a negative silhouette, of groups with at least three clusters and one that is not negative."""
+    totals = per.groupBy(*group).agg(F.count("*").alias("_total"), F.count_if(F.col("s") < 0).alias("_bad"))
+    judged = per.join(totals, group) if group else per.withColumn("_k", F.lit(1)).join(totals.withColumn("_k", F.lit(1)), "_k")
+    return judged.filter("s < 0 AND _total >= 3 AND _bad < _total").select(*group, "cluster_id")
+
+
+def dissolve_negative(df: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Dissolve clusters of negative silhouette in groups of at least three clusters."""
+    group = group or []
+    per = durable(silhouettes(df, group).groupBy(*group, "cluster_id").agg(F.avg("silhouette").alias("s")))
+    return absorb(df, negative_clusters(per, group), group)
+
+
+def topic_clusters(vectors: DataFrame) -> DataFrame:
+    """One cluster for each post, all sites in one plan: (site_id, post_id, vec) → + cluster_id, the least post of the cluster.
+
+    Density clusters of the vectors centred within the site; where their mean
+    silhouette is poor the smallest size grows by one, twice at most. Noise goes to the nearest
+    centroid of the site, clusters of negative silhouette are dissolved. Sites
+    below fifteen posts, and those without any density cluster, stay whole. A
+    null site is none: its posts have no row.
     """
-    state = durable(df.select("post_id", "vec", F.col("cluster_id").cast("string").alias("path")))
-    for level in range(depth):
-        sizes = state.groupBy("path").agg(F.count("*").alias("n"))
-        big = durable(state.join(sizes.filter(F.col("n") > limit), "path"))
-        if big.isEmpty():
-            break
-        centred = centre_vectors(big, ["path"])
-        # direction: from the mean to the member farthest from it, hash as tie-break
-        first = centred.groupBy("path").agg(F.min_by("vec", F.md5(F.col("post_id").cast("string"))).alias("_a"))
-        far = centred.join(first, "path").groupBy("path", "_a").agg(F.min_by("vec", dot(F.col("vec"), F.col("_a"))).alias("_b"))
-        sided = centred.join(far, "path").select(
-            "path", "post_id", "n", (dot(F.col("vec"), F.col("_b")) > dot(F.col("vec"), F.col("_a"))).cast("int").alias("_side")
-        )
-        for _ in range(3):  # a few two-means rounds settle the border
-            seeds = mean_vectors(centred.join(sided.select("post_id", "_side"), "post_id"), ["path", "_side"])
-            pair = seeds.groupBy("path").agg(
-                F.max(F.when(F.col("_side") == 0, F.struct("_side", "vec"))).alias("s0"), F.max(F.when(F.col("_side") == 1, F.struct("_side", "vec"))).alias("s1")
-            ).filter("s0 IS NOT NULL AND s1 IS NOT NULL").select("path", F.col("s0.vec").alias("_c0"), F.col("s1.vec").alias("_c1"))
-            d = lambda c: F.aggregate(F.zip_with("vec", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-            sided = durable(centred.join(pair, "path").select("path", "post_id", "n", (d("_c1") < d("_c0")).cast("int").alias("_side")))
-        counts = sided.groupBy("path").agg(F.count_if(F.col("_side") == 1).alias("ones"), F.count("*").alias("n"))
-        floor = F.greatest(F.lit(3), F.floor(F.col("n") / 10))
-        good = counts.filter((F.col("ones") >= floor) & (F.col("n") - F.col("ones") >= floor)).select("path")
-        step = sided.join(good, "path", "left_semi").select("post_id", F.concat_ws(".", "path", F.col("_side").cast("string")).alias("_next"))
-        state = durable(state.join(step, "post_id", "left").withColumn("path", F.coalesce("_next", "path")).drop("_next"))
-    return state.join(df.select("post_id", "cluster_id"), "post_id").select("post_id", "cluster_id", "path")
-
-
-def map_positions(df: DataFrame, pull: float = 0.15) -> DataFrame:
-    """2-D positions: principal components, each post drawn 15 % to its cluster's centre."""
-    data = df.withColumn("features", array_to_vector("vec"))
-    xy = PCA(k=2, inputCol="features", outputCol="_p").fit(data).transform(data).select(
-        "post_id", "cluster_id", vector_to_array("_p").alias("_p")
-    ).select("post_id", "cluster_id", F.col("_p")[0].alias("x"), F.col("_p")[1].alias("y"))
-    centre = xy.groupBy("cluster_id").agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
-    return xy.join(centre, "cluster_id").select(
-        "post_id", "cluster_id",
-        (F.col("x") + pull * (F.col("_cx") - F.col("x"))).alias("x"), (F.col("y") + pull * (F.col("_cy") - F.col("y"))).alias("y"),
+    base = durable(vectors.filter("site_id IS NOT NULL").select("site_id", "post_id", "vec"))
+    sizes = durable(base.groupBy("site_id").agg(F.count("*").alias("n"), F.min("post_id").cast("bigint").alias("first")))
+    large = base.join(sizes.filter(F.col("n") >= SMALL_SITE).select("site_id"), "site_id")
+    centred = durable(centre_vectors(large, ["site_id"]).select(F.col("site_id").cast("string").alias("grp"), "post_id", "vec"))
+    smallest = min_cluster_size(F.col("n"))
+    tries = sizes.select(F.col("site_id").cast("string").alias("grp"), F.array(smallest, smallest + 1, smallest + 2).alias("sizes"))
+    labels = durable(labelled(forest(centred, core_samples(F.col("n"))), tries))
+    held = labels.filter("label >= 0").join(centred, ["grp", "post_id"]).select(
+        F.concat_ws("|", F.col("tried").cast("string"), "grp").alias("key"), "grp", "tried", "post_id", F.col("label").alias("cluster_id"), "vec"
     )
+    judged = silhouettes(held.select("key", "post_id", "cluster_id", "vec"), ["key"])
+    per = durable(judged.groupBy("key", "cluster_id").agg(F.avg("silhouette").alias("s"), F.count("*").alias("m")))
+    whole = per.groupBy("key").agg(F.try_divide(F.sum(F.col("s") * F.col("m")), F.sum("m")).alias("score"), F.count("*").alias("c"))
+    fair = whole.filter((F.col("c") >= 2) & (F.col("score") >= FAIR_SILHOUETTE)).join(held.select("key", "grp", "tried").distinct(), "key")
+    last = labels.groupBy("grp").agg(F.max("tried").alias("last"))
+    chosen = durable(last.join(fair.groupBy("grp").agg(F.min("tried").alias("tried")), "grp", "left").select("grp", F.coalesce("tried", "last").alias("tried")))
+    points = labels.join(chosen, ["grp", "tried"]).join(centred, ["grp", "post_id"]).select("grp", "post_id", F.col("label").alias("cluster_id"), "vec")
+    settled = durable(absorb(points, points.filter("cluster_id < 0"), ["grp"]))
+    poor = per.join(chosen.select(F.concat_ws("|", F.col("tried").cast("string"), "grp").alias("key"), "grp"), "key").select("grp", "cluster_id", "s")
+    done = durable(absorb(settled, negative_clusters(poor, ["grp"]), ["grp"])).select(F.col("grp").alias("_grp"), "post_id", "cluster_id")
+    found = base.withColumn("_grp", F.col("site_id").cast("string")).join(done, ["_grp", "post_id"], "left").join(sizes.select("site_id", "first"), "site_id")
+    return found.select("site_id", "post_id", "vec", F.when(F.col("cluster_id") >= 0, F.col("cluster_id")).otherwise(F.col("first")).alias("cluster_id"))
+
+
+def split_large(df: DataFrame, limit: int = MAX_CLUSTER, depth: int | None = None) -> DataFrame:
+    """Split every cluster above ``limit`` posts until none is left but those that reject it.
+
+    (post_id, vec, cluster_id) → (post_id, cluster_id, path, rejected): path
+    names the child of each level by its least post. All open clusters of a
+    round are split in one pass by density around their own mean. Fewer than
+    two children, or noise above 60 %, reject a split and end that path; noise
+    goes to the nearest child. ``depth`` ends the rounds early.
+    """
+    state = durable(df.select("post_id", "vec", F.col("cluster_id").cast("string").alias("grp"), F.lit(False).alias("rejected")))
+    level = 0
+    while depth is None or level < depth:
+        sizes = state.filter("NOT rejected").groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        open_ = durable(state.drop("rejected").join(sizes, "grp"))
+        if open_.isEmpty():
+            break
+        centred = durable(centre_vectors(open_.select("grp", "post_id", "vec"), ["grp"]))
+        least = sizes.select("grp", F.array(F.greatest(F.lit(3), F.floor(F.col("n") / 10)).cast("int")).alias("sizes"))
+        labels = durable(labelled(forest(centred, F.lit(2)), least).select("grp", "post_id", F.col("label").alias("cluster_id")))
+        counts = labels.groupBy("grp").agg(F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("children"), F.avg((F.col("cluster_id") < 0).cast("double")).alias("noise"))
+        good = durable(counts.filter((F.col("children") >= 2) & (F.col("noise") <= MOST_NOISE)).select("grp"))
+        parts = open_.join(good, "grp", "left_semi").join(labels, ["grp", "post_id"]).select("grp", "post_id", "cluster_id", "vec")
+        moved = absorb(parts, parts.filter("cluster_id < 0"), ["grp"]).select("grp", "post_id", F.concat_ws(".", "grp", F.col("cluster_id").cast("string")).alias("_next"))
+        ended = open_.select("grp").distinct().join(good, "grp", "left_anti").withColumn("_ended", F.lit(True))
+        state = state.join(moved, ["grp", "post_id"], "left").join(ended, "grp", "left")
+        state = durable(state.select("post_id", "vec", F.coalesce("_next", "grp").alias("grp"), F.coalesce("_ended", "rejected").alias("rejected")))
+        level += 1
+    return state.join(df.select("post_id", "cluster_id"), "post_id").select("post_id", "cluster_id", F.col("grp").alias("path"), "rejected")
 
 
 def circle_layout(index: Column, n: Column) -> list[Column]:
@@ -233,13 +242,14 @@ def cluster_centres(clusters: DataFrame, members: DataFrame) -> DataFrame:
     return clusters.join(c, "cluster_id", "left").withColumns({"x": F.coalesce("x", F.lit(0.0)), "y": F.coalesce("y", F.lit(0.0))})
 
 
-def centroid_nearest(vectors: DataFrame) -> DataFrame:
-    """Per cluster the cosine distance from its centroid to the nearest post of the site."""
-    cents = mean_vectors(vectors, ["cluster_id"])
-    left = cents.select((-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
-    best = top_matches(left, vectors.select("post_id", "vec"), 1)
+def centroid_nearest(vectors: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Per cluster the cosine distance from its centroid to the nearest post of the site, ``group`` being the site's key."""
+    group = group or []
+    cents = mean_vectors(vectors, [*group, "cluster_id"])
+    left = cents.select(*group, (-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
+    best = _typed(top_matches(left, vectors.select(*group, "post_id", "vec"), 1, group), vectors, group)
     return best.select(
-        (-1 - F.col("post_id")).alias("cluster_id"), F.col("neighbour_id").alias("post_id"), (1 - F.col("similarity")).alias("distance")
+        *group, (-1 - F.col("post_id")).alias("cluster_id"), F.col("neighbour_id").alias("post_id"), (1 - F.col("similarity")).alias("distance")
     )
 
 
@@ -262,14 +272,16 @@ def count_mismatches(clusters: DataFrame, members: DataFrame) -> DataFrame:
     ).withColumn("ok", F.col("stored") == F.col("actual"))
 
 
-def flatten_parents(clusters: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Posts that sit only in a parent cluster move to the leaf of most similar centroid."""
+def flatten_parents(clusters: DataFrame, members: DataFrame, vectors: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Posts that sit only in a parent cluster move to the leaf of most similar centroid within their site (``group``, columns of ``vectors``)."""
+    group = group or []
     leaves = leaf_clusters(clusters).select("cluster_id")
     in_leaf = members.join(leaves, "cluster_id", "left_semi")
     stuck = members.join(leaves, "cluster_id", "left_anti").select("post_id").distinct().join(
         in_leaf.select("post_id"), "post_id", "left_anti"
     )
-    cents = mean_vectors(in_leaf.join(vectors.select("post_id", "vec"), "post_id"), ["cluster_id"])
-    right = cents.select((-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
-    best = top_matches(stuck.join(vectors.select("post_id", "vec"), "post_id"), right, 1)
+    placed = vectors.select(*group, "post_id", "vec")
+    cents = mean_vectors(in_leaf.select("post_id", "cluster_id").join(placed, "post_id"), [*group, "cluster_id"])
+    right = cents.select(*group, (-1 - F.col("cluster_id").cast("bigint")).alias("post_id"), "vec")
+    best = top_matches(stuck.join(placed, "post_id"), right, 1, group)
     return best.select("post_id", (-1 - F.col("neighbour_id")).alias("cluster_id"), "similarity")

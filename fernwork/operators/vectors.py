@@ -233,18 +233,19 @@ _SCHEMA = "_g string, post_id bigint, neighbour_id bigint, similarity double"
 
 def top_matches(
     left: DataFrame, right: DataFrame, k: int, group: list[str] | None = None, metric: str = "cosine", floor: float | None = None,
-    block: int = BLOCK, apart: str | None = None,
+    block: int = BLOCK, apart: str | None = None, cap: str | None = None,
 ) -> DataFrame:
     """The k best right vectors of each left vector within a group (ids never match themselves).
 
-    ``apart`` names a column whose value must differ between the two sides.
+    ``apart`` names a column whose value must differ between the two sides,
+    ``cap`` one that bounds the similarity of its row with any other.
     left/right: (post_id, vec, *group) → (*group key columns, post_id, neighbour_id, similarity, rank).
     """
     group = group or []
     angles = metric == "cosine"
-    tag = (F.col(apart).cast("string") if apart else F.lit("")).alias("_tag")
-    lt, many_l = _blocked(_with_group(left.select("post_id", "vec", *group, tag), group), None, block, angles)
-    rt, many_r = _blocked(_with_group(right.select("post_id", "vec", *group, tag), group), None, block, angles)
+    tag = [(F.col(apart).cast("string") if apart else F.lit("")).alias("_tag"), (F.col(cap) if cap else F.lit(None).cast("double")).alias("_cap")]
+    lt, many_l = _blocked(_with_group(left.select("post_id", "vec", *group, *tag), group), None, block, angles)
+    rt, many_r = _blocked(_with_group(right.select("post_id", "vec", *group, *tag), group), None, block, angles)
 
     def run(t: pa.Table) -> pa.Table:
         a, b = _sides(t)
@@ -252,6 +253,8 @@ def top_matches(
             return _out("", [], [], [])
         ia, ib = a.column("post_id").to_numpy(), b.column("post_id").to_numpy()
         s = _score(a, b, metric)
+        if cap:
+            s = np.minimum(s, np.minimum(a.column("_cap").to_numpy()[:, None], b.column("_cap").to_numpy()[None, :]))
         s[ia[:, None] == ib[None, :]] = -np.inf
         if apart:
             ta, tb = (np.array(x.column("_tag").to_pylist()) for x in (a, b))
@@ -261,12 +264,12 @@ def top_matches(
     def meet(pairs: DataFrame) -> DataFrame:
         def spread(v: DataFrame, mine: str, number: int) -> DataFrame:
             p = pairs.select("_g", F.col(mine).alias("_blk"), "_ba", "_bb")
-            return v.join(p, ["_g", "_blk"]).select("_g", "_ba", "_bb", F.lit(number).alias("side"), "post_id", "vec", "_tag")
+            return v.join(p, ["_g", "_blk"]).select("_g", "_ba", "_bb", F.lit(number).alias("side"), "post_id", "vec", "_tag", "_cap")
 
         return spread(lt, "_ba", 0).unionByName(spread(rt, "_bb", 1)).groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA)
 
     if not many_l and not many_r:
-        one = lambda v, n: v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(n).alias("side"), "post_id", "vec", "_tag")
+        one = lambda v, n: v.select("_g", F.lit("").alias("_ba"), F.lit("").alias("_bb"), F.lit(n).alias("side"), "post_id", "vec", "_tag", "_cap")
         return _finish(one(lt, 0).unionByName(one(rt, 1)).groupBy("_g", "_ba", "_bb").applyInArrow(run, _SCHEMA), k, group)
     if not angles:
         lb, rb = lt.select("_g", F.col("_blk").alias("_ba")).distinct(), rt.select("_g", F.col("_blk").alias("_bb")).distinct()
@@ -357,8 +360,9 @@ def similar_pairs(vectors: DataFrame, floor: float, group: list[str] | None = No
     return found.select(*keys, F.col("post_id").alias("post_a_id"), F.col("neighbour_id").alias("post_b_id"), F.col("similarity").alias("cosine"))
 
 
-def nearest_to(vectors: DataFrame, query: list[float], k: int, floor: float | None = None) -> DataFrame:
-    """The k vectors closest to one query vector (top-k per task, then merged)."""
+def nearest_to(vectors: DataFrame, query: list[float], k: int, floor: float | None = None, site=None) -> DataFrame:
+    """The k vectors closest to one query vector (top-k per task, then merged); with ``site``, of that site_id only."""
+    vectors = vectors if site is None else vectors.filter(F.col("site_id") == F.lit(site))
     sim = cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in query]))
     out = vectors.withColumn("similarity", sim).drop("vec")
     if floor is not None:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters as cl
+from ..operators import density as dn
 from ..operators import labels as lb
+from ..operators import layout as lay
 from ..operators import vectors as vx
 from . import sqltext as q
 from .oracle import cte, query
@@ -72,7 +74,29 @@ def e5(t: Tables):
 
 @query("e6_topic_clusters")
 def e6(t: Tables):
-    return cl.topic_clusters(t.embeddings).select("post_id", "cluster_id")
+    return cl.topic_clusters(at_site(t.embeddings)).select("site_id", "post_id", "cluster_id")
+
+
+@query("e6_density_forest", """
+WITH RECURSIVE x AS (SELECT post_id, site_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM semb), m AS (SELECT site_id, pos, avg(v) AS m FROM x GROUP BY 1, 2),
+c AS (SELECT site_id, post_id, list(v - m ORDER BY pos) AS vec FROM x JOIN m USING (site_id, pos) GROUP BY 1, 2), s AS (SELECT site_id, count(*) AS n FROM semb GROUP BY 1),
+d AS (SELECT a.site_id, a.post_id AS a, b.post_id AS b, sqrt(greatest(0, 2 - 2 * round(list_cosine_similarity(a.vec, b.vec), 12))) AS d FROM c a JOIN c b ON a.site_id = b.site_id AND a.post_id <> b.post_id),
+k AS (SELECT site_id, a, max(d) AS core FROM (SELECT *, row_number() OVER (PARTITION BY site_id, a ORDER BY d) AS r FROM d) JOIN s USING (site_id) WHERE r <= CASE WHEN n < 20 THEN 1 WHEN n < 100 THEN 2 WHEN n < 1000 THEN 3 ELSE 5 END GROUP BY 1, 2),
+r AS MATERIALIZED (SELECT d.site_id, d.a, d.b, greatest(d, ka.core, kb.core) AS w FROM d JOIN k ka ON ka.site_id = d.site_id AND ka.a = d.a JOIN k kb ON kb.site_id = d.site_id AND kb.a = d.b),
+p AS (
+  SELECT site_id, 0 AS step, [min(a)] AS done, 0.0::DOUBLE AS total FROM r GROUP BY site_id
+  UNION ALL
+  SELECT site_id, step + 1, list_append(done, b), total + w FROM (
+    SELECT p.site_id, p.step, p.done, p.total, r.b, r.w, row_number() OVER (PARTITION BY p.site_id ORDER BY r.w, r.b) AS k
+    FROM p JOIN r ON r.site_id = p.site_id WHERE list_contains(p.done, r.a) AND NOT list_contains(p.done, r.b)
+  ) WHERE k = 1
+)
+SELECT site_id, max(step)::BIGINT AS n_edges, round(max(total), 6) AS weight FROM p GROUP BY 1
+""", "semb")
+def e6b(t: Tables):
+    centred = cl.centre_vectors(at_site(t.embeddings).select("site_id", "post_id", "vec"), ["site_id"])
+    edges = dn.forest(centred.select(F.col("site_id").cast("string").alias("grp"), "post_id", "vec"), cl.core_samples(F.col("n")))
+    return edges.groupBy(F.col("grp").cast("bigint").alias("site_id")).agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 6).alias("weight"))
 
 
 @query("e7_min_cluster_size", """
@@ -86,44 +110,65 @@ def e7(t: Tables):
     return o.unionByName(c).unionByName(p).withColumn("min_size", cl.min_cluster_size(F.col("n")))
 
 
+cte("semb", "SELECT *, post_id % 5 AS site_id FROM emb", "emb")
 cte("sil", """
-WITH d AS (SELECT a.post_id AS a, a.cluster_id AS ca, b.cluster_id AS cb, a.post_id = b.post_id AS me, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dd FROM emb a, emb b),
-m AS (SELECT a, ca, cb, sum(dd) / (count(*) - CASE WHEN ca = cb THEN 1 ELSE 0 END) AS md FROM d GROUP BY 1, 2, 3)
-SELECT a AS post_id, ca AS cluster_id, (min(md) FILTER (ca <> cb) - max(md) FILTER (ca = cb)) / greatest(min(md) FILTER (ca <> cb), max(md) FILTER (ca = cb)) AS s FROM m GROUP BY a, ca
-""", "emb")
+WITH d AS (SELECT a.site_id, a.post_id AS a, a.cluster_id AS ca, b.cluster_id AS cb, list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dd FROM semb a JOIN semb b ON a.site_id = b.site_id),
+m AS (SELECT site_id, a, ca, cb, sum(dd) / nullif(count(*) - CASE WHEN ca = cb THEN 1 ELSE 0 END, 0) AS md FROM d GROUP BY 1, 2, 3, 4)
+SELECT site_id, a AS post_id, ca AS cluster_id, coalesce((min(md) FILTER (ca <> cb) - max(md) FILTER (ca = cb)) / nullif(greatest(min(md) FILTER (ca <> cb), max(md) FILTER (ca = cb)), 0), 0) AS s FROM m GROUP BY site_id, a, ca
+""", "semb")
 
 
 @query("e8_silhouette", """
-SELECT cluster_id, round(avg(s), 6) AS silhouette, count(*) AS n FROM sil GROUP BY cluster_id UNION ALL SELECT NULL, round(avg(s), 6), count(*) FROM sil
+SELECT site_id, cluster_id, round(avg(s), 6) AS silhouette, count(*) AS n FROM sil GROUP BY 1, 2 UNION ALL SELECT site_id, NULL, round(avg(s), 6), count(*) FROM sil GROUP BY 1
 """, "sil")
 def e8(t: Tables):
-    return cl.cluster_silhouettes(t.embeddings).withColumn("silhouette", F.round("silhouette", 6))
+    return cl.cluster_silhouettes(at_site(t.embeddings), ["site_id"]).withColumn("silhouette", F.round("silhouette", 6)).select("site_id", "cluster_id", "silhouette", "n")
 
 
 @query("e9_absorb_small", """
-WITH c AS (SELECT cluster_id, count(*) AS n FROM emb GROUP BY 1), k AS (SELECT e.* FROM emb e JOIN c USING (cluster_id) WHERE n >= 48),
-x AS (SELECT cluster_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM k), m AS (SELECT cluster_id, list(m ORDER BY pos) AS cen FROM (SELECT cluster_id, pos, avg(v) AS m FROM x GROUP BY 1, 2) GROUP BY 1)
-SELECT post_id, cluster_id::BIGINT AS cluster_id FROM k
-UNION ALL SELECT post_id, m.cluster_id::BIGINT FROM emb e JOIN c USING (cluster_id), m WHERE n < 48 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY list_distance(e.vec, m.cen), m.cluster_id) = 1
-""", "emb")
+WITH c AS (SELECT site_id, cluster_id, count(*) AS n FROM semb GROUP BY 1, 2), k AS (SELECT e.* FROM semb e JOIN c USING (site_id, cluster_id) WHERE n >= 10),
+x AS (SELECT site_id, cluster_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM k), m AS (SELECT site_id, cluster_id, list(m ORDER BY pos) AS cen FROM (SELECT site_id, cluster_id, pos, avg(v) AS m FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT site_id, post_id, cluster_id::BIGINT AS cluster_id FROM k
+UNION ALL SELECT e.site_id, post_id, m.cluster_id::BIGINT FROM semb e JOIN c USING (site_id, cluster_id) JOIN m ON m.site_id = e.site_id WHERE n < 10 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY list_distance(e.vec, m.cen), m.cluster_id) = 1
+""", "semb")
 def e9(t: Tables):
-    return cl.absorb_small(t.embeddings, 48).select("post_id", "cluster_id")
+    return cl.absorb_small(at_site(t.embeddings), 10, ["site_id"]).select("site_id", "post_id", "cluster_id")
 
 
 @query("e10_dissolve_negative", """
-WITH s AS (SELECT cluster_id, avg(s) AS s FROM sil GROUP BY 1), f AS (SELECT count(*) AS n, count(*) FILTER (s < 0) AS b FROM s),
-k AS (SELECT e.* FROM emb e JOIN s USING (cluster_id), f WHERE s.s >= 0 OR n < 3 OR b = n),
-x AS (SELECT cluster_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM k), m AS (SELECT cluster_id, list(m ORDER BY pos) AS cen FROM (SELECT cluster_id, pos, avg(v) AS m FROM x GROUP BY 1, 2) GROUP BY 1)
-SELECT post_id, cluster_id::BIGINT AS cluster_id FROM k
-UNION ALL SELECT post_id, m.cluster_id::BIGINT FROM emb e, m WHERE post_id NOT IN (SELECT post_id FROM k) QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY list_distance(e.vec, m.cen), m.cluster_id) = 1
-""", "emb sil")
+WITH s AS (SELECT site_id, cluster_id, avg(s) AS s FROM sil GROUP BY 1, 2), f AS (SELECT site_id, count(*) AS n, count(*) FILTER (s < 0) AS b FROM s GROUP BY 1),
+k AS (SELECT e.* FROM semb e JOIN s USING (site_id, cluster_id) JOIN f USING (site_id) WHERE s.s >= 0 OR n < 3 OR b = n),
+x AS (SELECT site_id, cluster_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM k), m AS (SELECT site_id, cluster_id, list(m ORDER BY pos) AS cen FROM (SELECT site_id, cluster_id, pos, avg(v) AS m FROM x GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT site_id, post_id, cluster_id::BIGINT AS cluster_id FROM k
+UNION ALL SELECT e.site_id, post_id, m.cluster_id::BIGINT FROM semb e JOIN m ON m.site_id = e.site_id WHERE post_id NOT IN (SELECT post_id FROM k) QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY list_distance(e.vec, m.cen), m.cluster_id) = 1
+""", "semb sil")
 def e10(t: Tables):
-    return cl.dissolve_negative(t.embeddings).select("post_id", "cluster_id")
+    return cl.dissolve_negative(at_site(t.embeddings), ["site_id"]).select("site_id", "post_id", "cluster_id")
 
 
 @query("e11_map_positions")
 def e11(t: Tables):
-    return cl.map_positions(t.embeddings)
+    return lay.map_positions(at_site(t.embeddings))
+
+
+@query("e11_draw_together", """
+SELECT site_id, post_id, cluster_id, round(vec[1] + 0.15 * (avg(vec[1]) OVER c - vec[1]), 6) AS x, round(vec[2] + 0.15 * (avg(vec[2]) OVER c - vec[2]), 6) AS y
+FROM semb WINDOW c AS (PARTITION BY site_id, cluster_id)
+""", "semb")
+def e11c(t: Tables):
+    places = at_site(t.embeddings).select("site_id", "post_id", "cluster_id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"))
+    return lay.draw_together(places).select("site_id", "post_id", "cluster_id", R6("x"), R6("y"))
+
+
+@query("e11_neighbour_graph", """
+WITH n AS (SELECT a.site_id, a.post_id, b.post_id AS other, 1 - list_cosine_similarity(a.vec, b.vec) AS d FROM semb a JOIN semb b ON a.site_id = b.site_id AND a.post_id <> b.post_id
+  QUALIFY row_number() OVER (PARTITION BY a.post_id ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.post_id) <= 15),
+w AS (SELECT site_id, post_id, other, exp(-(d - min(d) OVER p) / greatest(avg(d) OVER p - min(d) OVER p, 1e-6)) AS w FROM n WINDOW p AS (PARTITION BY post_id)),
+u AS (SELECT * FROM w UNION ALL SELECT site_id, other, post_id, w FROM w)
+SELECT site_id, post_id, other, round(CASE WHEN count(*) = 2 THEN sum(w) - min(w) * max(w) ELSE sum(w) END, 6) AS w FROM u GROUP BY 1, 2, 3
+""", "semb")
+def e11d(t: Tables):
+    return lay.neighbour_graph(at_site(t.embeddings)).withColumn("w", F.round("w", 6))
 
 
 @query("e11_circle_layout", """
@@ -139,6 +184,17 @@ def e12(t: Tables):
     return cl.split_large(t.embeddings)
 
 
+@query("e12_split_check", """
+SELECT cluster_id, count(*) AS n, 0::BIGINT AS left_large FROM emb GROUP BY 1
+""", "emb")
+def e12b(t: Tables):
+    """Every post keeps its cluster, and no leaf above the limit is left but those that rejected a split."""
+    out = cl.split_large(t.embeddings)
+    leaves = out.groupBy("cluster_id", "path", "rejected").agg(F.count("*").alias("m"))
+    open_ = F.when(~F.col("rejected") & (F.col("m") > cl.MAX_CLUSTER), F.col("m")).otherwise(F.lit(0))
+    return leaves.groupBy("cluster_id").agg(F.sum("m").alias("n"), F.sum(open_).alias("left_large"))
+
+
 @query("e13_small_sites", """
 WITH p AS (SELECT vec_id AS post_id, CASE WHEN vec_id % 50 = 0 THEN 'tiny' || (vec_id % 3) ELSE 'big' END AS site_id, label FROM embeddings), s AS (SELECT site_id, count(*) AS n FROM p GROUP BY 1)
 SELECT post_id, site_id, CASE WHEN n < 15 THEN 0 ELSE label END AS cluster_id FROM p JOIN s USING (site_id)
@@ -161,21 +217,22 @@ def e15(t: Tables):
     return cl.cluster_centres(t.clusters.select("cluster_id", "post_count"), m).select("cluster_id", "post_count", R6("x"), R6("y"))
 
 
-cte("cents", "SELECT cluster_id, list(m ORDER BY pos) AS cen FROM (SELECT cluster_id, pos, avg(v) AS m FROM (SELECT cluster_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM emb) GROUP BY 1, 2) GROUP BY 1", "emb")
+cte("cents", "SELECT site_id, cluster_id, list(m ORDER BY pos) AS cen FROM (SELECT site_id, cluster_id, pos, avg(v) AS m FROM (SELECT site_id, cluster_id, unnest(vec) AS v, unnest(range(len(vec))) AS pos FROM semb) GROUP BY 1, 2, 3) GROUP BY 1, 2", "semb")
 
 
 @query("e16_centroid_nearest", """
-SELECT c.cluster_id::BIGINT AS cluster_id, e.post_id, round(1 - list_cosine_similarity(e.vec, c.cen), 6) AS distance FROM cents c, emb e QUALIFY row_number() OVER (PARTITION BY c.cluster_id ORDER BY list_cosine_similarity(e.vec, c.cen) DESC, e.post_id) = 1
-""", "cents emb")
+SELECT c.site_id, c.cluster_id::BIGINT AS cluster_id, e.post_id, round(1 - list_cosine_similarity(e.vec, c.cen), 6) AS distance FROM cents c JOIN semb e ON e.site_id = c.site_id
+QUALIFY row_number() OVER (PARTITION BY c.site_id, c.cluster_id ORDER BY list_cosine_similarity(e.vec, c.cen) DESC, e.post_id) = 1
+""", "cents semb")
 def e16(t: Tables):
-    return cl.centroid_nearest(t.embeddings).withColumn("distance", F.round("distance", 6))
+    return cl.centroid_nearest(at_site(t.embeddings), ["site_id"]).withColumn("distance", F.round("distance", 6))
 
 
 @query("e17_nearest_cluster", """
-SELECT cluster_id, label, post_count FROM emb JOIN clusters USING (cluster_id) WHERE post_id <> 0 ORDER BY list_cosine_similarity(vec, (SELECT vec FROM emb WHERE post_id = 0)) DESC, post_id LIMIT 1
-""", "emb clusters")
+SELECT cluster_id, label, post_count FROM semb JOIN clusters USING (cluster_id) WHERE post_id <> 0 AND site_id = 2 ORDER BY list_cosine_similarity(vec, (SELECT vec FROM emb WHERE post_id = 0)) DESC, post_id LIMIT 1
+""", "emb semb clusters")
 def e17(t: Tables):
-    near = vx.nearest_to(t.embeddings.filter("post_id <> 0"), query_vector(t), 1)
+    near = vx.nearest_to(at_site(t.embeddings).filter("post_id <> 0"), query_vector(t), 1, site=2)
     return near.join(t.clusters, "cluster_id").select("cluster_id", "label", "post_count")
 
 
@@ -398,8 +455,8 @@ def e29b(t: Tables):
 
 @query("e30_flatten_parents", """
 WITH lf AS (SELECT cluster_id FROM clusters WHERE cluster_id NOT IN (SELECT parent_cluster_id FROM clusters WHERE parent_cluster_id IS NOT NULL))
-SELECT e.post_id, c.cluster_id::BIGINT AS cluster_id, round(list_cosine_similarity(e.vec, c.cen), 6) AS similarity FROM emb e, cents c JOIN lf ON lf.cluster_id = c.cluster_id
+SELECT e.post_id, c.cluster_id::BIGINT AS cluster_id, round(list_cosine_similarity(e.vec, c.cen), 6) AS similarity FROM semb e JOIN cents c ON c.site_id = e.site_id JOIN lf ON lf.cluster_id = c.cluster_id
 WHERE e.cluster_id NOT IN (SELECT cluster_id FROM lf) QUALIFY row_number() OVER (PARTITION BY e.post_id ORDER BY list_cosine_similarity(e.vec, c.cen) DESC, c.cluster_id) = 1
-""", "emb cents clusters")
+""", "semb cents clusters")
 def e30(t: Tables):
-    return cl.flatten_parents(t.clusters, t.post_clusters, t.embeddings).withColumn("similarity", F.round("similarity", 6))
+    return cl.flatten_parents(t.clusters, t.post_clusters, at_site(t.embeddings), ["site_id"]).withColumn("similarity", F.round("similarity", 6))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +84,17 @@ def durable(df: DataFrame, layout: bool = False) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read again.
+
+    Like ``durable``, but nothing of the old plan stays: loops of joins keep
+    plans of one size, and the size of the table is known to the planner.
+    """
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition an input that has fewer splits than the cluster has cores.
 

@@ -151,20 +151,6 @@ def test_distributed_rank_with_a_hot_group(spark):
         assert {r.n for r in rows if r.k == key} == {len(part)}
 
 
-def test_clusters_cover_every_post(spark):
-    m, df = vectors(spark, n=120)
-    out = cl.topic_clusters(df.select("post_id", "vec"), ks=[3]).collect()
-    assert len(out) == 120 and len({r.post_id for r in out}) == 120
-    pure = {}
-    for r in out:
-        pure.setdefault(r.cluster_id, set()).add(r.post_id % 3)
-    assert len(pure) == 3 and all(len(v) == 1 for v in pure.values())
-    tiny = cl.topic_clusters(df.filter("post_id < 10").select("post_id", "vec"))
-    assert {r.cluster_id for r in tiny.collect()} == {0}
-    split = cl.split_large(df.withColumn("cluster_id", F.lit(7))).collect()
-    assert len(split) == 120 and len({r.path for r in split}) > 1 and all(r.path.startswith("7") for r in split)
-
-
 def test_calibration_defaults_for_few_pairs(spark):
     _, df = vectors(spark, n=4)
     assert pr.calibrate(df).first()[1:] == (0.45, 0.55, 0.65)
