@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as ux
 from ..plans.scale import durable, exact_percentiles, top_per_group
-from .vectors import cosine, pair_cosine, similar_pairs, top_neighbours
+from .vectors import cosine, pair_cosine, similar_pairs, similarity_quantiles, top_neighbours
 
 # fixed values: default cosine thresholds, floors of calibrated ones, gates
 FLAG, HIGH, CRITICAL = 0.45, 0.55, 0.65
@@ -132,35 +132,22 @@ def duplicate_groups(posts: DataFrame) -> DataFrame:
 # ---- thresholds ----------------------------------------------------------
 
 
-def sample_pairs(vectors: DataFrame, pairs: int = 500) -> DataFrame:
-    """Up to ``pairs`` fixed pairs: hash-ordered posts paired at growing distance."""
-    size = 2 * pairs
-    picked = vectors.select("post_id", "vec").orderBy(F.md5(F.col("post_id").cast("string")), "post_id").limit(size)
-    # at most 2 · pairs rows: one small window
-    ranked = durable(picked.withColumn("r", F.row_number().over(Window.orderBy(F.md5(F.col("post_id").cast("string")), "post_id")) - 1))
-    n = ranked.count()
-    if n < 2:
-        return ranked.select(F.lit(0.0).alias("similarity")).limit(0)
-    steps = range(1, min(n // 2, pairs // n + 1) + 1)
-    a = ranked.select("r", F.col("vec").alias("va"), F.explode(F.array(*map(F.lit, steps))).alias("d")).withColumn("s", (F.col("r") + F.col("d")) % n)
-    # an even ring meets each pair at distance n/2 twice
-    a = a.filter(~((F.col("d") * 2 == n) & (F.col("r") >= F.col("d"))))
-    b = ranked.select(F.col("r").alias("s"), F.col("vec").alias("vb"))
-    return a.join(b, "s").orderBy("d", "r").limit(pairs).select("d", "r", cosine(F.col("va"), F.col("vb")).alias("similarity"))
-
-
 def calibrate(vectors: DataFrame) -> DataFrame:
-    """One row: flag, high and critical cosine from the 85/92/97th percentiles."""
-    sims = sample_pairs(vectors)
-    p = sims.agg(F.count("*").alias("n"), F.percentile("similarity", F.array(F.lit(0.85), F.lit(0.92), F.lit(0.97))).alias("q"))
+    """One row a site: number of pairs, and flag, high and critical cosine from the 85/92/97th percentiles of all its pairs.
+
+    Sites with fewer than ten pairs keep the defaults.
+    """
+    q = similarity_quantiles(vectors, "site_id", {"flag": 0.85, "high": 0.92, "critical": 0.97})
     default = {"flag": FLAG, "high": HIGH, "critical": CRITICAL}
-    return p.select(
-        "n",
-        *[
-            F.when(F.col("n") < 10, F.lit(default[k])).otherwise(F.greatest(F.col("q")[i], F.lit(FLOORS[k]))).alias(k)
-            for i, k in enumerate(("flag", "high", "critical"))
-        ],
-    )
+    sites = vectors.select("site_id").distinct().join(q, "site_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return sites.select("site_id", "n", *[F.when(F.col("n") < 10, F.lit(v)).otherwise(F.greatest(F.col(k), F.lit(FLOORS[k]))).alias(k) for k, v in default.items()])
+
+
+def with_thresholds(pairs: DataFrame, posts: DataFrame, thresholds: DataFrame, post: str = "post_a_id") -> DataFrame:
+    """Adds flag, high and critical of the site of each pair's first post; defaults where a site has none."""
+    site = posts.select(F.col("post_id").alias(post), "site_id").join(thresholds.select("site_id", "flag", "high", "critical"), "site_id", "left").drop("site_id")
+    filled = {k: F.coalesce(k, F.lit(v)) for k, v in (("flag", FLAG), ("high", HIGH), ("critical", CRITICAL))}
+    return pairs.join(site, post, "left").withColumns(filled)
 
 
 # ---- shared queries ------------------------------------------------------
@@ -214,24 +201,33 @@ def query_partners(queries: DataFrame, clusters: DataFrame, least: int = MIN_SHA
     return shared_queries(met, queries).filter(F.col("n_shared") >= least)
 
 
-def cluster_candidates(vectors: DataFrame, queries: DataFrame, flag: float) -> DataFrame:
+def cluster_candidates(vectors: DataFrame, queries: DataFrame, flag: float | DataFrame, small: int = SMALL_CLUSTER) -> DataFrame:
     """Candidate pairs inside clusters with cosine and n_shared.
 
-    Below twenty posts every pair counts; above, a post's ten best neighbours
+    Below ``small`` posts every pair counts; above, a post's ten best neighbours
     at or over the flag, pairs over it that share a query, and pairs with three
-    shared queries whatever their cosine.
+    shared queries whatever their cosine. ``flag`` is one number, or a frame
+    (site_id, flag) for ``vectors`` with a site_id.
     """
     clusters = vectors.select("post_id", "cluster_id")
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    small = vectors.join(sizes.filter(F.col("n") < SMALL_CLUSTER), "cluster_id", "left_semi")
-    big = vectors.join(sizes.filter(F.col("n") >= SMALL_CLUSTER), "cluster_id", "left_semi")
+    few = vectors.join(sizes.filter(F.col("n") < small), "cluster_id", "left_semi")
+    big = vectors.join(sizes.filter(F.col("n") >= small), "cluster_id", "left_semi")
     key = ["post_a_id", "post_b_id"]
-    near = top_neighbours(big, 10, ["cluster_id"], floor=flag).select(
+    if isinstance(flag, DataFrame):
+        least = flag.agg(F.min("flag")).first()[0]
+        least = FLAG if least is None else min(FLAG, least)
+        mine = vectors.select(F.col("post_id").alias("post_a_id"), "site_id").join(flag.select("site_id", "flag"), "site_id", "left")
+        mine = mine.select("post_a_id", F.coalesce("flag", F.lit(FLAG)).alias("_flag"))
+        over = lambda df: df.join(mine, "post_a_id").filter("cosine >= _flag").drop("_flag")
+    else:
+        least, over = flag, lambda df: df
+    near = over(top_neighbours(big, 10, ["cluster_id"], floor=least).select(
         F.least("post_id", "neighbour_id").alias("post_a_id"), F.greatest("post_id", "neighbour_id").alias("post_b_id"), F.col("similarity").alias("cosine"),
         F.lit(True).alias("near"),
-    )
-    close = similar_pairs(big, flag, ["cluster_id"]).select(*key, "cosine", F.lit(False).alias("near"))
-    every = similar_pairs(small, -1.0, ["cluster_id"]).select(*key, "cosine", F.lit(True).alias("near"))
+    ))
+    close = over(similar_pairs(big, least, ["cluster_id"]).select(*key, "cosine", F.lit(False).alias("near")))
+    every = similar_pairs(few, -1.0, ["cluster_id"]).select(*key, "cosine", F.lit(True).alias("near"))
     known = near.unionByName(close).unionByName(every).groupBy(*key).agg(F.max("cosine").alias("cosine"), F.max("near").alias("near"))
     shared = shared_queries(known, queries)
     by_vector = shared.filter(F.col("near") | (F.col("n_shared") > 0)).drop("near")
@@ -241,12 +237,12 @@ def cluster_candidates(vectors: DataFrame, queries: DataFrame, flag: float) -> D
     return by_vector.unionByName(far.select(*by_vector.columns))
 
 
-def gate(pairs: DataFrame, flag: float) -> DataFrame:
-    """Drop copies, cross-language pairs and pairs below the (intent-aware) flag."""
+def gate(pairs: DataFrame, flag: float | Column) -> DataFrame:
+    """Drop copies, cross-language pairs and pairs below the (intent-aware) flag, a number or a column."""
     c = F.col
     same = F.coalesce(c("hash_a") == c("hash_b"), F.lit(False))
     other = F.coalesce(c("lang_a") != c("lang_b"), F.lit(False))
-    need = F.when(F.coalesce(c("intent_a") != c("intent_b"), F.lit(False)), flag + 0.10).otherwise(F.lit(flag))
+    need = F.when(F.coalesce(c("intent_a") != c("intent_b"), F.lit(False)), F.lit(flag) + 0.10).otherwise(F.lit(flag))
     return pairs.filter(~same & ~other & (F.coalesce(c("cosine") >= need, F.lit(False)) | (c("n_shared") >= MIN_SHARED)))
 
 
@@ -450,11 +446,18 @@ def finish_pairs(pairs: DataFrame, scores: DataFrame, by: str = "cluster_id") ->
     return out.select("cluster_id", "post_a_id", "post_b_id", "cosine", "n_shared", "overlap_score", "severity", "severity_score", "stronger_post_id", "resolution")
 
 
-def cluster_pairs(posts: DataFrame, vectors: DataFrame, queries: DataFrame, scores: DataFrame, flag=FLAG, high=HIGH, critical=CRITICAL) -> DataFrame:
-    """Overlap pairs inside clusters, from candidates to resolution."""
-    cand = durable(cluster_candidates(vectors, queries, flag)).join(
+def cluster_pairs(posts: DataFrame, vectors: DataFrame, queries: DataFrame, scores: DataFrame, flag=FLAG, high=HIGH, critical=CRITICAL, thresholds: DataFrame | None = None) -> DataFrame:
+    """Overlap pairs inside clusters, from candidates to resolution.
+
+    ``thresholds`` (site_id, flag, high, critical), as from ``calibrate``, takes
+    the place of the three numbers; ``vectors`` then has a site_id.
+    """
+    cand = durable(cluster_candidates(vectors, queries, flag if thresholds is None else thresholds)).join(
         vectors.select(F.col("post_id").alias("post_a_id"), "cluster_id"), "post_a_id"
     )
+    if thresholds is not None:
+        cand = with_thresholds(cand, vectors, thresholds)
+        flag, high, critical = F.col("flag"), F.col("high"), F.col("critical")
     rated = blend(gate(with_signals(cand, page_signals(posts)), flag))
     backed = F.col("n_shared") > 0
     rated = rated.filter(backed | (F.col("tier") != "low")).withColumns(
@@ -524,17 +527,17 @@ def similarity_distribution(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return stats.join(exact_percentiles(p, keys, "_v", q), keys)
 
 
-def similarity_buckets(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(F.round("cosine", 2).alias("bucket")).agg(F.count("*").alias("n"))
+def similarity_buckets(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return pairs.groupBy(*keys, F.round("cosine", 2).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def similarity_brackets(pairs: DataFrame) -> DataFrame:
+def similarity_brackets(pairs: DataFrame, keys: list[str]) -> DataFrame:
     c = F.col("cosine")
     bracket = (
         F.when(c >= 0.95, "A: 0.95+ (near-duplicate)").when(c >= 0.90, "B: 0.90-0.95 (very high)").when(c >= 0.80, "C: 0.80-0.90 (high)")
         .when(c >= 0.70, "D: 0.70-0.80 (moderate)").otherwise("E: below 0.70")
     )
-    return pairs.groupBy(bracket.alias("bracket")).agg(F.count("*").alias("n"), F.round(F.avg(c), 3).alias("avg_cosine"))
+    return pairs.groupBy(*keys, bracket.alias("bracket")).agg(F.count("*").alias("n"), F.round(F.avg(c), 3).alias("avg_cosine"))
 
 
 def severity_rank(c: Column) -> Column:
@@ -560,14 +563,14 @@ def cannibal_posts(pairs: DataFrame) -> DataFrame:
 
 
 def url_fluctuation(ranked: DataFrame, as_of: str, days: int = 30, least: int = 3) -> DataFrame:
-    """Queries whose ranked URL changes at least ``least`` times in the window.
+    """Queries of a site whose ranked URL changes at least ``least`` times in the window.
 
-    ranked(query, date, url, position, impressions) has one row per query and day.
+    ranked(site_id, query, date, url, position, impressions) has one row per site, query and day.
     """
     recent = ranked.filter(F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days))
-    prev = F.lag("url").over(Window.partitionBy("query").orderBy("date"))
+    prev = F.lag("url").over(Window.partitionBy("site_id", "query").orderBy("date"))
     return (
-        recent.withColumn("_p", prev).groupBy("query").agg(
+        recent.withColumn("_p", prev).groupBy("site_id", "query").agg(
             F.count_if(F.col("_p").isNotNull() & (F.col("_p") != F.col("url"))).alias("changes"), F.count_distinct("url").alias("urls"),
             F.avg("position").alias("avg_position"), F.sum("impressions").alias("impressions"),
         )

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scale import durable, top_per_group
@@ -360,6 +360,67 @@ def similar_pairs(vectors: DataFrame, floor: float, group: list[str] | None = No
     return found.select(*keys, F.col("post_id").alias("post_a_id"), F.col("neighbour_id").alias("post_b_id"), F.col("similarity").alias("cosine"))
 
 
+def similarity_counts(vectors: DataFrame, group: list[str], within: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """How many pairs of a group have which cosine, in thousandths: (_g, value, n); no pair leaves its task.
+
+    With ``within`` (_g, value), the pairs of those thousandths only, in
+    millionths. Cosines are first rounded to six decimals.
+    """
+    v, _ = _blocked(_with_group(vectors.select("post_id", "vec", *group), group), None, block, metric=False)
+    blocks = v.select("_g", "_blk").distinct()
+    pairs = blocks.select("_g", F.col("_blk").alias("_ba")).join(blocks.select("_g", F.col("_blk").alias("_bb")), "_g").filter("_ba <= _bb")
+    rows = _pair_rows(v, pairs)
+    refine = within is not None
+    if refine:
+        rows = rows.join(within.groupBy("_g").agg(F.array_sort(F.collect_set("value")).alias("_in")), "_g")
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = _sides(t)
+        s = _score(a, b if b.num_rows else a, "cosine")
+        s = s.ravel() if b.num_rows else s[np.triu_indices(len(s), 1)]
+        micro = np.round(s * 1e6).astype(np.int64)
+        if not refine:
+            micro //= 1000
+        else:
+            micro = micro[np.isin(micro // 1000, np.array(t.column("_in")[0].as_py()))]
+        value, n = np.unique(micro, return_counts=True)
+        return pa.table({"_g": pa.array([t.column("_g")[0].as_py()] * len(value), pa.string()), "value": pa.array(value, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    found = rows.groupBy("_g", "_ba", "_bb").applyInArrow(run, "_g string, value bigint, n bigint")
+    return found.groupBy("_g", "value").agg(F.sum("n").alias("n"))
+
+
+def similarity_quantiles(vectors: DataFrame, group: str, probs: dict[str, float]) -> DataFrame:
+    """(group, n, one column a quantile): interpolated quantiles of the cosines of all pairs of each group, to six decimals.
+
+    A first pass counts thousandths, a second one counts millionths in those
+    thousandths that hold a wanted rank. A group without pairs has no row.
+    """
+    coarse = durable(similarity_counts(vectors, [group]))
+    total = coarse.groupBy("_g").agg(F.sum("n").alias("total"))
+    # the two ranks (from 0) around each quantile, and its share of the upper one
+    place = lambda p: F.lit(p) * (F.col("total") - 1)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), to(place(p)).cast("bigint").alias("rank")) for name, p in probs.items() for side, to in (("low", F.floor), ("high", F.ceil))])
+    ranks = total.select("_g", "total", F.explode(wanted).alias("w")).select("_g", "total", "w.*")
+
+    def at(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+        """Each wanted rank with the value that holds it and the number of pairs below that value."""
+        w = Window.partitionBy("_g").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        low = counts.withColumn("low", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        return ranks.join(low, "_g").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n")))
+
+    rough = durable(at(coarse, ranks).select("_g", "total", "name", "side", "rank", F.col("value").alias("bin"), "low"))
+    fine = similarity_counts(vectors, [group], rough.select("_g", F.col("bin").alias("value")).distinct())
+    inner = Window.partitionBy("_g", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("bin", F.floor(F.col("value") / 1000).cast("bigint")).withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    exact = rough.join(fine, ["_g", "bin"]).filter((F.col("rank") >= F.col("low") + F.col("before")) & (F.col("rank") < F.col("low") + F.col("before") + F.col("n")))
+    share = lambda p: place(p) - F.floor(place(p))
+    one = lambda name, side: F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("value"))) / 1e6
+    sides = exact.groupBy("_g", "total").agg(*[one(name, side).alias(f"_{side}_{name}") for name in probs for side in ("low", "high")])
+    value = lambda name, p: F.col(f"_low_{name}") + share(p) * (F.col(f"_high_{name}") - F.col(f"_low_{name}"))
+    return sides.select(F.col("_g").cast(vectors.schema[group].dataType).alias(group), F.col("total").alias("n"), *[value(name, p).alias(name) for name, p in probs.items()])
+
+
 def nearest_to(vectors: DataFrame, query: list[float], k: int, floor: float | None = None, site=None) -> DataFrame:
     """The k vectors closest to one query vector (top-k per task, then merged); with ``site``, of that site_id only."""
     vectors = vectors if site is None else vectors.filter(F.col("site_id") == F.lit(site))

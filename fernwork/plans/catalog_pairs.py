@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
+from ..operators.vectors import similarity_quantiles
 from . import sqltext as q
 from .catalog_clusters import topical
 from .oracle import cte, query
@@ -37,14 +38,24 @@ def f2(t: Tables):
     return pr.duplicate_groups(t.posts.withColumn("site_id", F.lit("all"))).drop("site_id")
 
 
-@query("f3_calibration", """
-WITH r AS (SELECT vec, row_number() OVER (ORDER BY md5(post_id::VARCHAR), post_id) - 1 AS r FROM emb QUALIFY r < 1000), n AS (SELECT count(*) AS n FROM r),
-p AS (SELECT a.r, d, list_cosine_similarity(a.vec, b.vec) AS s FROM r a, n, range(1, 501) x(d), r b WHERE b.r = (a.r + d) % n AND d <= least(n // 2, 500 // n + 1) AND NOT (d * 2 = n AND a.r >= d) ORDER BY d, a.r LIMIT 500)
-SELECT count(*) AS n, round(CASE WHEN count(*) < 10 THEN 0.45 ELSE greatest(quantile_cont(s, 0.85), 0.40) END, 6) AS flag, round(CASE WHEN count(*) < 10 THEN 0.55 ELSE greatest(quantile_cont(s, 0.92), 0.50) END, 6) AS high,
-  round(CASE WHEN count(*) < 10 THEN 0.65 ELSE greatest(quantile_cont(s, 0.97), 0.60) END, 6) AS critical FROM p
+cte("limits", """
+WITH p AS (SELECT a.post_id % 5 AS site_id, round(list_cosine_similarity(a.vec, b.vec), 6) AS s FROM emb a JOIN emb b ON a.post_id % 5 = b.post_id % 5 AND a.post_id < b.post_id)
+SELECT site_id, count(*) AS n, greatest(quantile_cont(s, 0.85), 0.40) AS flag, greatest(quantile_cont(s, 0.92), 0.50) AS high, greatest(quantile_cont(s, 0.97), 0.60) AS critical FROM p GROUP BY 1 HAVING count(*) >= 10
 """, "emb")
+
+
+@query("f3_calibration", "SELECT site_id, n, round(flag, 6) AS flag, round(high, 6) AS high, round(critical, 6) AS critical FROM limits", "limits")
 def f3(t: Tables):
-    return pr.calibrate(t.embeddings).select("n", *[F.round(c, 6).alias(c) for c in ("flag", "high", "critical")])
+    return pr.calibrate(at_site(t.embeddings)).select("site_id", "n", *[F.round(c, 6).alias(c) for c in ("flag", "high", "critical")])
+
+
+@query("f3_similarity_quantiles", """
+SELECT a.post_id % 5 AS site_id, count(*) AS n, round(quantile_cont(round(list_cosine_similarity(a.vec, b.vec), 6), 0.25), 6) AS low, round(quantile_cont(round(list_cosine_similarity(a.vec, b.vec), 6), 0.97), 6) AS high
+FROM emb a JOIN emb b ON a.post_id % 5 = b.post_id % 5 AND a.post_id < b.post_id GROUP BY 1
+""", "emb")
+def f3b(t: Tables):
+    q = similarity_quantiles(at_site(t.embeddings), "site_id", {"low": 0.25, "high": 0.97})
+    return q.select("site_id", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 cte("qset", f"SELECT DISTINCT post_id, lower(query) AS query FROM gsc WHERE date >= {A} - 90", "gsc")
@@ -63,6 +74,32 @@ def f4(t: Tables):
     return c.select("post_a_id", "post_b_id", F.round("cosine", 6).alias("cosine"), "n_shared")
 
 
+# site flags spread around the cosines of the vectors given
+cte("flags", "SELECT unnest(range(5)) AS site_id, 0.2 + 0.05 * unnest(range(5)) AS flag")
+cte("scand", """
+WITH p AS (SELECT a AS x, b AS y, ca AS c, a % 5 * 10 + ca AS k, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rk FROM sims WHERE ca = cb AND a % 5 = b % 5),
+n AS (SELECT post_id % 5 * 10 + cluster_id AS k, count(*) AS n FROM emb GROUP BY 1), u AS (SELECT least(x, y) AS a, greatest(x, y) AS b, k, max(sim) AS sim, min(rk) AS rk FROM p GROUP BY 1, 2, 3),
+s AS (SELECT u.*, (SELECT count(*) FROM qset i JOIN qset j USING (query) WHERE i.post_id = u.a AND j.post_id = u.b) AS q FROM u)
+SELECT a AS post_a_id, b AS post_b_id, a % 5 AS site_id, s.k AS cluster_id, sim AS cosine, q AS n_shared, flag FROM s JOIN n ON n.k = s.k JOIN flags f ON f.site_id = a % 5
+WHERE n < 5 OR (rk <= 10 AND sim >= flag) OR (q > 0 AND sim >= flag) OR q >= 3
+""", "sims qset emb flags")
+
+
+def site_vectors(t: Tables):
+    v = at_site(t.embeddings)
+    return v.withColumn("cluster_id", F.col("site_id") * 10 + F.col("cluster_id"))
+
+
+def site_flags(t: Tables):
+    return at_site(t.embeddings).select("site_id").distinct().withColumn("flag", 0.2 + 0.05 * F.col("site_id"))
+
+
+@query("f4_site_candidates", "SELECT post_a_id, post_b_id, round(cosine, 6) AS cosine, n_shared FROM scand", "scand")
+def f4b(t: Tables):
+    c = pr.cluster_candidates(site_vectors(t), pr.query_sets(t.gsc, AS_OF), site_flags(t), small=5)
+    return c.select("post_a_id", "post_b_id", F.round("cosine", 6).alias("cosine"), "n_shared")
+
+
 @query("f5_shared_queries", """
 SELECT p.post_a_id, p.post_b_id, count(j.query) AS n_shared, coalesce(array_to_string(list(j.query ORDER BY j.query) FILTER (j.query IS NOT NULL), ','), '') AS shared
 FROM pairs p LEFT JOIN (SELECT i.post_id AS a, j.post_id AS b, query FROM qset i JOIN qset j USING (query)) j ON j.a = p.post_a_id AND j.b = p.post_b_id GROUP BY 1, 2
@@ -91,6 +128,16 @@ def f6(t: Tables):
     return pr.gate(pr.with_signals(cand, pr.page_signals(pair_posts(t))), 0.3).select("post_a_id", "post_b_id")
 
 
+@query("f6_site_gates", """
+SELECT c.post_a_id, c.post_b_id FROM scand c JOIN ppost a ON a.post_id = post_a_id JOIN ppost b ON b.post_id = post_b_id
+WHERE a.content_hash <> b.content_hash AND a.language = b.language AND (cosine >= flag + CASE WHEN a.content_intent <> b.content_intent THEN 0.1 ELSE 0 END OR n_shared >= 3)
+""", "scand ppost")
+def f6b(t: Tables):
+    v, flags = site_vectors(t), site_flags(t).withColumns({"high": F.lit(0.55), "critical": F.lit(0.65)})
+    cand = pr.with_thresholds(pr.cluster_candidates(v, pr.query_sets(t.gsc, AS_OF), flags, small=5), v, flags)
+    return pr.gate(pr.with_signals(cand, pr.page_signals(pair_posts(t))), F.col("flag")).select("post_a_id", "post_b_id")
+
+
 def wset(x, noise, pat="[a-z]{3,}"):
     return f"list_distinct(list_filter(regexp_extract_all({x}, '{pat}'), lambda w: NOT list_contains({ban(noise)}, w)))"
 
@@ -303,16 +350,17 @@ def f23(t: Tables):
     return d.select("cluster_id", "total", *[F.round(c, 6).alias(c) for c in d.columns[2:]])
 
 
-@query("f23_similarity_buckets", "SELECT round(cosine::DECIMAL(10, 6), 2)::DOUBLE AS bucket, count(*) AS n FROM pairs GROUP BY 1", "pairs")
+@query("f23_similarity_buckets", "SELECT site_id, round(cosine::DECIMAL(10, 6), 2)::DOUBLE AS bucket, count(*) AS n FROM spairs GROUP BY 1, 2", "spairs")
 def f23b(t: Tables):
-    return pr.similarity_buckets(t.pairs)
+    return pr.similarity_buckets(at_site(t.pairs, "post_a_id"), ["site_id"])
 
 
 @query("f24_similarity_brackets", """
-SELECT CASE WHEN cosine >= 0.95 THEN 'A: 0.95+ (near-duplicate)' WHEN cosine >= 0.9 THEN 'B: 0.90-0.95 (very high)' WHEN cosine >= 0.8 THEN 'C: 0.80-0.90 (high)' WHEN cosine >= 0.7 THEN 'D: 0.70-0.80 (moderate)' ELSE 'E: below 0.70' END AS bracket, count(*) AS n, round(avg(cosine), 3) AS avg_cosine FROM pairs GROUP BY 1
-""", "pairs")
+SELECT site_id, CASE WHEN cosine >= 0.95 THEN 'A: 0.95+ (near-duplicate)' WHEN cosine >= 0.9 THEN 'B: 0.90-0.95 (very high)' WHEN cosine >= 0.8 THEN 'C: 0.80-0.90 (high)' WHEN cosine >= 0.7 THEN 'D: 0.70-0.80 (moderate)' ELSE 'E: below 0.70' END AS bracket, count(*) AS n, round(avg(cosine), 3) AS avg_cosine FROM (SELECT * REPLACE (cosine + 1e-9 AS cosine) FROM spairs) GROUP BY 1, 2
+""", "spairs")
 def f24(t: Tables):
-    return pr.similarity_brackets(t.pairs)
+    # the tiny offset keeps means of three decimals off exact rounding halves
+    return pr.similarity_brackets(at_site(t.pairs, "post_a_id").withColumn("cosine", F.col("cosine") + 1e-9), ["site_id"])
 
 
 @query("f25_pair_listing", """
@@ -329,12 +377,12 @@ def f26(t: Tables):
 
 
 @query("f27_url_fluctuation", """
-WITH r AS (SELECT query, date, arg_max(post_id, (impressions, post_id)) AS url, avg(avg_position) AS position, sum(impressions) AS impressions FROM gsc GROUP BY 1, 2),
-l AS (SELECT *, lag(url) OVER (PARTITION BY query ORDER BY date) AS p FROM r WHERE date >= DATE '2024-01-31' - 30)
-SELECT query, count(*) FILTER (p IS NOT NULL AND p <> url) AS changes, count(DISTINCT url) AS urls, round(avg(position), 6) AS avg_position, sum(impressions)::BIGINT AS impressions, count(*) FILTER (p IS NOT NULL AND p <> url) >= 3 AS active FROM l GROUP BY 1
-""", "gsc")
+WITH r AS (SELECT site_id, query, date, arg_max(post_id, (impressions, post_id)) AS url, avg(avg_position) AS position, sum(impressions) AS impressions FROM sgsc GROUP BY 1, 2, 3),
+l AS (SELECT *, lag(url) OVER (PARTITION BY site_id, query ORDER BY date) AS p FROM r WHERE date >= DATE '2024-01-31' - 30)
+SELECT site_id, query, count(*) FILTER (p IS NOT NULL AND p <> url) AS changes, count(DISTINCT url) AS urls, round(avg(position), 6) AS avg_position, sum(impressions)::BIGINT AS impressions, count(*) FILTER (p IS NOT NULL AND p <> url) >= 3 AS active FROM l GROUP BY 1, 2
+""", "sgsc")
 def f27(t: Tables):
-    ranked = t.gsc.groupBy("query", "date").agg(
+    ranked = at_site(t.gsc).groupBy("site_id", "query", "date").agg(
         F.max(F.struct("impressions", "post_id")).alias("_b"), F.avg("avg_position").alias("position"), F.sum("impressions").alias("impressions")
-    ).select("query", "date", F.col("_b.post_id").alias("url"), "position", "impressions")
+    ).select("site_id", "query", "date", F.col("_b.post_id").alias("url"), "position", "impressions")
     return pr.url_fluctuation(ranked, AS_OF).withColumn("avg_position", F.round("avg_position", 6))

@@ -151,12 +151,17 @@ def test_distributed_rank_with_a_hot_group(spark):
         assert {r.n for r in rows if r.k == key} == {len(part)}
 
 
-def test_calibration_defaults_for_few_pairs(spark):
-    _, df = vectors(spark, n=4)
-    assert pr.calibrate(df).first()[1:] == (0.45, 0.55, 0.65)
-    _, big = vectors(spark, n=60)
-    r = pr.calibrate(big).first()
-    assert r.n == 500 and 0.40 <= r.flag <= r.high <= r.critical
+def test_calibration_uses_all_pairs_of_each_site(spark):
+    few, _ = vectors(spark, n=4)
+    sites = {1: few, 2: vectors(spark, n=60)[0], 3: 5 + vectors(spark, n=45, seed=8)[0]}
+    rows = [(s, 100 * s + i, v.tolist()) for s, m in sites.items() for i, v in enumerate(m)] + [(4, 900, few[0].tolist())]
+    got = {r.site_id: r for r in pr.calibrate(spark.createDataFrame(rows, "site_id bigint, post_id bigint, vec array<double>")).collect()}
+    assert got[1][1:] == (6, 0.45, 0.55, 0.65) and got[4][1:] == (0, 0.45, 0.55, 0.65)
+    for site in (2, 3):
+        m = sites[site]
+        pairs = np.round(cosines(m)[np.triu_indices(len(m), 1)], 6)
+        want = [max(np.percentile(pairs, q), f) for q, f in ((85, 0.4), (92, 0.5), (97, 0.6))]
+        assert got[site].n == len(pairs) and list(got[site][2:]) == pytest.approx(want, abs=1e-9)
 
 
 def test_velocity_and_merge(spark):
