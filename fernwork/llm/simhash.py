@@ -140,9 +140,9 @@ def near(x: np.ndarray, radius: int, segments: int) -> np.ndarray:
     return ok
 
 
-def forest(fp: np.ndarray, radius: int, segments: int) -> list[tuple[int, int]]:
-    """Links that join all members of a bucket that links connect: each new member is compared with those not yet joined to it."""
-    label = np.arange(len(fp))
+def forest(fp: np.ndarray, radius: int, segments: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all members of a bucket that links connect: each new member is compared with those not yet joined to it, nor of its label."""
+    label = label.copy()
     out = []
     for i in range(len(fp)):
         others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
@@ -157,7 +157,10 @@ def forest(fp: np.ndarray, radius: int, segments: int) -> list[tuple[int, int]]:
 
 
 def linker(lanes: int, radius: int, segments: int, limit: int | None) -> Callable:
-    """Task over rows sorted by key: (a, b, key null) are links, (a = id, b null, key) the rows of a bucket over the limit."""
+    """Task over rows sorted by key: (a, b, key null) are links of different ids, (a = id, b null, key) the rows of a bucket over the limit.
+
+    Rows of one id are joined from the start, so the id may be the label of a group.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("fp", pa.binary())])
 
     def out(a, b, key, fp):
@@ -170,6 +173,7 @@ def linker(lanes: int, radius: int, segments: int, limit: int | None) -> Callabl
         sizes = np.diff(np.concatenate((starts, [len(key)])))
         a, b = [], []
         two = starts[sizes == 2]  # most buckets that have anyone to compare
+        two = two[ids[two] != ids[two + 1]]
         hit = two[near(fp[two] ^ fp[two + 1], radius, segments)]
         a += ids[hit].tolist()
         b += ids[hit + 1].tolist()
@@ -178,11 +182,11 @@ def linker(lanes: int, radius: int, segments: int, limit: int | None) -> Callabl
         rest = sizes[number] > 2
         held = np.zeros(len(starts), bool)
         for d in range(1, min(SMALL, int(sizes.max(initial=0)))):
-            first = np.flatnonzero(rest[:-d] & (number[d:] == number[:-d]) & (sizes[number[:-d]] <= SMALL))
+            first = np.flatnonzero(rest[:-d] & (number[d:] == number[:-d]) & (sizes[number[:-d]] <= SMALL) & (ids[d:] != ids[:-d]))
             held[number[first[near(fp[first] ^ fp[first + d], radius, segments)]]] = True
         full = np.flatnonzero((sizes > SMALL) | held)
         for s, n in zip(starts[full].tolist(), sizes[full].tolist()):
-            for i, j in forest(fp[s : s + n], radius, segments):
+            for i, j in forest(fp[s : s + n], radius, segments, ids[s : s + n]):
                 a.append(int(ids[s + i]))
                 b.append(int(ids[s + j]))
         return out(a, b, [None] * len(a), [None] * len(a))
@@ -242,8 +246,8 @@ def link(reps: DataFrame, keys: Callable, lanes: int, radius: int, segments: int
     edges = first.filter("b IS NOT NULL").select("a", "b")
     # the rows of large buckets, each in every pair of parts that its part belongs to
     large = first.filter("b IS NULL").select("key", F.col("a").alias("id"), "fp")
-    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("parts"), (F.min("id") < F.max("id")).alias("mixed")).filter("mixed").drop("mixed")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1))
     paired = large.join(sizes, "key").withColumn("part", part).withColumn("other", other)
     block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
@@ -262,6 +266,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
 #: Five-word shingles: bits of sets at a similarity of 0.8 differ in 15 % of 256 places on average, 39; 60 and 96 keys leave out under 1 % of such pairs.
 WIDE = {"shingle": 5, "bits": 256, "radius": 60, "segments": 16, "keys": band_keys(96, 16)}
+#: Ends of the rounds in which the keys come.
+ROUNDS = (8, 32, 96)
+#: Hashes of a block that one task holds, 16 MB; and the copies of a node from which on blocks are dealt by bucket keys.
+HASHES, COPIES = 2 << 20, 96
 #: Jaccard similarity of the shingle sets from which documents are near copies.
 LEAST = 0.8
 
@@ -280,106 +288,161 @@ def shingle_sets(rows: DataFrame, shingle: int, bits: int, seed: int = 42) -> Da
     return rows.mapInArrow(run, "id bigint, mark struct<hash:bigint,length:int>, node bigint, size bigint, fp binary")
 
 
-def jaccard(x: bytes | None, y: bytes | None, shingle: int, seed: int = 42) -> float:
-    """Similarity of the shingle sets of two texts; 1 if neither has words."""
-    a, b = (np.unique(shingle_hashes(t, shingle, seed)) for t in (x, y))
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+def hash_sets(texts: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """(node, hashes) of (node, text): the sorted hashes of the shingles, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            made = [np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in binary_texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "hashes"])
 
+    return texts.mapInArrow(run, "node bigint, hashes binary")
 
-def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (node, text) have a similarity of ``least`` or more."""
-    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+
+def shared(one: np.ndarray, other: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of hashes have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return both >= least * (len(one) + len(other) - both)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets (node, hashes) have a similarity of ``least`` or more."""
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "y"):
-            right = [jaccard(x, y, shingle) >= least for x, y in zip(binary_texts(batch, "x"), binary_texts(batch, "y"))]
+            sides = (batch.column(c).to_pylist() for c in ("x", "y"))
+            right = [shared(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) for x, y in zip(*sides)]
             yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def cross_pairs(nodes: DataFrame, keys: Callable, lanes: int, radius: int, segments: int, least: float) -> DataFrame:
-    """All candidates (a, b) with different labels among (node, label, size, fp): a shared key, sizes that allow the similarity, bits within the radius."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("size", pa.int64()), ("fp", pa.binary())])
+def verified(node: np.ndarray, label: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, segments: int, least: float) -> list[tuple[int, int]]:
+    """Links that join all members of a block that pairs of a similarity of ``least`` connect; none between members of one label.
+
+    Each member is held against the later ones of other labels: sizes, chain
+    test and bits within the radius, then the sets themselves.
+    """
+    size = np.array(list(map(len, sets)), np.int64)
+    ends = np.cumsum(size)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)  # hashes as small numbers
+    marked = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+    out = []
+    for i in range(len(node) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i])]
+        j = j[near(fp[j] ^ fp[i], radius, segments)]
+        if not len(j):
+            continue
+        mine = at[ends[i] - size[i] : ends[i]]
+        marked[mine] = 1
+        theirs = np.concatenate([at[ends[k] - size[k] : ends[k]] for k in j])
+        both = np.add.reduceat(marked[theirs], np.concatenate(([0], np.cumsum(size[j])[:-1])))
+        marked[mine] = 0
+        hit = j[both >= least * (size[i] + size[j] - both)]
+        if len(hit):
+            _, first = np.unique(label[hit], return_index=True)
+            out += [(int(node[i]), int(node[k])) for k in hit[first]]
+            label[np.isin(label, label[hit])] = label[i]
+    return out
+
+
+def block_links(members: DataFrame, sets: DataFrame, radius: int, segments: int, least: float) -> DataFrame:
+    """A forest of links (a, b) of similar sets out of each block. ``members`` has block, node, label, size and fp.
+
+    A block is one task's work up to ``BUCKET`` nodes and ``HASHES`` hashes; a
+    larger one is dealt out as pairs of parts. No pair leaves its task
+    unchecked, and a block gives fewer links than it has nodes.
+    """
+    stats = members.groupBy("block").agg(
+        F.greatest(F.lit(1), F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("size") / HASHES))).cast("bigint").alias("parts"), (F.min("label") < F.max("label")).alias("mixed")
+    )
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = members.join(stats.filter("mixed"), "block").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = dealt.select(F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("block"), "node", "label", "fp").join(sets, "node")
+    names = ["block", "node", "label", "fp", "hashes"]
+
+    def links(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        raw = rows.column("fp").to_pylist()
+        fp = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)
+        found = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+        out = verified(rows.column("node").to_numpy(), rows.column("label").to_numpy().copy(), fp, found, radius, segments, least)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for start, end in zip(edges[:-1], edges[1:]):
+                if held and keys[start] != block:
+                    yield links(held)
+                    held = []
+                block = keys[start]
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield links(held)
+
+    return dealt.select(*names).repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
+
+
+def keyed(members: DataFrame, keys: Callable) -> DataFrame:
+    """``members`` once for each of their bucket keys, the block being that of block and key."""
+    names = ["block", "node", "label", "size", "fp"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                made = keys(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, lanes)).view(np.int64)
+                raw = batch.column("fp").to_pylist()
+                made = keys(np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1)).view(np.int64)
                 for t in range(made.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(made[:, t]), *(batch.column(c) for c in schema.names[1:])], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(made[:, t]), *(batch.column(c) for c in names)], names=["key", *names])
 
-    def pairs(held: pa.Table) -> pa.RecordBatch:
-        key, node, label, size = (held.column(c).to_numpy() for c in schema.names[:4])
-        fp = np.frombuffer(b"".join(held.column("fp").to_pylist()), np.uint64).reshape(len(key), lanes)
-        a, b = [], []
-        at = np.arange(len(key) - 1)
-        for d in range(1, len(key)):
-            at = at[at < len(key) - d]
-            at = at[key[at] == key[at + d]]
-            if not len(at):
-                break
-            low, high = np.minimum(size[at], size[at + d]), np.maximum(size[at], size[at + d])
-            some = at[(label[at] != label[at + d]) & (low >= least * high)]
-            hit = some[near(fp[some] ^ fp[some + d], radius, segments)]
-            a.append(node[hit])
-            b.append(node[hit + d])
-        none = [np.zeros(0, np.int64)]
-        a, b = np.concatenate(a or none), np.concatenate(b or none)
-        once = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["a", "b"])
+    rows = members.select(*names).mapInArrow(spread, "key bigint, block bigint, node bigint, label bigint, size bigint, fp binary")
+    return rows.select(F.xxhash64("block", "key").alias("block"), *names[1:])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # whole blocks; none is larger than two parts
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = held.column("key").to_numpy()
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if last:
-                yield pairs(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield pairs(held)
-
-    rows = saved(nodes.select(*schema.names[1:]).mapInArrow(spread, "key bigint, node bigint, label bigint, size bigint, fp binary"))
-    # buckets of one label hold nothing to compare; the others are dealt out in pairs of parts
-    parts = rows.groupBy("key").agg(F.ceil(F.count("*") / BUCKET).cast("bigint").alias("parts"), (F.min("label") < F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    paired = rows.join(parts, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    block = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    found = paired.select(block.alias("key"), *schema.names[1:]).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
-    return found.distinct()
+
+def loose_groups(nodes: DataFrame, keys: Callable, lanes: int, radius: int, segments: int) -> DataFrame:
+    """(node, block): components of candidates among (node, fp). The keys come in rounds, and what is joined already gives no more links."""
+    labels = nodes.select("node", "fp", F.col("node").alias("id"))
+    for start, stop in zip((0, *ROUNDS[:-1]), ROUNDS):
+        found = components(link(labels, lambda fp, a=start, b=stop: keys(fp)[:, a:b], lanes, radius, segments))
+        joined = labels.join(found.withColumnRenamed("node", "id"), "id", "left")
+        labels = saved(joined.select("node", "fp", F.coalesce("component", "id").alias("id")))
+    return labels.select("node", F.col("id").alias("block"))
 
 
 def near_copy_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, radius: int, segments: int, keys: Callable, least: float) -> DataFrame:
     """(id, mark, group) for each row of ``docs``; groups are the components of pairs of shingle sets with a similarity of ``least`` or more.
 
-    SimHash only gathers candidates, every link is checked on the texts. First
-    each loose component of candidates is held against one member of it. Where
-    that leaves a component in several pieces, all candidates between
-    different pieces are checked, so no link among the candidates is lost.
-    A set of shingles is a node under its 64-bit hash.
+    SimHash only gathers candidates, every link is checked on the sets. A loose
+    component of candidates is a block, in which all pairs meet. One of over
+    ``BUCKET`` nodes is first held against one member of it; if that leaves
+    several pieces, it is dealt out as pairs of parts, or by bucket keys where
+    there would be more parts than keys. A set of shingles is a node under its
+    64-bit hash.
     """
     doc, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`")
     rows = docs.select(doc.alias("id"), mark_of(text).alias("mark"), text.alias("text"))
     prints = saved(shingle_sets(rows, shingle, bits))
     nodes = saved(prints.groupBy("node").agg(F.min(F.struct("id", "mark")).alias("of"), F.first("size").alias("size"), F.first("fp").alias("fp")))
-    lanes = bits // 64
-    loose = saved(components(link(nodes.select(F.col("node").alias("id"), "fp"), keys, lanes, radius, segments)).withColumnRenamed("component", "loose"))
-    some = saved(nodes.join(loose, "node"))
+    loose = loose_groups(nodes, keys, bits // 64, radius, segments)
+    several = loose.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").select("block")
+    some = saved(nodes.join(loose.join(saved(several), "block"), "node"))
     texts = rows.join(some.select("node", "of.id", "of.mark"), ["id", "mark"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = saved(texts)
-    hubs = some.groupBy("loose").agg(F.min_by("node", "of").alias("a"))
-    sure = saved(alike(some.join(hubs, "loose").filter("a <> node").select("a", F.col("node").alias("b")), texts, shingle, least))
-    found = saved(components(sure))
-    labelled = some.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("loose").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("loose")
-    rest = saved(labelled.join(mixed, "loose").select("node", "label", "size", "fp"))
-    if rest.limit(1).count():
-        sure = sure.unionByName(alike(cross_pairs(rest, keys, lanes, radius, segments, least), texts, shingle, least))
-        found = saved(components(sure))
+    sets = saved(hash_sets(texts, shingle))
+    large = saved(some.groupBy("block").agg(F.count("*").alias("n"), F.min_by("node", "of").alias("a")).filter(F.col("n") > BUCKET))
+    sure = saved(alike(some.join(large, "block").filter("a <> node").select("a", F.col("node").alias("b")), sets, least))
+    found = components(sure)
+    members = some.join(found, "node", "left").join(large.select("block", "n"), "block", "left")
+    members = saved(members.select("block", "node", F.coalesce("component", "node").alias("label"), "size", "fp", (F.coalesce("n", F.lit(0)) > BUCKET * COPIES).alias("huge")))
+    blocks = members.filter("NOT huge").drop("huge").unionByName(keyed(members.filter("huge"), keys))
+    found = saved(components(sure.unionByName(block_links(blocks, sets, radius, segments, least))))
     return prints.join(found, "node", "left").select("id", "mark", F.coalesce("component", "node").alias("group"))
 
 
@@ -397,7 +460,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of = near_copy_groups(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, least=least, **(WIDE | options))
     name, key, alone, same = fresh(docs, "_gone"), fresh(docs, "_mark"), fresh(docs, "_alone"), fresh(docs, "_same")
     of = saved(of.distinct())
-    gone = of.join(of.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("first")), "group").filter(F.struct("id", "mark") != F.col("first"))
+    firsts = saved(of.groupBy("group").agg(F.min(F.struct("id", "mark")).alias("first")))  # a table of its own, so that a large group splits in the join
+    gone = of.join(firsts, "group").filter(F.struct("id", "mark") != F.col("first"))
     gone = gone.select(F.col("id").alias(name), F.col("mark").alias(key))
     marked = docs.withColumn(same, mark_of(F.col(f"`{text_col}`")))
     kept = marked.join(gone.hint("merge"), (F.col(f"`{id_col}`").cast("bigint") == F.col(name)) & (F.col(same) == F.col(key)), "left_anti")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,11 +164,35 @@ def test_wide_groups_join_what_the_first_member_does_not(spark, monkeypatch):
     def step(n):  # each step changes 25 shingles; neighbours are near copies, the ends are not
         return " ".join(f"v{i}" if i % 5 == 2 and i < 25 * n else w for i, w in enumerate(words))
     docs = [(i, step(i)) for i in range(6)] + [(9, "something else that has nothing to do with it")]
-    for bucket in (2048, 2):
-        monkeypatch.setattr(simhash, "BUCKET", bucket)
+    for bucket, copies, hashes in ((2048, 96, 1 << 20), (2, 96, 1 << 20), (2, 1, 1 << 20), (2048, 96, 500)):
+        for name, value in (("BUCKET", bucket), ("COPIES", copies), ("HASHES", hashes)):
+            monkeypatch.setattr(simhash, name, value)
         assert {x.doc_id for x in simhash.one_of_each_group(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {0, 9}
 
 
+def test_blocks_give_forests_equal_to_all_pairs():
+    """Many near copies of one text at similarities around the threshold: fewer links than nodes, the same groups as all pairs give."""
+    r = np.random.default_rng(3)
+    base = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = []
+    for _ in range(400):
+        keep = r.random(len(base)) < r.uniform(0.80, 0.97)
+        extra = r.integers(0, 1 << 63, int((~keep).sum())).astype(np.uint64)
+        sets.append(np.unique(np.concatenate((base[keep], extra))))
+    fp = np.stack([simhash.majority(simhash.widen(s, 4)) for s in sets])
+    links = simhash.verified(np.arange(400), np.arange(400), fp, sets, 256, 16, 0.8)
+    of, want = np.arange(400), np.arange(400)
+    for a in range(400):
+        for b in range(a):
+            if simhash.shared(sets[a], sets[b], 0.8) and want[a] != want[b]:
+                want[want == want[a]] = want[b]
+    for a, b in links:
+        assert simhash.shared(sets[a], sets[b], 0.8) and of[a] != of[b]
+        of[of == of[a]] = of[b]
+    assert {tuple(np.flatnonzero(of == k)) for k in set(of)} == {tuple(np.flatnonzero(want == k)) for k in set(want)}
+    assert 1 < len(set(want)) < 400
+
+
 def test_rows_that_share_an_id_are_decided_one_by_one(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
     out = simhash.one_of_each_group(spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")).collect()
