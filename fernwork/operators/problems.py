@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scale import top_per_group
+from ..plans.scale import durable, top_per_group
+from .graph import MIN_RESOLUTION, resolution
 from .pairs import exact_duplicates, severity_rank
 
 STRUCTURAL = ["landing", "index"]
@@ -99,9 +100,11 @@ def thin_content(posts: DataFrame, links: DataFrame) -> DataFrame:
         limit = (F if limit is None else limit).when(tx.any_of(both, needles), n)
     limit = limit.otherwise(500)
     p = posts.filter((F.col("word_count") > 0) & ~F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL)).withColumn("limit", limit)
-    p = p.filter(F.col("word_count") < F.col("limit")).join(inbound_counts(links), "post_id", "left")
     parts = F.size(F.filter("headings", lambda h: h["level"].isin("h2", "h3")))
-    rescued = (parts >= 2) & F.contains(F.coalesce("body_html", F.lit("")), F.lit("<img")) & (F.coalesce("inbound", F.lit(0)) >= 5)
+    shaped = (parts >= 2) & F.contains(F.coalesce("body_html", F.lit("")), F.lit("<img"))
+    # markup is a flag before the join
+    p = p.filter(F.col("word_count") < F.col("limit")).select("post_id", "word_count", "limit", shaped.alias("_shaped")).join(inbound_counts(links), "post_id", "left")
+    rescued = F.coalesce("_shaped", F.lit(False)) & (F.coalesce("inbound", F.lit(0)) >= 5)
     return _row(p.filter(~rescued), "thin_content", F.when(F.col("word_count") < F.col("limit") * 0.5, "high").otherwise("medium"), F.col("word_count"))
 
 
@@ -118,10 +121,17 @@ def high_bounce(ga4: DataFrame, as_of: str, days: int = 90, bounce: float = 0.8,
     return _row(v.filter((F.col("b") > bounce) & (F.col("s") < seconds)), "thin_high_bounce", "high", F.col("b"))
 
 
-def seo_issues(posts: DataFrame, links: DataFrame, check_links: bool = True) -> DataFrame:
-    """Meta description, title length, headings, links and images, one pass per post."""
-    touched = links.select(F.explode(F.array("source_post_id", "target_post_id")).alias("post_id")).filter("post_id IS NOT NULL").distinct()
-    p = posts.filter(~F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL)).join(touched.withColumn("_linked", F.lit(True)), "post_id", "left")
+def unreliable_sites(posts: DataFrame, links: DataFrame, least: float = MIN_RESOLUTION) -> DataFrame:
+    """Sites (site_id) whose share of links with a known target is below ``least``: their link checks would report the crawl, not the site."""
+    placed = links.join(posts.select(F.col("post_id").alias("source_post_id"), "site_id"), "source_post_id")
+    return resolution(placed, ["site_id"]).filter(F.col("resolution_rate") < least).select("site_id")
+
+
+def seo_issues(posts: DataFrame, links: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """Meta description, title length, headings, links and images; no link check on the sites of ``gated`` (site_id).
+
+    Texts and markup become flags at the scan; the joins carry none of them.
+    """
     n = F.length(tx.strip(F.coalesce("title", F.lit(""))))
     low = F.lower(F.coalesce("body_html", F.lit("")))
     xml = low.startswith("<doc") | F.contains(F.left(low, F.lit(100)), F.lit("<doc "))
@@ -130,22 +140,26 @@ def seo_issues(posts: DataFrame, links: DataFrame, check_links: bool = True) ->
         sev = severity if isinstance(severity, Column) else F.lit(severity)
         return F.when(cond, F.struct(F.lit(kind).alias("problem_type"), sev.alias("severity")))
 
-    rules = [
+    rules = F.array(
         issue(F.length(tx.strip(F.coalesce("meta_description", F.lit("")))) < 10, "seo_missing_meta", "medium"),
         issue((n < 20) | (n > 70), "seo_title_length", F.when(n < 20, "medium").otherwise("low")),
         issue(~F.coalesce(F.exists("headings", lambda h: h["level"].isin("h2", "h3", "h4")), F.lit(False)), "seo_no_headings", "medium"),
         issue(~xml & ~tx.any_of(low, IMAGE_SIGNS) & (F.length("body_html") > 200), "seo_no_images", "low"),
-    ]
-    if check_links:
-        rules.append(issue(F.col("_linked").isNull(), "seo_no_internal_links", "high"))
-    rows = p.select("post_id", F.inline(F.filter(F.array(*rules), lambda r: r.isNotNull())))
-    return rows.withColumn("value", F.lit(None).cast("double"))
+    )
+    p = posts.filter(~F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL))
+    found = p.select("post_id", F.inline(F.filter(rules, lambda r: r.isNotNull())))
+    touched = links.select(F.explode(F.array("source_post_id", "target_post_id")).alias("post_id")).filter("post_id IS NOT NULL").distinct()
+    checked = p.select("post_id", "site_id").join(gated, "site_id", "left_anti") if gated is not None else p.select("post_id")
+    lone = checked.join(touched, "post_id", "left_anti").select("post_id", F.lit("seo_no_internal_links").alias("problem_type"), F.lit("high").alias("severity"))
+    return found.unionByName(lone).withColumn("value", F.lit(None).cast("double"))
 
 
-def orphans(posts: DataFrame, links: DataFrame) -> DataFrame:
+def orphans(posts: DataFrame, links: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """Posts that no link leads to, but for those on the sites of ``gated`` (site_id)."""
     p = posts.filter(
         (F.col("word_count").isNull() | (F.col("word_count") >= 200)) & ~F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL)
     )
+    p = p.select("post_id", "site_id").join(gated, "site_id", "left_anti") if gated is not None else p.select("post_id")
     targets = links.filter(F.col("target_post_id").isNotNull()).select(F.col("target_post_id").alias("post_id")).distinct()
     return _row(p.join(targets, "post_id", "left_anti"), "orphan", "high", None)
 
@@ -226,6 +240,25 @@ def merge_problems(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def detectors(
+    posts: DataFrame, gsc: DataFrame, ga4: DataFrame, links: DataFrame, clusters: DataFrame, scored: DataFrame, industries: DataFrame, as_of: str,
+    days: int = 90, velocity_days: int = 90, bounce: float = 0.8, seconds: float = 30, least_resolved: float = MIN_RESOLUTION,
+) -> dict[str, DataFrame]:
+    """Every detector over the posts of all sites, in the order in which a later one overrides an earlier one.
+
+    Link checks leave out the sites whose links mostly have no known target.
+    """
+    decline = click_decline(gsc, as_of, days)
+    gated = durable(unreliable_sites(posts, links, least_resolved))
+    return {
+        "decline": decline, "stale": stale_ranking(posts, gsc, as_of), "drop": position_drop(gsc, as_of, days),
+        "proxy": proxy_decay(posts, decline, as_of), "thin": thin_content(posts, links), "cluster": thin_in_cluster(posts, clusters),
+        "bounce": high_bounce(ga4.join(posts.select("post_id"), "post_id", "left_semi"), as_of, bounce=bounce, seconds=seconds),
+        "seo": seo_issues(posts, links, gated), "orphan": orphans(posts, links, gated), "reading": hard_to_read(scored, industries),
+        "velocity": velocity_decline(posts, as_of, velocity_days), "duplicate": duplicate_problems(posts),
+    }
+
+
 def detect_all(parts: dict[str, DataFrame], old: DataFrame, as_of: str) -> DataFrame:
     """Union of all detectors, merged, with related problems grouped."""
     rows = [df.select("post_id", "problem_type", "severity", "value").withColumn("rule", F.lit(i)) for i, df in enumerate(parts.values())]
@@ -235,14 +268,18 @@ def detect_all(parts: dict[str, DataFrame], old: DataFrame, as_of: str) -> DataF
 # fixed values: family each problem type is counted under
 FAMILIES = [
     ("decay", "decay_"), ("thin", "thin_"), ("seo", "seo_"), ("orphan", "orphan"), ("readability", "readability"), ("velocity", "velocity"),
+    ("duplicate", "duplicate_content"), ("ai_readiness", "geo_"), ("ai_readiness", "missing_schema"), ("ai_readiness", "low_ai_citability"),
+    ("ai_readiness", "weak_eeat"), ("ai_readiness", "poor_ai_structure"),
 ]
 
 
-def family_counts(problems: DataFrame) -> DataFrame:
-    fam = F.lit("ai_readiness")
+def family_counts(problems: DataFrame, posts: DataFrame) -> DataFrame:
+    """Problems of each site by family; a type of no family counts as other."""
+    fam = F.lit("other")
     for name, prefix in reversed(FAMILIES):
         fam = F.when(F.col("problem_type").startswith(prefix), name).otherwise(fam)
-    return problems.groupBy(fam.alias("family")).agg(F.count("*").alias("n"))
+    placed = problems.select("post_id", fam.alias("family")).join(posts.select("post_id", "site_id"), "post_id")
+    return placed.groupBy("site_id", "family").agg(F.count("*").alias("n"))
 
 
 def list_problems(problems: DataFrame, problem_type: str | None = None, severity: str | None = None, by: str = "severity", limit: int | None = None, offset: int = 0) -> DataFrame:

@@ -9,30 +9,30 @@ from ..plans.scale import distributed_rank, durable, top_per_group
 from .pairs import severity_rank
 from .vectors import nearest_to, top_matches
 
-# fixed values: recommendation type, title, hours and priority of each problem type;
+# fixed values: recommendation type, hours and priority of each problem type (the titles are our own);
 # a comparison means high when it holds, else medium
 TEMPLATES = {
-    "thin_content": ("expand", "Expand thin content", 2.0, "words<300"),
-    "thin_below_cluster_avg": ("expand", "Expand to match cluster depth", 1.5, "words<=500"),
-    "seo_title_length": ("optimize", "Fix title length", 0.25, "low"),
-    "seo_missing_meta": ("optimize", "Add meta description", 0.25, "medium"),
-    "seo_no_images": ("optimize", "Add visual content", 0.5, "low"),
-    "readability_too_complex": ("optimize", "Improve readability", 1.0, "medium"),
-    "orphan": ("interlink", "Fix orphan page", 0.5, "high"),
-    "decay_severe": ("update", "Urgent: update decaying content", 2.0, "high"),
-    "decay_moderate": ("update", "Refresh stale content", 1.0, "medium"),
-    "decay_mild": ("refresh", "Consider refreshing older content", 0.5, "low"),
-    "seo_no_headings": ("optimize", "Add heading structure", 0.5, "medium"),
-    "low_ai_citability": ("improve_ai_citability", "Improve AI citability", 2.0, "value<20"),
-    "weak_eeat": ("strengthen_eeat", "Strengthen E-E-A-T signals", 1.0, "value<20"),
-    "missing_schema": ("add_schema", "Add JSON-LD schema markup", 0.5, "high"),
-    "poor_ai_structure": ("improve_ai_structure", "Restructure for AI extraction", 1.5, "medium"),
-    "geo_no_faq_section": ("add_faq_section", "Add FAQ section for AI citation", 1.0, "medium"),
-    "geo_no_question_headers": ("reformat_headers_geo", "Reformat headers as questions for AI", 0.5, "medium"),
-    "geo_low_data_density": ("increase_data_density", "Add data points for AI citation", 1.5, "medium"),
-    "geo_no_answer_first": ("add_answer_first", "Add TL;DR for AI extraction", 0.5, "medium"),
-    "geo_missing_faq_schema": ("add_faq_schema", "Add FAQPage schema markup", 0.5, "high"),
-    "geo_no_updated_date": ("add_freshness_signal", "Add visible update date", 0.25, "low"),
+    "thin_content": ("expand", "Write more on this page", 2.0, "words<300"),
+    "thin_below_cluster_avg": ("expand", "Go as deep as the rest of the topic", 1.5, "words<=500"),
+    "seo_title_length": ("optimize", "Bring the title to a usual length", 0.25, "low"),
+    "seo_missing_meta": ("optimize", "Describe the page for search results", 0.25, "medium"),
+    "seo_no_images": ("optimize", "Illustrate the page", 0.5, "low"),
+    "readability_too_complex": ("optimize", "Use simpler sentences", 1.0, "medium"),
+    "orphan": ("interlink", "Link here from other pages", 0.5, "high"),
+    "decay_severe": ("update", "Losing visits fast: revise now", 2.0, "high"),
+    "decay_moderate": ("update", "Losing visits: bring up to date", 1.0, "medium"),
+    "decay_mild": ("refresh", "Ageing page: check for dated parts", 0.5, "low"),
+    "seo_no_headings": ("optimize", "Divide the text by headings", 0.5, "medium"),
+    "low_ai_citability": ("improve_ai_citability", "State facts that can be quoted", 2.0, "value<20"),
+    "weak_eeat": ("strengthen_eeat", "Show who wrote this and why to trust it", 1.0, "value<20"),
+    "missing_schema": ("add_schema", "Describe the page in structured data", 0.5, "high"),
+    "poor_ai_structure": ("improve_ai_structure", "Order the text into short, closed parts", 1.5, "medium"),
+    "geo_no_faq_section": ("add_faq_section", "Answer common questions at the end", 1.0, "medium"),
+    "geo_no_question_headers": ("reformat_headers_geo", "Turn headings into the questions asked", 0.5, "medium"),
+    "geo_low_data_density": ("increase_data_density", "Back statements with numbers", 1.5, "medium"),
+    "geo_no_answer_first": ("add_answer_first", "Open with a summary", 0.5, "medium"),
+    "geo_missing_faq_schema": ("add_faq_schema", "Mark up questions and answers", 0.5, "high"),
+    "geo_no_updated_date": ("add_freshness_signal", "Show when the page last changed", 0.25, "low"),
 }
 # fixed values: how sure each problem type is
 HIGH_CONFIDENCE = ["thin_content", "seo_missing_meta", "orphan", "missing_schema", "seo_no_images", "seo_title_length", "seo_no_headings"]

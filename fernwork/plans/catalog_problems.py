@@ -154,10 +154,16 @@ def h12(t: Tables):
     return pb.velocity_decline(t.posts, AS_OF, 15)
 
 
+# sites below this share of resolved links are left out of the link checks; the data given straddle it
+RESOLVED = 0.48
+cte("gated", f"SELECT site_id FROM (SELECT site_id, avg((target_post_id IS NOT NULL)::INTEGER) AS r FROM links JOIN hposts ON post_id = source_post_id GROUP BY 1) WHERE r < {RESOLVED}", "links hposts")
+cte("h7", f"SELECT post_id, 'thin_high_bounce' AS problem_type, 'high' AS severity, avg(bounce_rate) AS value FROM ga4 WHERE date >= {A} - 90 AND post_id IN (SELECT post_id FROM hposts) GROUP BY 1 HAVING avg(bounce_rate) > 0.1 AND avg(avg_time) < 50", "ga4 hposts")
+cte("h16", "SELECT post_id, 'duplicate_content' AS problem_type, 'critical' AS severity, f::DOUBLE AS value FROM (SELECT post_id, min(post_id) OVER (PARTITION BY site_id, content_hash) AS f FROM hposts) WHERE post_id <> f", "hposts")
 cte("hall", """
-SELECT *, row_number() OVER (PARTITION BY post_id, problem_type ORDER BY rule DESC) AS rn FROM (SELECT *, 0 AS rule FROM h1 UNION ALL SELECT *, 1 FROM h2 UNION ALL SELECT *, 2 FROM h3 UNION ALL SELECT *, 3 FROM h4 UNION ALL SELECT *, 4 FROM h5 UNION ALL SELECT *, 5 FROM h6
-  UNION ALL SELECT *, 6 FROM h8 UNION ALL SELECT *, 7 FROM h9 UNION ALL SELECT *, 8 FROM h10 UNION ALL SELECT *, 9 FROM h12)
-""", "h1 h2 h3 h4 h5 h6 h8 h9 h10 h12")
+SELECT *, row_number() OVER (PARTITION BY post_id, problem_type ORDER BY rule DESC) AS rn FROM (SELECT *, 0 AS rule FROM h1 UNION ALL SELECT *, 1 FROM h2 UNION ALL SELECT *, 2 FROM h3 UNION ALL SELECT *, 3 FROM h4 UNION ALL SELECT *, 4 FROM h5 UNION ALL SELECT *, 5 FROM h6 UNION ALL SELECT *, 6 FROM h7
+  UNION ALL SELECT *, 7 FROM h8 WHERE problem_type <> 'seo_no_internal_links' OR post_id IN (SELECT post_id FROM hposts WHERE site_id NOT IN (FROM gated)) UNION ALL SELECT *, 8 FROM h9 WHERE post_id IN (SELECT post_id FROM hposts WHERE site_id NOT IN (FROM gated))
+  UNION ALL SELECT *, 9 FROM h10 UNION ALL SELECT *, 10 FROM h12 UNION ALL SELECT *, 11 FROM h16)
+""", "h1 h2 h3 h4 h5 h6 h7 h8 h9 h10 h12 h16 hposts gated")
 cte("hmerged", f"""
 SELECT h.post_id, h.problem_type, h.severity, h.value, CASE h.problem_type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in pb.WEIGHTS.items())} ELSE 50 END::INTEGER AS severity_score, {A} AS detected_at, coalesce(o.detected_at, {A}) AS first_detected_at
 FROM hall h LEFT JOIN (SELECT post_id, problem_type, min(detected_at) AS detected_at FROM problems GROUP BY 1, 2) o USING (post_id, problem_type) WHERE rn = 1
@@ -166,14 +172,14 @@ cte("hgroup", "SELECT m.*, CASE WHEN problem_type = 'thin_below_cluster_avg' AND
 
 
 def parts(t: Tables):
-    p = hposts(t)
-    decline = pb.click_decline(t.gsc, AS_OF, 10)
-    return {
-        "decline": decline, "stale": pb.stale_ranking(t.posts, t.gsc, AS_OF), "drop": pb.position_drop(t.gsc, AS_OF, 10),
-        "proxy": pb.proxy_decay(p, decline, AS_OF), "thin": pb.thin_content(p, t.links), "cluster": pb.thin_in_cluster(p, t.post_clusters),
-        "seo": pb.seo_issues(p, t.links), "orphan": pb.orphans(p, t.links),
-        "reading": pb.hard_to_read(sc.readability(t.posts), industries(t)), "velocity": pb.velocity_decline(t.posts, AS_OF, 15),
-    }
+    return pb.detectors(
+        hposts(t), t.gsc, t.ga4, t.links, t.post_clusters, sc.readability(t.posts), industries(t), AS_OF, days=10, velocity_days=15, bounce=0.1, seconds=50, least_resolved=RESOLVED,
+    )
+
+
+@query("h9_gated_sites", "SELECT site_id FROM gated", "gated")
+def h9b(t: Tables):
+    return pb.unreliable_sites(hposts(t), t.links, RESOLVED)
 
 
 def known(t: Tables):
@@ -201,10 +207,11 @@ def h16(t: Tables):
 
 
 @query("h17_family_counts", """
-SELECT CASE WHEN problem_type LIKE 'decay%' THEN 'decay' WHEN problem_type LIKE 'thin%' THEN 'thin' WHEN problem_type LIKE 'seo%' THEN 'seo' WHEN problem_type = 'orphan' THEN 'orphan' WHEN problem_type LIKE 'readability%' THEN 'readability' WHEN problem_type LIKE 'velocity%' THEN 'velocity' ELSE 'ai_readiness' END AS family, count(*) AS n FROM hgroup GROUP BY 1
-""", "hgroup")
+SELECT site_id, CASE WHEN problem_type LIKE 'decay%' THEN 'decay' WHEN problem_type LIKE 'thin%' THEN 'thin' WHEN problem_type LIKE 'seo%' THEN 'seo' WHEN problem_type = 'orphan' THEN 'orphan' WHEN problem_type LIKE 'readability%' THEN 'readability'
+  WHEN problem_type LIKE 'velocity%' THEN 'velocity' WHEN problem_type = 'duplicate_content' THEN 'duplicate' ELSE 'other' END AS family, count(*) AS n FROM hgroup JOIN hposts USING (post_id) GROUP BY 1, 2
+""", "hgroup hposts")
 def h17(t: Tables):
-    return pb.family_counts(pb.detect_all(parts(t), known(t), AS_OF))
+    return pb.family_counts(pb.detect_all(parts(t), known(t), AS_OF), hposts(t))
 
 
 @query("h18_problem_listing", """

@@ -2,6 +2,7 @@
 
 from datetime import date
 
+from fernwork.operators import problems as pb
 from fernwork.operators import recommend as rc
 from fernwork.operators import tracking as tr
 
@@ -36,3 +37,24 @@ def test_merges_settle_in_order_of_similarity(spark):
     assert got == {(2, 1), (4, 3)}
     busy = spark.createDataFrame([(1, "merge")], "post_id long, rec_type string")
     assert {(r.post_id, r.primary_id) for r in rc.high_similarity_merges(pairs, posts, busy).collect()} == {(3, 2), (5, 4)}
+
+
+def test_link_checks_leave_out_sites_of_unresolved_links(spark):
+    posts = [(s, 10 * s + i, 500, "blog", "A title of a usual length", "A description of the page", "<p>x</p>") for s in (1, 2, 3) for i in range(5)]
+    posts = spark.createDataFrame(posts, "site_id long, post_id long, word_count int, page_type string, title string, meta_description string, body_html string")
+    posts = posts.selectExpr("*", "array(named_struct('level', 'h2', 'text', 'x')) AS headings")
+    # a tenth of the links of site 1 has a known target, half of those of site 2; site 3 has none
+    links = [(10, f"u{i}", 11 if i == 0 else None) for i in range(10)] + [(20, f"u{i}", 21 if i % 2 else None) for i in range(10)]
+    links = spark.createDataFrame(links, "source_post_id long, target_url string, target_post_id long")
+    gated = pb.unreliable_sites(posts, links)
+    assert {r.site_id for r in gated.collect()} == {1}
+    assert {r.post_id for r in pb.orphans(posts, links, gated).collect()} == {20, 22, 23, 24, *range(30, 35)}
+    lone = pb.seo_issues(posts, links, gated).filter("problem_type = 'seo_no_internal_links'")
+    assert {r.post_id for r in lone.collect()} == {22, 23, 24, *range(30, 35)}
+
+
+def test_families_count_each_site_and_know_duplicates(spark):
+    rows = [(1, "duplicate_content"), (2, "duplicate_content"), (1, "weak_eeat"), (1, "something_new"), (2, "thin_content"), (2, "thin_high_bounce")]
+    posts = spark.createDataFrame([(1, "a"), (2, "b")], "post_id long, site_id string")
+    got = {(r.site_id, r.family): r.n for r in pb.family_counts(spark.createDataFrame(rows, "post_id long, problem_type string"), posts).collect()}
+    assert got == {("a", "duplicate"): 1, ("b", "duplicate"): 1, ("a", "ai_readiness"): 1, ("a", "other"): 1, ("b", "thin"): 2}
