@@ -40,10 +40,10 @@ def p1(t: Tables):
     return jobs.daily_totals(t.spark, target).withColumn("value", F.round("value", 4))
 
 
-# the days of each alert in order of arrival: file after file, within a file by day
+# the days of each alert in their own order, whatever the order of the files
 cte("arrivals", """
-SELECT *, row_number() OVER (PARTITION BY post_id, keyword, alert_type ORDER BY file, day) AS i FROM (
-  SELECT DISTINCT user_id % 7 AS post_id, (k % 3)::VARCHAR AS keyword, event_type AS alert_type, date AS day, 4 - least((day(date) - 1) // 7, 4) AS file FROM ev WHERE event_type IN ('error', 'signup'))
+SELECT *, row_number() OVER (PARTITION BY post_id, keyword, alert_type ORDER BY day) AS i FROM (
+  SELECT DISTINCT user_id % 7 AS post_id, (k % 3)::VARCHAR AS keyword, event_type AS alert_type, date AS day FROM ev WHERE event_type IN ('error', 'signup'))
 """, "ev")
 
 
@@ -63,7 +63,7 @@ def p2(t: Tables):
     number = FILES - 1 - F.least(F.floor((F.dayofmonth("ts") - 1) / 7), F.lit(FILES - 1))
     target = folder(t, "alerts")
     jobs.run_suppressed_alerts(t.spark, in_files(e, number, folder(t, "events")), target, target + "-ckpt", 1)
-    return t.spark.read.parquet(target).select("post_id", "keyword", "alert_type", "detected_at")
+    return jobs.alerts_of(t.spark, target)
 
 
 @query("p3_changed_page_stream", "SELECT page_id, url FROM pages WHERE page_id % 2 = 1")

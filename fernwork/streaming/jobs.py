@@ -1,28 +1,32 @@
 """Incremental jobs on Structured Streaming: daily metrics, alert suppression, changed pages.
 
-Every micro-batch writes a folder of its own (``batch=N``) and reads only what
-earlier batches wrote, so a batch replayed after a failure overwrites what the
-failed attempt left. Nothing is dropped for being late: a backfill may deliver
-its files in any order.
+Every micro-batch writes a folder of its own (``batch=N``), so a batch replayed
+after a failure overwrites what the failed attempt left. What a job must
+remember lies in Spark's state store, keyed, so a batch reads the state of its
+own keys and no earlier folder. Nothing is dropped for being late: a backfill
+may deliver its files in any order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import text as tx
 from ..plans.scale import durable
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 TOTALS = ["pageviews", "clicks", "events", "value"]
 DAILY_SCHEMA = "post_id bigint, date date, pageviews bigint, clicks bigint, events bigint, value double, batch bigint"
-ALERT_SCHEMA = "post_id bigint, keyword string, alert_type string, detected_at date, batch bigint"
+ALERT_SCHEMA = "post_id bigint, keyword string, alert_type string, detected_at date, raised boolean"
+CHANGE_SCHEMA = "page_id bigint, url string, content_hash string"
 STATE_SCHEMA = "url string, content_hash string, batch bigint"
 
 
@@ -47,6 +51,12 @@ def run_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpo
     return q
 
 
+def with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, known: DataFrame | None = None) -> DataFrame:
+    """Keyed state on disk next to each task, with its changes kept in the checkpoint of the query."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(*keys).transformWithState(processor, schema, "update", "none", known.groupBy(*keys) if known is not None else None)
+
+
 # ---- daily metrics -------------------------------------------------------
 
 
@@ -76,43 +86,86 @@ def run_daily_metrics(spark: SparkSession, source: str, target: str, checkpoint:
 # ---- alerts --------------------------------------------------------------
 
 
-def raised(batch: DataFrame, history: DataFrame, keys: list[str], days: int = 7) -> DataFrame:
-    """The alerts of a batch that are let through, in order of their day.
+def let_through(days: Iterable[date], gap: int) -> set[date]:
+    """In order of the days: a day counts if the one let through before it is at least ``gap`` days back."""
+    out: list[date] = []
+    for d in sorted(days):
+        if not out or (d - out[-1]).days >= gap:
+            out.append(d)
+    return set(out)
 
-    An alert is held back if the same alert was raised less than ``days`` days
-    away, be it in ``history`` or just now. Both arrays hold days of one alert.
-    """
-    new = batch.select(*keys, "detected_at").groupBy(*keys).agg(F.array_sort(F.collect_set("detected_at")).alias("_new"))
-    old = history.join(new.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.collect_set("detected_at").alias("_old"))
-    none = F.array().cast("array<date>")
-    both = new.join(old, keys, "left").withColumn("_old", F.coalesce("_old", none))
-    near = lambda seen, d: F.exists(seen, lambda s: F.abs(F.date_diff(s, d)) < days)
-    let = F.aggregate("_new", none, lambda acc, d: F.when(near(F.concat(F.col("_old"), acc), d), acc).otherwise(F.concat(acc, F.array(d))))
-    return both.select(*keys, F.explode(let).alias("detected_at"))
+
+class AlertDays(StatefulProcessor):
+    """Keeps the distinct days of one alert and tells which of them are raised or taken back by new ones."""
+
+    def __init__(self, keys: list[str], gap: int) -> None:
+        self.keys, self.gap = keys, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getValueState("days", "seen array<date>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
+        seen = set(self.days.get()[0]) if self.days.exists() else set()
+        both = seen | {r["detected_at"] for r in rows}
+        if both == seen:
+            return
+        self.days.update((sorted(both),))
+        before, after = let_through(seen, self.gap), let_through(both, self.gap)
+        names = [*self.keys, "detected_at", "raised"]
+        for d in sorted(before ^ after):
+            yield Row(**dict(zip(names, [*key, d, d in after])))
+
+    def close(self) -> None:
+        pass
 
 
-def run_suppressed_alerts(spark: SparkSession, source: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
+def run_suppressed_alerts(spark: SparkSession, source: str, target: str, checkpoint: str, per_trigger: int = 1000, days: int = 7) -> StreamingQuery:
+    """Write which alerts each batch raises or takes back; ``alerts_of`` reads the outcome.
+
+    An alert is held back if the same one was raised less than ``days`` days
+    before. Files may come in any order: an earlier day that comes late takes
+    back what it rules out, so the outcome is that of all files at once. The
+    days of an alert lie in the state store, where a batch reads its own keys.
+    Alerts without a day are left out; null keys are keys like others.
+    """
     keys = ["post_id", "keyword", "alert_type"]
     alerts = read_files(spark, source, EVENT_SCHEMA, per_trigger).filter(F.col("event_type").isin("error", "signup")).select(
         F.to_date("ts").alias("detected_at"), F.col("user_id").alias("post_id"), F.get_json_object("props", "$.k").alias("keyword"), F.col("event_type").alias("alert_type")
     )
+    changes = with_state(alerts.filter("detected_at IS NOT NULL"), keys, AlertDays(keys, days), ALERT_SCHEMA)
 
     def step(batch: DataFrame, number: int) -> None:
-        history = stored(batch.sparkSession, target, ALERT_SCHEMA).filter(F.col("batch") < number).drop("batch")
-        raised(batch, history, keys).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return run_batches(changes, step, checkpoint)
+
 
-    return run_batches(alerts, step, checkpoint)
+def alerts_of(spark: SparkSession, target: str) -> DataFrame:
+    """The alerts that stand after all batches: the last word on each day of an alert."""
+    days = stored(spark, target, ALERT_SCHEMA + ", batch bigint").groupBy("post_id", "keyword", "alert_type", "detected_at")
+    return days.agg(F.max_by("raised", "batch").alias("raised")).filter("raised").drop("raised")
 
 
 # ---- changed pages -------------------------------------------------------
 
 
-def changed_pages(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Pages of a batch that are new or whose content hash differs from the state; of one URL the last page counts."""
-    last = batch.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("_p")).select("url", "_p.*")
-    hashed = last.withColumn("content_hash", tx.content_hash(F.col("html")))
-    old = state.select("url", F.col("content_hash").alias("_old"))
-    return hashed.join(old, "url", "left").filter(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).drop("_old")
+class PageHash(StatefulProcessor):
+    """Keeps the content hash of one URL and lets a page through that changes it; of one batch the last page counts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hash = handle.getValueState("hash", "content_hash string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803 - names of the interface
+        self.hash.update((initialState["content_hash"],))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        last = max(rows, key=lambda r: (r["page_id"] is not None, r["page_id"] or 0, r["content_hash"] or ""))
+        if not self.hash.exists() or self.hash.get()[0] != last["content_hash"]:
+            self.hash.update((last["content_hash"],))
+            yield Row(page_id=last["page_id"], url=key[0], content_hash=last["content_hash"])
+
+    def close(self) -> None:
+        pass
 
 
 def latest_state(rows: DataFrame) -> DataFrame:
@@ -125,18 +178,21 @@ def compact_state(spark: SparkSession, state: str, target: str) -> None:
 
 
 def run_changed_pages(spark: SparkSession, source: str, state: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
-    """Write the changed pages of each batch and append them to the state.
+    """Write the changed pages of each batch and append their hashes to ``state``.
 
-    The state holds (url, content_hash) in folders ``batch=N``; what was known
-    before the first batch lies in ``batch=-1``. A batch looks up its own URLs.
+    What was known before the first batch lies in the folder ``batch=-1`` of
+    ``state`` and is loaded into the state store once; from then on a batch
+    reads the hashes of its own URLs there. The folders ``batch=N`` of
+    ``state`` are only written, for ``compact_state`` and other jobs. Pages
+    are hashed before they are grouped, so no markup is shuffled.
     """
+    pages = read_files(spark, source, PAGE_SCHEMA, per_trigger).select("url", "page_id", tx.content_hash(F.col("html")).alias("content_hash"))
+    known = latest_state(stored(spark, state, STATE_SCHEMA).filter("batch = -1"))
+    changed = with_state(pages, ["url"], PageHash(), CHANGE_SCHEMA, known)
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = stored(spark, state, STATE_SCHEMA).filter(F.col("batch") < number)
-        known = latest_state(known.join(batch.select("url").distinct(), "url", "left_semi"))
-        hit = durable(changed_pages(batch, known))
-        hit.drop("html").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        hit = durable(batch)
+        hit.write.mode("overwrite").parquet(f"{target}/batch={number}")
         hit.select("url", "content_hash").write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-    return run_batches(read_files(spark, source, PAGE_SCHEMA, per_trigger), step, checkpoint)
+    return run_batches(changed, step, checkpoint)
