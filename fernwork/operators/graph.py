@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.scale import durable
@@ -110,15 +110,20 @@ def site_pagerank(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def broken_links(links: DataFrame, posts: DataFrame, domain: str) -> DataFrame:
-    """Links to the own domain whose URL is not a known post."""
-    own = links.filter(F.contains("target_url", F.lit(domain)))
-    return own.join(posts.select(F.col("url").alias("target_url")).distinct(), "target_url", "left_anti")
+def _inside(domain: str | Column) -> Column:
+    """Whether a target URL names the own domain: one domain, or a column with that of each link's site."""
+    return F.contains("target_url", domain if isinstance(domain, Column) else F.lit(domain))
 
 
-def outbound_counts(links: DataFrame, domain: str) -> DataFrame:
+def broken_links(links: DataFrame, posts: DataFrame, domain: str | Column, keys: list[str] | None = None) -> DataFrame:
+    """Links to the own domain whose URL is not a known post; with ``keys`` (as site_id) not one of the same site."""
+    known = posts.select(*(keys or []), F.col("url").alias("target_url")).distinct()
+    return links.filter(_inside(domain)).join(known, [*(keys or []), "target_url"], "left_anti")
+
+
+def outbound_counts(links: DataFrame, domain: str | Column) -> DataFrame:
     """External links per source post."""
-    return links.filter(~F.contains("target_url", F.lit(domain))).groupBy(F.col("source_post_id").alias("post_id")).agg(
+    return links.filter(~_inside(domain)).groupBy(F.col("source_post_id").alias("post_id")).agg(
         F.count("*").alias("external_links")
     )
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import html as hx
 from ..functions import text as tx
@@ -314,6 +316,56 @@ def write_site_table(df: DataFrame, path: str, partition: str = "site_id") -> No
     )
 
 
+def replace_sites(df: DataFrame, sites: DataFrame, path: str, partition: str = "site_id") -> int:
+    """Replace the rows of all ``sites`` (one column), also of those that ``df`` has no rows of; returns the run's number.
+
+    Rows go to ``rows/run=N`` first; the list of the sites that run N covers
+    goes to ``sites/run=N`` last, as one file, and only that makes the rows
+    count. A run that fails before leaves the earlier rows in force, and the
+    next run writes over what it left. One writer at a time. Rows of sites
+    outside the list are refused; a null site is a site like others.
+    """
+    spark = df.sparkSession
+    if "run" in df.columns:
+        raise ValueError("the column name run is taken")
+    covered = sites.select(partition).distinct()
+    out = df.select(partition).distinct().join(covered.withColumnRenamed(partition, "_site"), F.col(partition).eqNullSafe(F.col("_site")), "left_anti")
+    stray = out.first()
+    if stray is not None:
+        raise ValueError(f"rows of {partition} {stray[0]!r}, which the run does not cover")
+    last = _runs(spark, path, covered.schema).agg(F.max("run")).first()[0]
+    run = 0 if last is None else last + 1
+    df.write.mode("overwrite").parquet(f"{path}/rows/run={run}")
+    covered.coalesce(1).write.mode("overwrite").parquet(f"{path}/sites/run={run}")
+    return run
+
+
+def _runs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(site, run) of all runs that were finished."""
+    named = StructType([*schema, StructField("run", LongType())])
+    try:
+        return spark.read.schema(named).parquet(f"{path}/sites")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], named)
+
+
+def site_rows(spark: SparkSession, path: str, partition: str = "site_id") -> DataFrame:
+    """The rows in force: of each site those of the last run that covers it. One run at least has been finished."""
+    rows = spark.read.parquet(f"{path}/rows")
+    runs = _runs(spark, path, rows.select(partition).schema)
+    now = runs.groupBy(F.col(partition).alias("_site")).agg(F.max("run").alias("_run"))
+    return rows.join(now, (F.col("run") == F.col("_run")) & F.col(partition).eqNullSafe(F.col("_site")), "left_semi").drop("run")
+
+
+def compact_sites(spark: SparkSession, path: str, target: str, partition: str = "site_id") -> None:
+    """The rows in force as the first run of a new table, sorted by site so that its files can be skipped by it."""
+    rows = site_rows(spark, path, partition)
+    known = _runs(spark, path, rows.select(partition).schema).select(partition)
+    replace_sites(rows.repartitionByRange(partition).sortWithinPartitions(partition), known, target, partition)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

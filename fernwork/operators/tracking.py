@@ -422,11 +422,12 @@ def token_costs(log: DataFrame, rates: DataFrame) -> DataFrame:
     """Cost per service: exact model name first, then the longest matching prefix.
 
     log(service, model, input_tokens, output_tokens), rates(prefix, input_rate,
-    output_rate). The log is summed per model before rates are looked up.
+    output_rate). The log is summed per model before rates are looked up; each
+    model name is then cut at every length, so prefixes meet by equality.
     """
     per = log.groupBy("service", "model").agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"))
-    models = per.select("model").distinct()
-    hit = models.join(rates, F.col("model").startswith(F.col("prefix")))
+    models = per.select("model").distinct().withColumn("_n", F.explode(F.sequence(F.lit(0), F.length("model"))))
+    hit = models.withColumn("prefix", F.substring("model", F.lit(1), F.col("_n"))).join(rates, "prefix")
     best = latest(hit, ["model"], [F.desc(F.length("prefix"))]).select("model", "input_rate", "output_rate")
     cost = (F.col("i") * F.col("input_rate") + F.col("o") * F.col("output_rate")) / 1_000_000
     return per.join(best, "model", "left").groupBy("service").agg(F.sum(cost).alias("cost"), F.sum(F.col("i") + F.col("o")).alias("tokens"))

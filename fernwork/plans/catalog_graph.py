@@ -81,6 +81,41 @@ def d5(t: Tables):
     return g.outbound_counts(t.links, "site.example.com")
 
 
+# links between five sites: a post's site is its id by five, a third of the resolved links leave it
+cte("site_links", """
+SELECT 'site' || source_post_id % 5 AS site_id, source_post_id, target_post_id,
+  'https://site' || CASE WHEN target_post_id % 3 = 0 THEN target_post_id % 5 ELSE source_post_id % 5 END || '.example.com/p/' || target_post_id AS target_url
+FROM links WHERE target_post_id IS NOT NULL
+""", "links")
+# a site knows its posts whose id isn't a multiple of four
+SITE_POSTS = "SELECT 'site' || s % 5 AS site_id, 'https://site' || s % 5 || '.example.com/p/' || s_suppkey AS url FROM supplier, range(5) r(s) WHERE s_suppkey % 4 > 0"
+
+
+def site_links(t: Tables):
+    source, target = F.col("source_post_id"), F.col("target_post_id")
+    site = lambda n: F.concat(F.lit("site"), (n % 5).cast("string"))
+    host = F.when(target % 3 == 0, site(target)).otherwise(site(source))
+    return t.links.filter(target.isNotNull()).select(
+        site(source).alias("site_id"), "source_post_id", "target_post_id", F.concat(F.lit("https://"), host, F.lit(".example.com/p/"), target.cast("string")).alias("target_url")
+    )
+
+
+@query("d4_broken_links_by_site", f"""
+SELECT site_id, source_post_id, target_url FROM site_links l WHERE contains(target_url, site_id || '.example.com')
+  AND NOT EXISTS (SELECT 1 FROM ({SITE_POSTS}) p WHERE p.site_id = l.site_id AND p.url = l.target_url)
+""", "site_links")
+def d4_by_site(t: Tables):
+    ids = t.raw("supplier").filter("s_suppkey % 4 > 0").select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s"), "s_suppkey")
+    posts = ids.select(F.concat(F.lit("site"), "s").alias("site_id"), F.concat(F.lit("https://site"), "s", F.lit(".example.com/p/"), "s_suppkey").alias("url"))
+    own = F.concat("site_id", F.lit(".example.com"))
+    return g.broken_links(site_links(t), posts, own, ["site_id"]).select("site_id", "source_post_id", "target_url")
+
+
+@query("d5_outbound_by_site", "SELECT source_post_id AS post_id, count(*) AS external_links FROM site_links WHERE NOT contains(target_url, site_id || '.example.com') GROUP BY 1", "site_links")
+def d5_by_site(t: Tables):
+    return g.outbound_counts(site_links(t), F.concat("site_id", F.lit(".example.com")))
+
+
 @query("d6_link_counts", """
 SELECT n.id AS post_id, (SELECT count(*) FROM links l WHERE l.target_post_id = n.id) AS inbound, (SELECT count(*) FROM links l WHERE l.source_post_id = n.id) AS outbound FROM nodes n
 """, "nodes links")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import extract as ex
 from ..operators import ingest as ig
+from ..sources import files
 from . import sqltext as q
 from .oracle import cte, query
 from .scale import shared_folder
@@ -309,3 +312,35 @@ def a18(t: Tables):
     ig.write_site_table(cols, target)
     ig.write_site_table(cols.filter("site_id = 'src0'").withColumn("word_count", F.col("word_count") + 1), target)
     return t.spark.read.parquet(target).select("post_id", "site_id", "word_count")
+
+
+@query("a18_site_reload", "SELECT post_id, site_id, CASE WHEN site_id = 'src0' THEN word_count + 1 ELSE word_count END AS word_count FROM posts WHERE site_id <> 'src1' OR site_id IS NULL", "posts")
+def a18_reload(t: Tables):
+    """A second run covers two sites and finds posts of one only; the table is compacted after it."""
+    target = f"{scratch(t, 'site-runs')}-{uuid.uuid4().hex[:8]}"
+    cols = t.posts.select("post_id", "site_id", "word_count")
+    ig.replace_sites(cols, cols.select("site_id"), target)
+    again = cols.filter("site_id = 'src0'").withColumn("word_count", F.col("word_count") + 1)
+    ig.replace_sites(again, cols.select("site_id").filter("site_id IN ('src0', 'src1')"), target)
+    ig.compact_sites(t.spark, target, target + "-small")
+    return ig.site_rows(t.spark, target + "-small")
+
+
+@query("a4_sitemap_tree", "SELECT url, 'https://site.example.com/map' || page_id // 10 || '.xml' AS sitemap FROM pages WHERE page_id // 10 % 7 <> 5")
+def a4_tree(t: Tables):
+    """Ten pages a sitemap, ten sitemaps an index; indexes form a binary tree whose every node also names the top, some sitemaps stay unnamed."""
+    folder = f"{scratch(t, 'sitemaps')}-{uuid.uuid4().hex[:8]}"
+    site = "https://site.example.com/"
+    entry = lambda tag, loc: F.concat(F.lit(f"<{tag}><loc>"), F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{tag}>"))
+    file_of = lambda kind, n: F.concat(F.lit(site + kind), n.cast("long").cast("string"), F.lit(".xml"))
+    whole = lambda tag: F.concat(F.lit(f"<{tag}>"), F.array_join(F.collect_list("e"), ""), F.lit(f"</{tag}>"))
+    maps = t.pages.select(F.floor(F.col("page_id") / 10).alias("n"), entry("url", F.col("url")).alias("e")).groupBy("n").agg(whole("urlset").alias("value"))
+    top = t.pages.agg(F.floor(F.max("page_id") / 100)).first()[0] or 0
+    index = t.spark.range(top + 1).withColumn("leaf", F.explode(F.sequence(F.col("id") * 10, F.col("id") * 10 + 9)))
+    leaves = index.filter("leaf % 7 <> 5").select(F.col("id").alias("n"), entry("sitemap", file_of("map", F.col("leaf"))).alias("e"))
+    below = t.spark.range(top + 1).select(F.col("id").alias("n"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2, F.lit(0))).alias("m"))
+    index = leaves.unionByName(below.select("n", entry("sitemap", file_of("index", F.col("m"))).alias("e"))).groupBy("n").agg(whole("sitemapindex").alias("value"))
+    docs = maps.withColumn("kind", F.lit("map")).unionByName(index.withColumn("kind", F.lit("index")))
+    docs.repartition("kind", "n").write.partitionBy("kind", "n").option("compression", "gzip").text(folder)
+    fetched = t.spark.read.text(folder).select(F.concat(F.lit(site), "kind", F.col("n").cast("string"), F.lit(".xml")).alias("url"), F.col("_metadata.file_path").alias("file"))
+    return files.read_sitemap_tree(t.spark, folder, fetched, [site + "index0.xml"]).select("url", "sitemap")

@@ -1,10 +1,17 @@
 """Rules that single-site checks can't see: several sites in one table, order of merges, later check-ins."""
 
+import gzip
 from datetime import date
 
+import pytest
+from pyspark.sql import functions as F
+
+from fernwork.operators import graph
+from fernwork.operators import ingest as ig
 from fernwork.operators import problems as pb
 from fernwork.operators import recommend as rc
 from fernwork.operators import tracking as tr
+from fernwork.sources import files
 
 
 def test_monthly_delta_counts_each_site(spark):
@@ -58,3 +65,56 @@ def test_families_count_each_site_and_know_duplicates(spark):
     posts = spark.createDataFrame([(1, "a"), (2, "b")], "post_id long, site_id string")
     got = {(r.site_id, r.family): r.n for r in pb.family_counts(spark.createDataFrame(rows, "post_id long, problem_type string"), posts).collect()}
     assert got == {("a", "duplicate"): 1, ("b", "duplicate"): 1, ("a", "ai_readiness"): 1, ("a", "other"): 1, ("b", "thin"): 2}
+
+
+def test_sites_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "site_id string, n long")
+    site = lambda *s: spark.createDataFrame([(x,) for x in s], "site_id string")
+    now = lambda: sorted(((r.site_id, r.n) for r in ig.site_rows(spark, path).collect()), key=repr)
+    assert ig.replace_sites(rows(("a", 1), ("a", 1), ("b", 2), (None, 3)), site("a", "b", None), path) == 0
+    assert ig.replace_sites(rows(("b", 4)), site("a", "b"), path) == 1  # site a turned empty
+    assert now() == [("b", 4), (None, 3)]
+    # a writer that fails after its rows leaves the old ones in force, and the next run writes over it
+    rows(("b", 9), ("b", 10)).write.parquet(f"{path}/rows/run=2")
+    assert now() == [("b", 4), (None, 3)]
+    assert ig.replace_sites(rows((None, 5)), site(None), path) == 2
+    assert now() == [("b", 4), (None, 5)]
+    ig.compact_sites(spark, path, path + "-small")
+    path += "-small"
+    assert now() == [("b", 4), (None, 5)] and ig.replace_sites(rows(), site("b"), path) == 1 and now() == [(None, 5)]
+    with pytest.raises(ValueError):
+        ig.replace_sites(rows(("c", 1)), site("a"), path)
+
+
+def test_links_of_each_site_have_its_domain(spark):
+    links = spark.createDataFrame([("a", 1, "https://a.com/x"), ("a", 1, "https://b.com/x"), ("b", 2, "https://a.com/x"), ("b", 2, "https://b.com/x")], "site_id string, source_post_id long, target_url string")
+    posts = spark.createDataFrame([("a", "https://a.com/x"), ("a", "https://b.com/x")], "site_id string, url string")
+    own = F.concat("site_id", F.lit(".com"))
+    assert [(r.site_id, r.target_url) for r in graph.broken_links(links, posts, own, ["site_id"]).collect()] == [("b", "https://b.com/x")]
+    assert sorted((r.post_id, r.external_links) for r in graph.outbound_counts(links, own).collect()) == [(1, 1), (2, 1)]
+
+
+def test_prices_by_longest_prefix(spark):
+    log = spark.createDataFrame([("s", "large-1", 10, 0), ("s", "large", 10, 0), ("t", "la", 10, 0), ("t", "none", 5, 5)], "service string, model string, input_tokens long, output_tokens long")
+    rates = spark.createDataFrame([("large-", 1e6, 0.0), ("la", 2e6, 0.0), ("large-12", 9e6, 0.0)], "prefix string, input_rate double, output_rate double")
+    out = tr.token_costs(log, rates)
+    assert {r.service: (r.cost, r.tokens) for r in out.collect()} == {"s": (30.0, 20), "t": (20.0, 20)}
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_nested_sitemaps(spark, tmp_path):
+    """Two levels of indexes that name each other, a compressed sitemap, a broken one, one missing and one that nothing names."""
+    (tmp_path / "in").mkdir()
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc> https://a.com/{n} </loc></sitemap>" for n in names) + "</sitemapindex>"
+    urls = lambda *names: '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' + "".join(f"<url><loc>https://a.com/{n}</loc></url>" for n in names) + "</urlset>"
+    texts = {
+        "top.xml": index("mid.xml", "one.xml", "gone.xml"), "mid.xml": index("top.xml", "deep.xml", "two.xml.gz", "bad.xml"), "deep.xml": index("three.xml"), "one.xml": urls("p1", "p2"),
+        "two.xml.gz": urls("p3"), "three.xml": urls("p4"), "bad.xml": "<urlset><url><loc>no end", "alone.xml": urls("p5"),
+    }
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(gzip.compress(text.encode()) if name.endswith("gz") else text.encode())
+    fetched = spark.createDataFrame([(f"https://a.com/{n}", f"file://{tmp_path}/in/{n}") for n in texts], "url string, file string")
+    found = lambda depth: sorted((r.url[-2:], r.sitemap[14:]) for r in files.read_sitemap_tree(spark, str(tmp_path / "in"), fetched, ["https://a.com/top.xml"], depth).collect())
+    assert found(None) == [("p1", "one.xml"), ("p2", "one.xml"), ("p3", "two.xml.gz"), ("p4", "three.xml")]
+    assert found(1) == [("p1", "one.xml"), ("p2", "one.xml")]
