@@ -8,7 +8,7 @@ language is the one with the largest sum of word probabilities from
 forward-backward over the whole text, and its score is that sum's share.
 
 Fitted on at most ``ROWS`` rows of each language, the first in order of
-md5(doc_id): up to ``SPANS`` spans of up to ``SPAN`` words are drawn from each
+md5(doc_id), then of the text's hash: up to ``SPANS`` spans of up to ``SPAN`` words are drawn from each
 such text with a seed and joined to code-switched sequences. The lexicons are
 the words that occur most in the spans of one language. These bounds hold for
 fitting only; every text is labelled whole.
@@ -23,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fernwork.plans.scale import top_per_group
+
 from .common import slices, table
 from .crf import Chain
 
@@ -129,20 +131,17 @@ def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 3) -> Mod
 
 
 def sample(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``rows`` rows of each label, in order of md5(id): picked by narrow rows first, so texts of the picked rows alone move."""
-    key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    """At most ``rows`` different texts of each label, in order of md5(id), then of the text's hash.
+
+    Narrow rows are picked first, so texts of the picked rows alone move; null
+    and repeated ids come under the same bound. Rows alike count once.
+    """
+    key, mark = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.xxhash64(F.col(f"`{text_col}`"))
     known = docs.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    picked = known.select(F.col(f"`{label_col}`").alias("label"), key.alias("at")).distinct()
-    order = Window.partitionBy("label").orderBy("at")
-    last = picked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).groupBy("label").agg(F.max("at").alias("last"))
-    limits = {r["label"]: r["last"] for r in last.collect()}  # one row a label
-    if not limits:
-        return []
-    keep = F.lit(False)
-    for label, end in limits.items():
-        keep = keep | ((F.col(f"`{label_col}`") == label) & (key <= end))
-    out = known.filter(keep).select(F.col(f"`{text_col}`"), F.col(f"`{label_col}`").cast("string"), key).distinct().collect()
-    return [(t, label) for _, label, t in sorted((at, label, t) for t, label, at in out)]
+    known = known.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"), key.alias("at"), mark.alias("mark"))
+    picked = top_per_group(known.select("label", "at", "mark").distinct(), ["label"], [F.asc("at"), F.asc("mark")], rows)
+    out = known.join(F.broadcast(picked), ["label", "at", "mark"], "left_semi").distinct().collect()  # rows x labels
+    return [(r["text"], r["label"]) for r in sorted(out, key=lambda r: (r["at"], r["label"], r["text"]))]
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

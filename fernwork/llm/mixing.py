@@ -6,7 +6,8 @@ there and the excess is shared among the others by weight, until no share is
 above its limit. A source at target / size = whole + fraction takes every
 document ``whole`` times, and by a seeded order of its documents once more until
 the fraction of its words is reached (the document at the border is taken if
-that comes nearer).
+that comes nearer). ``epochs`` may be fractional: at 1.5 half a source's words
+come twice, and no document more than twice.
 
 The seeded order is that of md5(seed:id). The place where the fraction ends is
 found from word sums of 4096 ranges of that order per source, then of 4096
@@ -18,6 +19,8 @@ that share an id and a source are taken alike. Empty input gives an empty mix.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +92,7 @@ def repetitions(docs: DataFrame, weight_of, total: float = TOTAL, epochs: float
     stop = F.coalesce("to", F.concat("e1", "e2"), "e1")
     limits = saved(limits.select(F.col("source").alias("s"), "source_size", "target", "whole", F.when(F.col("quota") <= 0, "").otherwise(F.coalesce(stop, F.lit("g"))).alias("stop")))
     extra = (F.col("at") <= F.col("stop")).cast("int")
-    copies = F.when(F.col("size") == 0, F.col("whole")).otherwise(F.least(F.col("whole") + extra, F.lit(int(epochs)))).cast("int")
+    copies = F.when(F.col("size") == 0, F.col("whole")).otherwise(F.least(F.col("whole") + extra, F.lit(ceil(epochs)))).cast("int")
     joined = rows.join(limits, F.col("source").eqNullSafe(F.col("s")))
     return joined.select("id", "source", "size", "source_size", "target", copies.alias("copies"))
 

@@ -134,14 +134,19 @@ def fit(rows: list[tuple[str, bool]], rounds: int = ROUNDS, penalty: float = PEN
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[tuple[str, bool]]:
-    """At most ``rows`` toxic and twice as many other labelled texts. Ids are picked first; only the picked texts move."""
+    """At most ``rows`` toxic and twice as many other labelled texts.
+
+    Ids are picked first; only the picked texts move. Where ids repeat with
+    different texts, these come under the same bound, in order of md5(id), then of the text's hash.
+    """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     # three groups of at most ``rows``, so that a task sends no more than that of each before the shuffle
     key = F.md5(F.col("doc_id").cast("string"))
     group = F.when(F.col("toxic"), "toxic").otherwise(F.substring(key, 32, 1).rlike("[0-7]").cast("string"))
     picked = top_per_group(known.withColumns({"at": key, "group": group}), ["group"], [F.asc("at")], rows)
-    picked = picked.select(F.col("doc_id").alias("picked"), "toxic")  # 3 * rows ids at most
-    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).filter("text IS NOT NULL").select("doc_id", "text", "toxic").distinct()
+    picked = picked.select(F.col("doc_id").alias("picked"), "toxic", "group", "at")  # 3 * rows ids at most
+    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).filter("text IS NOT NULL").select("doc_id", "text", "toxic", "group", "at").distinct()
+    found = top_per_group(found, ["group"], [F.asc("at"), F.asc(F.xxhash64("text")), F.asc("text")], rows)
     return [(r["text"], r["toxic"]) for r in sorted(found.collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 

@@ -272,3 +272,33 @@ def test_pipeline_stages(spark):
     given, mixed = rows["mixing"]
     taken = mixed.groupBy("doc_id").count().collect()
     assert max(r["count"] for r in taken) <= 2 and ids(mixed) <= ids(given)
+
+
+def test_samples_are_bounded_for_null_and_repeated_ids(spark):
+    """A third of the rows have one id, or none, with texts of their own."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("xx").alias("lang"))
+    docs = docs.unionAll(docs).unionAll(spark.createDataFrame([(7, "other", "yy"), (8, None, "yy"), (9, "word", None)], "doc_id long, text string, lang string"))
+    got = langid.sample(docs, 50)
+    assert [label for _, label in got].count("xx") == 50 and ("other", "yy") in got and len(got) == len(set(got)) == 51
+    assert got == langid.sample(docs.repartition(5), 50)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (7, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, 40)
+    assert [t for _, t in got].count(True) == 40 and 40 <= len(got) <= 120 and len(got) == len(set(got))
+    assert got == toxicity.sample(docs.repartition(5), labels, 40)
+
+
+def test_severity_is_the_sum_over_ordered_thresholds(spark):
+    """Severity and p_toxic of every row against the formula, with weights shared by both thresholds."""
+    rows = [(f"plain text about gardens and number {w}", False) for w in "abcdefghij"] + [(f"vilewords {'nastiness ' * (i % 2)}here {w}", True) for i, w in enumerate("klmnopqrst")]
+    model = toxicity.fit(rows)
+    theta, weights = model.theta, model.weights
+    assert len(theta) >= 1 and (np.diff(theta) > 0).all()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(90, None), (91, ""), (92, "vilewords " * 5000)], "doc_id long, text string")
+    for r in toxicity.grade(docs, model, keep_text=True).collect():
+        found = {f for w in re.findall(r"[^\W\d_]+", (r.text or "").lower()) for f in toxicity.word_features(w)}
+        s = sum(weights.get(f, 0.0) for f in found)
+        over = [1 / (1 + np.exp(t - s)) for t in theta] if found else [0.0]
+        assert r.severity == pytest.approx(sum(over)) and r.p_toxic == pytest.approx(over[0]) and r.rejected == (over[0] > toxicity.REJECT)
+    graded = toxicity.grade(docs, model).filter("doc_id < 20").groupBy((F.col("doc_id") >= 10).alias("toxic")).agg(F.avg("severity").alias("s")).collect()
+    by = {r.toxic: r.s for r in graded}
+    assert by[True] > by[False]

@@ -255,3 +255,10 @@ def test_mixing_odd_rows(odd, none):
     assert out.columns == [*odd.columns, "copy_no"]
     assert mixing.mix(none, copy_col="copy_no").count() == 0
     assert {(r["id"], r["size"]) for r in mixing.repetitions(odd, mixing.cycle((1.0,))).collect()} == {(None, 3), (7, 0), (8, 0), (9, 3), (10, 0), (11, 30_000)}
+
+
+@pytest.mark.parametrize("epochs", [0.5, 1.5, 2.5])
+def test_mixing_with_fractional_epochs(spark, epochs):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one").alias("text"), F.lit("s").alias("source"))
+    got = mixing.repetitions(docs, mixing.cycle((1.0,)), total=9.0, epochs=epochs).agg(F.sum("copies"), F.max("copies"), F.first("target")).first()
+    assert got[2] == 400 * epochs and abs(got[0] - 400 * epochs) <= 1 and got[1] == int(epochs) + 1
