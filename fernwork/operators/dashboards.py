@@ -321,8 +321,10 @@ def redirect_status(redirects: DataFrame) -> DataFrame:
     )
 
 
-def redirect_listing(redirects: DataFrame, limit: int = 500) -> DataFrame:
-    return redirects.orderBy(F.desc("created_at"), "old_url").limit(limit)
+def redirect_listing(redirects: DataFrame, limit: int | None = None) -> DataFrame:
+    """The redirect log, newest first; with a limit the first of them."""
+    listed = redirects.orderBy(F.desc("created_at"), "old_url")
+    return listed if limit is None else listed.limit(limit)
 
 
 def urgency(audit: DataFrame) -> DataFrame:

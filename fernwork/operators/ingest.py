@@ -252,24 +252,22 @@ def embedding_candidates(posts: DataFrame, embeddings: DataFrame) -> DataFrame:
 REFRESH_RULES = {"analytics": (1, 50), "crawl": (7, 20), "embed": (30, 10)}
 
 
-def refresh_due(sites: DataFrame, as_of: str, kind: str, embeds: DataFrame | None = None) -> DataFrame:
-    """Sites whose data is too old, stalest first, one batch of them."""
-    days, cap = REFRESH_RULES[kind]
+def refresh_due(sites: DataFrame, as_of: str, kind: str, embeds: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Sites whose data is too old, stalest first; with a limit (``REFRESH_RULES`` has that of one run) the first of them."""
+    days, _ = REFRESH_RULES[kind]
+    first = lambda df: df if limit is None else df.limit(limit)
     limit_ts = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp")
     if kind == "embed":
         per_site = embeds.groupBy("site_id").agg(
             F.max((F.col("stale") | (F.col("updated_at") < limit_ts)).cast("int")).alias("_due")
         )
-        return (
-            sites.join(per_site, "site_id", "left")
-            .filter(F.col("_due").isNull() | (F.col("_due") == 1))
-            .drop("_due").orderBy("site_id").limit(cap)
-        )
+        due = sites.join(per_site, "site_id", "left").filter(F.col("_due").isNull() | (F.col("_due") == 1))
+        return first(due.drop("_due").orderBy("site_id"))
     column = {"analytics": "last_sync_at", "crawl": "last_crawl_at"}[kind]
     due = sites.filter(F.col(column).isNull() | (F.col(column) < limit_ts))
     if kind == "analytics":
         due = due.filter("connected")
-    return due.orderBy(F.asc_nulls_first(column), "site_id").limit(cap)
+    return first(due.orderBy(F.asc_nulls_first(column), "site_id"))
 
 
 # ---- sinks ---------------------------------------------------------------

@@ -492,11 +492,11 @@ def cross_pairs(posts: DataFrame, vectors: DataFrame, existing: DataFrame, score
 # ---- after detection -----------------------------------------------------
 
 
-def cap_pairs(pairs: DataFrame, posts: DataFrame) -> DataFrame:
-    """Per site the max(500, min(3·posts, 1500)) most severe pairs."""
-    n = posts.groupBy("site_id").agg(F.greatest(F.lit(500), F.least(F.count("*") * 3, F.lit(1500))).alias("_cap"))
+def cap_pairs(pairs: DataFrame, posts: DataFrame, least: int = 500, most: int = 1500, per_post: int = 3) -> DataFrame:
+    """Per site the max(least, min(per_post · posts, most)) most severe pairs."""
+    n = posts.groupBy("site_id").agg(F.greatest(F.lit(least), F.least(F.count("*") * per_post, F.lit(most))).alias("_cap"))
     order = [F.desc_nulls_last("severity_score"), F.asc("post_a_id"), F.asc("post_b_id")]
-    ranked = top_per_group(pairs, ["site_id"], order, 1500, rank="_r")
+    ranked = top_per_group(pairs, ["site_id"], order, max(least, most), rank="_r")
     return ranked.join(n, "site_id").filter(F.col("_r") <= F.col("_cap")).drop("_r", "_cap")
 
 

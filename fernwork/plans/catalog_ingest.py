@@ -283,7 +283,7 @@ def a16(t: Tables):
         F.col("o_custkey").alias("site_id"), (F.col("o_orderstatus") == "P").alias("stale"), F.col("o_orderdate").alias("updated_at")
     )
     parts = [
-        ig.refresh_due(sites, "2001-06-01", kind, embeds).select(F.lit(kind).alias("kind"), "site_id")
+        ig.refresh_due(sites, "2001-06-01", kind, embeds, ig.REFRESH_RULES[kind][1]).select(F.lit(kind).alias("kind"), "site_id")
         for kind in ("analytics", "crawl", "embed")
     ]
     return ig.union_all(parts)
