@@ -228,7 +228,7 @@ def k22(t: Tables):
 
 @query("k22_redirect_listing", "SELECT old_url, new_url, status FROM redirects ORDER BY created_at DESC, old_url LIMIT 500", "redirects")
 def k22b(t: Tables):
-    return db.redirect_listing(redirects(t, 500)).select("old_url", "new_url", "status")
+    return db.redirect_listing(redirects(t), 500).select("old_url", "new_url", "status")
 
 
 @query("k23_urgency", """
