@@ -99,9 +99,14 @@ def flesch_reading_ease(words: Column, sentences: Column, syllables: Column) ->
     return F.when(words == 0, F.lit(0.0)).otherwise(clamp(score, 0.0, 100.0))
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """Half-even rounding of the scaled double; ``bround`` rounds the printed decimals, which end above a tie that the product meets."""
+    return F.rint(c * 10.0**digits) / 10.0**digits
+
+
 def grade_level(words: Column, sentences: Column, syllables: Column) -> Column:
     grade = F.lit(0.39) * (words / sentences) + F.lit(11.8) * (syllables / words) - F.lit(15.59)
-    return F.when(words == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.bround(grade, 1)))
+    return F.when(words == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), round_even(grade, 1)))
 
 
 def let(value: Column, body) -> Column:

@@ -170,7 +170,7 @@ def hard_to_read(scored: DataFrame, industries: DataFrame) -> DataFrame:
     for name, limit in READING_FLOOR.items():
         floor = F.when(F.col("industry") == name, limit).otherwise(floor)
     hit = scored.join(industries, "site_id", "left").filter(F.col("reading_ease") < floor)
-    return _row(hit, "readability_too_complex", F.when(F.col("reading_ease") < 30, "high").otherwise("medium"), F.bround("reading_ease", 1))
+    return _row(hit, "readability_too_complex", F.when(F.col("reading_ease") < 30, "high").otherwise("medium"), tx.round_even(F.col("reading_ease"), 1))
 
 
 def publishing_velocity(posts: DataFrame, as_of: str, days: int = 90) -> DataFrame:

@@ -28,7 +28,7 @@ def hard_paragraphs(df: DataFrame, key: str = "post_id", text: str = "body_text"
     paras = F.filter(F.transform(F.split(text, "\n\n"), lambda p: tx.strip(p)), lambda p: F.length(p) > 50)
     rows = df.select(key, F.posexplode(paras).alias("index", "para"))
     hard = readability(rows, "para").filter((F.col("reading_ease") < 30) & (tx.word_count(F.col("para")) > 20))
-    hard = hard.select(key, "index", F.bround("reading_ease", 1).alias("flesch"), F.left("para", F.lit(100)).alias("preview"))
+    hard = hard.select(key, "index", tx.round_even(F.col("reading_ease"), 1).alias("flesch"), F.left("para", F.lit(100)).alias("preview"))
     return top_per_group(hard, [key], [F.asc("flesch"), F.asc("index")], keep)
 
 
@@ -506,10 +506,10 @@ def ai_problems(scored: DataFrame) -> DataFrame:
         rule(c("extraction_score") < 40, "poor_ai_structure", m, c("extraction_score")),
         rule(~c("has_faq_section"), "geo_no_faq_section", m, one),
         rule(
-            (c("total_headers") == 0) | ((F.bround("question_ratio", 2) < 0.3) & (c("total_headers") >= 3)),
-            "geo_no_question_headers", m, F.bround("question_ratio", 2),
+            (c("total_headers") == 0) | ((tx.round_even(F.col("question_ratio"), 2) < 0.3) & (c("total_headers") >= 3)),
+            "geo_no_question_headers", m, tx.round_even(F.col("question_ratio"), 2),
         ),
-        rule(F.bround("data_density", 2) < 0.5, "geo_low_data_density", m, F.bround("data_density", 2)),
+        rule(tx.round_even(F.col("data_density"), 2) < 0.5, "geo_low_data_density", m, tx.round_even(F.col("data_density"), 2)),
         rule(~c("answer_first"), "geo_no_answer_first", m, one),
         # raised for every FAQ section, whether or not FAQPage markup is present
         rule(c("has_faq_section"), "geo_missing_faq_schema", F.lit("high"), one),
@@ -520,8 +520,8 @@ def ai_problems(scored: DataFrame) -> DataFrame:
 
 def geo_averages(scored: DataFrame, keys: list[str]) -> DataFrame:
     return scored.groupBy(*keys).agg(
-        F.round(F.avg(F.bround("data_density", 2)), 1).alias("avg_data_density"),
-        F.round(F.avg(F.bround("question_ratio", 2)), 2).alias("avg_question_header_ratio"),
+        F.round(F.avg(tx.round_even(F.col("data_density"), 2)), 1).alias("avg_data_density"),
+        F.round(F.avg(tx.round_even(F.col("question_ratio"), 2)), 2).alias("avg_question_header_ratio"),
         F.round(F.try_divide(F.count_if("has_faq_section"), F.count("*")) * 100, 1).alias("pct_has_faq"),
     )
 

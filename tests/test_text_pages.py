@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernwork.functions import html as hx
+from fernwork.functions import text as tx
 from fernwork.functions import urls as ux
 from fernwork.operators import extract as ex
 from fernwork.operators import ingest as ig
@@ -136,3 +137,10 @@ def test_nav_and_sitewide_filters_need_three_posts(spark):
     posts = spark.createDataFrame([(1, "s"), (2, "s"), (3, "s"), (9, "t")], "post_id int, site string")
     kept = {(r.post_id, r.target_url) for r in ex.filter_nav_links(links, posts).collect()}
     assert kept == {(3, "/own"), (9, "/n")}
+
+
+def test_grade_level_rounds_ties_like_the_scaled_double(spark):
+    """A sum that prints as 7.050000000000001 is a tie after scaling, as in DuckDB's round_even."""
+    values = [7.05, 7.050000000000001, 7.15, 7.16, -0.25, 78.85, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(tx.round_even(F.col("v"), 1).alias("r"))
+    assert [r.r for r in df.collect()] == [7.0, 7.0, 7.2, 7.2, -0.2, 78.8, None]
