@@ -9,7 +9,7 @@ may deliver its files in any order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -51,7 +51,7 @@ def run_batches(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpo
     return q
 
 
-def with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, known: DataFrame | None = None) -> DataFrame:
+def with_state(rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str, known: DataFrame | None = None) -> DataFrame:
     """Keyed state on disk next to each task, with its changes kept in the checkpoint of the query."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy(*keys).transformWithState(processor, schema, "update", "none", known.groupBy(*keys) if known is not None else None)
@@ -150,7 +150,10 @@ def alerts_of(spark: SparkSession, target: str) -> DataFrame:
 
 
 class PageHash(StatefulProcessor):
-    """Keeps the content hash of one URL and lets a page through that changes it; of one batch the last page counts."""
+    """Keeps the content hash of one page, known by ``keys``, and lets a page through that changes it; of one batch the last row of a page counts."""
+
+    def __init__(self, keys: Sequence[str]) -> None:
+        self.keys = keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.hash = handle.getValueState("hash", "content_hash string")
@@ -162,37 +165,45 @@ class PageHash(StatefulProcessor):
         last = max(rows, key=lambda r: (r["page_id"] is not None, r["page_id"] or 0, r["content_hash"] or ""))
         if not self.hash.exists() or self.hash.get()[0] != last["content_hash"]:
             self.hash.update((last["content_hash"],))
-            yield Row(page_id=last["page_id"], url=key[0], content_hash=last["content_hash"])
+            own = dict(zip(self.keys, key))
+            yield Row(page_id=own.get("page_id", last["page_id"]), url=own["url"], content_hash=last["content_hash"])
 
     def close(self) -> None:
         pass
 
 
-def latest_state(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("url").agg(F.max_by("content_hash", "batch").alias("content_hash"))
+def state_schema(keys: Sequence[str]) -> str:
+    return STATE_SCHEMA + "".join(f", {k} bigint" for k in keys if k != "url")
+
 
+def latest_state(rows: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by("content_hash", "batch").alias("content_hash"))
 
-def compact_state(spark: SparkSession, state: str, target: str) -> None:
-    """One row per URL of a state, as the state of a later run."""
-    latest_state(stored(spark, state, STATE_SCHEMA)).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
+def compact_state(spark: SparkSession, state: str, target: str, keys: Sequence[str] = ("url",)) -> None:
+    """One row per page of a state, as the state of a later run."""
+    latest_state(stored(spark, state, state_schema(keys)), keys).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
-def run_changed_pages(spark: SparkSession, source: str, state: str, target: str, checkpoint: str, per_trigger: int = 1000) -> StreamingQuery:
+
+def run_changed_pages(spark: SparkSession, source: str, state: str, target: str, checkpoint: str, per_trigger: int = 1000, keys: Sequence[str] = ("url",)) -> StreamingQuery:
     """Write the changed pages of each batch and append their hashes to ``state``.
 
+    ``keys`` say what a page is: its URL, or (url, page_id) where a table holds
+    several pages under one URL, each with a content of its own.
+
     What was known before the first batch lies in the folder ``batch=-1`` of
     ``state`` and is loaded into the state store once; from then on a batch
-    reads the hashes of its own URLs there. The folders ``batch=N`` of
+    reads the hashes of its own pages there. The folders ``batch=N`` of
     ``state`` are only written, for ``compact_state`` and other jobs. Pages
     are hashed before they are grouped, so no markup is shuffled.
     """
     pages = read_files(spark, source, PAGE_SCHEMA, per_trigger).select("url", "page_id", tx.content_hash(F.col("html")).alias("content_hash"))
-    known = latest_state(stored(spark, state, STATE_SCHEMA).filter("batch = -1"))
-    changed = with_state(pages, ["url"], PageHash(), CHANGE_SCHEMA, known)
+    known = latest_state(stored(spark, state, state_schema(keys)).filter("batch = -1"), keys)
+    changed = with_state(pages, keys, PageHash(keys), CHANGE_SCHEMA, known)
 
     def step(batch: DataFrame, number: int) -> None:
         hit = durable(batch)
         hit.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        hit.select("url", "content_hash").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        hit.select(*keys, "content_hash").write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return run_batches(changed, step, checkpoint)

@@ -76,3 +76,15 @@ def test_state_knows_pages_of_the_time_before(spark, tmp_path):
     page([(4, "u1", "a b"), (5, "u2", "y"), (6, None, None), (7, "u3", "")])
     jobs.run_changed_pages(spark, src, start, out + "2", ck + "2")
     assert sorted(r.page_id for r in spark.read.parquet(out + "2").collect()) == [5, 7]
+
+
+def test_pages_of_one_url_keep_their_own_hashes(spark, tmp_path):
+    """With (url, page_id) as key, pages under one URL don't hide or take back each other's changes."""
+    src, state, out, ck = (str(tmp_path / x) for x in ("src", "state", "out", "ck"))
+    schema = "page_id bigint, url string, html string"
+    known = spark.createDataFrame([(2, "u", "b"), (4, "u", "d")], schema)
+    known.select("url", "page_id", F.sha2("html", 256).alias("content_hash")).write.parquet(f"{state}/batch=-1")
+    for rows in ([(1, "u", "a"), (3, "u", "c")], [(2, "u", "b"), (4, "u", "d"), (1, "u", "a")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    jobs.run_changed_pages(spark, src, state, out, ck, 1, ["url", "page_id"])
+    assert sorted(r.page_id for r in spark.read.parquet(out).collect()) == [1, 3]
