@@ -206,3 +206,25 @@ def test_rows_are_sent_once_a_tile(spark, monkeypatch):
     s = cosines(m)
     assert all([x for _, x in sorted(got[i])] == np.argsort(-s[i], kind="stable")[:3].tolist() for i in range(len(m)))
     assert len(sent) == 2 and max(sent) <= 3 * len(m)
+
+
+def test_candidates_count_queries_where_cosines_are(spark, monkeypatch):
+    """Common and rare queries over several tiles, against brute force; no pair is joined with its queries."""
+    monkeypatch.setattr(vx, "TILE", 30)
+    monkeypatch.setattr(pr, "shared_queries", None)
+    rng = np.random.default_rng(4)
+    m, df = vectors(spark, n=120, groups=2)
+    df = df.withColumn("cluster_id", F.when(F.col("post_id") >= 115, 9).otherwise(F.col("post_id") % 2).cast("int"))
+    cluster = [9 if i >= 115 else i % 2 for i in range(120)]
+    sets = {i: {int(x) for x in rng.integers(0, 6, 2)} | {100 + int(x) for x in rng.integers(0, 300, 6)} for i in range(0, 120, 2)} | {i: {1000 + i} for i in range(1, 120, 2)}
+    q = spark.createDataFrame([(i, f"q{x}") for i, s in sets.items() for x in s], "post_id bigint, query string")
+    s, flag, want = cosines(m), 0.6, {}
+    for i in range(120):
+        mine = [j for j in range(120) if j != i and cluster[j] == cluster[i]]
+        best = sorted(mine, key=lambda j: (-s[i, j], j))[:10]
+        for j in mine:
+            n, a, b = len(sets[i] & sets[j]), min(i, j), max(i, j)
+            if cluster[i] == 9 or n >= 3 or (s[i, j] >= flag and (n or j in best)):
+                want[a, b] = n
+    got = {(r.post_a_id, r.post_b_id): r.n_shared for r in pr.cluster_candidates(df, q, flag).collect()}
+    assert got == want and {0, 1, 2, 3} <= set(want.values())
