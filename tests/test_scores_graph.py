@@ -228,3 +228,18 @@ def test_candidates_count_queries_where_cosines_are(spark, monkeypatch):
                 want[a, b] = n
     got = {(r.post_a_id, r.post_b_id): r.n_shared for r in pr.cluster_candidates(df, q, flag).collect()}
     assert got == want and {0, 1, 2, 3} <= set(want.values())
+
+
+def test_chunks_of_a_pair_meet_in_its_task(spark):
+    """Chunk pairs are never rows: the plan groups both sides by pair, and values equal brute force."""
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(40, 8))
+    m[0] = 0
+    chunks = spark.createDataFrame([(i % 4, m[i].tolist()) for i in range(40)] + [(7, [0.0] * 8)], "post_id bigint, vec array<double>")
+    pairs = spark.createDataFrame([(0, 1, 0.9), (1, 3, 0.8), (0, 7, 0.9), (2, 3, 0.1), (1, 9, 0.9)], "post_a_id bigint, post_b_id bigint, cosine double")
+    out = pr.confirm_chunks(pairs, chunks)
+    got = {(r.post_a_id, r.post_b_id): r.chunk_similarity for r in out.collect()}
+    s = cosines(m)
+    want = {(a, b): max(s[i, j] for i in range(a, 40, 4) for j in range(b, 40, 4) if m[i].any()) for a, b in ((0, 1), (1, 3))}
+    assert got == {**{k: pytest.approx(v) for k, v in want.items()}, (0, 7): None}
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
