@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, squeeze, strip
+from .text import first_match, let, squeeze, strip
 
 
 def unescape(c: Column) -> Column:
@@ -31,6 +31,20 @@ def visible_text(html: Column) -> Column:
     return unescape(squeeze(F.regexp_replace(drop_code(html), r"<[^>]+>", " ")))
 
 
+def opening_text(html: Column, n: int) -> Column:
+    """The first ``n`` characters of ``visible_text``, mostly from the first part of the page.
+
+    A part reads as it does within the page if it ends with a tag, leaves no
+    script, style or comment open and gives more than ``n`` characters (16
+    more, as an entity may be cut); otherwise the whole page is read.
+    """
+    part = F.regexp_extract(F.left(html, F.lit(8 * n)), r"(?s)^.*>", 0)
+    bare = F.regexp_replace(part, r"(?is)<script[^>]*>.*?</script>", "")
+    text = F.when(~bare.rlike(r"(?i)<script|<style|<!--|<[^>]*$"), unescape(squeeze(F.regexp_replace(bare, r"<[^>]+>", " "))))
+    whole = F.left(visible_text(html), F.lit(n))
+    return let(text, lambda t: F.when(F.length(t) >= n + 16, F.left(t, F.lit(n))).otherwise(whole))
+
+
 def main_content(html: Column) -> Column:
     """main, else article, else a content/post/entry div, else body, else all."""
     return F.coalesce(

@@ -29,6 +29,12 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
+def first_tokens(c: Column, n: int) -> Column:
+    """The first ``n`` tokens; the rest of the text is not cut up."""
+    # one blank token may lead, and the last part is the rest
+    return F.slice(F.filter(F.slice(F.split(c, r"\s+", n + 2), 1, n + 1), lambda x: x != ""), 1, n)
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(squeeze(c), 256)
 

@@ -138,8 +138,8 @@ def page_type(url: Column, html: Column, headings: Column) -> Column:
     )
 
 
-def trust_metadata(html: Column) -> Column:
-    """Author, structured-data types, dates and links that sit in page chrome."""
+def trust_metadata(html: Column, *fields: str) -> Column:
+    """Author, structured-data types, dates and links that sit in page chrome; only ``fields``, where any are named."""
     byline = F.regexp_extract(
         html, r"(?is)<div[^>]*class\s*=\s*[\"'][^\"']*(?:post-author|byline|entry-author)[^\"']*[\"'][^>]*>(.*?)</div>", 1
     )
@@ -157,26 +157,27 @@ def trust_metadata(html: Column) -> Column:
         ),
         F.lit(""),
     )
-    return F.struct(
-        F.left(tx.strip(F.coalesce(hx.meta(html, "name", "author"), byline_link, author_link)), F.lit(60)).alias("author_name"),
-        types.alias("schema_types"),
-        F.exists(ld, lambda b: b.rlike(r"\"author\"\s*:")).alias("has_author_schema"),
-        (
+    found = {
+        "author_name": F.left(tx.strip(F.coalesce(hx.meta(html, "name", "author"), byline_link, author_link)), F.lit(60)),
+        "schema_types": types,
+        "has_author_schema": F.exists(ld, lambda b: b.rlike(r"\"author\"\s*:")),
+        "has_visible_date": (
             html.rlike(r"(?is)<time[^>]*\sdatetime\s*=")
             | html.rlike(r"(?is)<meta[^>]*property\s*=\s*[\"']article:(published|modified)_time[\"']")
             | dated_class.isNotNull()
-            | F.left(hx.visible_text(html), F.lit(3000)).rlike(VISIBLE_DATE)
-        ).alias("has_visible_date"),
-        F.exists(
+            | hx.opening_text(html, 3000).rlike(VISIBLE_DATE)
+        ),
+        "has_contact_link": F.exists(
             links,
             lambda a: tx.any_of(F.lower(a["href"]), ["contact", "about", "team"])
             | tx.any_of(F.lower(a["text"]), ["contact", "about", "team"]),
-        ).alias("has_contact_link"),
-        F.size(F.filter(links, lambda a: tx.any_of(F.lower(a["href"]), CREDIBLE_DOMAINS))).alias("credible_link_count"),
-        html.rlike(r"(?is)<meta[^>]*property\s*=\s*[\"']og:").alias("has_og_tags"),
-        html.rlike(r"(?is)<link[^>]*rel\s*=\s*[\"']canonical[\"']").alias("has_canonical"),
-        (F.size(types) > 0).alias("has_jsonld"),
-    )
+        ),
+        "credible_link_count": F.size(F.filter(links, lambda a: tx.any_of(F.lower(a["href"]), CREDIBLE_DOMAINS))),
+        "has_og_tags": html.rlike(r"(?is)<meta[^>]*property\s*=\s*[\"']og:"),
+        "has_canonical": html.rlike(r"(?is)<link[^>]*rel\s*=\s*[\"']canonical[\"']"),
+        "has_jsonld": F.size(types) > 0,
+    }
+    return F.struct(*[found[f].alias(f) for f in fields or found])
 
 
 def skip_reason(text: Column) -> Column:

@@ -64,13 +64,18 @@ def short_form(posts: DataFrame, keys: list[str]) -> DataFrame:
 
 def traffic_windows(ga4: DataFrame, as_of: str, unit: int = 30) -> DataFrame:
     """Pageviews of the last 1, 1–2, 2 and 3 periods in one aggregate."""
+    since = F.date_sub(F.lit(as_of).cast("date"), 3 * unit)
+    return ga4.filter(F.col("date") >= since).groupBy("post_id").agg(*_windows(as_of, unit))
+
+
+def _windows(as_of: str, unit: int) -> list[Column]:
     day = lambda n: F.date_sub(F.lit(as_of).cast("date"), n * unit)
     pv = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("pageviews"))), F.lit(0))
     d = F.col("date")
-    return ga4.filter(d >= day(3)).groupBy("post_id").agg(
+    return [
         pv(d >= day(1)).alias("recent"), pv((d >= day(2)) & (d < day(1))).alias("prev"),
         pv(d >= day(2)).alias("two"), pv(d >= day(3)).alias("three"),
-    )
+    ]
 
 
 def traffic_trend(recent: Column, prev: Column, two: Column) -> Column:
@@ -310,28 +315,30 @@ def health_job(
     zero = lambda x: F.coalesce(x, F.lit(0))
     n_head = F.size("headings")
     richness = (predicted_engagement(c("body_html"), c("reading_ease"), n_head) + structure_score(c("body_html"), zero("word_count"), n_head)) / 2
-    # markup and headings become five numbers here; nothing wide goes through the joins
-    narrow = posts.filter("word_count IS NULL OR word_count >= 100").select(
+    # markup and headings become five numbers here, once; nothing wide goes through the joins
+    seen = durable(posts.select(
         "post_id", "site_id", "word_count", "publish_date", "modified_date", "page_type", richness.alias("content_richness"),
         quality_bonus(c("body_html")).alias("bonus"), time_sensitive(c("title"), c("url")).alias("sensitive"),
         page_checks(c("meta_description"), c("title"), c("headings"), c("og"), c("jsonld"), c("canonical"), c("body_html")).alias("checks"),
-    )
-    base = narrow.join(clusters, "post_id")
+    ))
+    base = durable(seen.filter("word_count IS NULL OR word_count >= 100").join(clusters, "post_id"))
     size = base.groupBy("cluster_id").agg(
         F.when(F.count("*") >= 3, F.avg(F.coalesce("word_count", F.lit(0)))).otherwise(F.lit(1000.0)).alias("cluster_avg")
     )
     since = F.date_sub(F.lit(as_of).cast("date"), 3 * unit)
-    rank = gsc.filter(F.col("date") >= since).groupBy("post_id").agg(F.avg("avg_position").alias("avg_position"))
-    visit = ga4.filter(F.col("date") >= since).groupBy("post_id").agg(F.avg("bounce_rate").alias("bounce"), F.avg("avg_time").alias("seconds"))
+    # daily facts are grouped once: one row a post, of any date, as the posts of ga4 and gsc also say what a site has
+    lately = lambda x: F.avg(F.when(c("date") >= since, c(x)))
+    rank = durable(gsc.groupBy("post_id").agg(lately("avg_position").alias("avg_position")))
+    visit = durable(ga4.groupBy("post_id").agg(*_windows(as_of, unit), lately("bounce_rate").alias("bounce"), lately("avg_time").alias("seconds")))
     inbound = links.filter(F.col("target_post_id").isNotNull()).groupBy(F.col("target_post_id").alias("post_id")).agg(F.count("*").alias("inbound"))
     outbound = links.groupBy(F.col("source_post_id").alias("post_id")).agg(F.count("*").alias("outbound"))
-    avail = data_availability(posts, ga4, gsc)
-    short = short_form(posts, ["site_id"]).select("site_id", "is_short_form")
+    avail = data_availability(seen, visit, rank)
+    short = short_form(seen, ["site_id"]).select("site_id", "is_short_form")
     rivals = pair_members(pairs).withColumn("rival", F.lit(True))
     df = base.join(avail, "site_id").join(short, "site_id", "left").join(size, "cluster_id")
-    for part in (traffic_windows(ga4, as_of, unit), rank, visit, inbound, outbound, ai, rivals):
+    for part in (rank, visit, inbound, outbound, ai, rivals):
         df = df.join(part, "post_id", "left")
-    df = df.withColumns({x: zero(x) for x in ("recent", "prev", "two", "three", "inbound", "outbound")})
+    df = durable(df.withColumns({x: zero(x) for x in ("recent", "prev", "two", "three", "inbound", "outbound")}))
     sums = df.groupBy("cluster_id").agg(F.max("inbound").alias("max_in"), F.sum("three").alias("all_traffic"))
     df = df.join(sums, "cluster_id")
     scored = df.withColumns(

@@ -218,7 +218,7 @@ def citability(df: DataFrame) -> DataFrame:
     heads = F.transform(
         F.regexp_extract_all(html, F.lit(r"(?is)<h[23][^>]*>(.*?)</h[23]>"), F.lit(1)), lambda h: hx.inner_text(h)
     )
-    first = F.array_join(F.slice(tx.tokens(text), 1, 200), " ")
+    first = F.array_join(tx.first_tokens(text, 200), " ")
     out = df.withColumns(
         {
             "data_tables": tx.count_matches(html, r"(?i)<table[\s>]"),
@@ -272,7 +272,7 @@ def trust_signals(df: DataFrame) -> DataFrame:
     tag = r"(?is)<[a-z][a-z0-9]*[^>]*\s(?:class|id)\s*=\s*[\"'][^\"']*(?:author|bio|writer|contributor)[^\"']*[\"'][^>]*>"
     bio = hx.visible_text(F.regexp_extract(html, tag + r"(.*?)</(?:div|section|aside|article|p|span|footer|header)>", 1))
     author_link = html.rlike(r"(?is)<a[^>]*href\s*=\s*[\"'][^\"']*/authors?/[^/\"']+")
-    text = hx.visible_text(html)
+    text = hx.opening_text(html, 3000)
     marked_author = (
         html.rlike(r"(?is)<meta[^>]*name\s*=\s*[\"']author[\"'][^>]*content\s*=\s*[\"'][^\"']+")
         | html.rlike(r"(?is)<[a-z][a-z0-9]*[^>]*\s(?:itemprop|rel)\s*=\s*[\"']author[\"']")
@@ -396,7 +396,7 @@ def extraction(df: DataFrame) -> DataFrame:
             ),
         ),
     )
-    first = F.array_join(F.slice(tx.tokens(text), 1, 100), " ")
+    first = F.array_join(tx.first_tokens(text, 100), " ")
     paras = F.transform(
         F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1)), lambda p: hx.inner_text(p)
     )

@@ -256,7 +256,7 @@ FROM health0 o LEFT JOIN (SELECT site_id, cluster_id, count(*) AS n, list_sort(l
 def health(t: Tables):
     from .catalog_scoring import trusted
 
-    p = sc.readability(trusted(t)).withColumns(
+    p = sc.readability(trusted(t, "has_og_tags", "has_jsonld", "has_canonical")).withColumns(
         {"og": F.col("trust.has_og_tags"), "jsonld": F.col("trust.has_jsonld"), "canonical": F.col("trust.has_canonical")}
     ).drop("trust", "sentences", "words", "syllables", "grade")
     ai = t.scores.select("post_id", "ai_citability_score", "eeat_score", "schema_score", "extraction_score")

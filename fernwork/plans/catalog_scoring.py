@@ -76,11 +76,15 @@ OPENERS_SQL = "[" + ",".join(f"'{lit(o)}'" for o in OPENERS) + "]"
 cte("titled", f"SELECT post_id, site_id, {OPENERS_SQL}[post_id % {len(OPENERS)} + 1] || ' ' || title AS title, 'https://x.example.com/blog/' || CASE WHEN post_id % 9 = 0 THEN 'best-' WHEN post_id % 11 = 0 THEN 'help-' ELSE 'a-' END || post_id AS url, word_count FROM posts", "posts")
 
 
+def opened(title):
+    """A title behind its opening."""
+    return F.concat(F.element_at(F.array(*map(F.lit, OPENERS)), (F.col("post_id") % len(OPENERS) + 1).cast("int")), F.lit(" "), title)
+
+
 def titled(t: Tables):
-    op = F.element_at(F.array(*map(F.lit, OPENERS)), (F.col("post_id") % len(OPENERS) + 1).cast("int"))
     slug = F.when(F.col("post_id") % 9 == 0, "best-").when(F.col("post_id") % 11 == 0, "help-").otherwise("a-")
     return t.posts.select(
-        "post_id", "site_id", F.concat(op, F.lit(" "), "title").alias("title"),
+        "post_id", "site_id", opened(F.col("title")).alias("title"),
         F.concat(F.lit("https://x.example.com/blog/"), slug, F.col("post_id").cast("string")).alias("url"), "word_count",
     )
 
@@ -195,8 +199,13 @@ def c12(t: Tables):
     )
 
 
-def trusted(t: Tables):
-    return articles(t).withColumn("trust", ex.trust_metadata(F.col("body_html")))
+def trusted(t: Tables, *fields: str):
+    return articles(t).withColumn("trust", ex.trust_metadata(F.col("body_html"), *fields))
+
+
+def ai_scored(t: Tables):
+    p = trusted(t, "author_name", "has_visible_date", "has_contact_link")
+    return sc.ai_scores(p.select("post_id", "site_id", "body_text", "body_html", "headings", "trust", "word_count", "publish_date", "modified_date"), AS_OF)
 
 
 cte("medians", "SELECT site_id, list_sort(list(word_count))[len(list(word_count)) // 2 + 1] AS site_median FROM posts GROUP BY site_id", "posts")
@@ -275,7 +284,7 @@ FROM cite c JOIN eeat USING (post_id) JOIN ldscore USING (post_id) JOIN extr USI
 
 @query("c16_ai_scores", "SELECT post_id, site_id, site_median, cite_score, eeat_score, schema_score, extraction_score FROM ai", "ai")
 def c16(t: Tables):
-    return sc.ai_scores(trusted(t), AS_OF).select("post_id", "site_id", "site_median", "cite_score", "eeat_score", "schema_score", "extraction_score")
+    return ai_scored(t).select("post_id", "site_id", "site_median", "cite_score", "eeat_score", "schema_score", "extraction_score")
 
 
 @query("c17_ai_summary", """
@@ -310,7 +319,7 @@ SELECT post_id, r.t AS problem_type, r.s AS severity, round(r.v, 6) AS value FRO
   CASE WHEN NOT has_updated_date THEN {'t': 'geo_no_updated_date', 's': 'low', 'v': NULL::DOUBLE} END]) AS r FROM ai) WHERE r IS NOT NULL
 """, "ai")
 def c19(t: Tables):
-    return sc.ai_problems(sc.ai_scores(trusted(t), AS_OF)).withColumn("value", F.round("value", 6))
+    return sc.ai_problems(ai_scored(t)).withColumn("value", F.round("value", 6))
 
 
 def _hints(words):
@@ -375,4 +384,4 @@ SELECT site_id, round(avg(round_even(dd, 2)), 1) AS avg_data_density, round(avg(
   round(count(*) FILTER (has_faq_section) / count(*) * 100, 1) AS pct_has_faq FROM ai GROUP BY site_id
 """, "ai")
 def c23(t: Tables):
-    return sc.geo_averages(sc.ai_scores(trusted(t), AS_OF), ["site_id"])
+    return sc.geo_averages(ai_scored(t), ["site_id"])

@@ -135,7 +135,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
 def upper_median(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
     """Element n // 2 of each sorted group, through a value → frequency table."""
-    freq = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    freq = durable(df.groupBy(*keys, value).agg(F.count("*").alias("_n")))  # read twice
     run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     tot = freq.groupBy(*keys).agg(F.sum("_n").alias("_tot"))
     cum = freq.withColumn("_cum", F.sum("_n").over(run)).join(tot, keys)

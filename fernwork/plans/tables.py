@@ -42,7 +42,8 @@ class Tables:
         publish = F.date_sub(F.lit(AS_OF).cast("date"), day.cast("int"))
         title = F.regexp_extract("text", r"^[^.\n]*", 0)
         lines = F.split("text", "\n")
-        short = lambda x: F.regexp_count(x, F.lit(r"\S+")).between(1, 6)
+        # one to six words; a long line is left after its seventh
+        short = lambda x: x.rlike(r"\A\s*+\S++(?:\s++\S++){0,5}+\s*+\z")
         return d.select(
             F.col("doc_id").alias("post_id"),
             F.col("source").alias("site_id"),
