@@ -92,6 +92,18 @@ def inbound_counts(links: DataFrame) -> DataFrame:
     return links.filter(F.col("target_post_id").isNotNull()).groupBy(F.col("target_post_id").alias("post_id")).agg(F.count("*").alias("inbound"))
 
 
+def page_flags(posts: DataFrame) -> DataFrame:
+    """Adds shaped and issues, what ``thin_content`` and ``seo_issues`` read from texts and markup."""
+    parts = F.size(F.filter("headings", lambda h: h["level"].isin("h2", "h3")))
+    shaped = (parts >= 2) & F.contains(F.coalesce("body_html", F.lit("")), F.lit("<img"))
+    return posts.withColumns({"shaped": shaped, "issues": _seo_rules()})
+
+
+def scan(posts: DataFrame) -> DataFrame:
+    """Posts with the flags in place of texts, markup and headings, written once: each detector would read the texts again."""
+    return durable(page_flags(posts).drop("body_text", "body_html", "headings", "meta_description"))
+
+
 def thin_content(posts: DataFrame, links: DataFrame) -> DataFrame:
     """Word count below the threshold of the page's kind, unless well structured and linked."""
     both = F.concat(F.lower("url"), F.lit("\n"), F.lower("title"))
@@ -100,10 +112,9 @@ def thin_content(posts: DataFrame, links: DataFrame) -> DataFrame:
         limit = (F if limit is None else limit).when(tx.any_of(both, needles), n)
     limit = limit.otherwise(500)
     p = posts.filter((F.col("word_count") > 0) & ~F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL)).withColumn("limit", limit)
-    parts = F.size(F.filter("headings", lambda h: h["level"].isin("h2", "h3")))
-    shaped = (parts >= 2) & F.contains(F.coalesce("body_html", F.lit("")), F.lit("<img"))
+    p = p if "shaped" in p.columns else page_flags(p)
     # markup is a flag before the join
-    p = p.filter(F.col("word_count") < F.col("limit")).select("post_id", "word_count", "limit", shaped.alias("_shaped")).join(inbound_counts(links), "post_id", "left")
+    p = p.filter(F.col("word_count") < F.col("limit")).select("post_id", "word_count", "limit", F.col("shaped").alias("_shaped")).join(inbound_counts(links), "post_id", "left")
     rescued = F.coalesce("_shaped", F.lit(False)) & (F.coalesce("inbound", F.lit(0)) >= 5)
     return _row(p.filter(~rescued), "thin_content", F.when(F.col("word_count") < F.col("limit") * 0.5, "high").otherwise("medium"), F.col("word_count"))
 
@@ -127,11 +138,8 @@ def unreliable_sites(posts: DataFrame, links: DataFrame, least: float = MIN_RESO
     return resolution(placed, ["site_id"]).filter(F.col("resolution_rate") < least).select("site_id")
 
 
-def seo_issues(posts: DataFrame, links: DataFrame, gated: DataFrame | None = None) -> DataFrame:
-    """Meta description, title length, headings, links and images; no link check on the sites of ``gated`` (site_id).
-
-    Texts and markup become flags at the scan; the joins carry none of them.
-    """
+def _seo_rules() -> Column:
+    """The issues that the page alone shows."""
     n = F.length(tx.strip(F.coalesce("title", F.lit(""))))
     low = F.lower(F.coalesce("body_html", F.lit("")))
     xml = low.startswith("<doc") | F.contains(F.left(low, F.lit(100)), F.lit("<doc "))
@@ -140,14 +148,23 @@ def seo_issues(posts: DataFrame, links: DataFrame, gated: DataFrame | None = Non
         sev = severity if isinstance(severity, Column) else F.lit(severity)
         return F.when(cond, F.struct(F.lit(kind).alias("problem_type"), sev.alias("severity")))
 
-    rules = F.array(
+    found = F.array(
         issue(F.length(tx.strip(F.coalesce("meta_description", F.lit("")))) < 10, "seo_missing_meta", "medium"),
         issue((n < 20) | (n > 70), "seo_title_length", F.when(n < 20, "medium").otherwise("low")),
         issue(~F.coalesce(F.exists("headings", lambda h: h["level"].isin("h2", "h3", "h4")), F.lit(False)), "seo_no_headings", "medium"),
         issue(~xml & ~tx.any_of(low, IMAGE_SIGNS) & (F.length("body_html") > 200), "seo_no_images", "low"),
     )
+    return F.filter(found, lambda r: r.isNotNull())
+
+
+def seo_issues(posts: DataFrame, links: DataFrame, gated: DataFrame | None = None) -> DataFrame:
+    """Meta description, title length, headings, links and images; no link check on the sites of ``gated`` (site_id).
+
+    Texts and markup become flags at the scan; the joins carry none of them.
+    """
     p = posts.filter(~F.coalesce("page_type", F.lit("blog")).isin(STRUCTURAL))
-    found = p.select("post_id", F.inline(F.filter(rules, lambda r: r.isNotNull())))
+    p = p if "issues" in p.columns else page_flags(p)
+    found = p.select("post_id", F.inline("issues"))
     touched = links.select(F.explode(F.array("source_post_id", "target_post_id")).alias("post_id")).filter("post_id IS NOT NULL").distinct()
     checked = p.select("post_id", "site_id").join(gated, "site_id", "left_anti") if gated is not None else p.select("post_id")
     lone = checked.join(touched, "post_id", "left_anti").select("post_id", F.lit("seo_no_internal_links").alias("problem_type"), F.lit("high").alias("severity"))
@@ -247,7 +264,11 @@ def detectors(
     """Every detector over the posts of all sites, in the order in which a later one overrides an earlier one.
 
     Link checks leave out the sites whose links mostly have no known target.
+    Texts, daily facts and links are read once; posts of ``scan`` come without texts.
     """
+    posts = posts if "issues" in posts.columns else scan(posts)
+    gsc = durable(gsc.select("post_id", "date", "clicks", "avg_position"))
+    links = durable(links.select("source_post_id", "target_post_id"))
     decline = click_decline(gsc, as_of, days)
     gated = durable(unreliable_sites(posts, links, least_resolved))
     return {

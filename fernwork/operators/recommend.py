@@ -90,6 +90,7 @@ def expand_templates(problems: DataFrame, posts: DataFrame, clusters: DataFrame)
 
 def aggregate_site_wide(recs: DataFrame, posts: DataFrame) -> DataFrame:
     """Types on more than 30 % of a site's posts keep ten rows plus one bulk row."""
+    recs = durable(recs)  # read four times
     total = posts.filter("word_count IS NULL OR word_count >= 100").groupBy("site_id").agg(F.count("*").alias("total"))
     n = recs.groupBy("site_id", "problem_type").agg(F.count_distinct("post_id").alias("n"))
     wide = n.join(total, "site_id").filter(F.col("n") / F.col("total") > SITE_WIDE)

@@ -8,7 +8,7 @@ from ..operators import problems as pb
 from ..operators import scoring as sc
 from . import sqltext as q
 from .catalog_extract import articles
-from .catalog_scoring import titled
+from .catalog_scoring import opened
 from .oracle import cte, query
 from .tables import AS_OF, Tables
 
@@ -50,8 +50,13 @@ def h3(t: Tables):
 
 def hposts(t: Tables):
     """Articles under titles with years and comparison words."""
-    nt = titled(t).select("post_id", F.concat("title", F.when(F.col("post_id") % 5 == 0, F.concat(F.lit(" in "), (F.lit(2015) + F.col("post_id") % 9).cast("string"))).otherwise("")).alias("_t"))
-    return articles(t).join(nt, "post_id").withColumn("title", F.col("_t")).drop("_t")
+    year = F.when(F.col("post_id") % 5 == 0, F.concat(F.lit(" in "), (F.lit(2015) + F.col("post_id") % 9).cast("string"))).otherwise("")
+    return articles(t).withColumn("title", F.concat(opened(F.col("title")), year))
+
+
+def scanned(t: Tables):
+    """These posts with reading_ease, read once, without texts."""
+    return pb.scan(sc.readability(hposts(t)))
 
 
 cte("hposts", "SELECT a.* REPLACE (t.title || CASE WHEN a.post_id % 5 = 0 THEN ' in ' || (2015 + a.post_id % 9) ELSE '' END AS title) FROM articles a JOIN titled t USING (post_id)", "articles titled")
@@ -171,9 +176,9 @@ FROM hall h LEFT JOIN (SELECT post_id, problem_type, min(detected_at) AS detecte
 cte("hgroup", "SELECT m.*, CASE WHEN problem_type = 'thin_below_cluster_avg' AND post_id IN (SELECT post_id FROM hmerged WHERE problem_type = 'thin_content') THEN 'thin_content' END AS related_to FROM hmerged m WHERE NOT (problem_type = 'seo_no_internal_links' AND post_id IN (SELECT post_id FROM hmerged WHERE problem_type = 'orphan'))", "hmerged")
 
 
-def parts(t: Tables):
+def parts(t: Tables, posts):
     return pb.detectors(
-        hposts(t), t.gsc, t.ga4, t.links, t.post_clusters, sc.readability(t.posts), industries(t), AS_OF, days=10, velocity_days=15, bounce=0.1, seconds=50, least_resolved=RESOLVED,
+        posts, t.gsc, t.ga4, t.links, t.post_clusters, posts, industries(t), AS_OF, days=10, velocity_days=15, bounce=0.1, seconds=50, least_resolved=RESOLVED,
     )
 
 
@@ -188,7 +193,7 @@ def known(t: Tables):
 
 @query("h13_group_related", "SELECT post_id, problem_type, related_to FROM hgroup", "hgroup")
 def h13(t: Tables):
-    return pb.detect_all(parts(t), known(t), AS_OF).select("post_id", "problem_type", "related_to")
+    return pb.detect_all(parts(t, scanned(t)), known(t), AS_OF).select("post_id", "problem_type", "related_to")
 
 
 @query("h14_severity_score", f"SELECT problem_type, CASE problem_type {' '.join(f'''WHEN '{k}' THEN {v}''' for k, v in pb.WEIGHTS.items())} ELSE 50 END::INTEGER AS severity_score, count(*) AS n FROM problems GROUP BY 1, 2", "problems")
@@ -198,7 +203,7 @@ def h14(t: Tables):
 
 @query("h15_merge_problems", "SELECT post_id, problem_type, severity, round(value, 6) AS value, severity_score, detected_at, first_detected_at FROM hgroup", "hgroup")
 def h15(t: Tables):
-    return R(pb.detect_all(parts(t), known(t), AS_OF).drop("related_to"))
+    return R(pb.detect_all(parts(t, scanned(t)), known(t), AS_OF).drop("related_to"))
 
 
 @query("h16_duplicate_problems", "SELECT post_id, 'duplicate_content' AS problem_type, 'critical' AS severity, f::DOUBLE AS value FROM (SELECT post_id, min(post_id) OVER (PARTITION BY content_hash) AS f FROM posts) WHERE post_id <> f", "posts")
@@ -211,7 +216,8 @@ SELECT site_id, CASE WHEN problem_type LIKE 'decay%' THEN 'decay' WHEN problem_t
   WHEN problem_type LIKE 'velocity%' THEN 'velocity' WHEN problem_type = 'duplicate_content' THEN 'duplicate' ELSE 'other' END AS family, count(*) AS n FROM hgroup JOIN hposts USING (post_id) GROUP BY 1, 2
 """, "hgroup hposts")
 def h17(t: Tables):
-    return pb.family_counts(pb.detect_all(parts(t), known(t), AS_OF), hposts(t))
+    posts = scanned(t)
+    return pb.family_counts(pb.detect_all(parts(t, posts), known(t), AS_OF), posts)
 
 
 @query("h18_problem_listing", """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recommend as rc
 from .catalog_clusters import query_vector
-from .catalog_problems import hposts, known, parts
+from .catalog_problems import known, parts, scanned
 from ..operators import problems as pb
 from .oracle import cte, query
 from .tables import AS_OF, Tables, at_site
@@ -30,8 +30,9 @@ SELECT h.*, p.site_id, p.title AS post_title, p.word_count, {pick({k: v[3] for k
 """, "hgroup hposts")
 
 
-def irecs(t: Tables):
-    return rc.expand_templates(pb.detect_all(parts(t), known(t), AS_OF), hposts(t), t.post_clusters)
+def irecs(t: Tables, posts=None):
+    posts = scanned(t) if posts is None else posts
+    return rc.expand_templates(pb.detect_all(parts(t, posts), known(t), AS_OF), posts, t.post_clusters)
 
 
 @query("i1_template_recommendations", "SELECT post_id, problem_type, rec_type, priority, effort, title, confidence FROM irecs", "irecs")
@@ -59,7 +60,8 @@ SELECT post_id, problem_type, priority, effort, title, confidence FROM r WHERE n
 UNION ALL SELECT post_id, problem_type, 'medium', effort * 2, 'Site-wide: ' || n || ' of ' || total || ' posts have ''' || problem_type || '''', 'high' FROM r WHERE n IS NOT NULL AND rn = 1
 """, "irecs posts")
 def i3(t: Tables):
-    return rc.aggregate_site_wide(irecs(t), t.posts).select("post_id", "problem_type", "priority", "effort", "title", "confidence")
+    posts = scanned(t)
+    return rc.aggregate_site_wide(irecs(t, posts), posts).select("post_id", "problem_type", "priority", "effort", "title", "confidence")
 
 
 @query("i4_title_merge", "SELECT post_id, problem_type_prefix AS title, max(effort) AS effort, count(*) AS merged FROM (SELECT *, split_part(problem_type, '_', 1) AS problem_type_prefix FROM irecs) GROUP BY 1, 2", "irecs")
