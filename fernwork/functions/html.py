@@ -38,11 +38,11 @@ def opening_text(html: Column, n: int) -> Column:
     script, style or comment open and gives more than ``n`` characters (16
     more, as an entity may be cut); otherwise the whole page is read.
     """
-    part = F.regexp_extract(F.left(html, F.lit(8 * n)), r"(?s)^.*>", 0)
+    part = F.regexp_extract(F.left(html, F.lit(2 * n)), r"(?s)^.*>", 0)
     bare = F.regexp_replace(part, r"(?is)<script[^>]*>.*?</script>", "")
     text = F.when(~bare.rlike(r"(?i)<script|<style|<!--|<[^>]*$"), unescape(squeeze(F.regexp_replace(bare, r"<[^>]+>", " "))))
     whole = F.left(visible_text(html), F.lit(n))
-    return let(text, lambda t: F.when(F.length(t) >= n + 16, F.left(t, F.lit(n))).otherwise(whole))
+    return F.when(F.length(html) <= 2 * n, whole).otherwise(let(text, lambda t: F.when(F.length(t) >= n + 16, F.left(t, F.lit(n))).otherwise(whole)))
 
 
 def main_content(html: Column) -> Column:

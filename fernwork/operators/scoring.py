@@ -207,6 +207,11 @@ ARTICLE_TYPES = ["Article", "BlogPosting", "NewsArticle", "TechArticle"]
 PRONOUNS = ["this", "it", "that", "these", "those", "they", "he", "she"]
 
 
+def _beginning(chars: str, pattern: str) -> str:
+    """A pattern whose matches begin with one of ``chars``, which a look ahead finds faster than its alternatives do."""
+    return f"(?i)(?=[{chars}])" + pattern.removeprefix("(?i)")
+
+
 def _definitions(text: Column) -> Column:
     return tx.count_matches(text, "(?md)" + DEFINITION)  # d: only \n ends a line
 
@@ -223,15 +228,15 @@ def citability(df: DataFrame) -> DataFrame:
         {
             "data_tables": tx.count_matches(html, r"(?i)<table[\s>]"),
             "ol_items": F.aggregate(lists, F.lit(0), lambda a, x: a + F.regexp_count(x, F.lit(r"(?i)<li[\s>]"))),
-            "first_person": tx.count_matches(text, FIRST_PERSON),
-            "stats_mentions": tx.count_matches(text, STATS),
+            "first_person": tx.count_matches(text, _beginning("wiob", FIRST_PERSON)),
+            "stats_mentions": tx.count_matches(text, _beginning(r"\daiowp", STATS)),
             "definitions": _definitions(text),
             "_entities": tx.count_matches(text, ENTITY),
             "_words": F.greatest(tx.word_count(text), F.lit(1)),
             "citations": tx.count_matches(text, CITATION),
             "total_headers": F.size(heads),
             "question_headers": F.size(F.filter(heads, lambda h: h.rlike(QUESTION))),
-            "data_points": tx.count_matches(text, DATA_POINT),
+            "data_points": tx.count_matches(text, _beginning(r"\d$", DATA_POINT)),
             "answer_first": first.rlike(ANSWER) & first.rlike(ANSWER_FACT),
         }
     )

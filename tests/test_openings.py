@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fernwork.functions import html as hx
 from fernwork.functions import text as tx
 from fernwork.operators import extract as ex
+from fernwork.operators import scoring as sc
 from fernwork.plans.scale import upper_median
 
 
@@ -50,3 +51,11 @@ def test_first_tokens(spark):
     for n in (1, 2, 3, 10):
         rows = df.select(tx.first_tokens(F.col("t"), n).alias("a"), F.slice(tx.tokens(F.col("t")), 1, n).alias("b")).collect()
         assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_look_ahead_leaves_counts(spark):
+    text = "In our testing WE FOUND 45% of 1200 users, 3 out of 4. According to our data: $5, 12.5 or 3 million. Proprietary data, our team; When I, based on our, by 7 in 9"
+    df = spark.createDataFrame([(text,), ("Our study, IN PRACTICE i've been, we analyzed 20,000 brands",)], "t string")
+    for chars, p in (("wiob", sc.FIRST_PERSON), (r"\daiowp", sc.STATS), (r"\d$", sc.DATA_POINT)):
+        for r in df.select(tx.count_matches(F.col("t"), p).alias("a"), tx.count_matches(F.col("t"), sc._beginning(chars, p)).alias("b")).collect():
+            assert r.a == r.b and (r.a > 0)
