@@ -7,11 +7,13 @@ distances is built, condensed to the splits whose sides both hold ``smallest``
 vectors, and the clusters of most excess of mass are kept; other vectors are
 noise.
 
-A group of up to ``DENSE`` vectors is one task's matrix. A larger one goes
+A group of up to ``DENSE`` vectors is one task's work, without its matrix: memory
+grows with the vectors only. A larger one goes
 through Borůvka rounds over the lists of its nearest neighbours: a component's
 best listed edge counts if no unlisted one can be shorter, and a search among
-the vectors of other components settles those for which that stays open. What
-comes together for a group is its forest: 24 bytes a vector, no vectors.
+the vectors of other components settles those for which that stays open, but for
+the largest component of a group: the others hook onto it. Searched for are only
+vectors that can have a shorter edge than the best listed one. What comes together for a group is its forest: 24 bytes a vector, no vectors.
 
 Ties of distance are settled by the ids.
 """
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from ..plans.scale import written
 from . import vectors as vx
 
-DENSE = 2048  # vectors of a group whose distances are one matrix, 32 MB
+DENSE = 16384  # vectors of a group that one task joins, in 16,384 steps of one product of a vector with those left
+STRIP = 1024  # vectors whose core distances are found at once
 LISTED = 16  # neighbours listed for each vector of a larger group
 EDGES = "grp string, a bigint, b bigint, w double"
 FLAT = 1e-6  # distances below count as this one
@@ -43,35 +46,44 @@ def forest(df: DataFrame, samples: Column) -> DataFrame:
 
 
 def _dense(t: pa.Table) -> pa.Table:
-    """Prim's steps over the matrix of one group."""
+    """Prim's steps over one group; vectors that are joined leave the arrays."""
     t = t.sort_by("post_id")
-    ids, m = t.column("post_id").to_numpy(), vx._matrix(t)
+    ids, m = t.column("post_id").to_numpy().copy(), vx._matrix(t)
     n = len(ids)
     if n < 2:
         return _edges("", [], [], [])
-    similarity = np.round(m @ m.T, 12)
-    np.fill_diagonal(similarity, -np.inf)
-    k = min(t.column("samples")[0].as_py(), n - 1)
-    core = np.partition(similarity, n - k, axis=1)[:, n - k]
-    near = np.minimum(similarity, np.minimum(core[:, None], core[None, :]))
-    best, origin, out = near[0].copy(), np.zeros(n, int), []
-    free = np.ones(n, bool)
-    free[0] = False
-    for _ in range(n - 1):
-        top = np.flatnonzero(free & (best == best[free].max()))
+    core = _core(m, min(t.column("samples")[0].as_py(), n - 1))
+    best, origin, out = np.full(n, -np.inf), np.full(n, ids[0]), []
+    i = 0
+    for left in range(n - 1, 0, -1):
+        x, own, reach = m[i].copy(), ids[i], core[i]
+        for array in (ids, m, core, best, origin):  # the last one takes the place of the one that is joined
+            array[i] = array[left]
+        near = np.minimum(np.round(m[:left] @ x, 12), np.minimum(core[:left], reach))
+        closer = near > best[:left]
+        tied = np.flatnonzero(near == best[:left])
+        if len(tied):
+            closer[tied] = _less(ids[tied], own, origin[tied])
+        best[:left][closer], origin[:left][closer] = near[closer], own
+        top = np.flatnonzero(best[:left] == best[:left].max())
         # ties: the edge of the least ids
-        pairs = [(min(ids[i], ids[origin[i]]), max(ids[i], ids[origin[i]]), i) for i in top]
-        a, b, i = min(pairs)
+        a, b, i = min((min(ids[j], origin[j]), max(ids[j], origin[j]), j) for j in top)
         out.append((a, b, best[i]))
-        free[i] = False
-        closer = (near[i] > best) | ((near[i] == best) & _less(ids, i, origin))
-        best, origin = np.where(closer, near[i], best), np.where(closer, i, origin)
     return _edges(t.column("grp")[0].as_py(), *zip(*out))
 
 
-def _less(ids: np.ndarray, i: int, origin: np.ndarray) -> np.ndarray:
-    """Where the edge to ``i`` comes before that to the origin so far, by its ids."""
-    new, old = ids[i], ids[origin]
+def _core(m: np.ndarray, k: int) -> np.ndarray:
+    """Similarity of each vector to its k-th nearest other one."""
+    parts = []
+    for i in range(0, len(m), STRIP):
+        s = np.round(m[i : i + STRIP] @ m.T, 12)
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+        parts.append(np.partition(s, len(m) - k, axis=1)[:, len(m) - k].copy())  # a view would hold the strip
+    return np.concatenate(parts)
+
+
+def _less(ids: np.ndarray, new: int, old: np.ndarray) -> np.ndarray:
+    """Where the edge to ``new`` comes before that to the origin so far, by its ids."""
     low, high = np.minimum(ids, new), np.maximum(ids, new)
     low_old, high_old = np.minimum(ids, old), np.maximum(ids, old)
     return (low < low_old) | ((low == low_old) & (high < high_old))
@@ -109,9 +121,10 @@ def _wide(df: DataFrame) -> DataFrame:
             open_ = written(labels.join(counts, "grp"))
             if open_.isEmpty():
                 break
-            more = _foreign(nodes.drop("last").join(open_, ["grp", "post_id"]))
+            exact = written(_lesser(open_))
+            known = written(best.select("grp", "comp", (-F.col("best.far")).alias("known")))
+            more = _foreign(nodes.join(open_, ["grp", "post_id"]), exact, known)
             edges = written(edges.unionByName(more.drop("comp")).groupBy("grp", "a", "b", "ca", "cb").agg(F.max("s").alias("s")).select("grp", "a", "b", "s", "ca", "cb"))
-            exact = written(open_.select("grp", "comp").distinct())
             continue
         exact = None
         found.append(picks.select("grp", "a", "b", "s").distinct())
@@ -126,9 +139,23 @@ def _wide(df: DataFrame) -> DataFrame:
     return out.distinct().select("grp", "a", "b", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s"))).alias("w"))
 
 
-def _foreign(points: DataFrame) -> DataFrame:
-    """The edge of least reach distance from each component to another one, by a search over all vectors of its group."""
-    near = vx.top_matches(points, points, 1, ["grp"], apart="comp", cap="cap")
+def _lesser(labels: DataFrame) -> DataFrame:
+    """(grp, comp) of all components but the largest one of each group."""
+    sizes = labels.groupBy("grp", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("m", "comp")).alias("comp"))
+    return sizes.join(largest, ["grp", "comp"], "left_anti").select("grp", "comp")
+
+
+def _foreign(points: DataFrame, searched: DataFrame, known: DataFrame) -> DataFrame:
+    """The edge of least reach distance from each ``searched`` component to another one, by a search over all vectors of its group.
+
+    ``known`` (grp, comp, known) has the best listed edge: a vector takes part
+    if an edge that isn't listed can reach it. Components that gain nothing have no row.
+    """
+    most = F.coalesce(F.least("cap", "last"), F.lit(-2.0))
+    # ties by the ids need the edges that equal the known one too
+    able = points.join(searched, ["grp", "comp"]).join(known, ["grp", "comp"], "left").filter(F.col("known").isNull() | (most >= F.col("known"))).drop("known")
+    near = vx.top_matches(able, points, 1, ["grp"], apart="comp", cap="cap")
     of = lambda name, comp: points.select("grp", F.col("post_id").alias(name), F.col("comp").alias(comp))
     best = near.join(of("post_id", "comp"), ["grp", "post_id"]).groupBy("grp", "comp").agg(
         F.min(F.struct((-F.round("similarity", 12)).alias("far"), F.least("post_id", "neighbour_id").alias("a"), F.greatest("post_id", "neighbour_id").alias("b"))).alias("e")

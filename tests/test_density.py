@@ -1,6 +1,9 @@
 """Density clusters against a plain version, splitting, and clusters of several sites."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +184,30 @@ def test_map_keeps_neighbours_better_than_a_projection(spark):
         _, _, v = np.linalg.svd(m - m.mean(axis=0), full_matrices=False)
         # less than half of what the two main directions lose
         assert 1 - trust(m, xy) < 0.5 * (1 - trust(m, m @ v[:2].T))
+
+
+def test_tree_of_one_task_holds_no_matrix():
+    """6,000 vectors: their matrix would be 288 MB."""
+    m = blobs(6000, 8, 40, 0.3, 9)
+    t = pa.table({"grp": ["g"] * 6000, "post_id": np.arange(6000), "vec": pa.array(list(m)), "samples": [2] * 6000})
+    tracemalloc.start()
+    edges = dn._dense(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert edges.num_rows == 5999 and len(set(edges["a"].to_pylist()) | set(edges["b"].to_pylist())) == 6000
+    assert peak < 250e6
+
+
+def test_largest_component_is_not_searched(spark, monkeypatch):
+    """Components that the lists can't join hook onto the largest, whose vectors ask for nothing; the tree is that of all pairs."""
+    monkeypatch.setattr(dn, "DENSE", 0)
+    rng = np.random.default_rng(10)
+    of = np.array([0] * 80 + [1] * 30 + [2] * 25)
+    m = 4 * np.eye(6)[of] + 0.2 * rng.normal(size=(135, 6))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    asked, search = [], dn.vx.top_matches
+    monkeypatch.setattr(dn.vx, "top_matches", lambda left, *a, **k: asked.append({r.post_id for r in left.select("post_id").collect()}) or search(left, *a, **k))
+    df = spark.createDataFrame([("g", i, m[i].tolist()) for i in range(135)], "grp string, post_id bigint, vec array<double>")
+    edges = dn.forest(df, F.lit(2)).collect()
+    assert sorted((round(e.w, 9), e.a, e.b) for e in edges) == sorted((round(w, 9), i, j) for w, i, j in plain_tree(plain_reach(m, 2)))
+    assert asked and all(found and min(found) >= 80 for found in asked)
