@@ -211,3 +211,30 @@ def test_largest_component_is_not_searched(spark, monkeypatch):
     edges = dn.forest(df, F.lit(2)).collect()
     assert sorted((round(e.w, 9), e.a, e.b) for e in edges) == sorted((round(w, 9), i, j) for w, i, j in plain_tree(plain_reach(m, 2)))
     assert asked and all(found and min(found) >= 80 for found in asked)
+
+
+def test_layout_rounds_over_blocks_equal_plain_ones(spark, monkeypatch):
+    """Blocks of a site smaller than the site change nothing: posts are pulled by edges and pushed by drawn posts of all blocks."""
+    monkeypatch.setattr(lay, "SIDE", 30)
+    rng, n = np.random.default_rng(6), 70
+    w = np.where(rng.random((n, n)) < 0.1, rng.random((n, n)), 0)
+    w[0] = w[:, 0] = 0
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    graph = spark.createDataFrame([(1, 100 + int(i), 100 + int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "site_id bigint, post_id bigint, other bigint, w double")
+    xy, degree = rng.normal(size=(n, 2)), w.sum(axis=1)
+    rows = [(1, 100 + i, i + 1, n, float(degree[i]), *xy[i].tolist()) for i in range(n)] + [(2, 500, 1, 1, 0.0, 1.0, 2.0)]
+    ranked = spark.createDataFrame(rows, "site_id bigint, post_id bigint, rank bigint, n bigint, degree double, x double, y double")
+    places, pieces = lay._blocks(graph, ranked)
+    got = {(r.site_id, r._b): np.stack([np.frombuffer(r.x), np.frombuffer(r.y)], axis=1) for r in lay.layout(pieces, places, 2, 1.0).collect()}
+    seeds = F.array(*[F.xxhash64("post_id", F.lit(t), F.lit(s)) for t in range(2) for s in range(lay.DRAWN)])
+    drawn = np.array([r.d for r in ranked.filter("site_id = 1").orderBy("rank").select(seeds.alias("d")).collect()]).reshape(n, 2, lay.DRAWN) % n
+    for t in range(2):
+        pull = np.where(degree[:, None] > 0, w @ xy / np.maximum(degree, 1e-300)[:, None] - xy, 0)
+        push = np.zeros((n, 2))
+        for i in range(n):
+            for j in drawn[i, t]:
+                d = xy[j] - xy[i]
+                push[i] += np.clip(-2 / ((0.01 + d @ d) * (1 + d @ d)) * d, -4, 4) if i != j else 0
+        xy = xy + (1 - t / 2) * np.clip(np.clip(pull, -4, 4) + push, -4, 4)
+    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (2, 0)] and got[2, 0].tolist() == [[1.0, 2.0]]
+    assert np.concatenate([got[1, b] for b in range(3)]) == pytest.approx(xy, abs=1e-9)
