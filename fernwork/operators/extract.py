@@ -314,21 +314,26 @@ def section_chunks(html: Column, title: Column) -> Column:
     )
 
 
-def overlap_chunks(title: Column, body: Column, size: int = 20000, overlap: int = 500) -> Column:
-    """Overlapping windows over the whole text, the title repeated in each."""
-    prefix = F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit("\n\n"))).otherwise(F.lit(""))
-    text = F.concat(prefix, body)
-    width = F.lit(size) - F.length(prefix)
-    start = size - overlap
-    n_more = F.ceil((F.length(text) - start) / (width - overlap)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), F.greatest(n_more - 1, F.lit(0))), lambda i: start + i * (width - overlap))
-    raw = tx.let(F.struct(text.alias("t"), width.alias("w")), lambda b: F.transform(starts, lambda s: b["t"].substr(s + 1, b["w"])))
-    short = F.array_position(F.transform(raw, lambda c: F.length(tx.strip(c)) < 200), F.lit(True)).cast("int")
-    kept = F.when(short == 0, raw).otherwise(F.slice(raw, F.lit(1), short - 1))
-    more = tx.let(prefix, lambda p: F.transform(kept, lambda c: tx.strip(F.concat(p, c))))
-    return F.when(F.length(text) <= size, F.array(tx.strip(text))).otherwise(
-        F.concat(F.array(tx.strip(F.left(text, F.lit(size)))), more)
-    )
+def overlap_chunks(posts: DataFrame, key: str = "post_id", size: int = 20000, overlap: int = 500) -> DataFrame:
+    """(key, i, chunk): overlapping windows over the whole text, the title repeated in each, up to the first one too short.
+
+    A title that leaves a window no more room than the overlap gives the first
+    window alone, a text that is null gives none. Windows are cut from the text
+    one by one, so a text of very many is never a row of all of them.
+    """
+    c = F.col
+    prefix = F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit("\n\n"))).otherwise(F.lit(""))
+    rows = posts.filter(c("body_text").isNotNull()).select(key, prefix.alias("_pre"), F.concat(prefix, "body_text").alias("_t"))
+    width, start = F.lit(size) - F.length("_pre"), size - overlap
+    step = width - overlap
+    more = F.when((F.length("_t") > size) & (step > 0), F.ceil(F.try_divide(F.length("_t") - start, step)).cast("int")).otherwise(0)
+    window = lambda i: c("_t").substr(start + (i - 1) * step + 1, width)
+    # an array of flags, not of windows
+    short = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.length(tx.strip(window(i))) < 200), F.lit(True)).cast("int")
+    last = F.when(more == 0, 0).when(short == 0, more).otherwise(short - 1)
+    first = tx.strip(F.left("_t", F.lit(size)))
+    cut = rows.select(key, "_pre", "_t", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return cut.select(key, "i", F.when(c("i") == 0, first).otherwise(tx.strip(F.concat("_pre", window(c("i"))))).alias("chunk"))
 
 
 def smart_truncate(body: Column, headings: Column, limit: int = 4000) -> Column:

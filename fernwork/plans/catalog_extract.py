@@ -294,8 +294,7 @@ FROM (SELECT *, unnest(range(CAST(ceil((length(t) - 1800) / (w - 200)) AS BIGINT
 SELECT post_id, i::INTEGER AS i, chunk FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.post_id = a.post_id AND b.chunk IS NULL AND b.i <= a.i)
 """, "posts")
 def b21(t: Tables):
-    chunks = ex.overlap_chunks(F.col("title"), F.col("body_text"), 2000, 200)
-    return t.posts.select("post_id", F.posexplode(chunks).alias("i", "chunk"))
+    return ex.overlap_chunks(t.posts, "post_id", 2000, 200)
 
 
 @query("b22_mean_vectors", """

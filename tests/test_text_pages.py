@@ -144,3 +144,25 @@ def test_grade_level_rounds_ties_like_the_scaled_double(spark):
     values = [7.05, 7.050000000000001, 7.15, 7.16, -0.25, 78.85, None]
     df = spark.createDataFrame([(v,) for v in values], "v double").select(tx.round_even(F.col("v"), 1).alias("r"))
     assert [r.r for r in df.collect()] == [7.0, 7.0, 7.2, 7.2, -0.2, 78.8, None]
+
+
+def test_overlap_chunks_of_long_titles(spark):
+    body = "".join(f"word-{i},{i};" for i in range(450))
+    texts = [("t" * n, body) for n in (0, 1, 50, 1500, 1790, 1796, 1797, 1798, 1799, 1998, 2500)]
+    texts += [("", None), (None, None), ("", ""), ("a", "b" * 1997), ("a", "b" * 1998), ("a", "b" * 2000 + " " * 3000 + "c" * 500), ("", "b" * 2300)]
+
+    def plain(title, body):
+        pre = f"{title}\n\n" if title else ""
+        if body is None:
+            return []
+        text, width = pre + body, 2000 - len(pre)
+        chunks, at = [text[:2000].strip()], 1800
+        while len(text) > 2000 and width > 200 and at < len(text) and len(text[at : at + width].strip()) >= 200:
+            chunks.append((pre + text[at : at + width]).strip())
+            at += width - 200
+        return chunks
+
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "post_id int, title string, body_text string")
+    got = {(r.post_id, r.i): r.chunk for r in ex.overlap_chunks(df, "post_id", 2000, 200).collect()}
+    assert got == {(n, i): c for n, x in enumerate(texts) for i, c in enumerate(plain(*x))}
+    assert len([k for k in got if k[0] == 5]) > 100 and [k for k in got if k[0] == 7] == [(7, 0)]
