@@ -216,6 +216,11 @@ def _definitions(text: Column) -> Column:
     return tx.count_matches(text, "(?md)" + DEFINITION)  # d: only \n ends a line
 
 
+def _entities(text: Column) -> Column:
+    """Matches of ENTITY, in a form that takes a run of any length: its repeated group would need the stack at each word."""
+    return tx.count_matches(text, r"[A-Z][a-z]++(?:\s[A-Z][a-z]++)++")
+
+
 def citability(df: DataFrame) -> DataFrame:
     """Adds the citability signals and cite_score (0–100) from body_text and body_html."""
     text, html = F.coalesce("body_text", F.lit("")), F.coalesce("body_html", F.lit(""))
@@ -231,7 +236,7 @@ def citability(df: DataFrame) -> DataFrame:
             "first_person": tx.count_matches(text, _beginning("wiob", FIRST_PERSON)),
             "stats_mentions": tx.count_matches(text, _beginning(r"\daiowp", STATS)),
             "definitions": _definitions(text),
-            "_entities": tx.count_matches(text, ENTITY),
+            "_entities": _entities(text),
             "_words": F.greatest(tx.word_count(text), F.lit(1)),
             "citations": tx.count_matches(text, CITATION),
             "total_headers": F.size(heads),

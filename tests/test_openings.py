@@ -1,5 +1,8 @@
 """Scores read the beginning of a page where that is all they need, and count words once."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +62,19 @@ def test_look_ahead_leaves_counts(spark):
     for chars, p in (("wiob", sc.FIRST_PERSON), (r"\daiowp", sc.STATS), (r"\d$", sc.DATA_POINT)):
         for r in df.select(tx.count_matches(F.col("t"), p).alias("a"), tx.count_matches(F.col("t"), sc._beginning(chars, p)).alias("b")).collect():
             assert r.a == r.b and (r.a > 0)
+
+
+def test_entities_of_any_length(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["A", "Ab", "Abc", "b", "B9", " ", " ", "  ", "\n", "é", "."]) for _ in range(n)) for n in [*range(40), 400, 4000]]
+    texts += ["Ab Cd Ef9", "Ab Cd  Ef Gh", "Ab Cd", "Ab Cd ", "aAb CdE f", "", None]
+    long = ["Abcd " * 200_000, "Abcd " * 200_000 + "efg", "x. " + "Ab\n" * 5_000 + "9 Cd Ef"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts + long)], "i int, t string")
+    got = [r.n for r in rows.select("i", sc._entities(F.col("t")).alias("n")).sort("i").collect()]
+    assert got == [len(re.findall(sc.ENTITY, x or "", re.A)) for x in texts] + [1, 1, 2] and max(got) > 20
+
+
+def test_citability_of_a_text_in_capitals(spark):
+    text = "Abcd Efgh " * 10_000
+    df = spark.createDataFrame([(1, text, f"<p>{text}</p>")], "post_id int, body_text string, body_html string")
+    assert sc.citability(df).first()["cite_score"] == 0
