@@ -253,6 +253,47 @@ def test_candidates_count_queries_where_cosines_are(spark, monkeypatch):
     assert got == want and {0, 1, 2, 3} <= set(want.values())
 
 
+@pytest.mark.parametrize("flags", [False, True])
+def test_gated_candidates_equal_gates_behind_them(spark, monkeypatch, flags):
+    """Pairs gated in their task, in batches of seven, are those that pass the gate behind it, nulls and zero vectors included, with the columns of their pages."""
+    monkeypatch.setattr(vx, "TILE", 200)
+    monkeypatch.setattr(vx, "BATCH", 7)
+    rng = np.random.default_rng(14)
+    m, _ = vectors(spark, n=130, groups=2)
+    m[5] = m[8] = m[126] = 0
+    df = spark.createDataFrame([(i, m[i].tolist(), 9 if i >= 122 else i % 2, i % 3) for i in range(130)], "post_id bigint, vec array<double>, cluster_id int, site_id int")
+    q = spark.createDataFrame([(i, f"q{x}") for i in range(130) if i % 3 for x in rng.integers(0, 9, 1 + i % 5)], "post_id bigint, query string").distinct()
+    pick = lambda *x: x[int(rng.integers(0, len(x)))]
+    rows = [(i, pick("h", "k", None, f"h{i}"), pick("en", "en", "de", None), pick("x", "y", None), None if i % 7 == 0 else ["w", f"w{i}"]) for i in range(130) if i != 40]
+    pages = spark.createDataFrame(rows, "post_id bigint, hash string, lang string, intent string, words array<string>")
+    flag = spark.createDataFrame([(0, 0.5), (1, 0.7)], "site_id int, flag double") if flags else 0.55
+    plain = pr.with_signals(pr.cluster_candidates(df, q, flag), pages)
+    if flags:
+        plain = pr.with_thresholds(plain, df, flag.selectExpr("*", "0.8D AS high", "0.9D AS critical"))
+    want = {(r.post_a_id, r.post_b_id): r for r in pr.gate(plain, F.col("flag") if flags else flag).collect()}
+    got = pr.cluster_candidates(df, q, flag, pages=pages, first=["cluster_id"], both=["words", "intent"]).collect()
+    assert len(got) == len(want) > 100 and len({r.n_shared for r in got}) > 3
+    for r in got:
+        w = want[r.post_a_id, r.post_b_id]
+        assert (r.n_shared, r.words_a, r.words_b, r.intent_a, r.intent_b) == (w.n_shared, w.words_a, w.words_b, w.intent_a, w.intent_b)
+        assert r.cosine == pytest.approx(w.cosine, abs=1e-12) and r.cluster_id == (9 if r.post_a_id >= 122 else r.post_a_id % 2)
+
+
+def test_pairs_are_not_shuffled(spark):
+    """What grows with the square of a cluster leaves the task that finds it rated: no exchange stands above that task."""
+    from fernwork.plans import catalog_pairs
+    from fernwork.plans.tables import Tables
+
+    plan = catalog_pairs.f19b(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "FlatMapGroupsInArrow" in line and "every" in line)
+    above, level = [], depth(plan[at])
+    for line in reversed(plan[:at]):
+        if depth(line) < level:
+            above, level = [*above, line], depth(line)
+    assert above and not [x for x in above if "Exchange" in x or "Join" in x]
+
+
 def test_chunks_of_a_pair_meet_in_its_task(spark):
     """Chunk pairs are never rows: the plan groups both sides by pair, and values equal brute force."""
     rng = np.random.default_rng(6)
