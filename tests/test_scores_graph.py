@@ -265,17 +265,18 @@ def test_gated_candidates_equal_gates_behind_them(spark, monkeypatch, flags):
     q = spark.createDataFrame([(i, f"q{x}") for i in range(130) if i % 3 for x in rng.integers(0, 9, 1 + i % 5)], "post_id bigint, query string").distinct()
     pick = lambda *x: x[int(rng.integers(0, len(x)))]
     rows = [(i, pick("h", "k", None, f"h{i}"), pick("en", "en", "de", None), pick("x", "y", None), None if i % 7 == 0 else ["w", f"w{i}"]) for i in range(130) if i != 40]
-    pages = spark.createDataFrame(rows, "post_id bigint, hash string, lang string, intent string, words array<string>")
+    pages = spark.createDataFrame(rows, "post_id bigint, hash string, lang string, intent string, words array<string>").withColumn("terms", F.col("words"))
     flag = spark.createDataFrame([(0, 0.5), (1, 0.7)], "site_id int, flag double") if flags else 0.55
     plain = pr.with_signals(pr.cluster_candidates(df, q, flag), pages)
     if flags:
         plain = pr.with_thresholds(plain, df, flag.selectExpr("*", "0.8D AS high", "0.9D AS critical"))
     want = {(r.post_a_id, r.post_b_id): r for r in pr.gate(plain, F.col("flag") if flags else flag).collect()}
-    got = pr.cluster_candidates(df, q, flag, pages=pages, first=["cluster_id"], both=["words", "intent"]).collect()
+    got = pr.cluster_candidates(df, q, flag, pages=pages, first=["cluster_id"], both=["words", "intent"], words=["terms"]).collect()
     assert len(got) == len(want) > 100 and len({r.n_shared for r in got}) > 3
     for r in got:
         w = want[r.post_a_id, r.post_b_id]
         assert (r.n_shared, r.words_a, r.words_b, r.intent_a, r.intent_b) == (w.n_shared, w.words_a, w.words_b, w.intent_a, w.intent_b)
+        assert r.terms_shared == len(set(w.words_a or []) & set(w.words_b or []))
         assert r.cosine == pytest.approx(w.cosine, abs=1e-12) and r.cluster_id == (9 if r.post_a_id >= 122 else r.post_a_id % 2)
 
 
