@@ -21,6 +21,11 @@ def count_matches(c: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0))
 
 
+def beginning(chars: str, pattern: str) -> str:
+    """A pattern whose matches begin with one of ``chars``, which a look ahead finds faster than its alternatives do."""
+    return f"(?i)(?=[{chars}])(?:{pattern.removeprefix('(?i)')})"
+
+
 def word_count(c: Column) -> Column:
     return count_matches(c, r"\S+")
 

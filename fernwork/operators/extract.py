@@ -138,8 +138,11 @@ def page_type(url: Column, html: Column, headings: Column) -> Column:
     )
 
 
-def trust_metadata(html: Column, *fields: str) -> Column:
-    """Author, structured-data types, dates and links that sit in page chrome; only ``fields``, where any are named."""
+def trust_metadata(html: Column, *fields: str, opening: Column | None = None) -> Column:
+    """Author, structured-data types, dates and links that sit in page chrome; only ``fields``, where any are named.
+
+    ``opening``: the page's ``opening_text`` of 3000 characters, where it is at hand.
+    """
     byline = F.regexp_extract(
         html, r"(?is)<div[^>]*class\s*=\s*[\"'][^\"']*(?:post-author|byline|entry-author)[^\"']*[\"'][^>]*>(.*?)</div>", 1
     )
@@ -165,7 +168,7 @@ def trust_metadata(html: Column, *fields: str) -> Column:
             html.rlike(r"(?is)<time[^>]*\sdatetime\s*=")
             | html.rlike(r"(?is)<meta[^>]*property\s*=\s*[\"']article:(published|modified)_time[\"']")
             | dated_class.isNotNull()
-            | hx.opening_text(html, 3000).rlike(VISIBLE_DATE)
+            | (hx.opening_text(html, 3000) if opening is None else opening).rlike(tx.beginning("jfmasondpu", VISIBLE_DATE))
         ),
         "has_contact_link": F.exists(
             links,

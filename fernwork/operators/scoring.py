@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as hx
 from ..functions import text as tx
+from ..functions.text import beginning as _beginning
 from ..functions.text import ladder
 from ..plans.scale import top_per_group, upper_median
 
@@ -207,11 +208,6 @@ ARTICLE_TYPES = ["Article", "BlogPosting", "NewsArticle", "TechArticle"]
 PRONOUNS = ["this", "it", "that", "these", "those", "they", "he", "she"]
 
 
-def _beginning(chars: str, pattern: str) -> str:
-    """A pattern whose matches begin with one of ``chars``, which a look ahead finds faster than its alternatives do."""
-    return f"(?i)(?=[{chars}])" + pattern.removeprefix("(?i)")
-
-
 def _definitions(text: Column) -> Column:
     return tx.count_matches(text, "(?md)" + DEFINITION)  # d: only \n ends a line
 
@@ -238,7 +234,7 @@ def citability(df: DataFrame) -> DataFrame:
             "definitions": _definitions(text),
             "_entities": _entities(text),
             "_words": F.greatest(tx.word_count(text), F.lit(1)),
-            "citations": tx.count_matches(text, CITATION),
+            "citations": tx.count_matches(text, _beginning("acpsfdjrui.", CITATION)),
             "total_headers": F.size(heads),
             "question_headers": F.size(F.filter(heads, lambda h: h.rlike(QUESTION))),
             "data_points": tx.count_matches(text, _beginning(r"\d$", DATA_POINT)),
@@ -276,13 +272,14 @@ def eeat(df: DataFrame, as_of: str) -> DataFrame:
 def trust_signals(df: DataFrame) -> DataFrame:
     """Adds the trust signals that the page shows.
 
-    Needs body_html, headings and the crawl-time ``trust`` struct.
+    Needs body_html, headings and the crawl-time ``trust`` struct; an
+    ``opening`` (``opening_text`` of the first 3000 characters) is taken as it is.
     """
     html, trust = F.coalesce("body_html", F.lit("")), F.col("trust")
     tag = r"(?is)<[a-z][a-z0-9]*[^>]*\s(?:class|id)\s*=\s*[\"'][^\"']*(?:author|bio|writer|contributor)[^\"']*[\"'][^>]*>"
     bio = hx.visible_text(F.regexp_extract(html, tag + r"(.*?)</(?:div|section|aside|article|p|span|footer|header)>", 1))
     author_link = html.rlike(r"(?is)<a[^>]*href\s*=\s*[\"'][^\"']*/authors?/[^/\"']+")
-    text = hx.opening_text(html, 3000)
+    text = F.coalesce("opening", F.lit("")) if "opening" in df.columns else hx.opening_text(html, 3000)
     marked_author = (
         html.rlike(r"(?is)<meta[^>]*name\s*=\s*[\"']author[\"'][^>]*content\s*=\s*[\"'][^\"']+")
         | html.rlike(r"(?is)<[a-z][a-z0-9]*[^>]*\s(?:itemprop|rel)\s*=\s*[\"']author[\"']")
@@ -303,15 +300,15 @@ def trust_signals(df: DataFrame) -> DataFrame:
             "has_credentials": F.when(
                 F.col("_bio").rlike(CREDENTIALS), F.lit(True)
             ).otherwise((F.coalesce(trust["author_name"], F.lit("")) != "") & F.left("_text", F.lit(800)).rlike(CREDENTIALS)),
-            "has_date": times | F.left("_text", F.lit(3000)).rlike(SHOWN_DATE) | F.coalesce(trust["has_visible_date"], F.lit(False)),
-            "has_updated_date": F.left("_text", F.lit(3000)).rlike(UPDATED_DATE)
+            "has_date": times | F.left("_text", F.lit(3000)).rlike(_beginning("jfmasondpul", SHOWN_DATE)) | F.coalesce(trust["has_visible_date"], F.lit(False)),
+            "has_updated_date": F.left("_text", F.lit(3000)).rlike(_beginning("lum", UPDATED_DATE))
             | html.rlike(r"(?is)(updated|modified)[^<]{0,40}<time[^>]*\sdatetime\s*="),
             "external_links": F.size(F.filter(links, lambda a: a.rlike("^https?://") & ~a.rlike(SHARE_LINK))),
             "has_contact_link": F.coalesce(trust["has_contact_link"], F.lit(False)),
             "h2_total": F.size(F.filter("headings", lambda h: h["level"] == "h2")),
         }
     )
-    return out.drop("_text", "_bio")
+    return out.drop("_text", "_bio", "opening")
 
 
 def eeat_score(df: DataFrame, as_of: str) -> DataFrame:

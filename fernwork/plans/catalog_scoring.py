@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import html as hx
 from ..operators import extract as ex
 from ..operators import scoring as sc
 from . import sqltext as q
@@ -200,12 +201,13 @@ def c12(t: Tables):
 
 
 def trusted(t: Tables, *fields: str):
-    return articles(t).withColumn("trust", ex.trust_metadata(F.col("body_html"), *fields))
+    p = articles(t).withColumn("opening", hx.opening_text(F.col("body_html"), 3000))
+    return p.withColumn("trust", ex.trust_metadata(F.col("body_html"), *fields, opening=F.col("opening")))
 
 
 def ai_scored(t: Tables):
     p = trusted(t, "author_name", "has_visible_date", "has_contact_link")
-    return sc.ai_scores(p.select("post_id", "site_id", "body_text", "body_html", "headings", "trust", "word_count", "publish_date", "modified_date"), AS_OF)
+    return sc.ai_scores(p.select("post_id", "site_id", "body_text", "body_html", "opening", "headings", "trust", "word_count", "publish_date", "modified_date"), AS_OF)
 
 
 cte("medians", "SELECT site_id, list_sort(list(word_count))[len(list(word_count)) // 2 + 1] AS site_median FROM posts GROUP BY site_id", "posts")

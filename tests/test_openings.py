@@ -78,3 +78,24 @@ def test_citability_of_a_text_in_capitals(spark):
     text = "Abcd Efgh " * 10_000
     df = spark.createDataFrame([(1, text, f"<p>{text}</p>")], "post_id int, body_text string, body_html string")
     assert sc.citability(df).first()["cite_score"] == 0
+
+
+def test_dates_and_sources_behind_a_look_ahead(spark):
+    months = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+    texts = [f"x {m.lower() if i % 2 else m}. {i + 1}, 2023" for i, m in enumerate(months)]
+    texts += [f"{w} : 2023-01-0{i}" for i, w in enumerate("Published posted UPDATED modified".split(), 1)] + ["Last updated 1/2/2023", "updated on: May 4 2022", "x 5/5/2022"]
+    texts += [f"{w} x" for w in ("According to", "as reported by", "cited by", "published by", "per ", "SOURCE:", "from a study by", "data from", "a.gov", "b.EDU", "Journal", "research", "university", "institute", "none")]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for chars, p in (("jfmasondpul", sc.SHOWN_DATE), ("lum", sc.UPDATED_DATE), ("jfmasondpu", ex.VISIBLE_DATE), ("acpsfdjrui.", sc.CITATION)):
+        rows = df.select(tx.count_matches(F.col("t"), p).alias("a"), tx.count_matches(F.col("t"), tx.beginning(chars, p)).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows] and sum(r.a for r in rows) > 2
+
+
+def test_signals_take_the_opening_that_is_at_hand(spark):
+    trust = "named_struct('author_name', '', 'has_visible_date', false, 'has_contact_link', false)"
+    df = spark.createDataFrame([("<p>updated on May 4, 2022 by Ann Lee</p>",), ("<p>x</p>",), (None,)], "body_html string")
+    df = df.selectExpr("*", f"{trust} AS trust", "array(named_struct('level', 'h2', 'text', 'x')) AS headings")
+    plain = sc.trust_signals(df)
+    given = sc.trust_signals(df.withColumn("opening", hx.opening_text(F.col("body_html"), 3000)))
+    assert given.columns == plain.columns and given.collect() == plain.collect() and plain.filter("has_updated_date").count() == 1
+    assert sc.trust_signals(df.withColumn("opening", F.lit("modified 2022-05-04"))).filter("has_updated_date").count() == 3
